@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding, simhash, url_filter, warc
+from tessera.llm import language, mixing, sharding, simhash, url_filter, warc
 from tessera.llm.common import read_table
 
 QUERIES = {
     "op4_mix_sources": lambda spark, sf_dir: mixing.mixed_sizes(read_table(spark, sf_dir, "documents")),
     "op5_url_filter": lambda spark, sf_dir: url_filter.filter_urls(read_table(spark, sf_dir, "pages")),
     "op6_shards": lambda spark, sf_dir: sharding.shard_digest(read_table(spark, sf_dir, "documents")),
+    "op7_language": lambda spark, sf_dir: language.language_digest(read_table(spark, sf_dir, "documents")),
     "op8_simhash": lambda spark, sf_dir: simhash.simhash_digest(read_table(spark, sf_dir, "documents")),
     "op10_warc": lambda spark, sf_dir: warc.round_trip(read_table(spark, sf_dir, "pages")),
 }
