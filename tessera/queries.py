@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, series
+from tessera.operators import analysis, derive, formula, series
 from tessera.plans.cube import load_cube
 from tessera.plans.marts import mart
 from tessera.plans.prelude import sql
@@ -106,3 +106,85 @@ on_cube("qry69_last_years", lambda c: c.observation.filter("value is not null").
 on_cube("qry70_dataset_territories", lambda c: analysis.dataset_territories(c, _MANY), f"SELECT territory_code, count(DISTINCT series_key) AS series FROM (SELECT *, max(year) OVER (PARTITION BY series_key) AS last FROM observation WHERE value IS NOT NULL AND series_key IN {_IN}) WHERE year = last GROUP BY territory_code")
 on_cube("ans31_month_change", lambda c: analysis.month_change(c, "N2"), "SELECT l.series_key, l.year, l.month, l.value, b.value AS before, round(CASE WHEN b.value > 0 THEN (l.value / b.value - 1) * 100 END, 4) AS percent FROM (SELECT * FROM month_fact WHERE territory_code = 'N2' AND kind = 'level' QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY year DESC, month DESC) = 1) l LEFT JOIN month_fact b ON b.series_key = l.series_key AND b.territory_code = l.territory_code AND b.kind = 'level' AND b.year = l.year - 1 AND b.month = l.month")
 on_cube("fct32_unique_keys", analysis.unique_keys, "SELECT 'observation' AS relation, count(*) AS keys, 0::BIGINT AS repeated FROM observation UNION ALL SELECT 'vintage', count(*), 0 FROM vintage UNION ALL SELECT 'month', count(*), 0 FROM month_fact UNION ALL SELECT 'territory', count(*), 0 FROM territory")
+
+_HEADS = "FROM obs1 o JOIN population p USING (territory_code) WHERE population > 0"
+
+
+def _rows(key: str, name: str = "obs1", regions: bool = False) -> str:
+    """CTE of a series' known values."""
+    return f", {name} AS (SELECT territory_code, year, value, territory_level, district_code FROM {'reg' if regions else 'observation'} WHERE series_key = '{key}' AND value IS NOT NULL)"
+
+
+on_cube("drv03_per_capita", lambda c: derive.per_capita(derive.rows_of(c, _S), c.population), _rows(_S) + f" SELECT territory_code, year, round(value / population * 1000, 4) AS value {_HEADS}")
+on_cube("drv04_per_person_middle", lambda c: derive.middle_per_person(derive.rows_of(c, _S), c.population), _rows(_S) + f" SELECT round(median(abs(value) / population), 8) AS middle {_HEADS}")
+on_cube("fct25_frozen_population", lambda c: derive.frozen_population(c.population.crossJoin(c.observation.select("year").distinct().filter("year <= 1998")).select("territory_code", "year", "population"), derive.rows_of(c, _S).select("territory_code", "year", "value")), _rows(_S) + " SELECT territory_code, year, value, population, year > 1998 AS frozen FROM obs1 JOIN population USING (territory_code)")
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+on_cube("drv06_fold", lambda c: derive.fold(c, [f"revenue:{p}" for p in _PRIORITIES]), f"SELECT territory_code, year, round(sum(value), 4) AS value FROM observation WHERE series_key IN ({', '.join(repr(f'revenue:{p}') for p in _PRIORITIES)}) AND value IS NOT NULL GROUP BY territory_code, year HAVING count(*) = 5")
+on_cube("drv22_fold_months", lambda c: derive.fold_months(c.month), "SELECT series_key, territory_code, year, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) FILTER (month = 12) AS december FROM month_fact WHERE kind = 'level' AND value IS NOT NULL GROUP BY series_key, territory_code, year HAVING count(*) = 12")
+on_cube("drv11_growth", lambda c: derive.growth(derive.rows_of(c, _S)), _rows(_S) + " SELECT a.territory_code, a.year, round(a.value / b.value * 100, 4) AS value FROM obs1 a JOIN obs1 b ON b.territory_code = a.territory_code AND b.year = a.year - 1 WHERE b.value > 0")
+on_cube("drv12_share", lambda c: derive.share(derive.regions_of(c, _S)), _rows(_S, regions=True) + " SELECT territory_code, year, round(value / total * 100, 4) AS value FROM (SELECT *, sum(value) OVER (PARTITION BY year) AS total FROM obs1) WHERE total > 0")
+on_cube("drv10_to_country", lambda c: derive.to_country(derive.regions_of(c, _P), derive.rows_of(c, _P).filter("territory_level = 'country'")), _rows(_P, regions=True) + ", w AS (SELECT year, value FROM observation WHERE series_key = 'revenue:1-URGENT' AND territory_level = 'country') SELECT territory_code, o.year, round(o.value / coalesce(w.value, s.total) * 100, 4) AS value FROM obs1 o JOIN (SELECT year, sum(value) AS total FROM obs1 GROUP BY year) s USING (year) LEFT JOIN w USING (year) WHERE coalesce(w.value, s.total) > 0")
+on_cube("drv09_subjects", lambda c: derive.regions_of(c, _S).groupBy("year").agg(F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).alias("filled")), _rows(_S, regions=True) + " SELECT year, round(sum(value), 4) AS total, count(*) AS filled FROM obs1 GROUP BY year")
+on_cube("drv08_constant_prices", lambda c: derive.constant_prices(derive.rows_of(c, _S), derive.growth(derive.rows_of(c, "avg_price:00"))), _rows(_S) + _rows("avg_price:00", "price") + """, cpi AS (SELECT a.territory_code, a.year, round(a.value / b.value * 100, 4) AS value FROM price a JOIN price b ON b.territory_code = a.territory_code AND b.year = a.year - 1 WHERE b.value > 0),
+  chain AS (SELECT territory_code, year, sum(ln(value / 100)) OVER w AS chain, row_number() OVER w AS place FROM cpi WHERE value > 0 WINDOW w AS (PARTITION BY territory_code ORDER BY year ROWS UNBOUNDED PRECEDING)),
+  base AS (SELECT territory_code, least((SELECT max(year) FROM obs1 x WHERE x.territory_code = c.territory_code), max(year)) AS base_year FROM cpi c GROUP BY territory_code)
+  SELECT o.territory_code, o.year, round(o.value * exp(z.chain - c.chain), 2) AS value FROM obs1 o JOIN chain c USING (territory_code, year) JOIN base b USING (territory_code) JOIN chain z ON z.territory_code = o.territory_code AND z.year = b.base_year WHERE o.year <= base_year AND z.place - c.place = base_year - o.year""")
+on_cube("drv25_group_totals", lambda c: derive.group_totals(derive.regions_of(c, _S), c.population, ("N1", "N2", "N3")), _rows(_S, regions=True) + " SELECT year, territory_code IN ('N1', 'N2', 'N3') AS in_group, round(sum(value), 4) AS value, count(*) AS n FROM obs1 GROUP BY ALL")
+on_cube("drv25_group_means", lambda c: derive.group_totals(derive.regions_of(c, "avg_price:00"), c.population, ("N1", "N2", "N3"), False), _rows("avg_price:00", regions=True) + " SELECT year, territory_code IN ('N1', 'N2', 'N3') AS in_group, round(sum(value * population) / sum(population), 6) AS value, count(*) AS n FROM obs1 JOIN population USING (territory_code) GROUP BY ALL")
+on_cube("drv16_summary", derive.summary, "SELECT series_key, count(*) AS n, count(DISTINCT territory_code) AS regions, count(DISTINCT year) AS years, bool_and(value = floor(value)) AS whole, round(median(abs(value)), 6) AS middle FROM reg WHERE value IS NOT NULL GROUP BY series_key")
+on_cube("drv18_version_changes", lambda c: derive.version_changes(c, 5, 7), """, a AS (SELECT * FROM vintage WHERE edition = 5 AND value IS NOT NULL), b AS (SELECT * FROM vintage WHERE edition = 7 AND value IS NOT NULL), j AS (SELECT coalesce(a.series_key, b.series_key) AS series_key, a.value AS o, b.value AS n, a.value IS NOT NULL AND b.value IS NOT NULL AND abs(b.value - a.value) > 1e-9 * greatest(1.0, abs(a.value)) AS c FROM a FULL JOIN b ON a.series_key = b.series_key AND a.territory_code = b.territory_code AND a.year = b.year)
+  SELECT series_key, count(*) FILTER (c) AS changed, count(*) FILTER (o IS NULL) AS appeared, count(*) FILTER (n IS NULL) AS lost, round(median(CASE WHEN c AND o <> 0 THEN abs(n / nullif(o, 0) - 1) END), 6) AS median_rel, count(*) FILTER (c AND o <> 0 AND abs(n / nullif(o, 0) - 1) >= 0.05) AS over_5_percent FROM j GROUP BY series_key""")
+on_cube("drv01_composite_alone", lambda c: derive.composite_alone(derive.rows_of(c, _S), "R0", ("N0",)), _rows(_S) + " SELECT a.year, round(a.value - b.value, 4) AS value FROM obs1 a JOIN obs1 b USING (year) WHERE a.territory_code = 'R0' AND b.territory_code = 'N0' AND round(a.value - b.value, 4) >= 0")
+on_cube("fct22_country_as_sum", lambda c: derive.country_as_sum(derive.regions_of(c, _S), 25), _rows(_S, regions=True) + " SELECT year, round(sum(value), 4) AS value FROM obs1 GROUP BY year HAVING count(*) = 25")
+_LEVEL = lambda c, k: c.month.filter((F.col("series_key") == k) & (F.col("kind") == "level")).select("territory_code", "year", "month", "value")
+on_cube("fct24_ratio_months", lambda c: derive.ratio_months(_LEVEL(c, _S), _LEVEL(c, _Q)), "SELECT a.territory_code, a.year, a.month, round(a.value / b.value, 7) AS value FROM month_fact a JOIN month_fact b USING (territory_code, year, month) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.kind = 'level' AND b.kind = 'level' AND b.value <> 0")
+on_cube("fct28_weighted_year_mean", lambda c: derive.weighted_year_mean(_LEVEL(c, _S), _LEVEL(c, _Q)), "SELECT territory_code, year, round(sum(a.value * b.value) / nullif(sum(b.value), 0), 4) AS value FROM month_fact a JOIN month_fact b USING (territory_code, year, month) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.kind = 'level' AND b.kind = 'level' GROUP BY territory_code, year HAVING count(*) = 12")
+
+# Formulas: the SQL is the formula written out by hand on the dense grid.
+_A, _B, _C, _D = "revenue:00", "orders:00", "revenue:1-URGENT", "revenue:2-HIGH"
+_GRID = """, span AS (SELECT min(year) AS a, max(year) AS b FROM observation WHERE value IS NOT NULL AND series_key IN ({keys})),
+g AS (SELECT t.territory_code, t.district_code, t.level = 'region' AND NOT t.is_aggregate AS is_region, y.year, {columns} FROM territory t CROSS JOIN (SELECT unnest(range(a, b + 1)) AS year FROM span) y LEFT JOIN observation o ON o.territory_code = t.territory_code AND o.year = y.year AND o.series_key IN ({keys}) GROUP BY ALL),
+s AS (SELECT *, {stages} FROM g) SELECT territory_code, year, round(v, 6) AS value FROM (SELECT territory_code, year, {value} AS v FROM s) WHERE v IS NOT NULL AND isfinite(v)"""
+
+
+def _formula_sql(keys: dict[str, str], value: str, stages: str = "1 AS one") -> str:
+    return _GRID.format(keys=", ".join(f"'{k}'" for k in keys.values()), columns=", ".join(f"max(value) FILTER (o.series_key = '{k}') AS {n}" for n, k in keys.items()), stages=stages, value=value)
+
+
+def _formula(name: str, text: str, keys: dict[str, str], value: str, stages: str = "1 AS one") -> None:
+    for letter, key in keys.items():
+        text = text.replace(f"{{{letter}}}", f"{{\0{key}}}")
+    on_cube(name, lambda c, t=text.replace("\0", ""): formula.evaluate(t, c.observation, c.territory), _formula_sql(keys, value, stages))
+
+
+_W = "OVER (PARTITION BY territory_code ORDER BY year)"
+_formula("frm07_binary", "-({a} - {b} * 2) / ({b} - 10) + {b} ^ 2 / 3", {"a": _A, "b": _B}, "-(a - b * 2) / nullif(b - 10, 0) + power(b, 2) / 3")
+_formula("frm08_functions", "ROUND(LN({a}) + LOG10({b}) - SQRT(ABS({b} - 100)) + EXP(MIN({b}; 3)) + MAX({b}; 5; 7); 3)", {"a": _A, "b": _B}, "round(CASE WHEN a > 0 THEN ln(a) END + CASE WHEN b > 0 THEN log10(b) END - sqrt(abs(b - 100)) + exp(CASE WHEN b IS NOT NULL THEN least(b, 3) END) + CASE WHEN b IS NOT NULL THEN greatest(b, 5, 7) END, 3)")
+_formula("frm08_ago_rank", "{a} - AGO({a}; 1) + RANK({a})", {"a": _A}, "a - p + r", f"lag(a) {_W} AS p, CASE WHEN is_region AND a IS NOT NULL THEN rank() OVER (PARTITION BY year, is_region AND a IS NOT NULL ORDER BY a DESC) END AS r")
+_formula("frm09_logic", "IF(AND({a} > 1000; NOT(ISNA({b}))); IFNA({b}; 0); -1)", {"a": "revenue:1-URGENT/BUILDING", "b": "orders:1-URGENT/BUILDING"}, "CASE WHEN (a > 1000 AND b IS NOT NULL) IS NULL THEN NULL WHEN a > 1000 AND b IS NOT NULL THEN coalesce(b, 0) ELSE -1 END")
+_formula("frm10_windows", "AT({a}; 1997) / {a} + MOVING({a}; 3) / 1000000 + CUMSUM({a}) / COUNTRY({a})", {"a": _A}, "f / nullif(a, 0) + m / 1000000 + cs / nullif(w, 0)", f"max(a) FILTER (year = 1997) OVER (PARTITION BY territory_code) AS f, CASE WHEN count(a) OVER q = 3 THEN avg(a) OVER q END AS m, CASE WHEN count(a) {_W} = count(*) {_W} THEN sum(a) {_W} END AS cs, max(a) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS w".replace("OVER q", "OVER (PARTITION BY territory_code ORDER BY year ROWS 2 PRECEDING)"))
+_formula("frm10_regions", "({a} - MEAN({a})) / STDEV({a}) + {a} / TOTAL({a}) - DISTRICT({a}) / TOTAL({a})", {"a": _A}, "(a - mean) / nullif(sd, 0) + a / nullif(t, 0) - dm / nullif(t, 0)", "avg(a) FILTER (is_region) OVER (PARTITION BY year) AS mean, stddev_samp(a) FILTER (is_region) OVER (PARTITION BY year) AS sd, sum(a) FILTER (is_region) OVER (PARTITION BY year) AS t, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS dm")
+_OPERATION_SQL = {
+    "frm14_per_group": ("per_group", "ab", "a / nullif(b, 0) * 1000"),
+    "frm15_price_level": ("price_level", "ab", "a / nullif(b / nullif(bw, 0), 0)"),
+    "frm17_structure": ("structure", "ab", "a / nullif(b, 0) * 100"),
+    "frm18_concentration": ("concentration", "abc", "(power(a / nullif(c, 0), 2) + power(b / nullif(c, 0), 2)) * 10000"),
+    "frm19_base_year": ("base_year", "a", "a / nullif(y96, 0) * 100"),
+    "frm20_change_between": ("change_between", "a", "y00 - y96"),
+    "frm21_annual_rate": ("annual_rate", "a", "(power(y00 / nullif(y96, 0), 1 / 4) - 1) * 100"),
+    "frm22_sum": ("sum", "ab", "a + b"),
+    "frm23_country_deviation": ("country_deviation", "a", "a - aw"),
+    "frm24_district_deviation": ("district_deviation", "a", "a - ad"),
+    "frm25_location_quotient": ("location_quotient", "ab", "(a / nullif(b, 0)) / nullif(aw / nullif(bw, 0), 0)"),
+    "frm26_structural_shift": ("structural_shift", "abc", "sqrt((power(a / nullif(c, 0) - a0 / nullif(c0, 0), 2) + power(b / nullif(c, 0) - b0 / nullif(c0, 0), 2)) / 2) * 100"),
+    "frm27_shift_share_national": ("shift_share_national", "ab", "a0 * (bw / nullif(bw0, 0) - 1)"),
+    "frm27_shift_share_mix": ("shift_share_mix", "ab", "a0 * (aw / nullif(aw0, 0) - bw / nullif(bw0, 0))"),
+    "frm27_shift_share_regional": ("shift_share_regional", "ab", "a0 * (a / nullif(a0, 0) - aw / nullif(aw0, 0))"),
+}
+for _name, (_op, _letters, _value) in _OPERATION_SQL.items():
+    _keys = dict(zip(_letters, (_C, _D, _A), strict=False))
+    _need = [f"lag({x}) {_W} AS {x}0, max({x}) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS {x}w" for x in _letters] + [f"max(a) FILTER (year = 1996) OVER (PARTITION BY territory_code) AS y96, max(a) FILTER (year = 2000) OVER (PARTITION BY territory_code) AS y00, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS ad"]
+    _sql = _formula_sql(_keys, _value, ", ".join(_need))
+    if "w0" in _value:
+        _sql = _sql.replace(" FROM g) SELECT", f" FROM g), s2 AS (SELECT *, {', '.join(f'lag({x}w) {_W} AS {x}w0' for x in _letters)} FROM s) SELECT").replace("FROM s) WHERE", "FROM s2) WHERE")
+    on_cube(_name, lambda c, o=_op, k=_keys: formula.operation(o, k, c.observation, c.territory), _sql)
