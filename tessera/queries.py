@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, derive, formula, series
+from tessera.operators import analysis, answers, derive, formula, quality, series, statistics
 from tessera.plans.cube import load_cube
 from tessera.plans.marts import mart
 from tessera.plans.prelude import sql
@@ -188,3 +188,113 @@ for _name, (_op, _letters, _value) in _OPERATION_SQL.items():
     if "w0" in _value:
         _sql = _sql.replace(" FROM g) SELECT", f" FROM g), s2 AS (SELECT *, {', '.join(f'lag({x}w) {_W} AS {x}w0' for x in _letters)} FROM s) SELECT").replace("FROM s) WHERE", "FROM s2) WHERE")
     on_cube(_name, lambda c, o=_op, k=_keys: formula.operation(o, k, c.observation, c.territory), _sql)
+
+# Statistics
+
+
+def _st(c, key: str = _S, weights: bool = False):
+    rows = c.regions.filter((F.col("series_key") == key) & F.col("value").isNotNull()).select("year", F.col("territory_code").alias("code"), F.col("district_code").alias("group"), "value")
+    return rows.join(c.population.select(F.col("territory_code").alias("code"), F.col("population").alias("weight")), "code") if weights else rows
+
+
+def _long(c, year: int = 1999, keys=_MANY):
+    return c.regions.filter(F.col("series_key").isin(*keys) & (F.col("year") == year) & F.col("value").isNotNull()).select(F.col("series_key").alias("column"), F.col("territory_code").alias("code"), "value")
+
+
+def _edges(c):
+    """Regions whose keys follow each other (round), and regions of one district."""
+    own = c.territory.filter("level = 'region' and not is_aggregate").select(F.col("territory_code").alias("code"), F.col("district_code").alias("d"), F.expr("cast(substr(territory_code, 2) as int)").alias("k"))
+    other = own.select(F.col("code").alias("neighbour"), F.col("d").alias("d2"), F.col("k").alias("k2"))
+    return own.join(other, (F.col("d") == F.col("d2")) & (F.col("k") != F.col("k2"))).select("code", "neighbour").union(own.join(other, F.col("k2") == (F.col("k") + 1) % 25).select("code", "neighbour")).union(own.join(other, F.col("k2") == (F.col("k") + 24) % 25).select("code", "neighbour")).distinct()
+
+
+_X = ", x AS (SELECT year, territory_code AS code, district_code AS grp, value, population AS weight FROM reg JOIN population USING (territory_code) WHERE series_key = 'revenue:00' AND value IS NOT NULL)"
+_L = f", lg AS (SELECT series_key AS col, territory_code AS code, value FROM reg WHERE series_key IN {_IN} AND year = 1999 AND value IS NOT NULL)"
+_E = ", rg AS (SELECT territory_code AS code, district_code AS d, substr(territory_code, 2)::INT AS k FROM territory WHERE level = 'region' AND NOT is_aggregate), edge AS (SELECT a.code, b.code AS neighbour FROM rg a JOIN rg b ON a.k <> b.k AND (a.d = b.d OR b.k = (a.k + 1) % 25 OR b.k = (a.k + 24) % 25))"
+_NORM = _L + ", sc AS (SELECT col, code, round(coalesce((value - min(value) OVER c) / nullif(max(value) OVER c - min(value) OVER c, 0) * 100, 50), 6) AS score FROM lg WINDOW c AS (PARTITION BY col))"
+_EQUAL = ", wt AS (SELECT col, 0.25 AS weight FROM (SELECT DISTINCT col FROM sc)), ow AS (SELECT code, col, score, weight, weight / sum(weight) OVER (PARTITION BY code) AS w, count(*) OVER (PARTITION BY code) AS present FROM sc JOIN wt USING (col))"
+
+on_cube("sta12_inequality", lambda c: statistics.inequality(_st(c, weights=True)), _X + """, a AS (SELECT *, weight / sum(weight) OVER (PARTITION BY year) AS s FROM x), b AS (SELECT *, s * value AS sx, sum(s * value) OVER (PARTITION BY year) AS mu, sum(s * value) OVER (PARTITION BY year ORDER BY value, code ROWS UNBOUNDED PRECEDING) AS c FROM a)
+  SELECT year, count(*) AS n, round(CASE WHEN min(value) >= 0 THEN 1 - sum(s * (2 * c - sx)) / max(mu) END, 6) AS gini, round(CASE WHEN min(value) > 0 THEN sum(s * value / mu * ln(value / mu)) END, 6) AS theil, round(CASE WHEN min(value) > 0 THEN 1 - power(sum(s * power(value / mu, 0.5)), 2) END, 6) AS atkinson,
+  round(sqrt(sum(s * power(value - mu, 2))) / max(mu), 6) AS cv, round(quantile_cont(value, 0.9) / quantile_cont(value, 0.1), 6) AS decile_ratio, round(max(value) / min(value), 6) AS range_ratio FROM b GROUP BY year""")
+on_cube("sta09_lorenz", lambda c: statistics.lorenz(_st(c, weights=True)), _X + " SELECT year, code, round(sum(weight) OVER w / sum(weight) OVER (PARTITION BY year), 6) AS people, round(sum(weight * value) OVER w / sum(weight * value) OVER (PARTITION BY year), 6) AS share FROM x WINDOW w AS (PARTITION BY year ORDER BY value, code ROWS UNBOUNDED PRECEDING)")
+on_cube("sta10_theil_split", lambda c: statistics.theil_split(_st(c, weights=True)), _X + ", a AS (SELECT *, sum(weight * value) OVER g / sum(weight) OVER g AS gm, sum(weight * value) OVER y / sum(weight) OVER y AS mu, weight * value / sum(weight * value) OVER y AS share FROM x WINDOW g AS (PARTITION BY year, grp), y AS (PARTITION BY year)) SELECT year, round(sum(share * ln(gm / mu)), 6) AS between, round(sum(share * ln(value / gm)), 6) AS within FROM a GROUP BY year".replace("AS between", 'AS "between"'))
+on_cube("sta15_sigma_series", lambda c: statistics.sigma_series(_st(c)), _X + " SELECT year, round(stddev_samp(ln(value)), 8) AS sigma, count(*) AS n FROM x WHERE value > 0 GROUP BY year HAVING count(*) >= 20")
+on_cube("sta16_sigma_trend", lambda c: statistics.sigma_trend(_st(c)), _X + ", s AS (SELECT year, round(stddev_samp(ln(value)), 8) AS sigma FROM x WHERE value > 0 GROUP BY year HAVING count(*) >= 20) SELECT round(regr_slope(sigma, year), 6) AS slope, round(regr_r2(sigma, year), 5) AS r2, count(*) AS years FROM s")
+on_cube("sta17_beta_convergence", lambda c: statistics.beta_convergence(_st(c), 1995, 2000), _X + ", f AS (SELECT regr_slope((ln(b.value) - ln(a.value)) / 5, ln(a.value)) AS b, regr_r2((ln(b.value) - ln(a.value)) / 5, ln(a.value)) AS r2, count(*) AS n FROM x a JOIN x b USING (code) WHERE a.year = 1995 AND b.year = 2000 AND a.value > 0 AND b.value > 0), g AS (SELECT *, CASE WHEN b < 0 AND 1 + b * 5 > 0 THEN -ln(1 + b * 5) / 5 END AS sp FROM f) SELECT round(b, 6) AS beta, round(r2, 6) AS r2, n, round(sp, 5) AS speed, round(CASE WHEN sp > 0 THEN ln(2) / sp END, 3) AS half_life FROM g")
+on_cube("sta23_correlations", lambda c: statistics.correlations(_long(c)), _L + ", p AS (SELECT a.col AS a, b.col AS b, a.value AS x, b.value AS y FROM lg a JOIN lg b USING (code) WHERE a.col < b.col), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM p) SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY a, b HAVING count(*) >= 8")
+on_cube("sta22_kendall", lambda c: statistics.kendall(_long(c)), _L + ", p AS (SELECT a.col AS a, b.col AS b, code, a.value AS x, b.value AS y FROM lg a JOIN lg b USING (code) WHERE a.col < b.col) SELECT p.a, p.b, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) AS tau FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.code < q.code GROUP BY p.a, p.b")
+on_cube("sta24_benjamini_hochberg", lambda c: statistics.benjamini_hochberg(statistics.correlations(_long(c)).select(F.concat("a", F.lit("|"), "b").alias("key"), F.round(1 - F.abs("pearson"), 6).alias("p"))).withColumn("p_adjusted", F.round("p_adjusted", 6)), _L + ", q AS (SELECT a.col || '|' || b.col AS key, round(1 - abs(round(corr(a.value, b.value), 6)), 6) AS p FROM lg a JOIN lg b USING (code) WHERE a.col < b.col GROUP BY a.col, b.col HAVING count(*) >= 8), r AS (SELECT *, row_number() OVER (ORDER BY p, key) AS i, count(*) OVER () AS m FROM q) SELECT key, p, round(least(min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS p_adjusted FROM r")
+on_cube("sta27_lag_profile", lambda c: statistics.lag_profile(_st(c), _st(c, _Q), 3), _X + ", y AS (SELECT year, territory_code AS code, value FROM reg WHERE series_key = 'orders:00' AND value IS NOT NULL) SELECT k, count(*) AS n, round(corr(x.value, y.value), 6) AS r FROM x, range(4) t(k), y WHERE y.code = x.code AND y.year = x.year + k GROUP BY k")
+on_cube("sta26_partial", lambda c: statistics.partial_of_three(_long(c), "revenue:00", "orders:00", "quantity:00"), _L + ", w AS (SELECT max(value) FILTER (col = 'revenue:00') AS a, max(value) FILTER (col = 'orders:00') AS b, max(value) FILTER (col = 'quantity:00') AS c FROM lg GROUP BY code), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) SELECT round((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)), 6) AS partial FROM r")
+on_cube("sta31_moran", lambda c: statistics.moran(_st(c), _edges(c)), _X + _E + ", z AS (SELECT year, code, value - avg(value) OVER (PARTITION BY year) AS z, count(*) OVER (PARTITION BY year) AS n FROM x), lag AS (SELECT a.year, a.code, a.z, avg(b.z) AS lag FROM z a JOIN edge USING (code) JOIN z b ON b.code = edge.neighbour AND b.year = a.year GROUP BY ALL), t AS (SELECT year, sum(z * lag) AS top, count(*) AS s0 FROM lag GROUP BY year), l AS (SELECT year, sum(z * z) AS low, max(n) AS n FROM z GROUP BY year) SELECT year, n, round(n / s0 * top / low, 6) AS moran, round(-1 / (n - 1), 6) AS expected FROM t JOIN l USING (year)")
+on_cube("sta32_local_moran", lambda c: statistics.local_moran(_st(c), _edges(c)), _X + _E + ", z AS (SELECT year, code, (value - avg(value) OVER (PARTITION BY year)) / nullif(stddev_pop(value) OVER (PARTITION BY year), 0) AS z FROM x), lag AS (SELECT a.year, a.code, a.z, avg(b.z) AS lag FROM z a JOIN edge USING (code) JOIN z b ON b.code = edge.neighbour AND b.year = a.year GROUP BY ALL) SELECT year, code, round(z * lag, 6) AS local, (CASE WHEN z >= 0 THEN 'H' ELSE 'L' END) || (CASE WHEN lag >= 0 THEN 'H' ELSE 'L' END) AS quadrant FROM lag".replace("AS local,", 'AS "local",'))
+on_cube("sta31_moran_permutations", lambda c: statistics.moran_permutations(_st(c), _edges(c)), None)
+_SCORES = {
+    "minmax": "(value - min(value) OVER c) / nullif(max(value) OVER c - min(value) OVER c, 0) * 100",
+    "zscore": "50 + least(greatest((value - avg(value) OVER c) / nullif(stddev_samp(value) OVER c, 0), -3), 3) / 3 * 50",
+    "robust": "50 + least(greatest((value - quantile_cont(value, 0.5) OVER c) / nullif((quantile_cont(value, 0.75) OVER c - quantile_cont(value, 0.25) OVER c) / 1.349, 0), -3), 3) / 3 * 50",
+    "rank": "CASE WHEN max(value) OVER c > min(value) OVER c THEN (rank() OVER (PARTITION BY col ORDER BY value) + (count(*) OVER (PARTITION BY col, value) - 1) / 2 - 1) / (count(*) OVER c - 1) * 100 END",
+    "log": "CASE WHEN min(value) OVER c > 0 THEN (ln(value) - ln(min(value) OVER c)) / nullif(ln(max(value) OVER c) - ln(min(value) OVER c), 0) * 100 END",
+}
+for _method, _score in _SCORES.items():
+    on_cube(f"sta36_normalise_{_method}", lambda c, m=_method: statistics.normalise(_long(c), m, ("avg_price:00",)), _L + f' SELECT col AS "column", code, round(CASE WHEN col = \'avg_price:00\' THEN 100 - s ELSE s END, 6) AS score FROM (SELECT col, code, coalesce({_score}, 50) AS s FROM lg WINDOW c AS (PARTITION BY col))')
+on_cube("sta41_entropy_weights", lambda c: statistics.entropy_weights(statistics.normalise(_long(c), "minmax")), _NORM + ', v AS (SELECT *, score - min(score) OVER (PARTITION BY col) + 1e-12 AS v FROM sc), p AS (SELECT *, v / sum(v) OVER (PARTITION BY col) AS p FROM v), d AS (SELECT col, 1 + sum(p * ln(p + 1e-12)) / ln(count(*)) AS d FROM p GROUP BY col) SELECT col AS "column", round(d / sum(d) OVER (), 6) AS weight FROM d')
+on_cube("sta42_critic_weights", lambda c: statistics.critic_weights(statistics.normalise(_long(c), "minmax")), _NORM + ', r AS (SELECT a.col, sum(CASE WHEN a.col <> b.col THEN 0 ELSE 0 END) AS z FROM sc a JOIN sc b USING (code) GROUP BY a.col), rr AS (SELECT a.col AS a, b.col AS b, corr(a.score, b.score) AS r FROM sc a JOIN sc b USING (code) WHERE a.col <> b.col GROUP BY 1, 2), k AS (SELECT a AS col, sum(1 - coalesce(r, 0)) AS conflict FROM rr GROUP BY a), s AS (SELECT col, stddev_samp(score) AS sd FROM sc GROUP BY col) SELECT col AS "column", round(sd * conflict / sum(sd * conflict) OVER (), 6) AS weight FROM s JOIN k USING (col)')
+on_cube("sta43_pca_weights", lambda c: statistics.pca_weights(statistics.normalise(_long(c), "minmax"), _MANY), None)
+_INDEX = {
+    "additive": "SELECT code, round(sum(w * score), 5) AS index FROM ow GROUP BY code",
+    "geometric": "SELECT code, round(exp(sum(w * ln(greatest(score, 1)))), 5) AS index FROM ow GROUP BY code",
+    "topsis": "SELECT code, round(coalesce(sqrt(sum(power(v - dn, 2))) / nullif(sqrt(sum(power(v - dn, 2))) + sqrt(sum(power(v - up, 2))), 0) * 100, 50), 5) AS index FROM (SELECT code, weight * score AS v, max(weight * score) OVER (PARTITION BY col) AS up, min(weight * score) OVER (PARTITION BY col) AS dn FROM ow) GROUP BY code",
+    "distance": "SELECT code, round(coalesce((1 - d / nullif(max(d) OVER (), 0)) * 100, 100), 5) AS index FROM (SELECT code, sqrt(sum(weight * power(score - best, 2))) AS d FROM (SELECT *, max(score) OVER (PARTITION BY col) AS best FROM ow) GROUP BY code)",
+}
+
+
+def _index(c, method: str):
+    scores = statistics.normalise(_long(c), "minmax")
+    return statistics.composite(scores, scores.select("column").distinct().withColumn("weight", F.lit(0.25)), 4, method)
+
+
+for _method, _select in _INDEX.items():
+    on_cube(f"sta44_index_{_method}", lambda c, m=_method: _index(c, m), _NORM + _EQUAL + " " + _select)
+on_cube("sta48_rank_shift", lambda c: statistics.rank_shift(_index(c, "additive"), _index(c, "geometric")), _NORM + _EQUAL + f", a AS ({_INDEX['additive']}), b AS ({_INDEX['geometric']}), p AS (SELECT code, rank() OVER (ORDER BY index DESC) AS x FROM a), q AS (SELECT code, rank() OVER (ORDER BY index DESC) AS y FROM b) SELECT round(avg(abs(x - y)), 6) AS mean_shift, max(abs(x - y)) AS max_shift FROM p JOIN q USING (code)")
+on_cube("sta51_similar", lambda c: statistics.similar(_long(c), "N3"), _L + ", z AS (SELECT col, code, (value - avg(value) OVER (PARTITION BY col)) / nullif(stddev_pop(value) OVER (PARTITION BY col), 0) AS z FROM lg), g AS (SELECT a.code, a.col, abs(a.z - b.z) AS gap FROM z a JOIN z b USING (col) WHERE b.code = 'N3' AND a.code <> 'N3') SELECT code, round(sqrt(sum(gap * gap)), 6) AS distance, arg_max(col, gap) AS largest_gap FROM g GROUP BY code ORDER BY distance, code LIMIT 6")
+on_cube("sta56_equal_breaks", lambda c: statistics.breaks(_st(c), "equal"), _X + " SELECT year, i, round(min(value) + (max(value) - min(value)) * i / 5, 5) AS edge FROM x, range(6) t(i) GROUP BY year, i")
+on_cube("sta57_quantile_breaks", lambda c: statistics.breaks(_st(c), "quantile"), _X + ", s AS (SELECT year, list(value ORDER BY value) AS v, count(*) AS n FROM x GROUP BY year), a AS (SELECT year, i, v, least(i * n / 5, n - 1.0)::DOUBLE AS pos FROM s, range(6) t(i)) SELECT year, i, round(v[floor(pos)::INT + 1] + (v[ceil(pos)::INT + 1] - v[floor(pos)::INT + 1]) * (pos - floor(pos)), 5) AS edge FROM a")
+on_cube("sta58_stddev_breaks", lambda c: statistics.breaks(_st(c), "stddev"), _X + " SELECT year, i, round(CASE i WHEN 0 THEN min(value) WHEN 5 THEN max(value) ELSE least(greatest(avg(value) + (i - 2.5) * 0.5 * stddev_pop(value), min(value)), max(value)) END, 5) AS edge FROM x, range(6) t(i) GROUP BY year, i")
+on_cube("sta59_jenks", lambda c: statistics.jenks(_st(c)), None)
+on_cube("sta60_histogram", lambda c: statistics.histogram(_st(c, _Q)), ", x AS (SELECT year, value FROM reg WHERE series_key = 'orders:00' AND value IS NOT NULL) SELECT year, bin, count(*) AS n FROM (SELECT year, least(floor(coalesce((value - min(value) OVER y) * 28 / nullif(max(value) OVER y - min(value) OVER y, 0), 0)), 27)::BIGINT AS bin FROM x WINDOW y AS (PARTITION BY year)) GROUP BY year, bin")
+on_cube("mrt16_outliers", lambda c: statistics.outliers(_st(c)), _X + ", q AS (SELECT year, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM x GROUP BY year HAVING count(*) >= 10) SELECT year, code, value FROM x JOIN q USING (year) WHERE q3 > q1 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))")
+on_cube("sta13_composition", lambda c: statistics.constant_composition(_st(c, _P)), ", x AS (SELECT year, territory_code AS code FROM reg WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL), f AS (SELECT year FROM (SELECT year, count(*) AS n, max(count(*)) OVER () AS peak FROM x GROUP BY year) WHERE n >= 0.8 * peak) SELECT code, count(DISTINCT year) AS years FROM x JOIN f USING (year) GROUP BY code HAVING count(DISTINCT year) = (SELECT count(*) FROM f)")
+on_cube("sta20_ols", lambda c: statistics.ols(_long(c).groupBy("code").pivot("column", list(_MANY)).agg(F.max("value")).select("code", F.col("`revenue:00`").alias("y"), F.col("`orders:00`").alias("x1"), F.col("`avg_price:00`").alias("x2")), "y", ("x1", "x2")), None)
+add("mrt15_masks", lambda spark, sf_dir: statistics.masks(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(F.col("o_orderkey") % 1000 == 7, F.lit(99999999.0)).otherwise(F.col("o_totalprice")).alias("value"))), "SELECT 99999999.0::DOUBLE AS value, count(*) AS n FROM orders WHERE o_orderkey % 1000 = 7 HAVING count(*) > 0")
+
+# Answers and quality
+_PARTS = [f"revenue:{p}" for p in _PRIORITIES]
+_PIN = ", ".join(f"'{p}'" for p in _PARTS)
+_R99 = "FROM mart_rank WHERE series_key = 'revenue:00' AND year = 1999"
+on_cube("ans01_both_ends", lambda c: answers.both_ends(c, _S, 1999), f"SELECT territory_code, value, rank_desc, CASE WHEN rank_desc <= 3 THEN 'top' ELSE 'bottom' END AS \"end\" {_R99} AND (rank_desc <= 3 OR rank_asc <= 3)", "rank")
+on_cube("ans02_change", lambda c: answers.change(c, _S, "R1"), "SELECT a.year, a.value, b.value AS before, round(a.value - b.value, 4) AS difference, round(CASE WHEN b.value > 0 THEN (a.value / b.value - 1) * 100 END, 4) AS percent FROM (SELECT * FROM observation WHERE series_key = 'revenue:00' AND territory_code = 'R1' AND value IS NOT NULL ORDER BY year DESC LIMIT 1) a LEFT JOIN observation b ON b.series_key = a.series_key AND b.territory_code = a.territory_code AND b.year = a.year - 5 AND b.value IS NOT NULL")
+on_cube("ans04_own_place", lambda c: answers.own_place(c, _S, "N8", 1999), f"SELECT * FROM (SELECT territory_code, value, rank_desc, rank() OVER (PARTITION BY district_code ORDER BY value DESC) AS district_place, lag(territory_code) OVER (ORDER BY rank_desc, territory_code) AS above, lead(territory_code) OVER (ORDER BY rank_desc, territory_code) AS below, share_of_total, ratio_to_country FROM mart_rank JOIN territory USING (territory_code) WHERE series_key = 'revenue:00' AND year = 1999) WHERE territory_code = 'N8'", "rank")
+on_cube("ans06_growth_ranking", lambda c: answers.growth_ranking(c, _S, 1996, 2000), "SELECT territory_code, growth, rank() OVER (ORDER BY growth DESC) AS place FROM (SELECT a.territory_code, round((b.value / a.value - 1) * 100, 4) AS growth FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'revenue:00' AND a.year = 1996 AND b.year = 2000 AND a.value > 0 AND b.value IS NOT NULL)")
+on_cube("ans07_structure", lambda c: answers.structure(c, _PARTS, 1999, "W"), f"SELECT part, round(sum(value), 4) AS value, round(sum(value) / sum(sum(value)) OVER () * 100, 4) AS share FROM (SELECT CASE WHEN row_number() OVER (ORDER BY value DESC, series_key) <= 3 THEN series_key ELSE 'other' END AS part, value FROM observation WHERE series_key IN ({_PIN}) AND year = 1999 AND territory_code = 'W' AND value IS NOT NULL) GROUP BY part")
+on_cube("ans08_contributions", lambda c: answers.contributions(c, _S, 1996, 2000), ", d AS (SELECT a.territory_code, a.value AS a, b.value - a.value AS d FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'revenue:00' AND a.year = 1996 AND b.year = 2000 AND a.value IS NOT NULL AND b.value IS NOT NULL), p AS (SELECT *, row_number() OVER (ORDER BY abs(d) DESC, territory_code) AS place, sum(a) OVER () AS start FROM d), s AS (SELECT least(place, 9) AS step, CASE WHEN max(place) > 8 THEN 'rest' ELSE max(territory_code) END AS part, sum(d) AS d, max(start) AS start FROM p GROUP BY 1) SELECT step, part, round(d, 4) AS change, round(start + sum(d) OVER (ORDER BY step), 4) AS level FROM s")
+on_cube("ans11_districts", lambda c: answers.districts(c, _S, 1999, True), "SELECT d.district_code, round(coalesce(d.value, (SELECT sum(value) FROM reg r WHERE r.series_key = 'revenue:00' AND r.year = 1999 AND r.district_code = d.district_code)), 4) AS value FROM observation d WHERE d.series_key = 'revenue:00' AND d.year = 1999 AND d.territory_level = 'federal_district'")
+on_cube("ans12_notable", lambda c: answers.notable(c, _S, 2000), "SELECT arg_max(a.territory_code, a.value) AS largest, arg_min(a.territory_code, a.value) AS smallest, round(max(a.value) / nullif(min(a.value), 0), 4) AS ratio, count(*) FILTER (a.value > b.value) AS grew, count(*) FILTER (a.value IS NULL) AS missing FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'revenue:00' AND a.year = 2000 AND b.year = 1999")
+on_cube("ans18_rebased", lambda c: answers.rebased(c, (_S, _Q), "R2"), ", r AS (SELECT series_key, year, value FROM observation WHERE series_key IN ('revenue:00', 'orders:00') AND territory_code = 'R2' AND value IS NOT NULL), b AS (SELECT min(year) AS y FROM (SELECT year FROM r WHERE value <> 0 GROUP BY year HAVING count(*) = 2)) SELECT r.series_key, r.year, round(r.value / x.value * 100, 2) AS value FROM r JOIN r x ON x.series_key = r.series_key JOIN b ON x.year = b.y")
+on_cube("ans24_district_places", lambda c: mart(c, "rank").filter((F.col("series_key") == _S) & (F.col("year") == 1999)).join(c.territory.select("territory_code", "district_code"), "territory_code").select("territory_code", "district_code", F.rank().over(Window.partitionBy("district_code").orderBy("rank_desc")).cast("long").alias("place")), "SELECT territory_code, district_code, rank() OVER (PARTITION BY district_code ORDER BY rank_desc) AS place FROM mart_rank JOIN territory USING (territory_code) WHERE series_key = 'revenue:00' AND year = 1999", "rank")
+on_cube("ans27_against_year", lambda c: answers.against_year(c, _S, 2000, 1998), "SELECT a.territory_code, a.value, round(a.value - b.value, 4) AS difference FROM reg a LEFT JOIN reg b ON b.series_key = a.series_key AND b.territory_code = a.territory_code AND b.year = 1998 AND b.value IS NOT NULL WHERE a.series_key = 'revenue:00' AND a.year = 2000 AND a.value IS NOT NULL")
+on_cube("ans36_frames", lambda c: answers.frames(c, _S), "SELECT year, string_agg(territory_code, ',' ORDER BY rank_desc, territory_code) AS standing, count(*) AS regions FROM mart_rank WHERE series_key = 'revenue:00' GROUP BY year", "rank")
+on_cube("ans41_finding", lambda c: answers.finding(c, "avg_price:00", 1999), "SELECT round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, count(*) FILTER (value < (SELECT value FROM observation WHERE series_key = 'avg_price:00' AND year = 1999 AND territory_level = 'country')) AS below FROM reg WHERE series_key = 'avg_price:00' AND year = 1999 AND value IS NOT NULL")
+on_cube("ans17_relation", lambda c: answers.common_year_relation(c, _S, _Q), ", p AS (SELECT a.year, a.value AS x, b.value AS y FROM reg a JOIN reg b USING (territory_code, year) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.value IS NOT NULL AND b.value IS NOT NULL), b AS (SELECT year FROM p GROUP BY year HAVING count(*) >= 8 ORDER BY count(*) DESC, year DESC LIMIT 1), r AS (SELECT year, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p JOIN b USING (year)) SELECT year, count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY year")
+on_cube("mrt07_aggregate_consistency", quality.aggregate_consistency, ", r AS (SELECT series_key, year, sum(value) / max(country_value) AS ratio FROM reg JOIN country USING (series_key, year) WHERE value IS NOT NULL AND country_value > 0 GROUP BY series_key, year) SELECT series_key, round(median(ratio), 6) AS median_ratio, count(*) FILTER (abs(ratio - 1) > 0.05) AS years_off, round(median(ratio), 6) BETWEEN 0.9 AND 1.1 AS additive FROM r GROUP BY series_key")
+on_cube("mrt08_scale_anomalies", quality.scale_anomalies, "SELECT * FROM (SELECT series_key, territory_code, year, round(greatest(last_value / first_value, first_value / last_value), 4) AS factor FROM mart_revision WHERE first_value > 0 AND last_value > 0) WHERE factor > 9", "revision")
+on_cube("mrt09_series_gaps", quality.series_gaps, "SELECT series_key, territory_code, max(year) - min(year) + 1 - count(*) AS missing FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING max(year) - min(year) + 1 > count(*)")
+on_cube("mrt10_discontinued", lambda c: quality.discontinued(c, c.territory.sparkSession.createDataFrame([(_S, 1999), (_P, 2000)], "series_key string, stop_year long")), "SELECT series_key, count(*) AS n FROM reg JOIN (VALUES ('revenue:00', 1999), ('revenue:1-URGENT', 2000)) s(series_key, stop_year) USING (series_key) WHERE value IS NOT NULL AND year > stop_year GROUP BY series_key")
+on_cube("mrt11_zeros", lambda c: quality.zeros(c.regions.filter((F.col("series_key") == _P) & F.col("value").isNotNull()).select(F.col("territory_code").alias("code"), "year", F.when(F.col("year") == 1998, 0.0).otherwise(F.col("value")).alias("value"))), ", z AS (SELECT territory_code AS code, year, CASE WHEN year = 1998 THEN 0 ELSE value END AS value FROM reg WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL), n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a, median(value) OVER (PARTITION BY code) AS m FROM z WINDOW w AS (PARTITION BY code ORDER BY year)) SELECT code, year FROM n WHERE value = 0 AND b >= m AND a >= m")
+on_cube("mrt13_scale_jumps", lambda c: quality.scale_jumps(c), ", m AS (SELECT series_key, year, median(abs(value)) AS m FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 10), j AS (SELECT series_key, year, greatest(m / b, b / m) AS jump FROM (SELECT *, lag(m) OVER (PARTITION BY series_key ORDER BY year) AS b FROM m) WHERE b > 0 AND m > 0) SELECT series_key, year, round(jump, 2) AS jump FROM j WHERE jump BETWEEN 500 AND 2000 OR jump BETWEEN 5e5 AND 2e6")
+on_cube("mrt14_parts_over_total", lambda c: quality.parts_over_total(c, _P, _PARTS[:2]), "SELECT w.territory_code, w.year, w.value, round(p.s, 4) AS parts FROM observation w JOIN (SELECT territory_code, year, sum(value) AS s FROM observation WHERE series_key IN ('revenue:1-URGENT', 'revenue:2-HIGH') AND value IS NOT NULL GROUP BY ALL) p USING (territory_code, year) WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL AND p.s > value * 1.01")
+on_cube("mrt17_presence", lambda c: quality.presence(c, "revenue:1-URGENT/BUILDING"), "SELECT territory_code, year, CASE WHEN value IS NOT NULL THEN 'present' WHEN quality = 2 THEN 'hidden' ELSE 'absent' END AS state FROM reg WHERE series_key = 'revenue:1-URGENT/BUILDING'")
+on_cube("mrt20_data_kind", quality.data_kind, "SELECT series_key, year, CASE WHEN abs(t / nullif(c, 0) - 1) <= 0.01 THEN 'sum' WHEN c BETWEEN lo AND hi AND t / nullif(c, 0) BETWEEN n / 4 AND n * 4 THEN 'relative' ELSE 'unknown' END AS kind FROM (SELECT series_key, year, sum(value) AS t, min(value) AS lo, max(value) AS hi, count(*) AS n, max(country_value) AS c FROM reg JOIN country USING (series_key, year) WHERE value IS NOT NULL AND country_value IS NOT NULL GROUP BY series_key, year)")
+on_cube("fct03_country_scale", lambda c: quality.country_scale(c.regions.filter(F.col("series_key") == _S).groupBy("year").agg(F.sum("value").alias("total"), F.count("value").alias("n")).join(c.observation.filter((F.col("series_key") == _S) & (F.col("territory_level") == "country")).select("year", (F.col("value") / 1000).alias("country")), "year"), 25), ", r AS (SELECT year, sum(value) AS total, count(value) AS n, max(country_value) / 1000 AS country FROM reg JOIN country USING (series_key, year) WHERE series_key = 'revenue:00' GROUP BY year), f AS (SELECT *, abs(country * factor / nullif(total, 0) - 1) <= 0.05 AS fits FROM r, (VALUES (1.0::DOUBLE), (1e3), (1e6), (1e-3)) v(factor) WHERE n >= 20) SELECT year, factor FROM f WHERE fits AND year NOT IN (SELECT year FROM f WHERE fits AND factor = 1)")
+on_cube("fct02_year_copies", lambda c: quality.year_copies(c.regions.filter(F.col("series_key") == _Q), 10, 0.05), "SELECT a.series_key, a.year AS year_a, b.year AS year_b, count(*) AS common, count(*) FILTER (a.value = b.value) AS equal FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'orders:00' AND b.year - a.year >= 5 AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND count(*) FILTER (a.value = b.value) >= 0.05 * count(*)")
