@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, answers, derive, formula, quality, series, statistics
+from tessera.functions import text
+from tessera.operators import analysis, answers, derive, formula, quality, search, series, statistics
 from tessera.plans.cube import load_cube
 from tessera.plans.marts import mart
 from tessera.plans.prelude import sql
+from tessera.sources import tables
+from tessera.streaming import events
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -298,3 +301,55 @@ on_cube("mrt17_presence", lambda c: quality.presence(c, "revenue:1-URGENT/BUILDI
 on_cube("mrt20_data_kind", quality.data_kind, "SELECT series_key, year, CASE WHEN abs(t / nullif(c, 0) - 1) <= 0.01 THEN 'sum' WHEN c BETWEEN lo AND hi AND t / nullif(c, 0) BETWEEN n / 4 AND n * 4 THEN 'relative' ELSE 'unknown' END AS kind FROM (SELECT series_key, year, sum(value) AS t, min(value) AS lo, max(value) AS hi, count(*) AS n, max(country_value) AS c FROM reg JOIN country USING (series_key, year) WHERE value IS NOT NULL AND country_value IS NOT NULL GROUP BY series_key, year)")
 on_cube("fct03_country_scale", lambda c: quality.country_scale(c.regions.filter(F.col("series_key") == _S).groupBy("year").agg(F.sum("value").alias("total"), F.count("value").alias("n")).join(c.observation.filter((F.col("series_key") == _S) & (F.col("territory_level") == "country")).select("year", (F.col("value") / 1000).alias("country")), "year"), 25), ", r AS (SELECT year, sum(value) AS total, count(value) AS n, max(country_value) / 1000 AS country FROM reg JOIN country USING (series_key, year) WHERE series_key = 'revenue:00' GROUP BY year), f AS (SELECT *, abs(country * factor / nullif(total, 0) - 1) <= 0.05 AS fits FROM r, (VALUES (1.0::DOUBLE), (1e3), (1e6), (1e-3)) v(factor) WHERE n >= 20) SELECT year, factor FROM f WHERE fits AND year NOT IN (SELECT year FROM f WHERE fits AND factor = 1)")
 on_cube("fct02_year_copies", lambda c: quality.year_copies(c.regions.filter(F.col("series_key") == _Q), 10, 0.05), "SELECT a.series_key, a.year AS year_a, b.year AS year_b, count(*) AS common, count(*) FILTER (a.value = b.value) AS equal FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'orders:00' AND b.year - a.year >= 5 AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND count(*) FILTER (a.value = b.value) >= 0.05 * count(*)")
+
+# Search, text, sources, event streams in batch form
+
+
+def _read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TERMS = "regexp_extract_all(replace(lower(trim({0})), 'ё', 'е'), '[0-9a-zà-ÿа-я²³%]+')"
+_BM25 = f"""WITH tok AS (SELECT doc_id AS key, unnest({_TERMS.format('text')}) AS term FROM documents), post AS (SELECT key, term, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL),
+len AS (SELECT key, sum(tf) AS length FROM post GROUP BY key), corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+q AS (SELECT DISTINCT item_id AS query, unnest({_TERMS.format('text')}) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY term),
+t AS (SELECT query, term, mean, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM q JOIN df USING (term), corpus WHERE df <= 0.5 * n),
+r AS (SELECT query, key, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.7 + 0.3 * length / mean))), 5) AS score FROM t JOIN post USING (term) JOIN len USING (key) GROUP BY query, key)
+SELECT query, key, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM r) WHERE place <= 3"""
+add("txt10_bm25", lambda spark, sf_dir: search.bm25(search.postings(_read(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}), _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.words(F.col("text"))).alias("term"))), _BM25)
+add("txt02_words", lambda spark, sf_dir: _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.words(F.col("text"))).cast("long").alias("words"), F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ").alias("first_words")), f"SELECT conv_id, turn, len({_TERMS.format('text')}) AS words, array_to_string({_TERMS.format('text')}[1:3], ' ') AS first_words FROM conversations")
+add("txt05_one_typo", lambda spark, sf_dir: _typos(_read(spark, sf_dir, "nation")), "SELECT n_name, damaged, true AS near FROM (SELECT n_name, substr(n_name, 2) AS damaged FROM nation UNION ALL SELECT n_name, substr(n_name, 2, 1) || substr(n_name, 1, 1) || substr(n_name, 3) FROM nation UNION ALL SELECT n_name, n_name || 'X' FROM nation) WHERE n_name <> damaged")
+
+
+def _typos(nation: DataFrame) -> DataFrame:
+    n = F.col("n_name")
+    damaged = F.array(F.substr(n, F.lit(2)), F.concat(F.substr(n, F.lit(2), F.lit(1)), F.substr(n, F.lit(1), F.lit(1)), F.substr(n, F.lit(3))), F.concat(n, F.lit("X")))
+    rows = nation.select("n_name", F.explode(damaged).alias("damaged")).filter("n_name <> damaged")
+    return rows.withColumn("near", text.one_typo(n, F.col("damaged")))
+
+
+_QUESTIONS = (("q1", "Which nation has the highest revenue?"), ("q2", "Compare FRANCE versus GERMANY"), ("q3", "How did orders of UNITED KINGDOM change since 1996"), ("q4", "What is the revenue of CHINA in 1999"), ("q5", "Does revenue depend on orders?"))
+_QVALUES = ", ".join(f"('{a}', '{b}')" for a, b in _QUESTIONS)
+_questions = lambda spark: spark.createDataFrame(list(_QUESTIONS), "question string, text string")
+add("txt12_find_places", lambda spark, sf_dir: search.find_places(_questions(spark), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))), f"SELECT question, 'N' || n_nationkey AS code FROM (VALUES {_QVALUES}) q(question, text), nation WHERE regexp_matches(lower(text), '(^|[^a-z])' || lower(n_name) || '($|[^a-z])')")
+add("txt13_question_kind", lambda spark, sf_dir: _questions(spark).select("question", search.question_kind(F.col("text")).alias("kind")), "SELECT * FROM (VALUES ('q1', 'rank'), ('q2', 'compare'), ('q3', 'trend'), ('q4', 'value'), ('q5', 'relation')) v(question, kind)")
+add("txt24_match_labels", lambda spark, sf_dir: search.match_labels(_read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("  "), F.initcap("n_name"), F.lit(" 1)")).alias("label")).distinct(), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))).select("code", "how"), "SELECT DISTINCT 'N' || n_nationkey AS code, 'exact' AS how FROM customer JOIN nation ON n_nationkey = c_nationkey")
+_CELLS = ("12,5 1)", "…", "–", "1 234,5", "0,0", "1.234,5", "", "abc", "45 %", "1,234.5")
+add("txt34_parse_cells", lambda spark, sf_dir: tables.parse_cells(spark.createDataFrame([(c,) for c in _CELLS], "cell string"), "cell"), "SELECT * FROM (VALUES ('12,5 1)', 'value', 12.5::DOUBLE, false), ('…', 'hidden', NULL, false), ('–', 'missing', NULL, false), ('1 234,5', 'value', 1234.5, false), ('0,0', 'value', 0.0, true), ('1.234,5', 'value', 1234.5, false), ('', 'empty', NULL, false), ('abc', 'text', NULL, false), ('45 %', 'value', 45.0, false), ('1,234.5', 'value', 1234.5, false)) v(cell, kind, value, below_unit)")
+_PERIODS = ("2001", "2001-05", "05.2001", "Q2 2001", "2001 H1", "x")
+add("dim27_periods", lambda spark, sf_dir: spark.createDataFrame([(p,) for p in _PERIODS], "text string").withColumn("p", text.period(F.col("text"))).select("text", "p.year", "p.kind", "p.number"), "SELECT * FROM (VALUES ('2001', 2001, 'year', 0), ('2001-05', 2001, 'month', 5), ('05.2001', 2001, 'month', 5), ('Q2 2001', 2001, 'quarter', 2), ('2001 H1', 2001, 'half', 1), ('x', NULL, NULL, NULL)) v(text, year, kind, number)")
+add("dim10_unit_kind", lambda spark, sf_dir: _read(spark, sf_dir, "part").select(F.concat(F.lit("million dollars per "), "p_type").alias("unit")).distinct().select("unit", text.unit_kind(F.col("unit")).alias("kind"), text.unit_multiplier(F.col("unit")).alias("multiplier"), text.polarity(F.col("unit")).alias("polarity")), "SELECT DISTINCT 'million dollars per ' || p_type AS unit, 'rate' AS kind, 1e6::DOUBLE AS multiplier, 'unknown' AS polarity FROM part")
+add("dim18_series_code", lambda spark, sf_dir: _read(spark, sf_dir, "orders").select("o_orderpriority").distinct().select("o_orderpriority", text.series_code(F.lit("revenue"), F.col("o_orderpriority")).alias("code")), "SELECT DISTINCT o_orderpriority, 'revenue:' || substr(sha1(o_orderpriority), 1, 8) AS code FROM orders")
+add("src02_profile", lambda spark, sf_dir: tables.summarise(_read(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey"), exact=True), "SELECT 'c_mktsegment' AS \"column\", count(c_mktsegment) AS filled, count(DISTINCT c_mktsegment) AS \"distinct\" FROM customer UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(DISTINCT c_nationkey) FROM customer")
+add("src20_page_links", lambda spark, sf_dir: tables.page_links(_read(spark, sf_dir, "pages")), "SELECT page_id, length(regexp_extract(html, '<title>(.*?)</title>', 1, 'is')) AS title_length, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
+add("src32_html_tables", lambda spark, sf_dir: tables.html_tables(_read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("<table><tr><th rowspan=2>"), "n_name", F.lit("</th><td>1</td></tr><tr><td>2</td></tr></table>")).alias("h")), "n_nationkey", "h").select("n_nationkey", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells")), "SELECT n_nationkey, r AS row, n_name || '|' || (r + 1) AS cells FROM nation, range(2) t(r)")
+add("src36_unpivot_years", lambda spark, sf_dir: tables.unpivot_years(_read(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("1 0"), F.lpad("n_nationkey", 2, "0"), F.lit(",5")).alias("1999"), F.lit("–").alias("2000")), "n_name", ["1999", "2000"]), "SELECT n_name, 1999 AS year, 1000.5 + n_nationkey AS value, 'value' AS kind FROM nation UNION ALL SELECT n_name, 2000, NULL, 'missing' FROM nation")
+add("src37_collect_first", lambda spark, sf_dir: tables.collect_first(_read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("value")).select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("value")).alias("value")), ["l_orderkey"], "l_linenumber"), "SELECT l_orderkey, l_linenumber, value, \"values\" FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY value IS NULL, l_linenumber) AS rn, count(DISTINCT value) OVER (PARTITION BY l_orderkey) AS \"values\" FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linenumber > 1 THEN l_quantity END) AS value FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE rn = 1 AND value IS NOT NULL")
+add("src45_safe_cell", lambda spark, sf_dir: _read(spark, sf_dir, "customer").select("c_custkey", text.safe_cell(F.concat(F.when(F.col("c_custkey") % 2 == 0, "=").otherwise(""), "c_name")).alias("cell")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '''=' || c_name ELSE c_name END AS cell FROM customer")
+add("str07_tumbling", lambda spark, sf_dir: events.tumbling(_read(spark, sf_dir, "events")), "SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+add("str07_over_budget", lambda spark, sf_dir: events.over_budget(_read(spark, sf_dir, "events"), 2, "1 hour"), "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2")
+add("str06_sliding", lambda spark, sf_dir: events.sliding(_read(spark, sf_dir, "events")), "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') - to_days(k::INT) AS start, round(avg(value), 6) AS mean, count(*) AS n FROM events, range(3) t(k) GROUP BY ALL")
+add("str08_sessions", lambda spark, sf_dir: events.sessions(_read(spark, sf_dir, "events")), 'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL \'30 minutes\' AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL \'30 minutes\' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s')
+add("str05_open_period", lambda spark, sf_dir: events.open_period(_read(spark, sf_dir, "events")), "SELECT *, start = max(start) OVER () AS preliminary FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, round(sum(value), 4) AS total FROM events GROUP BY 1)")
+add("str04_year_to_date", lambda spark, sf_dir: events.year_to_date(_read(spark, sf_dir, "events")), "SELECT month, day, total FROM (SELECT month, day, round(sum(v) OVER w, 4) AS total, count(*) OVER w AS k, min(day) OVER (PARTITION BY month) AS f FROM (SELECT date_trunc('month', ts)::TIMESTAMP AS month, day(ts) AS day, sum(value) AS v FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY month ORDER BY day ROWS UNBOUNDED PRECEDING)) WHERE k = day - f + 1")
+add("str02_once_each", lambda spark, sf_dir: events.once_each(_read(spark, sf_dir, "events").unionByName(_read(spark, sf_dir, "events"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
