@@ -26,25 +26,157 @@ from tessera.llm.common import new_path, partitions, staged
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-#: Characters that are split into pieces at once, and pieces whose ids a worker remembers.
-TEXT_PIECE, REMEMBERED = 1 << 20, 1 << 20
+#: Characters that are split into pieces at once; slots of a worker's table of encoded pieces; ids kept before it is emptied.
+TEXT_PIECE, SLOTS, POOL = 1 << 19, 1 << 21, 1 << 24
 
-# How the tokenizer's byte-level step splits text; pieces are encoded apart, so equal pieces need it once.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
+LETTER, NUMBER, SPACE = 1, 2, 3
+#: What the tokenizer's byte-level step splits off after an apostrophe.
+CONTRACTIONS = ("s", "t", "d", "m", "re", "ve", "ll")
 
-_TOKENIZERS: dict[str, tuple] = {}
 
+def _character_classes() -> np.ndarray:
+    """Letter, number, white space or other for each code point."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    return out
+
+
+class PieceHash:
+    """96-bit hashes of pieces of an array of code points, from prefix sums of powers modulo 2**64."""
+
+    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self):
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
+
+    def _grow(self, n: int) -> None:
+        self.powers = []
+        for base in self.BASES:
+            inverse = np.uint64(pow(int(base), -1, 1 << 64))
+            self.powers.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b)]), dtype=np.uint64) for b in (base, inverse)))
 
-def load_tokenizer(path: str) -> tuple:
-    """The tokenizer at ``path`` and what its pieces have been encoded to, kept over the tasks of a worker."""
-    if path not in _TOKENIZERS:
+    def __call__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.powers[0][0]) <= len(codes):
+            self._grow(max(TEXT_PIECE, len(codes)) + 1)
+        wide = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        out = []
+        for powers, inverses in self.powers:
+            wide ^= wide >> np.uint64(29)
+            wide *= np.uint64(0xBF58476D1CE4E5B9)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(wide * powers[: len(codes)], dtype=np.uint64)])
+            h = (sums[ends] - sums[starts]) * inverses[starts]
+            out.append(h ^ (h >> np.uint64(31)))
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+class PieceEncoder:
+    """Encodes texts with a byte-level tokenizer by way of their pieces.
+
+    The tokenizer merges bytes only inside the pieces into which it first splits a text, so equal pieces have
+    equal ids. The split is done here for many texts at once, on arrays of code points; pieces are looked up
+    by hash in a table of fixed size, and only those that are not there go to the tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = tokenizer, {}
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.classes = _character_classes()
+        self.hash = PieceHash()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
+        self.places, self.counts = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def starts(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where pieces begin; texts begin at ``firsts``.
+
+        Runs of letters, of numbers and of other characters are pieces, each with one blank before it if there is
+        one. Of white space before a text goes on, the last character stands apart. An apostrophe alone takes
+        the letters of a contraction with it.
+        """
+        n = len(codes)
+        kind = self.classes[codes]
+        first = np.zeros(n + 1, bool)
+        first[firsts] = True
+        first[n] = True
+        change = first[:n].copy()
+        change[1:] |= kind[1:] != kind[:-1]
+        blank = np.zeros(n, bool)
+        blank[1:] = (codes[:-1] == 32) & ~first[1:n]  # a blank of the same text stands before
+        space = kind == SPACE
+        out = change & (space | ~blank)
+        goes_on = np.zeros(n, bool)
+        goes_on[:-1] = ~space[1:] & ~first[1:n]
+        out |= space & goes_on
+        marks = np.flatnonzero((codes == 39) & out & (kind != SPACE))
+        for at in marks[(marks + 1 < n)].tolist():
+            if first[at + 1] or kind[at + 1] != LETTER:
+                continue
+            after = "".join(map(chr, codes[at + 1 : at + 3].tolist()))
+            for taken in CONTRACTIONS:
+                if after.startswith(taken) and not (len(taken) == 2 and first[at + 2]):
+                    end = at + 1 + len(taken)
+                    out[at + 1] = False
+                    if end < n and kind[end] == LETTER:
+                        out[end] = True
+                    break
+        return np.flatnonzero(out)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts, none of which is empty."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        firsts = np.cumsum(lengths) - lengths
+        starts = self.starts(codes, firsts)
+        ends = np.append(starts[1:], len(codes))
+        keys, checks = self.hash(codes, starts, ends)
+        slots = (keys >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+        hit = (self.keys[slots] == keys) & (self.checks[slots] == checks) & (self.counts[slots] > 0)
+        places, counts = self.places[slots].astype(np.int64), self.counts[slots].astype(np.int64)
+        pool = self.pool
+        missing = np.flatnonzero(~hit)
+        if len(missing):
+            new, first, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            coded = self.tokenizer.encode_batch([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], add_special_tokens=False)
+            flat = [c.ids for c in coded]
+            sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+            fresh = np.fromiter((i for c in flat for i in c), self.kind, int(sizes.sum()))
+            begin = self.used + np.cumsum(sizes) - sizes
+            if self.used + len(fresh) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(fresh)), self.kind)])
+            self.pool[self.used : self.used + len(fresh)] = fresh
+            self.used += len(fresh)
+            pool = self.pool
+            places[missing], counts[missing] = begin[inverse], sizes[inverse]
+            for table, values in ((self.keys, new), (self.checks, checks[at]), (self.places, begin), (self.counts, sizes)):
+                table[slots[at]] = values
+            if self.used > POOL:
+                self.clear()
+        ends_of = np.cumsum(counts)
+        total = int(ends_of[-1])
+        out = pool[np.repeat(places - (ends_of - counts), counts) + np.arange(total)]
+        cuts = np.concatenate([[0], ends_of])[np.searchsorted(starts, firsts[1:])]
+        return np.split(out, cuts)
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a tokenizer file, kept over the tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 def default_tokenizer() -> str:
@@ -53,44 +185,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def text_pieces(text: str) -> Iterator[list[str]]:
-    """The pieces of a text in lists; a long text is cut where a single blank stands between two other characters."""
+def text_parts(text: str) -> Iterator[str]:
+    """A text; a long one is cut where a single blank stands between two other characters, which is a border of pieces."""
     at = 0
     while len(text) - at > TEXT_PIECE:
         cut = _CUT.search(text, at + TEXT_PIECE)
         if cut is None:
             break
-        yield _PIECES.findall(text, at, cut.start())
+        yield text[at : cut.start()]
         at = cut.start()
-    yield _PIECES.findall(text, at)
+    yield text[at:]
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """The ids of each text and the end id, little-endian, 16 bits each (32 for vocabularies over 65,536)."""
-    tokenizer, known = load_tokenizer(path)
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    end = np.array([end_id], kind).tobytes()
-    out = []
-    for text in texts:
-        ids = []
-        for pieces in text_pieces(text or ""):
-            if new := list(set(pieces).difference(known)):
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(pieces))
-                for piece, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[piece] = np.array(coded.ids, kind).tobytes()
-            ids.append(b"".join(map(known.__getitem__, pieces)))
-        ids.append(end)
-        out.append(b"".join(ids))
-    return out
+    coder = encoder(path)
+    out: list[list[bytes]] = [[] for _ in texts]
+    held: list[tuple[int, str]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            for (row, _), ids in zip(held, coder.ids([part for _, part in held]), strict=True):
+                out[row].append(ids.tobytes())
+        held, size = [], 0
+
+    for row, text in enumerate(texts):
+        for part in text_parts(text) if text else ():
+            held.append((row, part))
+            size += len(part)
+            if size >= TEXT_PIECE:
+                flush()
+    flush()
+    end = np.array([end_id], coder.kind).tobytes()
+    return [b"".join([*parts, end]) for parts in out]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, text_hash, ids (binary) and width (bytes of an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 if load_tokenizer(path)[0].get_vocab_size() <= 1 << 16 else 4
+        width = encoder(path).kind.itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
