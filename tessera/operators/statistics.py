@@ -13,10 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-_YEAR = Window.partitionBy("year")
+
+def _year() -> WindowSpec:
+    return Window.partitionBy("year")
 
 
 def inequality(rows: DataFrame, epsilon: float = 0.5) -> DataFrame:
@@ -24,9 +27,9 @@ def inequality(rows: DataFrame, epsilon: float = 0.5) -> DataFrame:
 
     Gini asks for non-negative values, Theil and Atkinson for positive ones; otherwise they are null.
     """
-    upto = _YEAR.orderBy("value", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = rows.filter("value is not null and weight > 0").withColumn("s", F.col("weight") / F.sum("weight").over(_YEAR))
-    w = w.withColumn("sx", F.col("s") * F.col("value")).withColumn("mu", F.sum("sx").over(_YEAR)).withColumn("c", F.sum("sx").over(upto)).withColumn("r", F.when((F.col("value") > 0) & (F.col("mu") > 0), F.try_divide("value", "mu")))
+    upto = _year().orderBy("value", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = rows.filter("value is not null and weight > 0").withColumn("s", F.col("weight") / F.sum("weight").over(_year()))
+    w = w.withColumn("sx", F.col("s") * F.col("value")).withColumn("mu", F.sum("sx").over(_year())).withColumn("c", F.sum("sx").over(upto)).withColumn("r", F.when((F.col("value") > 0) & (F.col("mu") > 0), F.try_divide("value", "mu")))
     g = w.groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.max("mu").alias("mu"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum(F.col("s") * (2 * F.col("c") - F.col("sx"))).alias("area"), F.sum(F.col("s") * F.col("r") * F.ln("r")).alias("t"),
         F.sum(F.col("s") * F.pow("r", F.lit(1 - epsilon))).alias("a"), F.sum(F.col("s") * F.pow(F.col("value") - F.col("mu"), 2)).alias("v"), F.percentile("value", 0.9).alias("q9"), F.percentile("value", 0.1).alias("q1"),
@@ -40,8 +43,8 @@ def inequality(rows: DataFrame, epsilon: float = 0.5) -> DataFrame:
 
 def lorenz(rows: DataFrame) -> DataFrame:
     """Cumulative shares of weight and of weighted value, by rising value."""
-    upto = _YEAR.orderBy("value", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = lambda c: F.round(F.sum(c).over(upto) / F.sum(c).over(_YEAR), 6)
+    upto = _year().orderBy("value", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda c: F.round(F.sum(c).over(upto) / F.sum(c).over(_year()), 6)
     return rows.filter("value >= 0 and weight > 0").withColumn("wx", F.col("weight") * F.col("value")).select("year", "code", part("weight").alias("people"), part("wx").alias("share"))
 
 
@@ -49,7 +52,7 @@ def theil_split(rows: DataFrame) -> DataFrame:
     """Theil between and within groups of positive values. Rows: year, group, value, weight."""
     w = rows.filter("value > 0 and weight > 0").withColumn("wx", F.col("weight") * F.col("value"))
     g = Window.partitionBy("year", "group")
-    w = w.withColumn("gm", F.sum("wx").over(g) / F.sum("weight").over(g)).withColumn("mu", F.sum("wx").over(_YEAR) / F.sum("weight").over(_YEAR)).withColumn("share", F.col("wx") / F.sum("wx").over(_YEAR))
+    w = w.withColumn("gm", F.sum("wx").over(g) / F.sum("weight").over(g)).withColumn("mu", F.sum("wx").over(_year()) / F.sum("weight").over(_year())).withColumn("share", F.col("wx") / F.sum("wx").over(_year()))
     return w.groupBy("year").agg(F.round(F.sum(F.col("share") * F.ln(F.col("gm") / F.col("mu"))), 6).alias("between"), F.round(F.sum(F.col("share") * F.ln(F.col("value") / F.col("gm"))), 6).alias("within"))
 
 
@@ -124,7 +127,7 @@ def t_tail(t: float, dof: float) -> float:
     return _beta_tail(dof / 2, 0.5, dof / (dof + t * t)) if math.isfinite(t) else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation."""
     return pd.Series([1.0 if abs(x) != abs(x) else 0.0 if abs(x) >= 1 else t_tail(x * math.sqrt((k - 2) / (1 - x * x)), k - 2) for x, k in zip(r, n, strict=True)])
@@ -156,7 +159,7 @@ def partial_of_three(long: DataFrame, a: str, b: str, given: str) -> DataFrame:
 
 def moran(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Moran's I per year of (year, code, value) over (code, neighbour), row-standardised; and its expectation."""
-    z = rows.filter("value is not null").withColumn("z", F.col("value") - F.avg("value").over(_YEAR)).withColumn("n", F.count(F.lit(1)).over(_YEAR))
+    z = rows.filter("value is not null").withColumn("z", F.col("value") - F.avg("value").over(_year())).withColumn("n", F.count(F.lit(1)).over(_year()))
     near = z.select("year", F.col("code").alias("neighbour"), F.col("z").alias("zn"))
     lag = z.join(edges, "code").join(near, ["year", "neighbour"]).groupBy("year", "code", "z").agg(F.avg("zn").alias("lag"))
     top = lag.groupBy("year").agg(F.sum(F.col("z") * F.col("lag")).alias("top"), F.count(F.lit(1)).alias("s0"))
@@ -166,7 +169,7 @@ def moran(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def local_moran(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Local Moran of each code and year (population standard deviation) and its quadrant."""
-    z = rows.filter("value is not null").withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(_YEAR), F.stddev_pop("value").over(_YEAR)))
+    z = rows.filter("value is not null").withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(_year()), F.stddev_pop("value").over(_year())))
     near = z.select("year", F.col("code").alias("neighbour"), F.col("z").alias("zn"))
     lag = z.join(edges, "code").join(near, ["year", "neighbour"]).groupBy("year", "code", "z").agg(F.avg("zn").alias("lag"))
     quadrant = F.concat(F.when(F.col("z") >= 0, "H").otherwise("L"), F.when(F.col("lag") >= 0, "H").otherwise("L"))
@@ -329,7 +332,7 @@ def jenks(rows: DataFrame, classes: int = 5) -> DataFrame:
 
 def histogram(rows: DataFrame, bins: int = 28) -> DataFrame:
     """Counts of equal bins per year; the last bin is closed."""
-    low, high = F.min("value").over(_YEAR), F.max("value").over(_YEAR)
+    low, high = F.min("value").over(_year()), F.max("value").over(_year())
     bin_ = F.least(F.floor(F.coalesce(F.try_divide((F.col("value") - low) * bins, high - low), F.lit(0.0))), F.lit(bins - 1)).cast("long")
     return rows.filter("value is not null").withColumn("bin", bin_).groupBy("year", "bin").agg(F.count(F.lit(1)).alias("n"))
 
