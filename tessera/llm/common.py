@@ -52,5 +52,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def packed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and beside them ``row``, a struct of all columns of ``df``: no extra column can clash, and ``row.*`` gives them back."""
+    return df.select(*columns, F.struct("*").alias("row"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

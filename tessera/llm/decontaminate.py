@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import packed, staged
 
 WINDOW = 8
 #: Least number of tokens of a window that are no placeholders.
@@ -198,5 +198,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     bad = staged(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    same = (F.xxhash64("text") == F.col("bad_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id"))
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = (F.col("text_hash") == F.col("bad_hash")) & F.col("doc_id").eqNullSafe(F.col("bad_id"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, word_count
+from tessera.llm.common import packed, staged, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -83,11 +83,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
 
     Null texts and texts without words have size 0 and are repeated as others of their source are; a null
     source is a source of its own, last in order; rows that share an id share their number of copies; an
-    empty table gives an empty one. Columns named ``mix_...`` must not be in ``docs``.
+    empty table gives an empty one.
     """
     plan = mixing_plan(document_sizes(docs), weights, most)
     times = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return with_copies(docs, plan).filter("mix_copies > 0").select(*[docs[c] for c in docs.columns], times.alias("mix_copy")).drop("mix_copy")
+    rows = with_copies(packed(docs, "doc_id", "source"), plan).filter("mix_copies > 0")
+    return rows.select("row", times.alias("mix_copy")).select("row.*")
 
 
 def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:

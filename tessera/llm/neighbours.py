@@ -118,9 +118,10 @@ def _cell(table: pa.Table, codes: Codes, radius: int, k: int) -> pa.Table:
             if len(found) > 4 * k:  # a cut that keeps ties of the k-th
                 keep = scores >= np.partition(scores, -k)[-k] - 1e-12
                 found, scores = found[keep], scores[keep]
-            best = np.lexsort((row_ids[found], -scores))[:k]
-            exact = [float(vectors[rows[f]] @ vectors[q] / (np.linalg.norm(vectors[rows[f]]) * np.linalg.norm(vectors[q]))) for f in found[best]]
-            out.append((np.full(len(best), ids[q]), row_ids[found[best]], np.array(exact)))
+            near = vectors[rows[found]]  # summed row by row, so that equal vectors have equal scores
+            exact = (near * vectors[q]).sum(1) / (np.sqrt((near * near).sum(1)) * np.sqrt((vectors[q] * vectors[q]).sum()))
+            best = np.lexsort((row_ids[found], -exact))[:k]
+            out.append((np.full(len(best), ids[q]), row_ids[found[best]], exact[best]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -10,23 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, staged
+from tessera.llm.common import packed, partitions, staged
 
 SHARDS = 8
 
 
-def assign_shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, the columns of ``keep``, shard (from 0) and slot (gapless from 0 in its shard).
+def assign_shards(docs: DataFrame, n_shards: int = SHARDS, keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, if wanted the whole ``row`` as a struct, shard (from 0) and slot (gapless from 0 in its shard).
 
     Rows stand in order of doc_id (nulls first), then of checksum and size; a row goes to the shard in which
     its middle byte lies. A row's size is its text's UTF-8 bytes plus 1, so empty and null texts count 1 and
     repeated rows stay apart. A row longer than a shard's target makes its shard longer by no more than
-    itself. With fewer rows than shards some shards are empty; an empty table gives an empty one. A column of
-    ``keep`` must not be named like those returned.
+    itself. With fewer rows than shards some shards are empty; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    row = ["row"] if keep else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *keep)
+    slim = packed(docs, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).select("doc_id", "size", "text_crc32", *row)
     order = ["doc_id", "text_crc32", "size"]
     rows = staged(slim.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "shard-rows")
     totals = rows.groupBy("part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("part_rows"))
@@ -43,22 +43,21 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...]
     inside = Window.partitionBy("part").orderBy(*order)
     placed = (
         rows.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("row", F.row_number().over(inside))
+        .withColumn("place", F.row_number().over(inside))
         .join(bases, F.col("part") == F.col("base_part"))
-        .withColumn("row", F.col("base_rows") + F.col("row") - 1)
+        .withColumn("place", F.col("base_rows") + F.col("place") - 1)
         .withColumn("middle2", 2 * (F.col("base_size") + F.col("upto")) - F.col("size"))
         .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, (middle2 * {n_shards}) div (2 * all_size)) as int)"))
-        .select("doc_id", "size", "text_crc32", *keep, "shard", "row")
+        .select("doc_id", "size", "text_crc32", *row, "shard", "place")
     )
     placed = staged(placed, "shard-placed")
-    firsts = staged(placed.groupBy("shard").agg(F.min("row").alias("first_row")).withColumnRenamed("shard", "first_shard"), "shard-firsts")
-    return placed.join(F.broadcast(firsts), F.col("shard") == F.col("first_shard")).withColumn("slot", F.col("row") - F.col("first_row")).drop("row", "first_row", "first_shard")
+    firsts = staged(placed.groupBy("shard").agg(F.min("place").alias("first_place")).withColumnRenamed("shard", "first_shard"), "shard-firsts")
+    return placed.join(F.broadcast(firsts), F.col("shard") == F.col("first_shard")).withColumn("slot", F.col("place") - F.col("first_place")).drop("place", "first_place", "first_shard")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
-    """Write the rows of ``docs`` as Parquet under ``path``/shard=k, each file sorted by slot; a shard is many files of the session's usual size."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    rows = assign_shards(docs, n_shards, keep)
+    """Write slot and ``row`` (a struct of the columns of ``docs``) as Parquet under ``path``/shard=k, each file sorted by slot; a shard is one file or more."""
+    rows = assign_shards(docs, n_shards, keep=True).select("shard", "slot", "row")
     rows.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

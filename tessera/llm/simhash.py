@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, staged
+from tessera.llm.common import packed, partitions, staged
 
 SEED = 42
 #: Texts are cut into words in pieces of so many bytes.
@@ -433,6 +433,6 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     roots = components(alike)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = staged(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = (F.col("_text_hash") == F.col("kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = (F.col("text_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, staged
+from tessera.llm.common import held_out, packed, staged
 
 #: Labelled rows that the model is fitted on, as an expected number; more are thinned by a hash of the id.
 MAX_TRAINING = 20_000
@@ -214,6 +214,6 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more; an empty table gives an empty one."""
     model = fit(docs, labels)
-    return model.score(docs, "_toxicity").filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    return model.score(packed(docs, "text")).filter(F.col("toxicity") < threshold).select("row.*")

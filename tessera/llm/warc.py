@@ -184,7 +184,7 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
     for batch in batches:
         for path, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start", "end")), strict=True):
-            system, name = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            system, name = pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))
             rows, held = [], 0
             with system.open_input_file(name) as file:
                 for offset, content in members(file, start, end, size):
