@@ -334,7 +334,7 @@ def links(nodes: DataFrame, radius: int, blocks: int, wide_radius: int | None =
         if held and size:
             yield flush(True)
 
-    sorted_rows = keyed.repartition(partitions(nodes.sparkSession), "table", "key").sortWithinPartitions("table", "key")
+    sorted_rows = keyed.repartition(partitions(nodes.sparkSession), "table", "key").sortWithinPartitions("table", "key", "node")  # by node too, so that reruns choose the same forest
     return sorted_rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
