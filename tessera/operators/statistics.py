@@ -303,7 +303,7 @@ def breaks(rows: DataFrame, method: str, classes: int = 5) -> DataFrame:
 
 
 def jenks(rows: DataFrame, classes: int = 5) -> DataFrame:
-    """Natural breaks per year by dynamic programming over prefix sums; the first of equal minima is kept."""
+    """Natural breaks per year by dynamic programming over prefix sums; the first of equal minima is kept. An edge is the smallest value of the class that it begins; the last is the largest value."""
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(frame["value"].to_numpy())

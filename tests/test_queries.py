@@ -63,7 +63,7 @@ def test_jenks_edges_rise_and_split_better_than_equal_steps(spark):
     for year, cuts in edges.items():
         v = np.array(values[year])
         assert cuts == sorted(cuts)
-        inner = np.array(cuts[1:-1]) + 1e-3
+        inner = np.array(cuts[1:-1]) - 1e-3  # an edge is the smallest value of the class that it begins
         assert inside(v, inner) <= inside(v, np.linspace(v.min(), v.max(), len(cuts))[1:-1]) * (1 + 1e-9)
 
 
