@@ -13,7 +13,8 @@ as it has members. Components are found by alternating large and small stars, ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -90,8 +91,16 @@ def _word_set_fingerprint(data: bytes) -> int:
     return int.from_bytes(_majority(iter([hashed]), 8), "little", signed=True)
 
 
-def _wide_fingerprint(data: bytes, k: int) -> bytes:
-    return _majority((np.frombuffer(b"".join(xxhash.xxh3_128_digest(s, SEED) for s in group), np.uint8).reshape(-1, 16) for group in shingles(data, k)), 16)
+def _distinct_shingles(data: bytes, k: int) -> np.ndarray:
+    """128-bit hashes (two columns) of the distinct shingles, sorted by the first column, by which shingles are told apart."""
+    parts = [np.frombuffer(b"".join(xxhash.xxh3_128_digest(s, SEED) for s in group), np.uint64).reshape(-1, 2) for group in shingles(data, k)]
+    rows = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
+
+
+def _set_name(ids: np.ndarray) -> int:
+    """Signed hash of a set of shingles, given as sorted ids."""
+    return int.from_bytes(xxhash.xxh3_64_digest(ids.tobytes(), SEED), "little", signed=True)
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -379,57 +388,148 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 # One document of each group
 
-#: Texts whose five-word shingles have a Jaccard similarity of 0.8 or more differ in at most so many bits of the
-#: fingerprint of their word sets and of the wide fingerprint of their shingles, up to the odds told in the README.
+#: Radii of the first pass, which joins most of a group with few links. What it misses is found by the prefixes.
 WORD_SET_RADIUS, WORD_SET_BLOCKS, WIDE_RADIUS = 8, 10, 28
+#: Documents from which frequent shingles are learned, and how many of those are kept. Both change the work, not the result.
+COMMON_FROM, MAX_COMMON = 5_000, 1 << 17
+
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Sets of Jaccard ``similarity`` share an element of their first so many in any order that all sets follow; ``n`` is the set's size."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _set_batches(docs: DataFrame, k: int, schema: str, columns: Callable[[list[bytes], list[np.ndarray]], list[pa.Array]], *kept: str) -> DataFrame:
+    """``kept`` columns of ``docs`` and what ``columns`` makes of lower-cased texts and their distinct shingles."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def _wide_prints(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_lower(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(_word_set_fingerprint, texts), pa.int64()), pa.array((_wide_fingerprint(t, k) for t in texts), pa.binary())],
-                ["doc_id", "text_hash", "fp", "wide"],
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [_lower(t.as_py()) for t in part.column("text")]
+                made = columns(texts, [_distinct_shingles(t, k) for t in texts])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, wide binary")
+    return docs.mapInArrow(run, schema)
+
+
+def _longs(rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
+
+
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (sorted) of shingles that more than one of some texts hold, and in how many."""
+    total = docs.count()
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, COMMON_FROM / max(1, total))))).select("text").distinct()
+    sets = _set_batches(some, k, "shingles array<long>", lambda _, found: [_longs([np.ascontiguousarray(f[:, 0]) for f in found])])
+    rows = sets.select(F.explode("shingles").alias("id")).groupBy("id").count().filter("count > 1").orderBy(F.desc("count"), "id").limit(MAX_COMMON).toArrow()
+    ids, counts = rows.column("id").to_numpy().view(np.uint64), rows.column("count").to_numpy()
+    order = np.argsort(ids)
+    return ids[order], counts[order]
+
+
+def _prefix(ids: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest elements of a set, in the order that all sets follow: by frequency, then by id."""
+    frequency = np.zeros(len(ids), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], ids), len(common[0]) - 1)
+        frequency = np.where(common[0][at] == ids, common[1][at], 0)
+    return ids[np.lexsort((ids, frequency))[: prefix_length(len(ids), similarity)]]
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """text_hash and the set of its shingles' hashes."""
+def _wide_prints(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    common = common_shingles(docs, k)
+
+    def columns(texts: list[bytes], found: list[np.ndarray]) -> list[pa.Array]:
+        ids = [np.ascontiguousarray(f[:, 0]) for f in found]
+        return [
+            pa.array(map(_set_name, ids), pa.int64()), pa.array(map(_word_set_fingerprint, texts), pa.int64()),
+            pa.array((_majority(iter([f.view(np.uint8).reshape(-1, 16)]), 16) for f in found), pa.binary()),
+            pa.array(map(len, ids), pa.int64()), _longs([_prefix(x, common, similarity) for x in ids]),
+        ]
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return _set_batches(rows, k, "doc_id long, text_hash long, node long, fp long, wide binary, n long, prefix array<long>", columns, "doc_id", "text_hash")
+
+
+def prefix_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all ``nodes`` (node, root, n, prefix) of different roots that share an element of their prefixes and whose sizes allow ``similarity``."""
+    keyed = nodes.select("node", "root", "n", F.explode("prefix").alias("key"))
+
+    def pairs(key: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        live = np.repeat(mixed, np.diff(np.append(starts, len(key))))
+        key, n, node, root = (x[live] for x in (key, n, node, root))
+        i, step, held, size = np.arange(len(key)), 0, [], 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(key)]
+            i = i[(key[i] == key[i + step]) & (n[i] >= similarity * n[i + step] - 1e-9)]  # sizes rise within a key, so what fails here fails further on
+            apart = i[root[i] != root[i + step]]
+            held.append(np.stack([np.minimum(node[apart], node[apart + step]), np.maximum(node[apart], node[apart + step])]))
+            size += len(apart)
+            if size and (size > 1 << 20 or not len(i)):
+                out = np.unique(np.concatenate(held, axis=1), axis=1)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
-            sets = []
-            for text in batch.column("text"):
-                parts = [np.fromiter((xxhash.xxh32_intdigest(s) for s in group), np.uint32, len(group)) for group in shingles(_lower(text.as_py()), k)]
-                sets.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(sets, pa.list_(pa.int32()))], ["text_hash", "shingles"])
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy() for c in ("key", "n", "node", "root")])
+            size += batch.num_rows
+            if size >= GATHER:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+                if cut:
+                    yield from pairs(*(x[:cut] for x in rows))
+                held, size = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        if size:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "n", "node")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs of ``found`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    wanted = nodes.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").select(F.col("first.text_hash").alias("text_hash"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def columns(_: list[bytes], made: list[np.ndarray]) -> list[pa.Array]:
+        ids = [np.ascontiguousarray(f[:, 0]) for f in made]
+        return [pa.array(map(_set_name, ids), pa.int64()), _longs(ids)]
 
-    return docs.mapInArrow(run, "text_hash long, shingles array<int>")
+    sets = staged(_set_batches(texts, k, "node long, shingles array<long>", columns), "shingle-sets")
+    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
+    common = F.size(F.array_intersect("one", "two"))
+    enough = common >= similarity * (F.size("one") + F.size("two") - common)
+    return staged(found.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "alike")
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near duplicates: of texts connected by a Jaccard similarity of ``similarity`` or more the row with the smallest doc_id stays.
 
-    Candidates are links of SimHash fingerprints; each link that is used is checked on the shingle sets.
-    Texts without words are one group; a null text is a text of its own; rows repeated with the same id and
-    text are one document; null ids come last.
+    Texts with the same shingles are one node. Links of SimHash fingerprints, checked on the shingle sets,
+    join most nodes of a group; then every pair of nodes that are not joined yet and share a shingle of their
+    prefixes is checked too, which leaves out no pair of ``similarity`` or more.
+    Texts without words, null texts too, are one group; rows repeated with the same id and text are one
+    document; null ids come last.
     """
-    prints = staged(_wide_prints(docs, k), "wide-prints")
+    prints = _wide_prints(docs, k, similarity)
     ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    nodes = staged(
-        prints.groupBy("fp", "wide").agg(F.min(ranked).alias("first")).select(F.col("first.text_hash").alias("node"), "fp", "wide", "first"), "wide-nodes"
-    )
+    of_set = [F.any_value(c).alias(c) for c in ("fp", "wide", "n", "prefix")]
+    nodes = staged(prints.groupBy("node").agg(F.min(ranked).alias("first"), *of_set), "wide-nodes")
     found = staged(links(nodes, WORD_SET_RADIUS, WORD_SET_BLOCKS, WIDE_RADIUS), "wide-links")
-    wanted = found.select(F.col("a").alias("text_hash")).union(found.select("b")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = staged(_shingle_sets(texts, k), "shingle-sets")
-    one, two = sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("two"))
-    common = F.size(F.array_intersect("one", "two"))
-    alike = found.join(one, "a").join(two, "b").filter(common >= similarity * (F.size("one") + F.size("two") - common)).select("a", "b")
+    joined = components(_alike(docs, nodes, found, k, similarity))
+    rooted = nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    more = staged(prefix_links(rooted, similarity), "prefix-links")
+    alike = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(docs, nodes, more, k, similarity))
     roots = components(alike)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = staged(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")

@@ -104,3 +104,31 @@ def test_groups_of_odd_documents(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert 5 in ids and 6 not in ids and ids.count(7) == 1 and 1 in ids
     assert simhash.keep_one_of_each_group(docs.limit(0)).collect() == []
+
+
+def kept_and_wanted(spark, texts):
+    """Ids that stay, and those that stay by brute force."""
+    sets, group = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if len(one & sets[j]) >= 0.8 * len(one | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()}, {i for i, g in enumerate(group) if i == g}
+
+
+def test_every_kind_of_edit_is_found(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for n in rng.integers(60, 300, 40).tolist():
+        text = words(n)
+        at = n // 3
+        texts += [text, text + words(n // 5), text + words(n // 10), text[:at] + words(n // 11) + text[at + n // 11 :]]
+    for n in rng.integers(9, 26, 40).tolist():
+        text = words(n)
+        texts += [text, text + words(1)]
+    got, want = kept_and_wanted(spark, [" ".join(t) for t in texts])
+    assert got == want
+    assert len(texts) - len(want) > 100
