@@ -132,3 +132,15 @@ def test_every_kind_of_edit_is_found(spark):
     got, want = kept_and_wanted(spark, [" ".join(t) for t in texts])
     assert got == want
     assert len(texts) - len(want) > 100
+
+
+def test_alike_texts_in_a_crowded_bucket(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    base = words(360)
+    texts = []
+    for n, at in zip(rng.integers(34, 50, 80).tolist(), rng.integers(0, 330, 80).tolist(), strict=True):
+        texts.append(" ".join(base[:at] + words(n) + base[at + n :]))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want
+    assert 1 < len(want) < 80
