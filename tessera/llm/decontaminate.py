@@ -6,6 +6,10 @@ the benchmark (a filter of fixed size, without false negatives) leave the scan,
 benchmark's windows. Windows of one document and item with the same shift are one alignment. An alignment
 counts if its slots agree: one value of the item stands for one value of the document all along, and
 different names for different names. Items covered to ``MIN_COVERAGE`` by such alignments are reported.
+
+A window has up to three forms: as the template has it; with the words that begin a sentence or a line as
+placeholders too, as they may be names; and without names, all words case-folded, so that letter case, by which
+names are told, cannot hide a copy.
 """
 
 from __future__ import annotations
@@ -37,42 +41,53 @@ _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?:\n]|[
 _ENDS = frozenset(".!?:\n")
 _SIGNS = frozenset("$€£%")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0number", "\0name", "\0unit"))
-_PLACEHOLDERS = {"n": int(NUMBER), "p": int(NAME), "u": int(UNIT)}
+NUMBER, NAME, UNIT, START, FOLDED = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0number", "\0name", "\0unit", "\0start", "\0folded"))
+_PLACEHOLDERS = {"n": int(NUMBER), "p": int(NAME), "u": int(UNIT), "s": int(START)}
+#: Forms of a window.
+TYPED, OPEN, LITERAL = range(3)
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Kinds and values of a text's template tokens: ``w`` word, ``n`` number, ``p`` name, ``u`` unit.
+def templates(text: str) -> tuple[tuple[list[str], list[str]], list[int], tuple[list[str], list[str]]]:
+    """Kinds and values of a text's template tokens, the places of capitalised words that begin a sentence or a line, and kinds and values without names.
 
-    A capitalised word is a name unless a sentence or a line begins with it or it is all capitals (shouted
-    passages are read as words); names in a row are one name.
+    Kinds are ``w`` word, ``n`` number, ``p`` name, ``u`` unit. A capitalised word is a name unless a sentence
+    or a line begins with it or it is all capitals (shouted passages are read as words); names in a row are one
+    name. Without names each of their words is a word.
     """
     kinds: list[str] = []
     values: list[str] = []
+    starts: list[int] = []
+    plain_kinds: list[str] = []
+    plain_values: list[str] = []
     begins, named, counted = True, False, False
     for token in _TOKEN.findall(text):
         first = token[0]
         if first in _ENDS:
             begins, named, counted = True, False, False
             continue
-        lower = token.lower()
+        lower = token.casefold()
+        plain = "w"
         if first in _SIGNS:
-            kind = "u"
+            kind = plain = "u"
         elif first.isdigit() or lower in NUMBER_WORDS:
-            kind = "n"
+            kind = plain = "n"
         elif counted and lower in UNITS:
-            kind = "u"
+            kind = plain = "u"
         elif not begins and first.isupper() and not token.isupper():
             kind = "p"
         else:
             kind = "w"
+            if begins and first.isupper():
+                starts.append(len(kinds))
+        plain_kinds.append(plain)
+        plain_values.append(lower)
         if kind == "p" and named:
             values[-1] += " " + lower
         else:
             kinds.append(kind)
             values.append(lower)
         begins, named, counted = False, kind == "p", kind == "n"
-    return kinds, values
+    return (kinds, values), starts, (plain_kinds, plain_values)
 
 
 #: Hashes of words, kept over the texts of a worker.
@@ -110,7 +125,7 @@ def _slots(kinds: list[str], values: list[str], at: int, window: int) -> list[st
     return [k + v for k, v in zip(kinds[at : at + window], values[at : at + window], strict=True) if k != "w"]
 
 
-_WINDOWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("tokens", pa.int32()), ("text_hash", pa.int64())])
+_WINDOWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("form", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("tokens", pa.int32()), ("text_hash", pa.int64())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,6 +133,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
 
 
+def _forms(text: str, window: int) -> Iterator[tuple[int, list[str], list[str], np.ndarray, np.ndarray]]:
+    """Form, kinds, values, hashes of the windows and whether a window is to be used."""
+    (kinds, values), starts, (plain_kinds, plain_values) = templates(text)
+    tokens = codes(kinds, values)
+    yield TYPED, kinds, values, *window_hashes(tokens, kinds, window)
+    if starts:
+        tokens[starts] = START
+        opened = kinds.copy()
+        for at in starts:
+            opened[at] = "s"
+        hashes, rich = window_hashes(tokens, opened, window)
+        begun = np.cumsum(np.concatenate([[0], tokens == START]))
+        yield OPEN, opened, values, hashes, rich & (begun[window:] > begun[:-window])[: len(rich)]
+    hashes, rich = window_hashes(codes(plain_kinds, plain_values), plain_kinds, window)
+    yield LITERAL, plain_kinds, plain_values, hashes ^ FOLDED, rich
+
+
 def _windows(rows: DataFrame, window: int, bits: np.ndarray | None) -> DataFrame:
     """Windows of (key, text, text_hash), or those that pass the filter."""
 
@@ -125,19 +157,18 @@ def _windows(rows: DataFrame, window: int, bits: np.ndarray | None) -> DataFrame
         out: list[tuple] = []
         for batch in batches:
             for key, text, text_hash in zip(*(batch.column(c) for c in ("key", "text", "text_hash")), strict=True):
-                kinds, values = template(text.as_py() or "")
-                hashes, rich = window_hashes(codes(kinds, values), kinds, window)
-                if bits is not None and len(hashes):
-                    rich &= _passes(bits, hashes)
-                for at in np.flatnonzero(rich).tolist():
-                    out.append((key.as_py(), int(hashes[at].view(np.int64)), at, _slots(kinds, values, at, window), len(kinds), text_hash.as_py()))
-                    if len(out) >= 10_000:
-                        yield _batch(out)
-                        out = []
+                for form, kinds, values, hashes, rich in _forms(text.as_py() or "", window):
+                    if bits is not None and len(hashes):
+                        rich &= _passes(bits, hashes)
+                    for at in np.flatnonzero(rich).tolist():
+                        out.append((key.as_py(), int(hashes[at].view(np.int64)), form, at, _slots(kinds, values, at, window), len(kinds), text_hash.as_py()))
+                        if len(out) >= 10_000:
+                            yield _batch(out)
+                            out = []
         if out:
             yield _batch(out)
 
-    return rows.mapInArrow(run, "key long, hash long, place int, slots array<string>, tokens int, text_hash long")
+    return rows.mapInArrow(run, "key long, hash long, form int, place int, slots array<string>, tokens int, text_hash long")
 
 
 def _bit_places(hashes: np.ndarray) -> list[np.ndarray]:
@@ -175,19 +206,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     bits = window_filter(wanted)
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.xxhash64("text").alias("text_hash"))
     found = staged(_windows(rows, window, bits).drop("tokens"), "candidate-windows")
-    wanted = wanted.select(F.col("key").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "tokens")
-    hits = found.withColumnRenamed("key", "doc_id").join(wanted, "hash").filter(F.transform("slots", lambda s: F.substring(s, 1, 1)) == F.transform("item_slots", lambda s: F.substring(s, 1, 1)))
+    wanted = wanted.select(F.col("key").alias("item_id"), "hash", "form", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "tokens")
+    hits = found.withColumnRenamed("key", "doc_id").join(wanted, ["hash", "form"]).filter(F.transform("slots", lambda s: F.substring(s, 1, 1)) == F.transform("item_slots", lambda s: F.substring(s, 1, 1)))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    aligned = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("windows")
-    )
-    names = F.filter("pairs", lambda p: F.startswith(p["item"], F.lit("p")))
+    opened = F.col("form") == OPEN
+    aligned = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("form") == LITERAL).alias("literal"), (F.col("place") - F.col("item_place")).alias("shift")).agg(
+        F.collect_set(F.when(~opened, F.col("item_place"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(~opened, pairs)))).alias("pairs"),
+        F.collect_set("item_place").alias("all_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("all_pairs"), F.max("tokens").alias("tokens"),
+    )
     one_to_one = lambda ps, side: F.size(F.array_distinct(F.transform(ps, lambda p: p[side]))) == F.size(ps)
-    consistent = aligned.filter(one_to_one(F.col("pairs"), "item") & one_to_one(names, "doc"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p, p + window - 1)))))
-    out = consistent.groupBy("doc_id", "text_hash", "item_id").agg(
-        (covered / F.max("tokens")).alias("coverage"), F.sum("windows").cast("long").alias("windows"), F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("reparameterised")
+    agree = lambda ps: one_to_one(F.col(ps), "item") & one_to_one(F.filter(ps, lambda p: F.startswith(p["item"], F.lit("p"))), "doc")
+    of = lambda places, ps: F.struct(F.col(places).alias("places"), F.col(ps).alias("pairs"))
+    # words that begin sentences are slots only as long as they agree
+    consistent = aligned.withColumn("kept", F.when(agree("all_pairs"), of("all_places", "all_pairs")).when(agree("pairs"), of("places", "pairs"))).filter("size(kept.places) > 0")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("kept.places")), lambda p: F.sequence(p, p + window - 1)))))
+    forms = consistent.groupBy("doc_id", "text_hash", "item_id", "literal").agg(
+        (covered / F.max("tokens")).alias("coverage"), F.sum(F.size("kept.places")).cast("long").alias("windows"), F.max(F.exists("kept.pairs", lambda p: p["item"] != p["doc"])).alias("reparameterised")
     )
+    best = F.max(F.struct("coverage", (~F.col("literal")).alias("typed"), "windows", "reparameterised")).alias("best")
+    out = forms.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.coverage", "best.windows", "best.reparameterised")
     return out.filter(F.col("coverage") >= min_coverage)
 
 

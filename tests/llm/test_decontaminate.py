@@ -47,3 +47,15 @@ def test_odd_documents(spark):
     assert decontaminate.remove_contaminated(docs.limit(0), items).collect() == []
     of_null = spark.createDataFrame([(None, ITEM), (None, "clean text")], "doc_id long, text string")
     assert [r.text for r in decontaminate.remove_contaminated(of_null, spark.createDataFrame([(None, ITEM)], "item_id long, text string")).collect()] == ["clean text"]
+
+
+def test_letter_case_hides_nothing(spark):
+    german = "Der Bauer bringt seine Kartoffeln mit dem Wagen nach Hamburg und verkauft dort jeden Sack auf dem Markt an die Frau des Lehrers aus Bremen"
+    people = "Tom has 3 apples in a bag. Mary has 4 apples in a box. Peter has 5 apples on a tree. Susan has 6 apples in a jar."
+    renamed = people.replace("Tom", "Ali").replace("Mary", "Nina").replace("Peter", "Igor").replace("Susan", "Wanda")
+    items = spark.createDataFrame([(1, ITEM), (2, german), (3, people)], "item_id long, text string")
+    texts = [t.replace("ß", "ss") for x in (ITEM, german, people) for t in (x.lower(), x.upper(), x.title())]
+    docs = spark.createDataFrame([*enumerate(texts), (9, renamed), (10, people.replace("in a", "under the").replace("on a", "by his"))], "doc_id long, text string")
+    got = found(docs, items)
+    assert set(got) == {(i, i // 3 + 1) for i in range(9)} | {(9, 3)}
+    assert got[9, 3].reparameterised and got[9, 3].coverage == 1 and not any(got[i, i // 3 + 1].reparameterised for i in range(9))
