@@ -6,18 +6,19 @@ less one; a document begins on a new control byte) and ``data`` with the ids' fr
 in as many bytes. ``dictionary`` beside it has the id of each rank. Frequent ids take one byte. Decoding
 looks up the layout of four ids at once by their control byte and gathers with numpy.
 
-Texts are tokenised once. Ids are staged, counted over all documents, coded, dealt by ranges of doc_id,
+Texts are tokenised once; the same pass counts ids. Ids are staged, coded by rank, dealt by ranges of doc_id,
 packed and written. Offsets come from per-file totals, one row a file.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,156 +27,133 @@ from tessera.llm.common import new_path, partitions, staged
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-#: Characters that are split into pieces at once; slots of a worker's table of encoded pieces; ids kept before it is emptied.
-TEXT_PIECE, SLOTS, POOL = 1 << 19, 1 << 21, 1 << 24
-
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-LETTER, NUMBER, SPACE = 1, 2, 3
-#: What the tokenizer's byte-level step splits off after an apostrophe.
-CONTRACTIONS = ("s", "t", "d", "m", "re", "ve", "ll")
-
-
-def _character_classes() -> np.ndarray:
-    """Letter, number, white space or other for each code point."""
-    out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
-    return out
-
-
-class PieceHash:
-    """96-bit hashes of pieces of an array of code points, from prefix sums of powers modulo 2**64."""
-
-    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-    def __init__(self):
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
-
-    def _grow(self, n: int) -> None:
-        self.powers = []
-        for base in self.BASES:
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            self.powers.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b)]), dtype=np.uint64) for b in (base, inverse)))
-
-    def __call__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.powers[0][0]) <= len(codes):
-            self._grow(max(TEXT_PIECE, len(codes)) + 1)
-        wide = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        out = []
-        for powers, inverses in self.powers:
-            wide ^= wide >> np.uint64(29)
-            wide *= np.uint64(0xBF58476D1CE4E5B9)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(wide * powers[: len(codes)], dtype=np.uint64)])
-            h = (sums[ends] - sums[starts]) * inverses[starts]
-            out.append(h ^ (h >> np.uint64(31)))
-        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
-
-
-class PieceEncoder:
-    """Encodes texts with a byte-level tokenizer by way of their pieces.
-
-    The tokenizer merges bytes only inside the pieces into which it first splits a text, so equal pieces have
-    equal ids. The split is done here for many texts at once, on arrays of code points; pieces are looked up
-    by hash in a table of fixed size, and only those that are not there go to the tokenizer.
+#: Bytes of text that are encoded at once; slots of a worker's table of units (31 MB); ids that it keeps (at most 32 MB).
+TEXT_PIECE, SLOTS, POOL = 1 << 19, 1 << 20, 1 << 23
+#: Bytes of a unit that the table can hold.
+UNIT = 24
+
+_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+_AFTER = np.zeros(256, bool)  # bytes that begin a character that is surely no white space
+_AFTER[0x21:0x7F] = _AFTER[0xC3:0xE0] = _AFTER[0xE4:0xEF] = True
+_MASKS_OF = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class UnitEncoder:
+    """Encodes texts with a byte-level tokenizer by way of their units.
+
+    A unit begins with a text, or with a single blank between two characters that are no white space. The
+    tokenizer splits a text there whatever stands around, so a unit's ids depend on the unit alone. Units of up
+    to ``UNIT`` bytes are kept in a table of fixed size, with all their bytes as the key; the others, and those
+    that the table does not have, go to the tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.classes = _character_classes()
-        self.hash = PieceHash()
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
-        self.places, self.counts = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose first byte is a blank
+        self.blank[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        self.keys, self.lengths = np.zeros((3, SLOTS), np.uint64), np.zeros(SLOTS, np.uint8)
+        self.places, self.counts = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint8)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def starts(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Where pieces begin; texts begin at ``firsts``.
-
-        Runs of letters, of numbers and of other characters are pieces, each with one blank before it if there is
-        one. Of white space before a text goes on, the last character stands apart. An apostrophe alone takes
-        the letters of a contraction with it.
-        """
-        n = len(codes)
-        kind = self.classes[codes]
-        first = np.zeros(n + 1, bool)
-        first[firsts] = True
-        first[n] = True
-        change = first[:n].copy()
-        change[1:] |= kind[1:] != kind[:-1]
-        blank = np.zeros(n, bool)
-        blank[1:] = (codes[:-1] == 32) & ~first[1:n]  # a blank of the same text stands before
-        space = kind == SPACE
-        out = change & (space | ~blank)
-        goes_on = np.zeros(n, bool)
-        goes_on[:-1] = ~space[1:] & ~first[1:n]
-        out |= space & goes_on
-        marks = np.flatnonzero((codes == 39) & out & (kind != SPACE))
-        for at in marks[(marks + 1 < n)].tolist():
-            if first[at + 1] or kind[at + 1] != LETTER:
-                continue
-            after = "".join(map(chr, codes[at + 1 : at + 3].tolist()))
-            for taken in CONTRACTIONS:
-                if after.startswith(taken) and not (len(taken) == 2 and first[at + 2]):
-                    end = at + 1 + len(taken)
-                    out[at + 1] = False
-                    if end < n and kind[end] == LETTER:
-                        out[end] = True
-                    break
-        return np.flatnonzero(out)
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of some texts, none of which is empty."""
-        joined = "".join(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _encode(self, units: list[bytes], clean: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some units in one array, and where each begins and how many it has. ``clean`` units hold one blank, their first byte, and can be encoded in one go."""
+        sizes = np.zeros(len(units), np.int64)
+        parts: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        joint = np.flatnonzero(clean)
+        for at in range(0, len(joint), 4096):
+            here = joint[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(b"".join([units[i] for i in here]).decode(), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.blank[ids])
+            sizes[here] = np.diff(np.append(cuts, len(ids)))
+            parts.append(ids)
+            order.append(here)
+        single = np.flatnonzero(~np.array(clean, bool))
+        for at in range(0, len(single), 256):
+            here = single[at : at + 256]
+            coded = [e.ids for e in self.tokenizer.encode_batch([units[i].decode() for i in here], add_special_tokens=False)]
+            sizes[here] = list(map(len, coded))
+            parts.append(np.fromiter((i for ids in coded for i in ids), self.kind, int(sizes[here].sum())))
+            order.append(here)
+        taken = np.concatenate(order)
+        firsts = np.zeros(len(units), np.int64)
+        firsts[taken] = np.cumsum(sizes[taken]) - sizes[taken]
+        return np.concatenate(parts), firsts, sizes
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of some UTF-8 texts, none of which is empty."""
+        joined = b"".join(texts)
+        n = len(joined)
+        data = np.frombuffer(joined + bytes(UNIT), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         firsts = np.cumsum(lengths) - lengths
-        starts = self.starts(codes, firsts)
-        ends = np.append(starts[1:], len(codes))
-        keys, checks = self.hash(codes, starts, ends)
-        slots = (keys >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-        hit = (self.keys[slots] == keys) & (self.checks[slots] == checks) & (self.counts[slots] > 0)
+        blank = data[:n] == 32
+        plain = (data[:n] > 32) & (data[:n] < 0x7F)
+        before = plain.copy()  # a character ends here that is surely no white space
+        before[1:] |= (data[1:n] >= 0x80) & (data[1:n] < 0xC0) & (data[: n - 1] >= 0xC3) & (data[: n - 1] < 0xE0)
+        begins = blank.copy()
+        begins[1:] &= before[:-1]
+        begins[:-1] &= _AFTER[data[1:n]]
+        begins[-1] = False
+        begins[firsts] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], n)
+        sizes = ends - starts
+        words = np.ndarray(n + UNIT - 7, "<u8", data, strides=(1,))
+        keys = [words[np.minimum(starts + 8 * k, n + UNIT - 8)] & _MASKS_OF[np.clip(sizes - 8 * k, 0, 8)] for k in range(3)]
+        mixed = keys[0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[2] * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        slots = (mixed >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+        hit = (self.lengths[slots] == sizes) & (self.keys[0][slots] == keys[0]) & (self.keys[1][slots] == keys[1]) & (self.keys[2][slots] == keys[2]) & (sizes <= UNIT)
         places, counts = self.places[slots].astype(np.int64), self.counts[slots].astype(np.int64)
         pool = self.pool
         missing = np.flatnonzero(~hit)
         if len(missing):
-            new, first, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
-            at = missing[first]
-            coded = self.tokenizer.encode_batch([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], add_special_tokens=False)
-            flat = [c.ids for c in coded]
-            sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-            fresh = np.fromiter((i for c in flat for i in c), self.kind, int(sizes.sum()))
-            begin = self.used + np.cumsum(sizes) - sizes
-            if self.used + len(fresh) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(fresh)), self.kind)])
-            self.pool[self.used : self.used + len(fresh)] = fresh
-            self.used += len(fresh)
-            pool = self.pool
-            places[missing], counts[missing] = begin[inverse], sizes[inverse]
-            for table, values in ((self.keys, new), (self.checks, checks[at]), (self.places, begin), (self.counts, sizes)):
-                table[slots[at]] = values
-            if self.used > POOL:
-                self.clear()
+            blanks = np.concatenate([[0], np.cumsum(blank)])
+            clean = blank[starts] & (blanks[ends] - blanks[starts] == 1) & before[ends - 1] & (sizes > 1)
+            names: dict[bytes, int] = {}
+            inverse = np.fromiter((names.setdefault(joined[a:b], len(names)) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)), np.int64, len(missing))
+            at = np.zeros(len(names), np.int64)
+            at[inverse[::-1]] = missing[::-1]
+            fresh, begin, many = self._encode(list(names), clean[at].tolist())
+            if self.used + len(fresh) > POOL:
+                self.lengths[:] = self.used = 0
+                self.pool = np.zeros(1 << 16, self.kind)
+                places[hit] += len(fresh)  # the old pool is used once more, behind the new ids
+                pool = np.concatenate([fresh, pool])
+                places[missing] = begin[inverse]
+            else:
+                if self.used + len(fresh) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(fresh)), self.kind)])
+                self.pool[self.used : self.used + len(fresh)] = fresh
+                begin = begin + self.used
+                self.used += len(fresh)
+                pool = self.pool
+                places[missing] = begin[inverse]
+                kept = (sizes[at] <= UNIT) & (many < 256)
+                where = slots[at[kept]]
+                for k in range(3):
+                    self.keys[k][where] = keys[k][at[kept]]
+                self.lengths[where], self.places[where], self.counts[where] = sizes[at[kept]], begin[kept], many[kept]
+            counts[missing] = many[inverse]
         ends_of = np.cumsum(counts)
-        total = int(ends_of[-1])
-        out = pool[np.repeat(places - (ends_of - counts), counts) + np.arange(total)]
+        out = pool[np.repeat(places - (ends_of - counts), counts) + np.arange(int(ends_of[-1]))]
         cuts = np.concatenate([[0], ends_of])[np.searchsorted(starts, firsts[1:])]
         return np.split(out, cuts)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> UnitEncoder:
     """The encoder of a tokenizer file, kept over the tasks of a worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
 
 
@@ -185,8 +163,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def text_parts(text: str) -> Iterator[str]:
-    """A text; a long one is cut where a single blank stands between two other characters, which is a border of pieces."""
+def text_parts(text: bytes) -> Iterator[bytes]:
+    """A text; a long one is cut where a unit begins."""
     at = 0
     while len(text) - at > TEXT_PIECE:
         cut = _CUT.search(text, at + TEXT_PIECE)
@@ -201,7 +179,7 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
     """The ids of each text and the end id, little-endian, 16 bits each (32 for vocabularies over 65,536)."""
     coder = encoder(path)
     out: list[list[bytes]] = [[] for _ in texts]
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int, bytes]] = []
     size = 0
 
     def flush() -> None:
@@ -212,7 +190,7 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
         held, size = [], 0
 
     for row, text in enumerate(texts):
-        for part in text_parts(text) if text else ():
+        for part in text_parts(text.encode()) if text else ():
             held.append((row, part))
             size += len(part)
             if size >= TEXT_PIECE:
@@ -222,19 +200,31 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
     return [b"".join([*parts, end]) for parts in out]
 
 
+def _add_counts(total: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    found = np.bincount(ids)
+    if len(found) > len(total):
+        total = np.pad(total, (0, len(found) - len(total)))
+    total[: len(found)] += found
+    return total
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, text_hash, ids (binary) and width (bytes of an id)."""
+    """doc_id, text_hash, ids (binary) and width (bytes of an id); a task's last row holds nothing but ``counts``, how often it has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = encoder(path).kind.itemsize
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = encode_texts(part.column("text").to_pylist(), path, end_id)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "text_hash", "ids", "width"])
+                total = _add_counts(total, _ids(b"".join(ids), width))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
 
+    names = ["doc_id", "text_hash", "ids", "width", "counts"]
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary, width int")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary, width int, counts binary")
 
 
 def _ids(binary, width: int) -> np.ndarray:
@@ -245,17 +235,13 @@ def frequency_order(coded: DataFrame) -> np.ndarray:
     """Ids by falling count over all rows, then by id; at most as many as the vocabulary has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for binary, width in zip(batch.column("ids"), batch.column("width").to_pylist(), strict=True):
-                ids = _ids(binary.as_buffer(), width)
-                if len(ids) and ids.max() >= len(total):
-                    total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
-                total += np.bincount(ids, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-    counts = coded.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for binary in batch.column("counts"):
+                total = np.frombuffer(binary.as_buffer(), np.int64)
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+
+    counts = coded.filter("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()
     return rows["id"].to_numpy(np.int64)[np.lexsort((rows["id"], -rows["n"]))]
 
@@ -268,15 +254,26 @@ _TOTALS = _LENGTHS.sum(1)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit numbers; the last control byte is filled up with zeros."""
+def pack_rows(ranks: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of runs of ``sizes`` unsigned 32-bit numbers; a run's last control byte is filled up with zeros."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     lengths = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = lengths - 1
+    groups = -(-sizes // 4)
+    group_ends, ends = np.cumsum(groups), np.cumsum(sizes)
+    codes = np.zeros(4 * int(group_ends[-1]) if len(groups) else 0, np.uint8)
+    codes[np.arange(len(ranks)) + np.repeat(4 * (group_ends - groups) - (ends - sizes), sizes)] = lengths - 1
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]].tobytes()
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]].tobytes()
+    data_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
+    cuts = [0, *group_ends.tolist()]
+    return [control[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], [data[a:b] for a, b in zip(data_ends, data_ends[1:], strict=False)]
+
+
+def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit numbers."""
+    (control,), (data,) = pack_rows(ranks, np.array([len(ranks)]))
+    return control, data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -311,10 +308,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                arrays = [_ids(b.as_buffer(), w) for b, w in zip(part.column("ids"), part.column("width").to_pylist(), strict=True)]
-                packed = [pack(to_rank[a]) for a in arrays]
+                width = part.column("width")[0].as_py()
+                arrays = [_ids(b.as_buffer(), width) for b in part.column("ids")]
+                sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
+                packed = pack_rows(to_rank[np.concatenate(arrays)], sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(map(len, arrays), pa.int64()), pa.array((p[0] for p in packed), pa.binary()), pa.array((p[1] for p in packed), pa.binary())],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(sizes), *(pa.array(x, pa.binary()) for x in packed)],
                     ["doc_id", "text_hash", "n", "control", "data"],
                 )
 
@@ -340,7 +339,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if ids:
             yield flush()
 
-    rows = coded.mapInArrow(code, "doc_id long, text_hash long, n long, control binary, data binary")
+    rows = coded.filter("counts is null").mapInArrow(code, "doc_id long, text_hash long, n long, control binary, data binary")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     ordered.mapInArrow(blocks, _BLOCK_DDL).withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/blocks", compression="none")
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank)], "rank int, id long").coalesce(1).write.parquet(f"{path}/dictionary")

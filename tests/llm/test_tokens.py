@@ -12,7 +12,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -54,12 +53,34 @@ def test_files_give_the_ids_back(spark, tmp_path):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab'sS \t\n\r\x85\u00a0\u20281½٣’tlvermd.é")), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=40), min_size=1, max_size=6))
-def test_pieces_are_those_of_the_tokenizer(texts):
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab'sS  \t\n\r\x85\x1cĠ\u00a0\u20281½٣’tlvermd.é")), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=40), min_size=1, max_size=6))
+def test_ids_are_those_of_the_tokenizer(texts):
     got = [np.frombuffer(b, "<u2").tolist() for b in tokens.encode_texts(texts, tokens.default_tokenizer())]
     assert got == reference_ids(texts)
 
 
+def test_special_tokens_and_texts_with_equal_polynomial_hashes():
+    one, other = "a", "b"
+    while len(one) < 1024:
+        one, other = one + other, other + one
+    texts = [one, other, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>  <|endoftext|> y", "\x00 \x00\x00 a\x00", "a\u2003 b \u3000c", "中 文 a 中 b", None, ""]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.encode_texts(texts, tokens.default_tokenizer())] == reference_ids(texts)
+
+
+def test_a_full_table_is_emptied(monkeypatch):
+    monkeypatch.setattr(tokens, "POOL", 64)
+    monkeypatch.setattr(tokens, "TEXT_PIECE", 50)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    texts = [" ".join(f"word{i * j % 23} x{i}" for j in range(12)) for i in range(40)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.encode_texts(texts, tokens.default_tokenizer())] == reference_ids(texts)
+
+
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=5))
+def test_rows_are_packed_as_if_each_were_alone(rows):
+    packed = tokens.pack_rows(np.array([x for row in rows for x in row], np.uint32), np.array([len(row) for row in rows], np.int64))
+    assert list(zip(*packed, strict=True)) == [tokens.pack(np.array(row, np.uint32)) for row in rows]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_coding_round_trip(numbers):
     control, data = tokens.pack(np.array(numbers, np.uint32))
