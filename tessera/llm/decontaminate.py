@@ -2,14 +2,19 @@
 
 A text becomes a template: numbers, names and units turn into typed placeholders, words are lower-cased.
 Windows of ``WINDOW`` template tokens are hashed. Documents are scanned in place; only windows that may be in
-the benchmark (a filter of fixed size, without false negatives) leave the scan, and are hash-joined with the
-benchmark's windows. Windows of one document and item with the same shift are one alignment. An alignment
-counts if its slots agree: one value of the item stands for one value of the document all along, and
-different names for different names. Items covered to ``MIN_COVERAGE`` by such alignments are reported.
+the benchmark (a filter sized by the benchmark, without false negatives) leave the scan, and are hash-joined
+with the benchmark's windows. Windows of one document and item with the same shift are one alignment. An
+alignment counts if its slots agree: one value of the item stands for one value of the document all along,
+and different names for different names. Items covered to ``MIN_COVERAGE`` by such alignments are reported, and
+those of which ``MIN_RUN`` tokens in a row stand in a document, in such an alignment or word for word.
 
 A window has up to three forms: as the template has it; with the words that begin a sentence or a line as
 placeholders too, as they may be names; and without names, all words case-folded, so that letter case, by which
 names are told, cannot hide a copy.
+
+Items without a window of enough words (short ones, or such that hold little but numbers) are found by their
+whole template in a fourth form: all its windows, with the same slots, and for items shorter than a window
+only where the document has them as whole sentences.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, staged
@@ -28,10 +33,10 @@ from tessera.llm.common import packed, staged
 WINDOW = 8
 #: Least number of tokens of a window that are no placeholders.
 MIN_LITERALS = 4
-#: Share of an item's template tokens that consistent alignments must cover.
-MIN_COVERAGE = 0.5
-#: Bits of the window filter: 512 KiB, whatever the benchmark's size.
-FILTER_BITS = 22
+#: Share of an item's template tokens that consistent alignments must cover, or tokens in a row, consistent or verbatim.
+MIN_COVERAGE, MIN_RUN = 0.5, 13
+#: Bits of the window filter: 64 for each benchmark window, and at least and at most 2 to these powers (a full filter costs work, no result).
+FILTER_BITS = (16, 27)
 
 #: Units that follow a number, and numbers in words.
 UNITS = frozenset("km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons cup cups h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph".split())
@@ -42,190 +47,289 @@ _ENDS = frozenset(".!?:\n")
 _SIGNS = frozenset("$€£%")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NUMBER, NAME, UNIT, START, FOLDED = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0number", "\0name", "\0unit", "\0start", "\0folded"))
-_PLACEHOLDERS = {"n": int(NUMBER), "p": int(NAME), "u": int(UNIT), "s": int(START)}
+_PLACEHOLDERS = np.array([0, NUMBER, NAME, UNIT, START], np.uint64)
+#: Kinds of template tokens, and the letters that stand for them in slots.
+WORD, NUMERAL, PROPER, MEASURE, OPENER = range(5)
+_LETTERS = "wnpus"
 #: Forms of a window.
-TYPED, OPEN, LITERAL = range(3)
+TYPED, OPEN, LITERAL, WHOLE = range(4)
+#: What a token is by itself.
+IS_END, IS_SIGN, IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_UPPER = (1 << i for i in range(6))
+_SPECIAL = {**dict.fromkeys(_ENDS, IS_END), **dict.fromkeys(_SIGNS, IS_SIGN), **dict.fromkeys(NUMBER_WORDS, IS_NUMBER), **dict.fromkeys(UNITS, IS_UNIT)}
+#: Different tokens that a worker keeps (some 20 MB), and tokens that are worked on at once.
+MAX_KNOWN, AT_ONCE = 1 << 17, 1 << 18
+
+
+class Tokens:
+    """Splits texts into tokens and tells what each token is by itself; keeps the tokens it has met."""
+
+    def __init__(self):
+        self.codes, self.traits = np.zeros(MAX_KNOWN, np.uint64), np.zeros(MAX_KNOWN, np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"\n": 0}
+        self.lower = ["\n"]
+        self.traits[0] = IS_END
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        lowers = "\n".join(new).casefold().split("\n")
+        traits = []
+        for token, lower in zip(new, lowers, strict=True):
+            first = token[0]
+            known = _SPECIAL.get(lower, 0)
+            if first.isupper():
+                known |= IS_UPPER if token.isupper() else IS_UPPER | IS_CAPITAL
+            elif first.isdigit():
+                known |= IS_NUMBER
+            traits.append(known)
+        at = len(self.lower)
+        if at + len(new) > len(self.codes):
+            grown = max(2 * len(self.codes), at + len(new))
+            self.codes, self.traits = np.resize(self.codes, grown), np.resize(self.traits, grown)
+        self.codes[at : at + len(new)] = [xxhash.xxh64_intdigest(lower) for lower in lowers]
+        self.traits[at : at + len(new)] = traits
+        self.number.update(zip(new, range(at, at + len(new)), strict=True))
+        self.lower += lowers
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of all texts, each after an end, and the text of each."""
+        known = self.number
+        found = [_TOKEN.findall(t) for t in texts]
+        new = set().union(*found).difference(known)
+        if len(known) + len(new) > MAX_KNOWN:
+            self.clear()
+            known = self.number
+            new = set().union(*found).difference(known)
+        self._learn(sorted(new))
+        sizes = np.fromiter((len(f) + 1 for f in found), np.int64, len(found))
+        flat: list[int] = []
+        for f in found:
+            flat.append(0)
+            flat.extend(map(known.__getitem__, f))
+        return np.array(flat, np.int32), np.repeat(np.arange(len(texts)), sizes)
+
+
+class Template:
+    """One reading of the tokens of some texts: kinds, codes, first token and text of each template token."""
+
+    def __init__(self, kinds: np.ndarray, words: np.ndarray, tokens: np.ndarray, text: np.ndarray):
+        self.kinds, self.tokens, self.text = kinds, tokens, text
+        self.codes = np.where(kinds == WORD, words, _PLACEHOLDERS[kinds])
+        self.firsts = np.searchsorted(text, np.arange(int(text[-1]) + 2 if len(text) else 1))  # where a text's tokens begin
+
+    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows that lie in one text, their hashes, and how many words each has."""
+        n = max(0, len(self.codes) - window + 1)
+        out = np.zeros(n, np.uint64)
+        for j in range(window):
+            out = out * _BASE + self.codes[j : j + n]
+        words = np.cumsum(np.concatenate([[0], self.kinds == WORD]))
+        at = np.flatnonzero(self.text[:n] == self.text[window - 1 : window - 1 + n])
+        return at, (out ^ (out >> np.uint64(29)))[at], (words[window:] - words[:-window])[:n][at]
+
+
+def readings(numbers: np.ndarray, text: np.ndarray, known: Tokens) -> tuple[Template, Template, np.ndarray, np.ndarray]:
+    """The template with names, the one without, which words of the first may be names that open a sentence, and where sentences begin in the second.
+
+    A number followed by a unit, or a sign, gives a unit. A capitalised word is a name unless a sentence or a
+    line begins with it or it is all capitals (shouted passages are read as words); names in a row are one
+    name. Without names each of their words is a word.
+    """
+    traits, codes = known.traits[numbers], known.codes[numbers]
+    has = lambda bit: (traits & bit) > 0
+    shifted = lambda x: np.concatenate([[False], x[:-1]])
+    end = has(IS_END)
+    begins = shifted(end)
+    plain = np.where(has(IS_SIGN), MEASURE, np.where(has(IS_NUMBER), NUMERAL, WORD))
+    plain[shifted((plain == NUMERAL) & ~end) & has(IS_UNIT) & (plain == WORD)] = MEASURE
+    kinds = np.where((plain == WORD) & ~begins & has(IS_CAPITAL), PROPER, plain)
+    opens = (kinds == WORD) & begins & has(IS_UPPER)
+    named = (kinds == PROPER) & ~end
+    typed, literal = np.flatnonzero(~end & ~(named & shifted(named))), np.flatnonzero(~end)
+    return Template(kinds[typed], codes[typed], typed, text[typed]), Template(plain[literal], codes[literal], literal, text[literal]), opens[typed], begins[literal]
 
 
-def templates(text: str) -> tuple[tuple[list[str], list[str]], list[int], tuple[list[str], list[str]]]:
-    """Kinds and values of a text's template tokens, the places of capitalised words that begin a sentence or a line, and kinds and values without names.
+_KNOWN = Tokens()
 
-    Kinds are ``w`` word, ``n`` number, ``p`` name, ``u`` unit. A capitalised word is a name unless a sentence
-    or a line begins with it or it is all capitals (shouted passages are read as words); names in a row are one
-    name. Without names each of their words is a word.
-    """
-    kinds: list[str] = []
-    values: list[str] = []
-    starts: list[int] = []
-    plain_kinds: list[str] = []
-    plain_values: list[str] = []
-    begins, named, counted = True, False, False
-    for token in _TOKEN.findall(text):
-        first = token[0]
-        if first in _ENDS:
-            begins, named, counted = True, False, False
-            continue
-        lower = token.casefold()
-        plain = "w"
-        if first in _SIGNS:
-            kind = plain = "u"
-        elif first.isdigit() or lower in NUMBER_WORDS:
-            kind = plain = "n"
-        elif counted and lower in UNITS:
-            kind = plain = "u"
-        elif not begins and first.isupper() and not token.isupper():
-            kind = "p"
-        else:
-            kind = "w"
-            if begins and first.isupper():
-                starts.append(len(kinds))
-        plain_kinds.append(plain)
-        plain_values.append(lower)
-        if kind == "p" and named:
-            values[-1] += " " + lower
-        else:
-            kinds.append(kind)
-            values.append(lower)
-        begins, named, counted = False, kind == "p", kind == "n"
-    return (kinds, values), starts, (plain_kinds, plain_values)
-
-
-#: Hashes of words, kept over the texts of a worker.
-_WORDS: dict[str, int] = {}
-
-
-def codes(kinds: list[str], values: list[str]) -> np.ndarray:
-    if len(_WORDS) > 1 << 20:
-        _WORDS.clear()
+
+def _values(template: Template, at: int, window: int, numbers: np.ndarray, known: Tokens) -> list[str]:
+    """The window's placeholders in order, each with its kind's letter in front; a name has all its words."""
     out = []
-    for kind, value in zip(kinds, values, strict=True):
-        code = _PLACEHOLDERS.get(kind)
-        if code is None:
-            code = _WORDS.get(value)
-            if code is None:
-                code = _WORDS[value] = xxhash.xxh64_intdigest(value)
-        out.append(code)
-    return np.array(out, np.uint64)
+    for i in range(at, at + window):
+        kind = template.kinds[i]
+        if kind == WORD:
+            continue
+        first = int(template.tokens[i])
+        words = [known.lower[numbers[first]]]
+        if kind == PROPER:  # the words of a name stand side by side
+            last = first + 1
+            while last < len(numbers) and known.traits[numbers[last]] & IS_CAPITAL and not known.traits[numbers[last]] & (IS_END | IS_SIGN | IS_NUMBER):
+                words.append(known.lower[numbers[last]])
+                last += 1
+        out.append(_LETTERS[kind] + " ".join(words))
+    return out
 
 
-def window_hashes(tokens: np.ndarray, kinds: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether it has words enough."""
-    n = len(tokens) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.zeros(n, np.uint64)
-    for j in range(window):
-        out = out * _BASE + tokens[j : j + n]
-    words = np.cumsum(np.concatenate([[0], np.array(kinds) == "w"]))
-    return out ^ (out >> np.uint64(29)), words[window:] - words[:-window] >= min(MIN_LITERALS, window)
+_WINDOWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("form", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("tokens", pa.int32()), ("length", pa.int32()), ("text_hash", pa.int64())])
+_DDL = "key long, hash long, form int, place int, slots array<string>, tokens int, length int, text_hash long"
 
 
-def _slots(kinds: list[str], values: list[str], at: int, window: int) -> list[str]:
-    """The window's placeholders in order, each with its type's letter in front."""
-    return [k + v for k, v in zip(kinds[at : at + window], values[at : at + window], strict=True) if k != "w"]
+class Filter:
+    """Three bits for each hash; hashes that are not in it may pass, those that are always do."""
 
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, (64 * len(words)).bit_length() - 1
 
-_WINDOWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("form", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("tokens", pa.int32()), ("text_hash", pa.int64())])
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        mask = np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(hashes), bool)
+        for p in (hashes & mask, hashes >> np.uint64(64 - self.bits), hashes >> np.uint64(19) & mask):
+            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(_WINDOWS)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
-
-
-def _forms(text: str, window: int) -> Iterator[tuple[int, list[str], list[str], np.ndarray, np.ndarray]]:
-    """Form, kinds, values, hashes of the windows and whether a window is to be used."""
-    (kinds, values), starts, (plain_kinds, plain_values) = templates(text)
-    tokens = codes(kinds, values)
-    yield TYPED, kinds, values, *window_hashes(tokens, kinds, window)
-    if starts:
-        tokens[starts] = START
-        opened = kinds.copy()
-        for at in starts:
-            opened[at] = "s"
-        hashes, rich = window_hashes(tokens, opened, window)
-        begun = np.cumsum(np.concatenate([[0], tokens == START]))
-        yield OPEN, opened, values, hashes, rich & (begun[window:] > begun[:-window])[: len(rich)]
-    hashes, rich = window_hashes(codes(plain_kinds, plain_values), plain_kinds, window)
-    yield LITERAL, plain_kinds, plain_values, hashes ^ FOLDED, rich
-
-
-def _windows(rows: DataFrame, window: int, bits: np.ndarray | None) -> DataFrame:
+def _forms(texts: list[str], window: int, lengths: list[int], wanted: Filter | None, min_coverage: float) -> Iterator[tuple[int, int, int, int, list[str], int, int]]:
+    """Text, hash, form, place, slots, tokens of the text's template and length of each window; only those that may be ``wanted``.
+
+    Without a filter the texts are items. ``lengths``: those of short items, which documents are searched for
+    sentence by sentence.
+    """
+    numbers, text = _KNOWN(texts)
+    typed, literal, opens, begins = readings(numbers, text, _KNOWN)
+
+    def rows(template: Template, form: int, at: np.ndarray, hashes: np.ndarray, length: int) -> Iterator[tuple]:
+        if wanted is not None and len(at):
+            passed = wanted(hashes)
+            at, hashes = at[passed], hashes[passed]
+        for place, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+            t = int(template.text[place])
+            yield t, h, form, place - int(template.firsts[t]), _values(template, place, length, numbers, _KNOWN), int(template.firsts[t + 1] - template.firsts[t]), length
+
+    least = min(MIN_LITERALS, window)
+    at, hashes, words = typed.windows(window)
+    yield from rows(typed, TYPED, at[words >= least], hashes[words >= least], window)
+    if opens.any():
+        opened = Template(np.where(opens, OPENER, typed.kinds), typed.codes, typed.tokens, typed.text)
+        at, hashes, words = opened.windows(window)
+        count = np.cumsum(np.concatenate([[0], opens]))
+        fit = (words >= least) & (count[at + window] > count[at])
+        yield from rows(opened, OPEN, at[fit], hashes[fit], window)
+    at, hashes, words = literal.windows(window)
+    yield from rows(literal, LITERAL, at[words >= least], hashes[words >= least] ^ FOLDED, window)
+    whole = ~hashes
+    if wanted is None:  # items: all windows of those whose windows with words enough cover too little, or that are shorter than one
+        rim = np.zeros(len(literal.codes) + 1, np.int64)
+        np.add.at(rim, at[words >= least], 1)
+        np.add.at(rim, at[words >= least] + window, -1)
+        covered = np.bincount(literal.text, np.cumsum(rim[:-1]) > 0)
+        sizes = np.diff(literal.firsts)
+        poor = (covered < min_coverage * sizes)[literal.text[at]]
+        yield from rows(literal, WHOLE, at[poor], whole[poor], window)
+        for length in np.unique(sizes[(sizes > 0) & (sizes < window)]).tolist():
+            at, hashes, _ = literal.windows(length)
+            yield from rows(literal, WHOLE, at[sizes[literal.text[at]] == length], ~hashes[sizes[literal.text[at]] == length], length)
+        return
+    yield from rows(literal, WHOLE, at, whole, window)
+    ends = np.append(begins[1:], True)
+    for length in lengths:
+        at, hashes, _ = literal.windows(length)
+        sentence = begins[at] & ends[at + length - 1]
+        yield from rows(literal, WHOLE, at[sentence], ~hashes[sentence], length)
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``AT_ONCE`` tokens; a longer text is a run of its own."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text) // 4
+        if size > AT_ONCE or i == len(texts) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
+
+
+def _windows(rows: DataFrame, window: int, lengths: list[int], wanted: Filter | None, min_coverage: float) -> DataFrame:
     """Windows of (key, text, text_hash), or those that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         for batch in batches:
-            for key, text, text_hash in zip(*(batch.column(c) for c in ("key", "text", "text_hash")), strict=True):
-                for form, kinds, values, hashes, rich in _forms(text.as_py() or "", window):
-                    if bits is not None and len(hashes):
-                        rich &= _passes(bits, hashes)
-                    for at in np.flatnonzero(rich).tolist():
-                        out.append((key.as_py(), int(hashes[at].view(np.int64)), form, at, _slots(kinds, values, at, window), len(kinds), text_hash.as_py()))
-                        if len(out) >= 10_000:
-                            yield _batch(out)
-                            out = []
-        if out:
-            yield _batch(out)
-
-    return rows.mapInArrow(run, "key long, hash long, form int, place int, slots array<string>, tokens int, text_hash long")
-
-
-def _bit_places(hashes: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return [hashes & mask, hashes >> np.uint64(64 - FILTER_BITS)]
-
-
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    for p in _bit_places(hashes):
-        out &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
+            keys, hashes = batch.column("key").to_pylist(), batch.column("text_hash").to_pylist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            out: list[tuple] = []
+            for a, b in _parts(texts):
+                for t, *fields in _forms(texts[a:b], window, lengths, wanted, min_coverage):
+                    out.append((keys[a + t], *fields, hashes[a + t]))
+                    if len(out) >= 10_000:
+                        yield _batch(out)
+                        out = []
+            if out:
+                yield _batch(out)
 
+    return rows.mapInArrow(run, _DDL)
 
-def window_filter(windows: DataFrame) -> np.ndarray:
-    """Both bit places of every hash, gathered as words of 64 bits: at most 2**16 rows reach the driver."""
-    places = F.array(F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long")), F.shiftrightunsigned("hash", 64 - FILTER_BITS))
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _WINDOWS, strict=True)], schema=_WINDOWS)
+
+
+def window_filter(windows: DataFrame) -> Filter:
+    """The bit places of every hash, gathered as words of 64 bits: at most 16 MB reach the driver."""
+    n = windows.count()
+    bits = min(max((64 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    mask = F.lit((1 << bits) - 1).cast("long")
+    places = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 64 - bits), F.shiftrightunsigned("hash", 19).bitwiseAND(mask))
     p = windows.select(F.explode(places).alias("p"))
-    words = p.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.collect():
-        out[row.word] = row.bits
-    return out.view(np.uint64)
+    words = p.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return Filter(out.view(np.uint64))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, text_hash, item_id, coverage (share of the item's tokens), windows, and reparameterised (some slot differs), a row for each leak.
+    """doc_id, text_hash, item_id, coverage (share of the item's tokens), windows, reparameterised (some slot differs) and run (most tokens in a row), a row for each leak.
 
-    Null and empty texts hold nothing; items of fewer than ``window`` tokens, or with too few words in any
-    window, are not looked for (their coverage could not tell a leak from a common phrase); rows repeated
-    with the same id and text are one; an empty benchmark or table gives no row. Texts are read whole.
+    Null and empty texts and items hold nothing. Items of fewer than ``window`` tokens are found where a
+    document has them, with the same numbers, as whole sentences; items with too few words in all windows are
+    found with the same numbers only. Rows repeated with the same id and text are one; an empty benchmark or
+    table gives no row. Texts are read whole. No column but id and text is looked at, whatever its name.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), "text", F.xxhash64("text").alias("text_hash"))
-    wanted = staged(_windows(items, window, None), "benchmark-windows")
-    bits = window_filter(wanted)
+    wanted = staged(_windows(items, window, [], None, min_coverage), "benchmark-windows")
+    lengths = sorted(r.length for r in wanted.filter(F.col("length") < window).select("length").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.xxhash64("text").alias("text_hash"))
-    found = staged(_windows(rows, window, bits).drop("tokens"), "candidate-windows")
-    wanted = wanted.select(F.col("key").alias("item_id"), "hash", "form", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "tokens")
-    hits = found.withColumnRenamed("key", "doc_id").join(wanted, ["hash", "form"]).filter(F.transform("slots", lambda s: F.substring(s, 1, 1)) == F.transform("item_slots", lambda s: F.substring(s, 1, 1)))
+    found = staged(_windows(rows, window, lengths, window_filter(wanted), min_coverage).drop("tokens"), "candidate-windows")
+    wanted = wanted.select(F.col("key").alias("item_id"), "hash", "form", "length", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "tokens")
+    hits = found.withColumnRenamed("key", "doc_id").join(wanted, ["hash", "form", "length"])
+    hits = hits.filter(F.when(F.col("form") == WHOLE, F.col("slots") == F.col("item_slots")).otherwise(F.transform("slots", lambda s: F.substring(s, 1, 1)) == F.transform("item_slots", lambda s: F.substring(s, 1, 1))))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    opened = F.col("form") == OPEN
-    aligned = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("form") == LITERAL).alias("literal"), (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set(F.when(~opened, F.col("item_place"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(~opened, pairs)))).alias("pairs"),
-        F.collect_set("item_place").alias("all_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("all_pairs"), F.max("tokens").alias("tokens"),
-    )
+    reading = F.when(F.col("form") == OPEN, TYPED).otherwise(F.col("form"))
+    one = F.struct(F.col("item_place").alias("place"), (F.col("form") == OPEN).alias("opened"), pairs.alias("pairs"))
+    aligned = hits.groupBy("doc_id", "text_hash", "item_id", reading.alias("reading"), "length", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set(one).alias("all"), F.max("tokens").alias("tokens"))
+    plain, values = F.filter("all", lambda x: ~x["opened"]), lambda xs: F.array_distinct(F.flatten(F.transform(xs, lambda x: x["pairs"])))
     one_to_one = lambda ps, side: F.size(F.array_distinct(F.transform(ps, lambda p: p[side]))) == F.size(ps)
-    agree = lambda ps: one_to_one(F.col(ps), "item") & one_to_one(F.filter(ps, lambda p: F.startswith(p["item"], F.lit("p"))), "doc")
-    of = lambda places, ps: F.struct(F.col(places).alias("places"), F.col(ps).alias("pairs"))
+    agree = lambda ps: one_to_one(ps, "item") & one_to_one(F.filter(ps, lambda p: F.startswith(p["item"], F.lit("p"))), "doc")
     # words that begin sentences are slots only as long as they agree
-    consistent = aligned.withColumn("kept", F.when(agree("all_pairs"), of("all_places", "all_pairs")).when(agree("pairs"), of("places", "pairs"))).filter("size(kept.places) > 0")
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("kept.places")), lambda p: F.sequence(p, p + window - 1)))))
-    forms = consistent.groupBy("doc_id", "text_hash", "item_id", "literal").agg(
-        (covered / F.max("tokens")).alias("coverage"), F.sum(F.size("kept.places")).cast("long").alias("windows"), F.max(F.exists("kept.pairs", lambda p: p["item"] != p["doc"])).alias("reparameterised")
-    )
-    best = F.max(F.struct("coverage", (~F.col("literal")).alias("typed"), "windows", "reparameterised")).alias("best")
-    out = forms.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.coverage", "best.windows", "best.reparameterised")
-    return out.filter(F.col("coverage") >= min_coverage)
+    kept = F.when(agree(values(F.col("all"))), F.col("all")).when(agree(values(plain)), plain).otherwise(F.slice("all", 1, 0))
+    aligned = aligned.withColumn("kept", kept).withColumn("verbatim", F.filter("all", lambda x: F.forall(x["pairs"], lambda p: p["item"] == p["doc"])))
+    aligned = aligned.withColumn("run", F.greatest(_longest_run("kept"), _longest_run("verbatim"))).filter((F.size("kept") > 0) | (F.col("run") >= MIN_RUN))
+    forms = aligned.groupBy("doc_id", "text_hash", "item_id", "reading").agg(
+        F.flatten(F.collect_list(F.transform("kept", lambda x: F.sequence(x["place"], x["place"] + F.col("length") - 1)))).alias("covered"), F.max("tokens").alias("tokens"), F.max("run").alias("run"),
+        F.sum(F.greatest(F.size("kept"), F.size("verbatim"))).cast("long").alias("windows"), F.max(F.exists("kept", lambda x: F.exists(x["pairs"], lambda p: p["item"] != p["doc"]))).alias("reparameterised"),
+    )
+    forms = forms.withColumn("coverage", F.size(F.array_distinct(F.flatten("covered"))) / F.col("tokens"))
+    forms = forms.filter(F.when(F.col("reading") == WHOLE, F.col("coverage") == 1).otherwise((F.col("coverage") >= min_coverage) | (F.col("run") >= MIN_RUN)))
+    best = F.max(F.struct("coverage", (F.col("reading") != LITERAL).alias("typed"), "windows", "reparameterised", "run")).alias("best")
+    return forms.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.coverage", "best.windows", "best.reparameterised", "best.run")
+
+
+def _longest_run(windows: str) -> Column:
+    """Tokens in the longest row of ``windows`` (structs with ``place``) that touch or overlap."""
+    places = F.array_sort(F.array_distinct(F.transform(windows, lambda x: x["place"])))
+    start = lambda a, p: F.when(p <= a["upto"], a["start"]).otherwise(p)
+    step = lambda a, p: F.struct(start(a, p).alias("start"), (p + F.col("length")).alias("upto"), F.greatest(a["best"], p + F.col("length") - start(a, p)).alias("best"))
+    return F.aggregate(places, F.struct(F.lit(0).alias("start"), F.lit(-1).alias("upto"), F.lit(0).alias("best")), step, lambda a: a["best"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

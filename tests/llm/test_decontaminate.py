@@ -1,5 +1,10 @@
+import random
 import re
 
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
+
 from tessera.llm import decontaminate
 from tests.llm.helpers import odd_documents, table
 
@@ -59,3 +64,57 @@ def test_letter_case_hides_nothing(spark):
     got = found(docs, items)
     assert set(got) == {(i, i // 3 + 1) for i in range(9)} | {(9, 3)}
     assert got[9, 3].reparameterised and got[9, 3].coverage == 1 and not any(got[i, i // 3 + 1].reparameterised for i in range(9))
+
+
+def test_short_items_and_items_of_numbers(spark):
+    numbers = "1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13 and 8 + 9 = 17 sum"
+    items = spark.createDataFrame([(1, "What is 12 times 9?"), (2, numbers), (3, "Yes.")], "item_id long, text string")
+    docs = [(1, "A question: What is 12 times 9? Nobody knows."), (2, "what is 12 times 9"), (3, "What is 12 times 8?"), (4, "So what is 12 times 9 then"), (5, f"Sums: {numbers}"), (6, numbers.replace("13", "14")), (7, "no yes no"), (8, "no. yes! no")]
+    assert set(found(spark.createDataFrame(docs, "doc_id long, text string"), items)) == {(1, 1), (2, 1), (5, 2), (8, 3)}
+
+
+def test_long_runs_and_one_changed_number(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    item = " ".join(words[:60] + ["12", *words[60:90], "12", *words[90:200]])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, "x " + " ".join(words[20:33]) + " y"), (2, "x " + " ".join(words[20:32]) + " y"), (3, item.replace("12", "13", 1)), (4, " ".join(words[200:]))]
+    assert set(found(spark.createDataFrame(docs, "doc_id long, text string"), items)) == {(1, 1), (3, 1)}
+
+
+def plain_template(text):
+    """Kinds and values of the template with names, token by token."""
+    kinds, values, begins, last = [], [], True, ""
+    for token in re.findall(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['\u2019][^\W\d_]+)?|[.!?:\n]|[$\u20ac\u00a3%]", text):
+        if token in ".!?:\n":
+            begins, last = True, ""
+            continue
+        low = token.casefold()
+        if token in "$\u20ac\u00a3%":
+            kind = "u"
+        elif token[0].isdigit() or low in decontaminate.NUMBER_WORDS:
+            kind = "n"
+        elif last == "n" and low in decontaminate.UNITS:
+            kind = "u"
+        else:
+            kind = "p" if not begins and token[0].isupper() and not token.isupper() else "w"
+        if kind == last == "p":
+            values[-1] += " " + low
+        else:
+            kinds.append(kind)
+            values.append(low)
+        begins, last = False, kind
+    return kinds, values
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "Tom", "Ann", "USA", "12", "km", "three", ".", ":", "$", "\n", "Haus", "it's", "m"]), max_size=25).map(" ".join), min_size=1, max_size=4))
+def test_templates_against_a_plain_reading(texts):
+    known = decontaminate.Tokens()
+    numbers, text = known(texts)
+    typed = decontaminate.readings(numbers, text, known)[0]
+    for i, t in enumerate(texts):
+        kinds, values = plain_template(t)
+        at = np.flatnonzero(typed.text == i)
+        assert "".join("wnpu"[k] for k in typed.kinds[at]) == "".join(kinds)
+        slots = [v for a in at for v in decontaminate._values(typed, int(a), 1, numbers, known)]
+        assert slots == [k + v for k, v in zip(kinds, values, strict=True) if k != "w"]
