@@ -30,6 +30,8 @@ SEED = 42
 PIECE = 4 << 20
 #: Rows gathered before complete buckets are compared, and the bucket size from which a bucket is compared by tiles.
 GATHER, TILED = 1 << 19, 48
+#: Words of planes that are compared at once in a large bucket.
+TILE_WORDS = 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,14 +85,6 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return int.from_bytes(_majority(hashed, 8), "little", signed=True)
 
 
-def _word_set_fingerprint(data: bytes) -> int:
-    seen: set[bytes] = set()
-    for words in pieces_of_words(data):
-        seen.update(words)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in seen), np.uint64, len(seen)).view(np.uint8).reshape(-1, 8)
-    return int.from_bytes(_majority(iter([hashed]), 8), "little", signed=True)
-
-
 def _distinct_shingles(data: bytes, k: int) -> np.ndarray:
     """128-bit hashes (two columns) of the distinct shingles, sorted by the first column, by which shingles are told apart."""
     parts = [np.frombuffer(b"".join(xxhash.xxh3_128_digest(s, SEED) for s in group), np.uint64).reshape(-1, 2) for group in shingles(data, k)]
@@ -117,11 +111,16 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 # Bit-sliced comparison
 
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (64-bit numbers, or rows of them), one row for each bit."""
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").T
+
+
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 planes of packed words; bit i of plane b is bit b of fingerprint i, padded with zeros."""
-    n = len(fps)
-    bits = np.zeros((64, -(-n // 64) * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    """A plane of packed words for each bit; bit i of plane b is bit b of fingerprint i, padded with zeros."""
+    n, of = len(fps), _bits(fps)
+    bits = np.zeros((len(of), -(-n // 64) * 64), np.uint8)
+    bits[:, :n] = of
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -140,7 +139,7 @@ def within(left: np.ndarray, li: np.ndarray, right: np.ndarray, ri: np.ndarray,
     alive = np.flatnonzero(valid)
     counter = [np.zeros(len(alive), np.uint64) for _ in range(digits)]
     over = ~valid[alive]
-    for b in range(0, 64, 2):
+    for b in range(0, len(left), 2):
         x = left[b][li[alive]] ^ right[b][ri[alive]]
         y = left[b + 1][li[alive]] ^ right[b + 1][ri[alive]]
         low = counter[0]
@@ -179,11 +178,11 @@ def _lanes(words: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words[at], lane
 
 
-def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within the radius inside the buckets that begin at ``starts`` (rows sorted by bucket)."""
+def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within the radius, and not of one ``group``, inside the buckets that begin at ``starts`` (rows sorted by bucket)."""
     sizes = np.diff(np.append(starts, len(fps)))
     for at, m in zip(starts[sizes > TILED], sizes[sizes > TILED], strict=True):
-        yield from _tiled(fps[at : at + m], int(at), radius)
+        yield from _tiled(fps[at : at + m], int(at), radius, None if group is None else group[at : at + m])
     small = (sizes > 1) & (sizes <= TILED)
     order = np.argsort(-sizes[small], kind="stable")
     starts, sizes = starts[small][order], sizes[small][order]
@@ -198,6 +197,8 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[t
             planes = bit_planes(fps[rows])
         valid = np.zeros(planes.shape[1] * 64, np.uint8)
         valid[: len(rows)] = rows + k < ends
+        if group is not None:
+            valid[: len(rows)] &= group[rows] != group[np.minimum(rows + k, len(fps) - 1)]
         words = np.arange(planes.shape[1])
         found, lanes = within(planes, words, _shifted(planes, k), words, _packed(valid), radius)
         word, lane = _lanes(found, lanes)
@@ -213,22 +214,24 @@ def _shifted(planes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _tiled(fps: np.ndarray, base: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tiled(fps: np.ndarray, base: int, radius: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A large bucket: tiles of queries against words of the planes."""
     n = len(fps)
     planes = bit_planes(fps)
     words = planes.shape[1]
-    step = max(1, (1 << 18) // words)
+    step = max(1, TILE_WORDS // words)
     lane_index = np.arange(words * 64).reshape(words, 64)
+    padded = None if group is None else np.pad(group, (0, words * 64 - n)).reshape(words, 64)
     for q in range(0, n, step):
         queries = np.arange(q, min(n, q + step))
-        bits = np.unpackbits(fps[queries].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-        spread = np.where(bits, ALL, np.uint64(0))
+        spread = np.where(_bits(fps[queries]), ALL, np.uint64(0))
         first = q // 64
         wi = np.tile(np.arange(first, words), len(queries))
         qi = np.repeat(np.arange(len(queries)), words - first)
-        valid = _packed(((lane_index[first:][None] > queries[:, None, None]) & (lane_index[first:][None] < n)).astype(np.uint8)).reshape(-1)
-        found, lanes = within(planes, wi, spread, qi, valid, radius)
+        valid = (lane_index[first:][None] > queries[:, None, None]) & (lane_index[first:][None] < n)
+        if padded is not None:
+            valid &= padded[first:][None] != group[queries][:, None, None]
+        found, lanes = within(planes, wi, spread, qi, _packed(valid.astype(np.uint8)).reshape(-1), radius)
         at, lane = _lanes(np.arange(len(found)), lanes)
         if len(at):
             yield base + queries[qi[found[at]]], base + wi[found[at]] * 64 + lane
@@ -284,69 +287,69 @@ def table_masks(blocks: int, equal: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(runs, equal))]
 
 
-def links(nodes: DataFrame, radius: int, blocks: int, wide_radius: int | None = None) -> DataFrame:
-    """(a, b) that span the links among ``nodes`` (node, fp and, if ``wide_radius`` is given, wide: 16 bytes).
-
-    Two nodes are linked if their fps differ in at most ``radius`` bits and their wide fingerprints in at most
-    ``wide_radius``. All such links connect the same nodes as those returned.
-    """
-    wide = ["wide"] if wide_radius is not None else []
+def links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(a, b) that span the links among ``nodes`` (node, fp): two nodes are linked if their fps differ in at most ``radius`` bits. All links connect the same nodes as those returned."""
     masks = table_masks(blocks, blocks - radius)
     spread = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)]))
-    keyed = nodes.select("node", "fp", *wide, spread.alias("k")).select("node", "fp", *wide, "k.table", "k.key")
+    keyed = nodes.select("node", "fp", spread.alias("k")).select("node", "fp", "k.table", "k.key")
 
-    def compare(node: np.ndarray, fp: np.ndarray, wides: np.ndarray | None, starts: np.ndarray) -> pa.RecordBatch:
-        lefts, rights, weights = [], [], []
+    def compare(node: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        held: list[np.ndarray] = []
         for i, j in bucket_links(fp, starts, radius):
-            if wides is not None:
-                distance = np.bitwise_count(wides[i] ^ wides[j]).sum(1)
-                near = distance <= wide_radius
-                i, j, distance = i[near], j[near], distance[near]
-            else:
-                distance = np.bitwise_count(fp[i] ^ fp[j])
-            lefts.append(node[i])
-            rights.append(node[j])
-            weights.append(distance.astype(np.int16))
-            if sum(map(len, lefts)) > 1 << 21:
-                kept = forest(np.concatenate(lefts), np.concatenate(rights), np.concatenate(weights))
-                lefts, rights, weights = ([np.concatenate(x)[kept]] for x in (lefts, rights, weights))
-        if lefts:
-            a, b = np.concatenate(lefts), np.concatenate(rights)
-            kept = forest(a, b, np.concatenate(weights))
-            a, b = np.minimum(a[kept], b[kept]), np.maximum(a[kept], b[kept])
-        else:
-            a = b = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held.append(np.stack([node[i], node[j], np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)]))
+            if sum(x.shape[1] for x in held) > 1 << 20:
+                held = [_lightest(np.concatenate(held, axis=1))]
+        out = _lightest(np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(out[0], out[1])), pa.array(np.maximum(out[0], out[1]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush(last: bool) -> pa.RecordBatch | None:
-            nonlocal held, size
-            node, fp, wides, table, key = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-            new = np.flatnonzero(np.append(True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
-            cut = len(node) if last else new[-1]  # the last bucket may go on
-            held = [tuple(None if x is None else x[cut:] for x in (node, fp, wides, table, key))]
-            size = len(node) - cut
-            return compare(node[:cut], fp[:cut], None if wides is None else wides[:cut], new[new < cut]) if cut else None
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", "table", "key")]
-            wides = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, 2) if wide else None
-            held.append((columns[0], columns[1].view(np.uint64), wides, columns[2], columns[3]))
-            size += batch.num_rows
-            if size >= GATHER and (out := flush(False)) is not None:
-                yield out
-        if held and size:
-            yield flush(True)
+        for (node, fp, table, key), starts in _whole_buckets(batches, ("node", "fp", "table", "key"), 2):
+            yield compare(node, fp.view(np.uint64), starts)
 
     sorted_rows = keyed.repartition(partitions(nodes.sparkSession), "table", "key").sortWithinPartitions("table", "key", "node")  # by node too, so that reruns choose the same forest
     return sorted_rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _lightest(edges: np.ndarray) -> np.ndarray:
+    """Of edges (rows: two nodes and a weight) a lightest forest."""
+    return edges[:, forest(*edges)]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], n_keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of some ``GATHER`` sorted rows at a time, always whole buckets (equal in the last ``n_keys`` columns), and where buckets begin."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def cut(last: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        nonlocal held, size
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        change = np.zeros(len(rows[0]) - 1, bool)
+        for key in rows[-n_keys:]:
+            change |= key[1:] != key[:-1]
+        starts = np.flatnonzero(np.append(True, change))
+        upto = len(rows[0]) if last else int(starts[-1])  # the last bucket may go on
+        held, size = [[x[upto:] for x in rows]], len(rows[0]) - upto
+        if upto:
+            yield [x[:upto] for x in rows], starts[starts < upto]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([_array(batch.column(c)) for c in columns])
+        size += batch.num_rows
+        if size >= GATHER:
+            yield from cut(False)
+    if size:
+        yield from cut(True)
+
+
+def _array(column: pa.Array) -> np.ndarray:
+    """Numbers, or rows of 64-bit numbers from binaries of one length."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have an edge: the smallest node of their component. Alternating stars, each round staged."""
     edges = staged(edges.select("a", "b"), "edges")
@@ -388,10 +391,14 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 # One document of each group
 
-#: Radii of the first pass, which joins most of a group with few links. What it misses is found by the prefixes.
-WORD_SET_RADIUS, WORD_SET_BLOCKS, WIDE_RADIUS = 8, 10, 28
+#: Bits (of 128) in which fingerprints of sets of Jaccard 0.8 differ at most: 20 are expected, a standard deviation is 4.
+WIDE_RADIUS = 40
+#: Least shingles by hash that the first pass meets in, how many followers a row is compared with, and least rare shingles that later passes meet in.
+SKETCH, FOLLOWERS, RARE = 4, 4, 16
 #: Documents from which frequent shingles are learned, and how many of those are kept. Both change the work, not the result.
 COMMON_FROM, MAX_COMMON = 5_000, 1 << 17
+#: Rows of a bucket from which it is split into cells, and rows that are broadcast at most.
+CELL, MAX_BROADCAST = 1 << 13, 1 << 20
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -399,140 +406,189 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _set_batches(docs: DataFrame, k: int, schema: str, columns: Callable[[list[bytes], list[np.ndarray]], list[pa.Array]], *kept: str) -> DataFrame:
-    """``kept`` columns of ``docs`` and what ``columns`` makes of lower-cased texts and their distinct shingles."""
+def _set_batches(docs: DataFrame, k: int, schema: str, columns: Callable[[list[np.ndarray]], list[pa.Array]], *kept: str) -> DataFrame:
+    """``kept`` columns of ``docs`` and what ``columns`` makes of the distinct shingles of lower-cased texts."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [_lower(t.as_py()) for t in part.column("text")]
-                made = columns(texts, [_distinct_shingles(t, k) for t in texts])
+                made = columns([_distinct_shingles(_lower(t.as_py()), k) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _longs(rows: list[np.ndarray]) -> pa.Array:
-    return pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
+    return pa.array([np.ascontiguousarray(r).view(np.int64) for r in rows], pa.list_(pa.int64()))
 
 
 def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (sorted) of shingles that more than one of some texts hold, and in how many."""
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, COMMON_FROM / max(1, total))))).select("text").distinct()
-    sets = _set_batches(some, k, "shingles array<long>", lambda _, found: [_longs([np.ascontiguousarray(f[:, 0]) for f in found])])
+    sets = _set_batches(some, k, "shingles array<long>", lambda found: [_longs([f[:, 0] for f in found])])
     rows = sets.select(F.explode("shingles").alias("id")).groupBy("id").count().filter("count > 1").orderBy(F.desc("count"), "id").limit(MAX_COMMON).toArrow()
     ids, counts = rows.column("id").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(ids)
     return ids[order], counts[order]
 
 
-def _prefix(ids: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest elements of a set, in the order that all sets follow: by frequency, then by id."""
+def meeting_places(ids: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Elements of a set (sorted ids) of which it shares one with every set of Jaccard ``similarity``.
+
+    All sets follow one order, rare elements first, then by id, which is a hash. The first ``prefix_length``
+    elements always do. If half of a set is rare, its rare elements alone have a similarity of 0.6 or more with
+    those of the other (for 0.8), and as their order is one of hashes, the first ``RARE`` of them have nothing
+    in common with a chance of 0.4 ** 16.
+    """
     frequency = np.zeros(len(ids), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], ids), len(common[0]) - 1)
         frequency = np.where(common[0][at] == ids, common[1][at], 0)
-    return ids[np.lexsort((ids, frequency))[: prefix_length(len(ids), similarity)]]
+    length = prefix_length(len(ids), similarity)
+    if 2 * np.count_nonzero(frequency == 0) >= len(ids):
+        length = min(length, RARE)
+    return ids[np.lexsort((ids, frequency))[:length]]
 
 
-def _wide_prints(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+def _prints(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     common = common_shingles(docs, k)
 
-    def columns(texts: list[bytes], found: list[np.ndarray]) -> list[pa.Array]:
+    def columns(found: list[np.ndarray]) -> list[pa.Array]:
         ids = [np.ascontiguousarray(f[:, 0]) for f in found]
         return [
-            pa.array(map(_set_name, ids), pa.int64()), pa.array(map(_word_set_fingerprint, texts), pa.int64()),
-            pa.array((_majority(iter([f.view(np.uint8).reshape(-1, 16)]), 16) for f in found), pa.binary()),
-            pa.array(map(len, ids), pa.int64()), _longs([_prefix(x, common, similarity) for x in ids]),
+            pa.array(map(_set_name, ids), pa.int64()), pa.array((_majority(iter([f.view(np.uint8).reshape(-1, 16)]), 16) for f in found), pa.binary()),
+            pa.array(map(len, ids), pa.int64()), _longs([x[:SKETCH] for x in ids]), _longs([meeting_places(x, common, similarity) for x in ids]),
         ]
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return _set_batches(rows, k, "doc_id long, text_hash long, node long, fp long, wide binary, n long, prefix array<long>", columns, "doc_id", "text_hash")
-
-
-def prefix_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all ``nodes`` (node, root, n, prefix) of different roots that share an element of their prefixes and whose sizes allow ``similarity``."""
-    keyed = nodes.select("node", "root", "n", F.explode("prefix").alias("key"))
-
-    def pairs(key: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        live = np.repeat(mixed, np.diff(np.append(starts, len(key))))
-        key, n, node, root = (x[live] for x in (key, n, node, root))
-        i, step, held, size = np.arange(len(key)), 0, [], 0
-        while len(i):
-            step += 1
-            i = i[i + step < len(key)]
-            i = i[(key[i] == key[i + step]) & (n[i] >= similarity * n[i + step] - 1e-9)]  # sizes rise within a key, so what fails here fails further on
-            apart = i[root[i] != root[i + step]]
-            held.append(np.stack([np.minimum(node[apart], node[apart + step]), np.maximum(node[apart], node[apart + step])]))
-            size += len(apart)
-            if size and (size > 1 << 20 or not len(i)):
-                out = np.unique(np.concatenate(held, axis=1), axis=1)
-                held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+    return _set_batches(rows, k, "doc_id long, text_hash long, node long, fp binary, n long, sketch array<long>, keys array<long>", columns, "doc_id", "text_hash")
+
+
+def neighbour_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) of ``nodes`` (node, fp, sketch), at most one for each b: the a < b with the nearest fp, within the radius, among rows that follow each other under a shingle of the sketch. Rows of one shingle need not meet in one task."""
+    keyed = nodes.select("node", "fp", F.explode("sketch").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
+        tail: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(c).to_numpy() for c in ("key", "n", "node", "root")])
-            size += batch.num_rows
-            if size >= GATHER:
-                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
-                if cut:
-                    yield from pairs(*(x[:cut] for x in rows))
-                held, size = [[x[cut:] for x in rows]], len(rows[0]) - cut
-        if size:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    rows = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "n", "node")
+            rows = [_array(batch.column(c)) for c in ("node", "fp", "key")]
+            if tail is not None:
+                rows = [np.concatenate(x) for x in zip(tail, rows, strict=True)]
+            node, fp, key = rows
+            tail = [x[-FOLLOWERS:] for x in rows]
+            planes, words = bit_planes(fp), np.arange(-(-len(node) // 64))
+            for step in range(1, min(FOLLOWERS + 1, len(node))):
+                valid = np.zeros(len(words) * 64, np.uint8)
+                valid[: len(node) - step] = key[:-step] == key[step:]
+                word, lane = _lanes(*within(planes, words, _shifted(planes, step), words, _packed(valid), radius))
+                i = word * 64 + lane
+                j = i + step
+                distance = np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), distance)], ["a", "b", "distance"])
+
+    rows = keyed.repartitionByRange(partitions(nodes.sparkSession), "key", "fp", "node").sortWithinPartitions("key", "fp", "node")
+    pairs = rows.mapInArrow(run, "a long, b long, distance long").filter("a <> b")
+    return pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select("best.a", "b")
+
+
+def meeting_links(nodes: DataFrame, similarity: float, spanning: bool, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share a key, whose fps lie within the radius and whose sizes allow ``similarity``.
+
+    ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys whose
+    rows have one root are left out; those of many rows are split into cells of two parts each.
+    """
+    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
+    met = staged(met.select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("parts")), "meeting-keys")
+    split = keyed.join(met, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
+
+    def compare(node: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        for i, j in bucket_links(fp, starts, radius, root):
+            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+            fits &= (cell[i] // 1_000_003 == cell[i] % 1_000_003) | (part[i] != part[j])
+            i, j = i[fits], j[fits]
+            if len(i):
+                yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            found = np.concatenate(held, axis=1)
+            found = found[:, forest(*found[:3])] if spanning else found
+            held = []
+            out = np.unique(found[3:], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+
+        for (node, root, n, part, fp, key, cell), starts in _whole_buckets(batches, ("node", "root", "n", "part", "fp", "key", "cell"), 2):
+            for found in compare(node, root, n, part, cell, fp, starts):
+                held.append(found)
+                if sum(x.shape[1] for x in held) > 1 << 19:
+                    yield flush()
+        if held:
+            yield flush()
+
+    rows = split.select("node", "root", "n", "part", "fp", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs of ``found`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    wanted = nodes.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").select(F.col("first.text_hash").alias("text_hash"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+def _sized(df: DataFrame) -> DataFrame:
+    """A staged frame, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
-    def columns(_: list[bytes], made: list[np.ndarray]) -> list[pa.Array]:
-        ids = [np.ascontiguousarray(f[:, 0]) for f in made]
-        return [pa.array(map(_set_name, ids), pa.int64()), _longs(ids)]
 
-    sets = staged(_set_batches(texts, k, "node long, shingles array<long>", columns), "shingle-sets")
-    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-    common = F.size(F.array_intersect("one", "two"))
-    enough = common >= similarity * (F.size("one") + F.size("two") - common)
-    return staged(found.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "alike")
+def _alike(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs of ``found`` whose shingle sets have a Jaccard similarity of ``similarity`` or more. Only texts of these pairs leave the scan."""
+    found = staged(found, "pairs")
+    ends = found.select(F.col("a").alias("node"), "a", "b").union(found.select(F.col("b").alias("node"), "a", "b"))
+    wanted = staged(nodes.join(ends.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.text_hash"), "pair-texts").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(_sized(wanted), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
+    sets = _set_batches(texts, k, "node long, shingles array<long>", lambda made: [pa.array((_set_name(np.ascontiguousarray(f[:, 0])) for f in made), pa.int64()), _longs([f[:, 0] for f in made])])
+    sides = ends.join(sets.dropDuplicates(["node"]), "node").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
+    common = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1]))
+    enough = common >= similarity * (F.size(F.col("sets")[0]) + F.size(F.col("sets")[1]) - common)
+    return staged(sides.filter(enough).select("a", "b"), "alike")
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near duplicates: of texts connected by a Jaccard similarity of ``similarity`` or more the row with the smallest doc_id stays.
 
-    Texts with the same shingles are one node. Links of SimHash fingerprints, checked on the shingle sets,
-    join most nodes of a group; then every pair of nodes that are not joined yet and share a shingle of their
-    prefixes is checked too, which leaves out no pair of ``similarity`` or more.
+    Texts with the same shingles are one node. Nodes meet under shared shingles, are compared by SimHash (bit
+    planes, as above, of 128 bits) and, if within ``WIDE_RADIUS``, checked on the shingle sets, so that no
+    false link counts. Three passes join ever more: rows that follow each other; forests of what meets; every
+    pair that meets and is not joined yet.
     Texts without words, null texts too, are one group; rows repeated with the same id and text are one
-    document; null ids come last.
+    document, of which the row with the smallest hash of all its columns stays; null ids come last.
     """
-    prints = _wide_prints(docs, k, similarity)
+    prints = staged(_prints(docs, k, similarity), "wide-prints")
     ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    of_set = [F.any_value(c).alias(c) for c in ("fp", "wide", "n", "prefix")]
-    nodes = staged(prints.groupBy("node").agg(F.min(ranked).alias("first"), *of_set), "wide-nodes")
-    found = staged(links(nodes, WORD_SET_RADIUS, WORD_SET_BLOCKS, WIDE_RADIUS), "wide-links")
-    joined = components(_alike(docs, nodes, found, k, similarity))
-    rooted = nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
-    more = staged(prefix_links(rooted, similarity), "prefix-links")
-    alike = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(docs, nodes, more, k, similarity))
+    nodes = staged(prints.groupBy("node").agg(F.min(ranked).alias("first"), *[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "keys")]), "wide-nodes")
+    alike = _alike(docs, nodes, neighbour_links(nodes), k, similarity)
+    for spanning in (True, False):
+        roots = components(alike)
+        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "fp", "keys")
+        more = _alike(docs, nodes, meeting_links(staged(rooted, "rooted"), similarity, spanning), k, similarity)
+        alike = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     roots = components(alike)
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = staged(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = staged(prints.select("doc_id", "text_hash", "node").join(rooted.join(least, "root").select("node", "least"), "node"), "named")
+    own = (F.col("text_hash") == F.col("least.text_hash")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    marks = named.groupBy("doc_id", "text_hash").agg(F.bool_or(~own).alias("goes"), F.count(F.lit(1)).alias("times")).filter("goes or times > 1")
+    marks = staged(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_hash").alias("mark_hash"), "goes"), "marks")
     rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    same = (F.col("text_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    marked = rows.join(_sized(marks), (F.col("text_hash") == F.col("mark_hash")) & F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
+    alone = marked.filter("goes is null").select("row.*")
+    if marks.filter("not goes").isEmpty():
+        return alone
+    again = marked.filter("not goes").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.unionByName(again.select("row.*"))
