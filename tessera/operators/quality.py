@@ -34,14 +34,6 @@ def discontinued(cube: Cube, stops: DataFrame) -> DataFrame:
     return cube.regions.filter("value is not null").join(F.broadcast(stops), "series_key").filter("year > stop_year").groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def zeros(rows: DataFrame) -> DataFrame:
-    """Zeros between two neighbours of at least the code's median, per code. Rows: code, year, value."""
-    order = Window.partitionBy("code").orderBy("year")
-    middle = rows.groupBy("code").agg(F.median("value").alias("middle"))
-    near = rows.withColumn("before", F.lag("value").over(order)).withColumn("after", F.lead("value").over(order)).join(middle, "code")
-    return near.filter("value = 0 and before >= middle and after >= middle").select("code", "year")
-
-
 def scale_jumps(cube: Cube, slack: float = 2.0, least: int = 10) -> DataFrame:
     """Consecutive years whose median absolute value jumps by a thousand or a million, within ``slack``."""
     m = cube.regions.filter("value is not null").groupBy("series_key", "year").agg(F.median(F.abs("value")).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
@@ -70,19 +62,3 @@ def data_kind(cube: Cube) -> DataFrame:
     ratio = F.col("total") / F.nullif("country", F.lit(0.0))
     kind = F.when(F.abs(ratio - 1) <= 0.01, "sum").when(F.col("country").between(F.col("low"), F.col("high")) & ratio.between(F.col("n") / 4, F.col("n") * 4), "relative").otherwise("unknown")
     return r.select("series_key", "year", kind.alias("kind"))
-
-
-def country_scale(rows: DataFrame, regions: int, least: int = 20) -> DataFrame:
-    """Years whose country value fits the regions' sum within 5 % only after a factor of a thousand or a million. Rows: year, country, total, n."""
-    factors = rows.withColumn("factor", F.explode(F.array(F.lit(1.0), F.lit(1e3), F.lit(1e6), F.lit(1e-3))))
-    fits = factors.filter(F.col("n") >= least).withColumn("fits", F.abs(F.col("country") * F.col("factor") / F.nullif("total", F.lit(0.0)) - 1) <= 0.05)
-    as_is = Window.partitionBy("year")
-    return fits.withColumn("already", F.max(F.when((F.col("factor") == 1.0) & F.col("fits"), 1).otherwise(0)).over(as_is)).filter("fits and already = 0").select("year", "factor")
-
-
-def year_copies(vintage: DataFrame, least: int = 10, share: float = 0.9, gap: int = 5) -> DataFrame:
-    """Pairs of years at least ``gap`` apart whose values agree in ``share`` of enough common places: mislabelled copies."""
-    a, b = (vintage.filter("value is not null").select("series_key", "territory_code", F.col("year").alias(y), F.col("value").alias(v)) for y, v in (("year_a", "va"), ("year_b", "vb")))
-    both = a.join(b, ["series_key", "territory_code"]).filter(F.col("year_b") - F.col("year_a") >= gap)
-    counted = both.groupBy("series_key", "year_a", "year_b").agg(F.count(F.lit(1)).alias("common"), F.count(F.when(F.col("va") == F.col("vb"), 1)).alias("equal"))
-    return counted.filter((F.col("common") >= least) & (F.col("equal") >= share * F.col("common")))

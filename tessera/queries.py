@@ -1,33 +1,20 @@
-"""All registered queries outside ``llm``: name to (Spark callable, SQL or None)."""
+"""All registered queries outside ``llm``; those of sources, dimensions and facts are in a module of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import queries_build
 from tessera.functions import text
 from tessera.operators import analysis, answers, derive, formula, quality, search, series, statistics
-from tessera.plans.cube import load_cube
 from tessera.plans.marts import mart
 from tessera.plans.prelude import sql
+from tessera.registry import REGISTRY, add, on_cube
 from tessera.sources import tables
 from tessera.streaming import events
 
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def add(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
-    if name in REGISTRY:
-        raise ValueError(f"{name} is registered twice")
-    REGISTRY[name] = (run, oracle)
-
-
-def on_cube(name: str, run: Callable, select: str | None, *marts: str) -> None:
-    """Register a query that takes the cube; ``select`` is its SQL over the cube's relations and ``marts``."""
-    add(name, lambda spark, sf_dir: run(load_cube(spark, sf_dir)), select and sql(select, *marts))
-
+__all__ = ["REGISTRY", "queries_build"]
 
 on_cube("fct01_vintages", lambda c: c.vintage, "SELECT * FROM vintage")
 on_cube("fct06_observations", lambda c: c.observation, "SELECT * FROM observation")
@@ -294,13 +281,10 @@ on_cube("mrt07_aggregate_consistency", quality.aggregate_consistency, ", r AS (S
 on_cube("mrt08_scale_anomalies", quality.scale_anomalies, "SELECT * FROM (SELECT series_key, territory_code, year, round(greatest(last_value / first_value, first_value / last_value), 4) AS factor FROM mart_revision WHERE first_value > 0 AND last_value > 0) WHERE factor > 9", "revision")
 on_cube("mrt09_series_gaps", quality.series_gaps, "SELECT series_key, territory_code, max(year) - min(year) + 1 - count(*) AS missing FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING max(year) - min(year) + 1 > count(*)")
 on_cube("mrt10_discontinued", lambda c: quality.discontinued(c, c.territory.sparkSession.createDataFrame([(_S, 1999), (_P, 2000)], "series_key string, stop_year long")), "SELECT series_key, count(*) AS n FROM reg JOIN (VALUES ('revenue:00', 1999), ('revenue:1-URGENT', 2000)) s(series_key, stop_year) USING (series_key) WHERE value IS NOT NULL AND year > stop_year GROUP BY series_key")
-on_cube("mrt11_zeros", lambda c: quality.zeros(c.regions.filter((F.col("series_key") == _P) & F.col("value").isNotNull()).select(F.col("territory_code").alias("code"), "year", F.when(F.col("year") == 1998, 0.0).otherwise(F.col("value")).alias("value"))), ", z AS (SELECT territory_code AS code, year, CASE WHEN year = 1998 THEN 0 ELSE value END AS value FROM reg WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL), n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a, median(value) OVER (PARTITION BY code) AS m FROM z WINDOW w AS (PARTITION BY code ORDER BY year)) SELECT code, year FROM n WHERE value = 0 AND b >= m AND a >= m")
 on_cube("mrt13_scale_jumps", lambda c: quality.scale_jumps(c), ", m AS (SELECT series_key, year, median(abs(value)) AS m FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 10), j AS (SELECT series_key, year, greatest(m / b, b / m) AS jump FROM (SELECT *, lag(m) OVER (PARTITION BY series_key ORDER BY year) AS b FROM m) WHERE b > 0 AND m > 0) SELECT series_key, year, round(jump, 2) AS jump FROM j WHERE jump BETWEEN 500 AND 2000 OR jump BETWEEN 5e5 AND 2e6")
 on_cube("mrt14_parts_over_total", lambda c: quality.parts_over_total(c, _P, _PARTS[:2]), "SELECT w.territory_code, w.year, w.value, round(p.s, 4) AS parts FROM observation w JOIN (SELECT territory_code, year, sum(value) AS s FROM observation WHERE series_key IN ('revenue:1-URGENT', 'revenue:2-HIGH') AND value IS NOT NULL GROUP BY ALL) p USING (territory_code, year) WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL AND p.s > value * 1.01")
 on_cube("mrt17_presence", lambda c: quality.presence(c, "revenue:1-URGENT/BUILDING"), "SELECT territory_code, year, CASE WHEN value IS NOT NULL THEN 'present' WHEN quality = 2 THEN 'hidden' ELSE 'absent' END AS state FROM reg WHERE series_key = 'revenue:1-URGENT/BUILDING'")
 on_cube("mrt20_data_kind", quality.data_kind, "SELECT series_key, year, CASE WHEN abs(t / nullif(c, 0) - 1) <= 0.01 THEN 'sum' WHEN c BETWEEN lo AND hi AND t / nullif(c, 0) BETWEEN n / 4 AND n * 4 THEN 'relative' ELSE 'unknown' END AS kind FROM (SELECT series_key, year, sum(value) AS t, min(value) AS lo, max(value) AS hi, count(*) AS n, max(country_value) AS c FROM reg JOIN country USING (series_key, year) WHERE value IS NOT NULL AND country_value IS NOT NULL GROUP BY series_key, year)")
-on_cube("fct03_country_scale", lambda c: quality.country_scale(c.regions.filter(F.col("series_key") == _S).groupBy("year").agg(F.sum("value").alias("total"), F.count("value").alias("n")).join(c.observation.filter((F.col("series_key") == _S) & (F.col("territory_level") == "country")).select("year", (F.col("value") / 1000).alias("country")), "year"), 25), ", r AS (SELECT year, sum(value) AS total, count(value) AS n, max(country_value) / 1000 AS country FROM reg JOIN country USING (series_key, year) WHERE series_key = 'revenue:00' GROUP BY year), f AS (SELECT *, abs(country * factor / nullif(total, 0) - 1) <= 0.05 AS fits FROM r, (VALUES (1.0::DOUBLE), (1e3), (1e6), (1e-3)) v(factor) WHERE n >= 20) SELECT year, factor FROM f WHERE fits AND year NOT IN (SELECT year FROM f WHERE fits AND factor = 1)")
-on_cube("fct02_year_copies", lambda c: quality.year_copies(c.regions.filter(F.col("series_key") == _Q), 10, 0.05), "SELECT a.series_key, a.year AS year_a, b.year AS year_b, count(*) AS common, count(*) FILTER (a.value = b.value) AS equal FROM reg a JOIN reg b USING (series_key, territory_code) WHERE series_key = 'orders:00' AND b.year - a.year >= 5 AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND count(*) FILTER (a.value = b.value) >= 0.05 * count(*)")
 
 # Search, text, sources, event streams in batch form
 

@@ -191,3 +191,31 @@ def export_csv(df: DataFrame, path: str) -> None:
     """CSV whose text cells no spreadsheet takes for formulas."""
     safe = [T.safe_cell(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
     df.select(*safe).write.mode("overwrite").csv(path, header=True)
+
+
+def release_links(pages: DataFrame) -> DataFrame:
+    """page_id, link and place of every link of the pages, in order."""
+    links = F.filter(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)), lambda l: l != "")  # noqa: E741
+    return pages.select("page_id", F.posexplode(links).alias("place", "link")).select("page_id", "link", (F.col("place") + 1).cast("long").alias("place"))
+
+
+def pasted_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of pasted text with their number of cells (split by tabs) and the first cell; lines of blanks are left out."""
+    lines = rows.select(key, F.posexplode(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")).alias("row", "line"))
+    cells = F.split("line", "\t")
+    return lines.filter(F.trim(F.col("line"), F.lit("\t ")) != "").select(key, F.col("row").cast("long").alias("row"), F.size(cells).cast("long").alias("cells"), cells[0].alias("first_cell"))
+
+
+def releases(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Metadata of releases, a row each, in order of reference year, publication and fetching."""
+    found = spark.read.json([f"{p}/info" for p in paths])
+    return found.orderBy(*[c for c in ("reference_year", "published_on", "fetched_at") if c in found.columns])
+
+
+def read_any(spark: SparkSession, path: str, kind: str, delimiter: str = ";", encoding: str = "UTF-8") -> DataFrame:
+    """Rows of a file by its kind, as arrays of text: csv, parquet or html (all tables of the pages)."""
+    if kind == "html":
+        pages = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("page"), F.col("value").alias("html"))
+        return html_tables(pages, "page", "html").select("cells")
+    df = spark.read.parquet(path) if kind == "parquet" else read_csv(spark, path, delimiter, encoding)
+    return df.select(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"))
