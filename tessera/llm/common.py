@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +16,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests) a local one is made and set."""
+    """The folder of ``spark.checkpoint.dir``; only where none is set and Spark runs in one process (tests) a local one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders that tables are staged in, the current one last.
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    home = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside goes at the end; no frame that reads it may be used after. Gives the folder outside."""
+    outside = new_path(spark, "kept")
+    _SCRATCH.append(new_path(spark, "scratch"))
+    try:
+        yield outside
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -32,10 +54,13 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Remove everything that this application has staged; no frame made before may be used after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows that are broadcast at most.
+MAX_BROADCAST = 1 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A staged frame of slim rows, to be broadcast if they are few."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out
+from tessera.llm.common import held_out, staged
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Labelled texts that prototypes are bundled from, as an expected number; more are thinned by a hash of the id.
-MAX_TRAINING = 20_000
-#: Most languages that a model holds; labels beyond are left out, rarest first.
-MAX_LANGUAGES = 500
+#: Labelled texts of a language that its prototype is bundled from, as an expected number; more are thinned by a hash of the id.
+MAX_TRAINING = 5_000
+#: Bytes of prototypes that a driver and a task can hold; a model of more is refused, none of its languages left out.
+MAX_MODEL = 1 << 29
 UNKNOWN = "und"
 #: Code points of a batch that are turned into n-grams at once, and n-gram vectors multiplied at once.
 CHUNK, GRAMS_AT_ONCE = 1 << 20, 1 << 12
@@ -115,11 +115,12 @@ def _in_parts(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, max_training: int = MAX_TRAINING, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their centred prototypes, from text and lang of the rows given."""
-    labelled = docs.filter("lang is not null and text is not null")
-    total = labelled.count()
-    if total > max_training:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_training / total)))
+    """Languages (sorted) and their centred prototypes, from text and lang of the rows given; every language that has a row gets one."""
+    labelled = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    shares = staged(labelled.groupBy("lang").agg(F.least(F.lit(1.0), max_training / F.count(F.lit(1))).alias("share")).withColumnRenamed("lang", "shared_lang"), "language-shares")
+    if shares.count() * dimensions * 8 > MAX_MODEL:
+        raise ValueError(f"the prototypes of {shares.count()} languages take more than {MAX_MODEL} bytes")
+    labelled = labelled.join(F.broadcast(shares), F.col("lang") == F.col("shared_lang")).filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(dimensions), {}
@@ -136,8 +137,7 @@ def train(docs: DataFrame, max_training: int = MAX_TRAINING, dimensions: int = D
     parts = labelled.select("text", "lang").mapInArrow(run, "lang string, bundle array<double>")
     summed = parts.select("lang", F.posexplode("bundle").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
     rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("bundle")).select("lang", "bundle.value")
-    rows = rows.orderBy(F.element_at("value", -1).desc(), "lang").limit(MAX_LANGUAGES).collect()
-    rows = sorted(rows, key=lambda r: r.lang)
+    rows = sorted(rows.collect(), key=lambda r: r.lang)
     prototypes = np.array([r.value[:-1] for r in rows], np.float64).reshape(len(rows), dimensions)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
     if len(rows) > 1:

@@ -2,7 +2,8 @@
 
 Slim rows (id, size, checksum) are range-partitioned by id and staged with the partition's number, so that
 the partitions stay what they were. Their totals, one row per partition, give each partition its base; a
-window inside a partition gives the rest of the global prefix sum. No task sees more than one partition.
+window inside a partition gives the rest of the global prefix sum. A task may be given several partitions, but
+sorts and sums each by itself, and rows are spread over as many as the session shuffles to.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, partitions, staged
+from tessera.llm.common import packed, partitions, sized, staged
 
 SEED = 42
 #: Texts are cut into words in pieces of so many bytes.
@@ -397,8 +397,8 @@ WIDE_RADIUS = 40
 SKETCH, FOLLOWERS, RARE = 4, 4, 16
 #: Documents from which frequent shingles are learned, and how many of those are kept. Both change the work, not the result.
 COMMON_FROM, MAX_COMMON = 5_000, 1 << 17
-#: Rows of a bucket from which it is split into cells, and rows that are broadcast at most.
-CELL, MAX_BROADCAST = 1 << 13, 1 << 20
+#: Rows of a bucket from which it is split into cells.
+CELL = 1 << 13
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -540,18 +540,13 @@ def meeting_links(nodes: DataFrame, similarity: float, spanning: bool, radius: i
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A staged frame, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-
-
 def _alike(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs of ``found`` whose shingle sets have a Jaccard similarity of ``similarity`` or more. Only texts of these pairs leave the scan."""
     found = staged(found, "pairs")
     ends = found.select(F.col("a").alias("node"), "a", "b").union(found.select(F.col("b").alias("node"), "a", "b"))
     wanted = staged(nodes.join(ends.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.text_hash"), "pair-texts").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(_sized(wanted), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
+    texts = texts.join(sized(wanted), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
     sets = _set_batches(texts, k, "node long, shingles array<long>", lambda made: [pa.array((_set_name(np.ascontiguousarray(f[:, 0])) for f in made), pa.int64()), _longs([f[:, 0] for f in made])])
     sides = ends.join(sets.dropDuplicates(["node"]), "node").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
     common = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1]))
@@ -586,7 +581,7 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     marks = named.groupBy("doc_id", "text_hash").agg(F.bool_or(~own).alias("goes"), F.count(F.lit(1)).alias("times")).filter("goes or times > 1")
     marks = staged(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_hash").alias("mark_hash"), "goes"), "marks")
     rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    marked = rows.join(_sized(marks), (F.col("text_hash") == F.col("mark_hash")) & F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
+    marked = rows.join(sized(marks), (F.col("text_hash") == F.col("mark_hash")) & F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
     alone = marked.filter("goes is null").select("row.*")
     if marks.filter("not goes").isEmpty():
         return alone

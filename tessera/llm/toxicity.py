@@ -4,10 +4,10 @@ Features are rates: hits of a written lexicon and of a lexicon learned from the
 second-person word, capitals, punctuation, obfuscated spellings. Both lexicons are matched in one pass of an
 Aho-Corasick automaton over the whole text.
 
-Learning uses a bounded sample of labelled rows (``MAX_TRAINING``). The learned lexicon holds words and word
-beginnings that mark toxic texts; for training, each half of the rows is described by the lexicon of the
-other half, so that trees see hits as often as they will in new texts. A quarter of the rows is kept from
-the trees and calibrates them.
+Learning uses a bounded sample of labelled texts (``MAX_TRAINING``), in which a rare class is thinned last and
+each text weighs as many as it stands for. The learned lexicon holds words and word beginnings that mark toxic
+texts; for training, each half of the texts is described by the lexicon of the other half, so that trees see
+hits as often as they will in new texts. A quarter of the texts is kept from the trees and calibrates them.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, packed, staged
 
-#: Labelled rows that the model is fitted on, as an expected number; more are thinned by a hash of the id.
+#: Labelled rows that the model is fitted on, as an expected number; more are thinned by a hash of the id, each class to half of them or what the other leaves.
 MAX_TRAINING = 20_000
-#: Entries of the learned lexicon; texts that must hold an entry; least log-odds of an entry.
+#: Entries of the learned lexicon (the model's size); texts that must hold an entry; least log-odds of an entry.
 MAX_ENTRIES, MIN_TEXTS, MIN_LOG_ODDS = 400, 3, 2.5
 PREFIXES = (4, 5, 6)
 NEAR = 40
@@ -127,11 +127,11 @@ def _describe(lexicon: dict[str, float]):
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    """entry, half, toxic texts and clean texts that hold it; equal texts count once."""
+    """entry, half, toxic texts and clean texts that hold it."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     forms = [words] + [F.transform(words, _beginning(n)) for n in PREFIXES]
     held = F.filter(F.array_distinct(F.concat(*forms)), lambda e: F.length(e) > 1)
-    exploded = rows.dropDuplicates(["text"]).select("half", "toxic", F.explode(held).alias("entry"))
+    exploded = rows.select("half", "toxic", F.explode(held).alias("entry"))
     halves = [F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)]
     return exploded.groupBy("entry").agg(*halves).filter(F.col("n01") + F.col("n11") >= MIN_TEXTS)
 
@@ -142,7 +142,7 @@ def _beginning(n: int):
 
 def learn_lexicon(rows: DataFrame) -> list[dict[str, float]]:
     """Lexicons {entry: log-odds} of half 0, of half 1 and of all rows; the strongest entries, at most ``MAX_ENTRIES`` each."""
-    totals = rows.dropDuplicates(["text"]).groupBy("half", "toxic").count().collect()
+    totals = rows.groupBy("half", "toxic").count().collect()
     count = {(r["half"], r["toxic"]): r["count"] for r in totals}
     entries = staged(_entries(rows), "toxic-entries")
     out = []
@@ -179,29 +179,38 @@ class Toxicity:
         return rows.withColumn(column, score).drop("tox_raw", "tox_calibrated")
 
 
+def shares(counts: dict[int, int], most: int) -> dict[int, float]:
+    """The share of each of two classes that gives ``most`` rows at most: half for each, and what a small one leaves for the other."""
+    few = min(counts.values(), default=0)
+    quota = {c: max(most / 2, most - few) if n > few else most / 2 for c, n in counts.items()}
+    return {c: min(1.0, quota[c] / n) for c, n in counts.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> Toxicity:
-    """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks; rows without a label or a text are not used. An id with several labels takes the largest."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    total = known.count()
-    if total > max_training:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_training / total)))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(8)).cast("int")
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", (fold % 2).alias("half"), (fold >= 6).alias("calibrates"))
+    """Fit on the texts of ``docs`` that ``labels`` (doc_id, toxic) marks; rows without a text or a label of 0 or 1 are not used. An id or a text with several labels takes the largest."""
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = shares({r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}, max_training)
+    of_class = F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    known = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < of_class * (1 << 30))
+    known = known.select(F.col("doc_id").alias("known_id"), "toxic", (1 / of_class).alias("weight"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(8)).cast("int")
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")).select("text", "toxic", "weight", (fold % 2).alias("half"), (fold >= 6).alias("calibrates"))
     rows = staged(rows, "toxic-training")
     classes = {(r.toxic, r.calibrates): r["count"] for r in rows.groupBy("toxic", "calibrates").count().collect()}
     if not all(any(classes.get((t, c)) for c in (False, True)) for t in (0, 1)):
         return Toxicity({}, None, None)
     first, second, everything = learn_lexicon(rows)
     described = F.when(F.col("half") == 0, _describe(second)(F.col("text"))).otherwise(_describe(first)(F.col("text")))
-    rows = staged(rows.select("toxic", "calibrates", described.alias("features")).coalesce(4), "toxic-features")
+    rows = staged(rows.select("toxic", "weight", "calibrates", described.alias("features")), "toxic-features").coalesce(4)  # few rows; every pass of the fit has that many tasks
     whole = all(classes.get((t, c)) for t in (0, 1) for c in (False, True))
     fitted = rows.filter(~F.col("calibrates")) if whole else rows
     trees = GBTClassifier(featuresCol="tox_features", labelCol="toxic", predictionCol="tox_prediction", maxIter=20, maxDepth=4, stepSize=0.2, seed=7)
-    trees.setRawPredictionCol("tox_margins").setProbabilityCol("tox_probability")
-    model = Toxicity(everything, trees.fit(fitted.select("toxic", array_to_vector("features").alias("tox_features"))), None)
+    trees.setRawPredictionCol("tox_margins").setProbabilityCol("tox_probability").setWeightCol("weight")
+    model = Toxicity(everything, trees.fit(fitted.select("toxic", "weight", array_to_vector("features").alias("tox_features"))), None)
     kept = model.raw(rows.filter("calibrates") if whole else rows, F.col("features"))
-    isotonic = IsotonicRegression(featuresCol="tox_raw", labelCol="toxic", predictionCol="tox_calibrated")
-    model.calibration = isotonic.fit(kept.select("tox_raw", F.col("toxic").cast("double").alias("toxic")))
+    isotonic = IsotonicRegression(featuresCol="tox_raw", labelCol="toxic", predictionCol="tox_calibrated", weightCol="weight")
+    model.calibration = isotonic.fit(kept.select("tox_raw", "weight", F.col("toxic").cast("double").alias("toxic")))
     return model
 
 

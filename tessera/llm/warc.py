@@ -1,8 +1,9 @@
 """WARC archives: one gzip member per record, written by Spark's committed writer, read back by byte ranges.
 
 Writing. Records of a partition are packed into archives of about ``ARCHIVE_BYTES``; an archive is one row,
-and Spark's text writer, held to one row a file, writes it as it stands. That writer must end a row with
-something, so it ends each file with an empty gzip member, which adds no byte to the decompressed stream.
+and Spark's text writer, held to one row a file, writes it as it stands (tried with Spark 4.1). That writer
+must end a row with something, so it ends each file with an empty gzip member, which adds no byte to the
+decompressed stream.
 
 Reading. Files are listed with their lengths and cut into byte ranges. A task looks in its range for the gzip
 magic, decodes the header at each candidate and inflates its start; a candidate counts only if it is a
@@ -36,7 +37,7 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, path string, offset long"
+RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, payload binary, path string, offset long"
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -169,19 +170,33 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]
 
 
 def parse_record(content: bytes) -> tuple:
-    """Fields of ``RECORD_SCHEMA`` up to the payload."""
+    """Fields of ``RECORD_SCHEMA`` up to the payload.
+
+    Ids that are not of this writer's form give a null ``page_id``, and stay in ``record_id`` and
+    ``refers_to_record``. A response's payload is what follows its HTTP header; a revisit has none, and its length
+    and digest are those its headers tell, or null; of other types (warcinfo, request, metadata, ...) the
+    whole block is the payload. A block cut short or without a length is what is there.
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    own = lambda name: (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) and int(m[1])
-    if fields["warc-type"] == "response":
-        return own("warc-record-id"), fields.get("warc-target-uri"), len(payload), sha1_base32(payload), "response", None, payload
-    length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    return own("warc-record-id"), fields.get("warc-target-uri"), int(length[1]), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], own("warc-refers-to"), None
+    told = re.fullmatch(r"\d+", fields.get("content-length", ""))
+    block = rest[: int(told[0])] if told else rest.removesuffix(b"\r\n\r\n")
+    own = lambda name: (m := re.fullmatch(r"<urn:page:(-?\d{1,18})>", fields.get(name, ""))) and int(m[1])
+    kind, refers = fields.get("warc-type", "unknown").lower(), None
+    length, digest, payload = len(block), None, block
+    if kind == "response" and fields.get("content-type", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    if kind == "revisit":
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", block.partition(b"\r\n\r\n")[0])
+        length, payload, refers = int(found[1]) if found else None, None, own("warc-refers-to")
+        digest = fields["warc-payload-digest"].rpartition(":")[2] if "warc-payload-digest" in fields else None
+    else:
+        length, digest = len(payload), sha1_base32(payload)
+    return own("warc-record-id"), fields.get("warc-target-uri"), length, digest, kind, refers, fields.get("warc-record-id"), fields.get("warc-refers-to"), payload
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
     for batch in batches:
         for path, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start", "end")), strict=True):
             system, name = pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))

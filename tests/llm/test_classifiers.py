@@ -1,5 +1,11 @@
 """Toxicity and language: held-out accuracy, contracts, odd rows."""
 
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import language, toxicity
 from tests.llm.helpers import is_held_out, odd_documents
 
@@ -58,3 +64,54 @@ def test_language_does_not_depend_on_batches(spark):
     one = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.identify(docs, names, prototypes).collect()}
     two = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.identify(docs.repartition(7), names, prototypes).collect()}
     assert one == two
+
+
+def test_every_language_gets_a_prototype(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 60)), f"l{i % 600}") for i in range(1300)]
+    docs = spark.createDataFrame([*rows, *((5000 + i, "the same text again", "big") for i in range(300))], "doc_id long, text string, lang string")
+    names, prototypes = language.train(docs, max_training=10)
+    assert len(names) == 601 and np.allclose(np.linalg.norm(prototypes, axis=1), 1)
+
+
+@pytest.mark.parametrize("text", ["Aé  b1c", "x", "the end. THE END", "ß ñ 12 ñandú"])
+def test_bundles_against_plain_products(text):
+    letters = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+    want = np.zeros(language.DIMENSIONS)
+    for i in range(len(letters) - 2):
+        bound = np.ones(language.DIMENSIONS)
+        for place, letter in enumerate(letters[i : i + 3]):
+            bound *= np.roll(language.letter_vector(ord(letter)), 2 - place)
+        want += bound
+    got, has = language.Bundler().bundles([text])
+    assert has[0] and np.allclose(got[0], want / np.linalg.norm(want), atol=1e-5)
+
+
+def test_toxic_features_by_hand():
+    lexicon = {"vile": 2.0, "gro*": 3.0}
+    got = toxicity.Describer(lexicon)("YOU are vile, grotty and an IDIOT!! soooo st*pid you")
+    words = 10  # you are vile grotty and an idiot soooo st pid you: eleven runs of letters
+    words += 1
+    assert got[0] == pytest.approx(np.log1p(words)) and got[1] == pytest.approx(1 / words)  # idiot
+    assert got[3] == pytest.approx(2 / words) and got[5] == 3.0 and got[6] == pytest.approx(5 / words) and got[7] == 2.0
+    assert got[8] == pytest.approx(2 / words)  # you, twice
+    assert got[11] == pytest.approx(8 / 40, abs=0.02)  # YOU and IDIOT among the letters A-Z, a-z
+    assert got[12] == pytest.approx(2 / words) and got[13] == pytest.approx(2 / words)
+    assert got[15] == pytest.approx(1 / words) and got[16] == pytest.approx(1 / words)
+    assert toxicity.Describer(lexicon)(None) == [0.0] * toxicity.N_FEATURES
+
+
+def test_toxicity_does_not_depend_on_row_order_or_foreign_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000))  # each text twice, half of them without a label
+    more = labels.unionByName(labels.limit(20).withColumn("toxic", F.lit(7)))
+    one = toxicity.fit(docs, labels)
+    two = toxicity.fit(docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")), more)
+    assert one.lexicon == two.lexicon and one.lexicon
+    assert one.trees.toDebugString.split("\n", 1)[1] == two.trees.toDebugString.split("\n", 1)[1]
+
+
+def test_rare_class_is_thinned_last():
+    assert toxicity.shares({0: 1_000_000, 1: 300}, 20_000) == {0: 0.0197, 1: 1.0}
+    assert toxicity.shares({0: 1_000_000, 1: 500_000}, 20_000) == {0: 0.01, 1: 0.02}
+    assert toxicity.shares({0: 5}, 20_000) == {0: 1.0} and toxicity.shares({}, 20_000) == {}

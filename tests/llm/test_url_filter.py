@@ -51,3 +51,22 @@ def test_labelled_urls_are_learned(spark):
     new = [("http://mega-casino.example/free-spins/jackpot", "block"), ("http://cheap-viagra-pills.example/buy", "block"), ("https://library.example/catalogue/history", "allow"), ("https://docs.example/guide/api/index.html", "allow")]
     rows = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(new)], "page_id long, url string"), rules=()).collect()
     assert {r.page_id: r.verdict for r in rows} == {i: v for i, (_, v) in enumerate(new)}
+
+
+def test_scores_against_a_plain_regression(spark):
+    import math
+    from collections import Counter
+
+    pages = table(spark, "pages").select("page_id", "url")
+    hashing, model = url_filter.train(spark)
+    bucket: dict = {}
+    for r in url_filter.filter_urls(pages).orderBy("page_id").limit(12).collect():
+        counts: Counter = Counter()
+        for letter, part in (("h", r.host), ("p", r.path.lower())):
+            marked = f"^{part}$"
+            for n in url_filter.GRAM_SIZES:
+                counts.update(letter + marked[i : i + n] for i in range(max(1, len(marked) - n + 1)))
+        for g in counts:
+            bucket.setdefault(g, hashing.indexOf(g))
+        margin = model.intercept + sum(n * model.coefficients[bucket[g]] for g, n in counts.items())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-margin)), rel_tol=1e-9)

@@ -50,3 +50,23 @@ def test_archives_are_plain_gzip(spark, tmp_path):
     warc.write_warc(table(spark, "pages").coalesce(1), f"file://{tmp_path}/w")
     text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     assert text.count(b"WARC/1.1\r\nWARC-Type:") >= table(spark, "pages").count()
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    def record(kind, block, **fields):
+        head = [f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+        return gzip.compress("\r\n".join(["WARC/1.0", *head, "", ""]).encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    data = [
+        record("warcinfo", b"software: other", WARC_Record_ID="<urn:uuid:1>", Content_Length=15), record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Length=18),
+        record("response", http, WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=response", Content_Length=len(http)),
+        record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<urn:uuid:2>"), record("metadata", b"k: v"), record("response", b"dns text", Content_Type="text/dns", Content_Length=8),
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/other.warc.gz").write_bytes(b"".join(data))
+    for size in (64, 1 << 20):
+        rows = warc.read_warc(spark, f"file://{tmp_path}/w", size).orderBy("offset").collect()
+        assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "revisit", "metadata", "response"]
+        assert [r.payload_bytes for r in rows] == [15, 18, 9, None, 4, 8] and rows[2].payload == b"<p>hi</p>" and rows[3].payload_digest is None
+        assert rows[2].record_id == "<urn:uuid:2>" == rows[3].refers_to_record and all(r.page_id is None for r in rows)
