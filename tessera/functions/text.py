@@ -119,3 +119,20 @@ def polarity(name: Column) -> Column:
 def series_code(indicator: Column, *slices: Column) -> Column:
     """``indicator:00`` without slices, else the first eight digits of a SHA-1 of them."""
     return F.concat_ws(":", indicator, F.substring(F.sha1(F.concat_ws("|", *slices).cast("binary")), 1, 8) if slices else F.lit("00"))
+
+
+#: Words that say nothing in a question.
+STOP_WORDS = ("a", "an", "and", "are", "by", "does", "for", "has", "how", "in", "is", "of", "on", "or", "that", "the", "to", "was", "what", "which", "who", "with")
+
+
+def stems(text: Column, keep_stop: bool = False) -> Column:
+    """Stems of a text's words, without stop words."""
+    found = words(text)
+    return F.transform(found if keep_stop else F.filter(found, lambda w: ~w.isin(*STOP_WORDS)), stem)
+
+
+def swapped_stems(word: Column) -> Column:
+    """Stems of the variants of a word with two neighbouring letters swapped."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    swap = lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(1)), F.substr(word, i, F.lit(1)), F.substr(word, i + 2))
+    return F.array_sort(F.array_distinct(F.transform(F.when(F.length(word) > 1, places).otherwise(F.array().cast("array<int>")), lambda i: stem(swap(i)))))
