@@ -1,269 +1,213 @@
-"""A small formula language over series, compiled to staged columns.
+"""Calculations over several series as columns of one dense grid, and the catalogue of operations made of them.
 
-Grammar: sums of products of signed powers; numbers, ``{series key}``, calls with ``;`` between arguments.
-Conditions stand inside IF, AND, OR and NOT. Values live on the dense grid of territories x consecutive
-years, so a lag by rows is a lag by years. A division by zero, a logarithm of a non-positive number and a
-root of a negative one give no value.
+The grid holds every territory in every consecutive year between the first and the last known value, so a lag by
+rows is a lag by years. A missing value stays missing; a division by zero, a logarithm of a non-positive number
+and a root of a negative one give no value. Windows are kept as columns of the grid, so that one may be taken
+over another.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LENGTH, MAX_DEPTH, MAX_REFERENCES, MAX_LAG, MAX_WINDOW = 2_000, 20, 12, 50, 20
 
-_LEX = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|\{(?P<key>[^}]*)\}|(?P<name>[A-Za-z_][A-Za-z_0-9]*)|(?P<mark><=|>=|<>|[-+*/^();=<>]))")
+def divide(a: Column, b: Column) -> Column:
+    return F.when(b != 0, F.try_divide(a, b))
 
 
-class FormulaError(ValueError):
-    pass
+def power(a: Column, b: Column | float) -> Column:
+    out = F.pow(a, b if isinstance(b, Column) else F.lit(b))
+    return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
 
 
-@dataclass
-class Node:
-    kind: str
-    value: object = None
-    parts: list[Node] = field(default_factory=list)
+def ln(a: Column) -> Column:
+    return F.when(a > 0, F.ln(a))
 
 
-def tokens(text: str) -> list[tuple[str, str]]:
-    if len(text) > MAX_LENGTH:
-        raise FormulaError("the formula is too long")
-    out, at = [], 0
-    while text[at:].strip():
-        m = _LEX.match(text, at)
-        if not m:
-            raise FormulaError(f"unexpected text at {at}")
-        out.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
+def log10(a: Column) -> Column:
+    return F.when(a > 0, F.log10(a))
+
+
+def sqrt(a: Column) -> Column:
+    return F.when(a >= 0, F.sqrt(a))
+
+
+def least(*columns: Column) -> Column:
+    """The least of values that are all known."""
+    return F.when(_known(*columns), F.least(*columns))
+
+
+def greatest(*columns: Column) -> Column:
+    return F.when(_known(*columns), F.greatest(*columns))
+
+
+def choose(condition: Column, yes: Column, no: Column) -> Column:
+    """``yes`` or ``no``; nothing if the condition is unknown."""
+    return F.when(condition.isNull(), None).when(condition, yes).otherwise(no)
+
+
+def _known(*columns: Column) -> Column:
+    out = columns[0].isNotNull()
+    for c in columns[1:]:
+        out = out & c.isNotNull()
     return out
 
 
-#: Name to least and most arguments.
-FUNCTIONS = {
-    "ABS": (1, 1), "ROUND": (1, 2), "LN": (1, 1), "LOG10": (1, 1), "SQRT": (1, 1), "EXP": (1, 1), "MIN": (2, 8), "MAX": (2, 8), "AGO": (2, 2), "RANK": (1, 1), "IF": (3, 3), "AND": (2, 8), "OR": (2, 8), "NOT": (1, 1),
-    "ISNA": (1, 1), "IFNA": (2, 2), "AT": (2, 2), "INYEAR": (1, 1), "COUNTRY": (1, 1), "TOTAL": (1, 1), "MEAN": (1, 1), "STDEV": (1, 1), "DISTRICT": (1, 1), "MOVING": (2, 2), "CUMSUM": (1, 1),
-}
-_TRUTH = ("AND", "OR", "NOT", "ISNA", "INYEAR")
-
-
-class Parser:
-    def __init__(self, text: str):
-        self.items, self.at, self.depth, self.references = tokens(text), 0, 0, set()
-
-    def parse(self) -> Node:
-        node = self.sum()
-        if self.at < len(self.items):
-            raise FormulaError(f"unexpected {self.items[self.at][1]}")
-        return node
-
-    def peek(self, *marks: str) -> str | None:
-        return self.items[self.at][1] if self.at < len(self.items) and self.items[self.at][0] == "mark" and self.items[self.at][1] in marks else None
-
-    def take(self, mark: str) -> None:
-        if self.peek(mark) is None:
-            raise FormulaError(f"{mark} expected")
-        self.at += 1
-
-    def _left(self, marks: tuple[str, ...], below: Callable[[], Node]) -> Node:
-        node = below()
-        while mark := self.peek(*marks):
-            self.at += 1
-            node = Node("binary", mark, [node, below()])
-        return node
-
-    def sum(self) -> Node:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise FormulaError("the formula is too deep")
-        node = self._left(("+", "-"), lambda: self._left(("*", "/"), self.unary))
-        self.depth -= 1
-        return node
-
-    def unary(self) -> Node:
-        if mark := self.peek("-", "+"):
-            self.at += 1
-            inner = self.unary()
-            return Node("minus", parts=[inner]) if mark == "-" else inner
-        node = self.primary()
-        if self.peek("^"):
-            self.at += 1
-            return Node("binary", "^", [node, self.unary()])
-        return node
-
-    def condition(self) -> Node:
-        if self.at + 1 < len(self.items) and self.items[self.at][0] == "name" and self.items[self.at][1].upper() in _TRUTH:
-            return self.primary()
-        left = self.sum()
-        mark = self.peek("=", "<>", "<", ">", "<=", ">=")
-        if mark is None:
-            raise FormulaError("a comparison is expected")
-        self.at += 1
-        return Node("compare", mark, [left, self.sum()])
-
-    def primary(self) -> Node:
-        if self.at >= len(self.items):
-            raise FormulaError("the formula breaks off")
-        kind, text = self.items[self.at]
-        self.at += 1
-        if kind == "number":
-            return Node("number", float(text))
-        if kind == "key":
-            self.references.add(text)
-            if len(self.references) > MAX_REFERENCES:
-                raise FormulaError("too many series")
-            return Node("series", text)
-        if kind == "mark" and text == "(":
-            node = self.sum()
-            self.take(")")
-            return node
-        name = text.upper()
-        if kind != "name" or name not in FUNCTIONS:
-            raise FormulaError(f"unknown {text}")
-        self.take("(")
-        parts = [self._argument(name, 0)]
-        while self.peek(";"):
-            self.at += 1
-            parts.append(self._argument(name, len(parts)))
-        self.take(")")
-        least, most = FUNCTIONS[name]
-        if not least <= len(parts) <= most:
-            raise FormulaError(f"{name} takes {least} to {most} arguments")
-        limit = {"AGO": MAX_LAG, "MOVING": MAX_WINDOW}.get(name)
-        if limit and (parts[1].kind != "number" or not 1 <= parts[1].value <= limit or parts[1].value % 1):
-            raise FormulaError(f"the second argument of {name} is a whole number from 1 to {limit}")
-        if name in ("AT", "INYEAR") and parts[-1].kind != "number":
-            raise FormulaError(f"{name} takes a year")
-        return Node("call", name, parts)
-
-    def _argument(self, name: str, place: int) -> Node:
-        return self.condition() if name in ("AND", "OR", "NOT") or (name == "IF" and place == 0) else self.sum()
-
-
-class Compiler:
-    """Turns a tree into columns; what needs a window becomes a stage of its own, since windows do not nest."""
-
-    def __init__(self, grid: DataFrame, names: Mapping[str, str]):
-        self.grid, self.names, self.stages = grid, names, 0
-
-    def staged(self, column: Column) -> Column:
-        name = f"_s{self.stages}"
-        self.stages += 1
-        self.grid = self.grid.withColumn(name, column)
-        return F.col(name)
-
-    def column(self, node: Node) -> Column:
-        if node.kind == "number":
-            return F.lit(node.value)
-        if node.kind == "series":
-            return F.col(self.names[node.value])
-        if node.kind == "minus":
-            return -self.column(node.parts[0])
-        if node.kind == "binary":
-            a, b = map(self.column, node.parts)
-            if node.value == "/":
-                return F.when(b != 0, F.try_divide(a, b))
-            if node.value == "^":
-                out = F.pow(a, b)
-                return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
-            return {"+": a + b, "-": a - b, "*": a * b}[node.value]
-        if node.kind == "compare":
-            a, b = map(self.column, node.parts)
-            return {"=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[node.value]
-        return self.call(node.value, node.parts)
-
-    def call(self, name: str, parts: list[Node]) -> Column:
-        if name == "INYEAR":
-            return F.col("year") == int(parts[0].value)
-        x = [self.column(p) for p in parts]
-        a = x[0]
-        if name in ("MIN", "MAX"):
-            some_null = x[0].isNull()
-            for c in x[1:]:
-                some_null = some_null | c.isNull()
-            return F.when(~some_null, (F.least if name == "MIN" else F.greatest)(*x))
-        if name in ("AND", "OR"):
-            out = a
-            for c in x[1:]:
-                out = out & c if name == "AND" else out | c
-            return out
-        simple = {
-            "ABS": lambda: F.abs(a), "ROUND": lambda: F.round(a, int(parts[1].value) if len(parts) > 1 else 0), "LN": lambda: F.when(a > 0, F.ln(a)), "LOG10": lambda: F.when(a > 0, F.log10(a)), "SQRT": lambda: F.when(a >= 0, F.sqrt(a)), "EXP": lambda: F.exp(a),
-            "NOT": lambda: ~a, "ISNA": lambda: a.isNull(), "IFNA": lambda: F.coalesce(a, x[1]), "IF": lambda: F.when(a.isNull(), None).when(a, x[1]).otherwise(x[2]),
-        }
-        return simple[name]() if name in simple else self.window(name, self.staged(a), parts)
-
-    def window(self, name: str, a: Column, parts: list[Node]) -> Column:
-        place = Window.partitionBy("territory_code").orderBy("year")
-        year = Window.partitionBy("year")
-        region = F.col("is_region")
-        own = F.when(region, a)
-        if name == "AGO":
-            return self.staged(F.lag(a, int(parts[1].value)).over(place))
-        if name == "AT":
-            return self.staged(F.max(F.when(F.col("year") == int(parts[1].value), a)).over(Window.partitionBy("territory_code")))
-        if name == "MOVING":
-            n = int(parts[1].value)
-            span = place.rowsBetween(-(n - 1), 0)
-            return self.staged(F.when(F.count(a).over(span) == n, F.avg(a).over(span)))
-        if name == "CUMSUM":
-            upto = place.rowsBetween(Window.unboundedPreceding, 0)
-            return self.staged(F.when(F.count(a).over(upto) == F.count(F.lit(1)).over(upto), F.sum(a).over(upto)))
-        if name == "RANK":
-            rank = F.rank().over(Window.partitionBy("year", region & a.isNotNull()).orderBy(F.desc(a)))
-            return self.staged(F.when(region & a.isNotNull(), rank.cast("double")))
-        if name == "DISTRICT":
-            return self.staged(F.avg(own).over(Window.partitionBy("year", "district_code")))
-        aggregate = {"COUNTRY": F.max(F.when(F.col("territory_code") == "W", a)), "TOTAL": F.sum(own), "MEAN": F.avg(own), "STDEV": F.stddev_samp(own)}[name]
-        return self.staged(aggregate.over(year))
-
-
-def evaluate(text: str, observation: DataFrame, territory: DataFrame) -> DataFrame:
-    """territory_code, year and value of a formula over the series of ``observation``; rows without a finite value are left out."""
-    parser = Parser(text)
-    tree = parser.parse()
-    keys = sorted(parser.references)
-    if not keys:
-        raise FormulaError("the formula names no series")
-    rows = observation.filter(F.col("series_key").isin(*keys))
-    span = rows.filter("value is not null").agg(F.min("year").alias("a"), F.max("year").alias("b")).filter("a is not null")
-    years = span.select(F.explode(F.sequence("a", "b")).alias("year"))
-    places = territory.select("territory_code", "district_code", ((F.col("level") == "region") & ~F.col("is_aggregate")).alias("is_region"))
-    wide = rows.groupBy("territory_code", "year").agg(*[F.max(F.when(F.col("series_key") == k, F.col("value"))).alias(f"_x{i}") for i, k in enumerate(keys)])
-    grid = places.crossJoin(F.broadcast(years)).join(wide, ["territory_code", "year"], "left")
-    compiler = Compiler(grid, {k: f"_x{i}" for i, k in enumerate(keys)})
-    value = compiler.column(tree).cast("double")
-    out = compiler.grid.select("territory_code", "year", value.alias("value"))
-    return out.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))).withColumn("value", F.round("value", 6))
-
-
-#: Operations as formulas; ``{a}`` and the like are filled with series keys.
-OPERATIONS: dict[str, str] = {
-    "per_group": "{a} / {b} * 1000",
-    "price_level": "{a} / ({b} / COUNTRY({b}))",
-    "structure": "{a} / {b} * 100",
-    "concentration": "(({a} / {c}) ^ 2 + ({b} / {c}) ^ 2) * 10000",
-    "base_year": "{a} / AT({a}; 1996) * 100",
-    "change_between": "AT({a}; 2000) - AT({a}; 1996)",
-    "annual_rate": "((AT({a}; 2000) / AT({a}; 1996)) ^ (1 / 4) - 1) * 100",
-    "sum": "{a} + {b}",
-    "country_deviation": "{a} - COUNTRY({a})",
-    "district_deviation": "{a} - DISTRICT({a})",
-    "location_quotient": "({a} / {b}) / (COUNTRY({a}) / COUNTRY({b}))",
-    "structural_shift": "SQRT((({a} / {c} - AGO({a}; 1) / AGO({c}; 1)) ^ 2 + ({b} / {c} - AGO({b}; 1) / AGO({c}; 1)) ^ 2) / 2) * 100",
-    "shift_share_national": "AGO({a}; 1) * (COUNTRY({b}) / AGO(COUNTRY({b}); 1) - 1)",
-    "shift_share_mix": "AGO({a}; 1) * (COUNTRY({a}) / AGO(COUNTRY({a}); 1) - COUNTRY({b}) / AGO(COUNTRY({b}); 1))",
-    "shift_share_regional": "AGO({a}; 1) * ({a} / AGO({a}; 1) - COUNTRY({a}) / AGO(COUNTRY({a}); 1))",
+class Grid:
+    """Series of ``observation`` by short names, on all territories and years; methods give columns over years and places."""
+
+    def __init__(self, observation: DataFrame, territory: DataFrame, series: Mapping[str, str]):
+        rows = observation.filter(F.col("series_key").isin(*series.values()))
+        span = rows.filter("value is not null").agg(F.min("year").alias("a"), F.max("year").alias("b")).filter("a is not null")
+        years = span.select(F.explode(F.sequence("a", "b")).alias("year"))
+        places = territory.select("territory_code", "district_code", ((F.col("level") == "region") & ~F.col("is_aggregate")).alias("is_region"))
+        wide = rows.groupBy("territory_code", "year").agg(*[F.max(F.when(F.col("series_key") == key, F.col("value"))).alias(f"_x{name}") for name, key in series.items()])
+        self.rows = places.crossJoin(F.broadcast(years)).join(wide, ["territory_code", "year"], "left")
+        self.windows = 0
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"_x{name}")
+
+    def _keep(self, *columns: Column) -> list[Column]:
+        names = [f"_s{self.windows + i}" for i in range(len(columns))]
+        self.windows += len(columns)
+        self.rows = self.rows.withColumns(dict(zip(names, columns, strict=True)))
+        return [F.col(n) for n in names]
+
+    def _over(self, a: Column, make: Callable[[Column], Column]) -> Column:
+        """``make`` of a column that is kept first, as windows cannot stand inside windows."""
+        (own,) = self._keep(a)
+        (out,) = self._keep(make(own))
+        return out
+
+    def ago(self, a: Column, years: int) -> Column:
+        return self._over(a, lambda x: F.lag(x, years).over(_place()))
+
+    def at(self, a: Column, year: int) -> Column:
+        """The same territory's value in one year."""
+        return self._over(a, lambda x: F.max(F.when(F.col("year") == year, x)).over(Window.partitionBy("territory_code")))
+
+    def in_year(self, a: Column, year: int) -> Column:
+        """The value in that year only."""
+        return F.when(F.col("year") == year, a)
+
+    def country(self, a: Column) -> Column:
+        return self._over(a, lambda x: F.max(F.when(F.col("territory_code") == "W", x)).over(Window.partitionBy("year")))
+
+    def total(self, a: Column) -> Column:
+        return self._over(a, lambda x: F.sum(F.when(F.col("is_region"), x)).over(Window.partitionBy("year")))
+
+    def mean(self, a: Column) -> Column:
+        return self._over(a, lambda x: F.avg(F.when(F.col("is_region"), x)).over(Window.partitionBy("year")))
+
+    def deviation(self, a: Column) -> Column:
+        """Standard deviation of the regions (sample)."""
+        return self._over(a, lambda x: F.stddev_samp(F.when(F.col("is_region"), x)).over(Window.partitionBy("year")))
+
+    def district(self, a: Column) -> Column:
+        """Mean of the district's regions."""
+        return self._over(a, lambda x: F.avg(F.when(F.col("is_region"), x)).over(Window.partitionBy("year", "district_code")))
+
+    def weighted_district(self, a: Column, weight: Column) -> Column:
+        """Mean of the district's regions that have both value and weight, by weight."""
+        x, w = self._keep(a, weight)
+        both, area = F.col("is_region") & x.isNotNull() & w.isNotNull(), Window.partitionBy("year", "district_code")
+        (out,) = self._keep(divide(F.sum(F.when(both, x * w)).over(area), F.sum(F.when(both, w)).over(area)))
+        return out
+
+    def moving(self, a: Column, years: int) -> Column:
+        """Mean of the last ``years`` values, all of them known."""
+        span = lambda: _place().rowsBetween(-(years - 1), 0)
+        return self._over(a, lambda x: F.when(F.count(x).over(span()) == years, F.avg(x).over(span())))
+
+    def running(self, a: Column) -> Column:
+        """Sum from the territory's first known year to the first gap."""
+        upto = _place().rowsBetween(Window.unboundedPreceding, 0)
+        (x,) = self._keep(a)
+        (first,) = self._keep(F.min(F.when(x.isNotNull(), F.col("year"))).over(Window.partitionBy("territory_code")))
+        (out,) = self._keep(F.when(x.isNotNull() & (F.count(x).over(upto) == F.col("year") - first + 1), F.sum(x).over(upto)))
+        return out
+
+    def place(self, a: Column) -> Column:
+        """Competition rank among the regions, largest first."""
+
+        def rank(x: Column) -> Column:
+            ranked = F.col("is_region") & x.isNotNull()
+            return F.when(ranked, F.rank().over(Window.partitionBy("year", ranked).orderBy(F.desc(x))).cast("double"))
+
+        return self._over(a, rank)
+
+    def result(self, value: Column) -> DataFrame:
+        """territory_code, year and value; rows without a finite value are left out."""
+        out = self.rows.select("territory_code", "year", value.cast("double").alias("value"))
+        return out.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))).withColumn("value", F.round("value", 6))
+
+    def undefined(self, above: Column, below: Column) -> DataFrame:
+        """Per year: cells whose division has no value because its lower part is 0."""
+        return self.rows.filter(above.isNotNull() & (below == 0)).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _place():
+    return Window.partitionBy("territory_code").orderBy("year")
+
+
+def _shares_moved(g: Grid) -> Column:
+    a, b, c = g["a"], g["b"], g["c"]
+    moved = lambda x: divide(x, c) - divide(g.ago(x, 1), g.ago(c, 1))
+    return sqrt((power(moved(a), 2) + power(moved(b), 2)) / 2) * 100
+
+
+def _country_growth(g: Grid, name: str) -> Column:
+    now = g.country(g[name])
+    return divide(now, g.ago(now, 1))
+
+
+#: Operations by name: a column of the grid from its series ``a``, ``b``, ``c``, and years ``first`` and ``last``.
+OPERATIONS: dict[str, Callable[..., Column]] = {
+    "per_group": lambda g: divide(g["a"], g["b"]) * 1000,
+    "price_level": lambda g: divide(g["a"], divide(g["b"], g.country(g["b"]))),
+    "in_minima": lambda g: divide(g["a"], g["b"]),
+    "structure": lambda g: divide(g["a"], g["b"]) * 100,
+    "concentration": lambda g: (power(divide(g["a"], g["c"]), 2) + power(divide(g["b"], g["c"]), 2)) * 10000,
+    "base_year": lambda g, first: divide(g["a"], g.at(g["a"], first)) * 100,
+    "change_between": lambda g, first, last: g.at(g["a"], last) - g.at(g["a"], first),
+    "percent_between": lambda g, first, last: (divide(g.at(g["a"], last), g.at(g["a"], first)) - 1) * 100,
+    "annual_rate": lambda g, first, last: (power(divide(g.at(g["a"], last), g.at(g["a"], first)), 1 / (last - first)) - 1) * 100,
+    "sum": lambda g: g["a"] + g["b"],
+    "difference": lambda g: g["a"] - g["b"],
+    "growth": lambda g: (divide(g["a"], g.ago(g["a"], 1)) - 1) * 100,
+    "moving_average": lambda g: g.moving(g["a"], 3),
+    "running_total": lambda g: g.running(g["a"]),
+    "share_of_regions": lambda g: divide(g["a"], g.total(g["a"])) * 100,
+    "place": lambda g: g.place(g["a"]),
+    "standard_score": lambda g: divide(g["a"] - g.mean(g["a"]), g.deviation(g["a"])),
+    "country_deviation": lambda g: g["a"] - g.country(g["a"]),
+    "district_deviation": lambda g: g["a"] - g.district(g["a"]),
+    "weighted_district_deviation": lambda g: g["a"] - g.weighted_district(g["a"], g["b"]),
+    "location_quotient": lambda g: divide(divide(g["a"], g["b"]), divide(g.country(g["a"]), g.country(g["b"]))),
+    "structural_shift": _shares_moved,
+    "shift_share_national": lambda g: g.ago(g["a"], 1) * (_country_growth(g, "b") - 1),
+    "shift_share_mix": lambda g: g.ago(g["a"], 1) * (_country_growth(g, "a") - _country_growth(g, "b")),
+    "shift_share_regional": lambda g: g.ago(g["a"], 1) * (divide(g["a"], g.ago(g["a"], 1)) - _country_growth(g, "a")),
 }
 
 
-def operation(name: str, series: Mapping[str, str], observation: DataFrame, territory: DataFrame) -> DataFrame:
-    text = OPERATIONS[name]
-    for letter, key in series.items():
-        text = text.replace(f"{{{letter}}}", f"{{\0{key}}}")
-    return evaluate(text.replace("\0", ""), observation, territory)
+def operation(name: str, series: Mapping[str, str], observation: DataFrame, territory: DataFrame, **years: int) -> DataFrame:
+    grid = Grid(observation, territory, series)
+    value = OPERATIONS[name](grid, **years)
+    return grid.result(value)
+
+
+#: Operations that add or share out their series, and those that divide two of them.
+ADDING, DIVIDING = ("sum", "structure", "concentration", "share_of_regions", "running_total"), ("per_group", "price_level", "in_minima", "structure", "location_quotient")
+
+
+def warnings(uses: DataFrame) -> DataFrame:
+    """What is doubtful in uses (operation, kind_a, kind_b, last_a, last_b): averages or shares added, and series divided that end in different years."""
+    adds = F.col("operation").isin(*ADDING) & F.col("kind_a").isin("average", "share")
+    apart = F.col("operation").isin(*DIVIDING) & (F.col("last_a") != F.col("last_b"))
+    found = F.array_compact(F.array(F.when(adds, "adds what is no total"), F.when(apart, "divides series of different years")))
+    return uses.withColumn("warning", F.explode(found))

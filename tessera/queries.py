@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import queries_build, queries_study
@@ -137,26 +139,52 @@ g AS (SELECT t.territory_code, t.district_code, t.level = 'region' AND NOT t.is_
 s AS (SELECT *, {stages} FROM g) SELECT territory_code, year, round(v, 6) AS value FROM (SELECT territory_code, year, {value} AS v FROM s) WHERE v IS NOT NULL AND isfinite(v)"""
 
 
-def _formula_sql(keys: dict[str, str], value: str, stages: str = "1 AS one") -> str:
-    return _GRID.format(keys=", ".join(f"'{k}'" for k in keys.values()), columns=", ".join(f"max(value) FILTER (o.series_key = '{k}') AS {n}" for n, k in keys.items()), stages=stages, value=value)
+def _formula_sql(keys: dict[str, str], value: str, stages: str = "1 AS one", window: str = "") -> str:
+    return _GRID.replace("{stages} FROM g)", f"{{stages}} FROM g{window})").format(keys=", ".join(f"'{k}'" for k in keys.values()), columns=", ".join(f"max(value) FILTER (o.series_key = '{k}') AS {n}" for n, k in keys.items()), stages=stages, value=value)
+
 
+def _formula(name: str, value: Callable[[formula.Grid], Column], keys: dict[str, str], by_hand: str, stages: str = "1 AS one", window: str = "") -> None:
+    def run(c) -> DataFrame:
+        grid = formula.Grid(c.observation, c.territory, keys)
+        column = value(grid)
+        return grid.result(column)
 
-def _formula(name: str, text: str, keys: dict[str, str], value: str, stages: str = "1 AS one") -> None:
-    for letter, key in keys.items():
-        text = text.replace(f"{{{letter}}}", f"{{\0{key}}}")
-    on_cube(name, lambda c, t=text.replace("\0", ""): formula.evaluate(t, c.observation, c.territory), _formula_sql(keys, value, stages))
+    on_cube(name, run, _formula_sql(keys, by_hand, stages, window))
 
 
 _W = "OVER (PARTITION BY territory_code ORDER BY year)"
-_formula("frm07_binary", "-({a} - {b} * 2) / ({b} - 10) + {b} ^ 2 / 3", {"a": _A, "b": _B}, "-(a - b * 2) / nullif(b - 10, 0) + power(b, 2) / 3")
-_formula("frm08_functions", "ROUND(LN({a}) + LOG10({b}) - SQRT(ABS({b} - 100)) + EXP(MIN({b}; 3)) + MAX({b}; 5; 7); 3)", {"a": _A, "b": _B}, "round(CASE WHEN a > 0 THEN ln(a) END + CASE WHEN b > 0 THEN log10(b) END - sqrt(abs(b - 100)) + exp(CASE WHEN b IS NOT NULL THEN least(b, 3) END) + CASE WHEN b IS NOT NULL THEN greatest(b, 5, 7) END, 3)")
-_formula("frm08_ago_rank", "{a} - AGO({a}; 1) + RANK({a})", {"a": _A}, "a - p + r", f"lag(a) {_W} AS p, CASE WHEN is_region AND a IS NOT NULL THEN rank() OVER (PARTITION BY year, is_region AND a IS NOT NULL ORDER BY a DESC) END AS r")
-_formula("frm09_logic", "IF(AND({a} > 1000; NOT(ISNA({b}))); IFNA({b}; 0); -1)", {"a": "revenue:1-URGENT/BUILDING", "b": "orders:1-URGENT/BUILDING"}, "CASE WHEN (a > 1000 AND b IS NOT NULL) IS NULL THEN NULL WHEN a > 1000 AND b IS NOT NULL THEN coalesce(b, 0) ELSE -1 END")
-_formula("frm10_windows", "AT({a}; 1997) / {a} + MOVING({a}; 3) / 1000000 + CUMSUM({a}) / COUNTRY({a})", {"a": _A}, "f / nullif(a, 0) + m / 1000000 + cs / nullif(w, 0)", f"max(a) FILTER (year = 1997) OVER (PARTITION BY territory_code) AS f, CASE WHEN count(a) OVER q = 3 THEN avg(a) OVER q END AS m, CASE WHEN count(a) {_W} = count(*) {_W} THEN sum(a) {_W} END AS cs, max(a) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS w".replace("OVER q", "OVER (PARTITION BY territory_code ORDER BY year ROWS 2 PRECEDING)"))
-_formula("frm10_regions", "({a} - MEAN({a})) / STDEV({a}) + {a} / TOTAL({a}) - DISTRICT({a}) / TOTAL({a})", {"a": _A}, "(a - mean) / nullif(sd, 0) + a / nullif(t, 0) - dm / nullif(t, 0)", "avg(a) FILTER (is_region) OVER (PARTITION BY year) AS mean, stddev_samp(a) FILTER (is_region) OVER (PARTITION BY year) AS sd, sum(a) FILTER (is_region) OVER (PARTITION BY year) AS t, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS dm")
+_formula("frm07_binary", lambda g: formula.divide(-(g["a"] - g["b"] * 2), g["b"] - 10) + formula.power(g["b"], 2) / 3, {"a": _A, "b": _B}, "-(a - b * 2) / nullif(b - 10, 0) + power(b, 2) / 3")
+_formula("frm08_functions", lambda g: F.round(formula.ln(g["a"]) + formula.log10(g["b"]) - formula.sqrt(F.abs(g["b"] - 100)) + F.exp(formula.least(g["b"], F.lit(3.0))) + formula.greatest(g["b"], F.lit(5.0), F.lit(7.0)), 3), {"a": _A, "b": _B}, "round(CASE WHEN a > 0 THEN ln(a) END + CASE WHEN b > 0 THEN log10(b) END - sqrt(abs(b - 100)) + exp(CASE WHEN b IS NOT NULL THEN least(b, 3) END) + CASE WHEN b IS NOT NULL THEN greatest(b, 5, 7) END, 3)")
+_formula("frm08_ago_rank", lambda g: g["a"] - g.ago(g["a"], 1) + g.place(g["a"]), {"a": _A}, "a - p + r", f"lag(a) {_W} AS p, CASE WHEN is_region AND a IS NOT NULL THEN rank() OVER (PARTITION BY year, is_region AND a IS NOT NULL ORDER BY a DESC) END AS r")
+_formula("frm09_logic", lambda g: formula.choose((g["a"] > 1000) & g["b"].isNotNull(), F.coalesce(g["b"], F.lit(0.0)), F.lit(-1.0)), {"a": "revenue:1-URGENT/BUILDING", "b": "orders:1-URGENT/BUILDING"}, "CASE WHEN (a > 1000 AND b IS NOT NULL) IS NULL THEN NULL WHEN a > 1000 AND b IS NOT NULL THEN coalesce(b, 0) ELSE -1 END")
+_formula("frm10_windows", lambda g: formula.divide(g.at(g["a"], 1997), g["a"]) + g.moving(g["a"], 3) / 1000000 + formula.divide(g.running(g["a"]), g.country(g["a"])), {"a": _A}, "f / nullif(a, 0) + m / 1000000 + cs / nullif(w, 0)", f"max(a) FILTER (year = 1997) OVER (PARTITION BY territory_code) AS f, CASE WHEN count(a) OVER q = 3 THEN avg(a) OVER q END AS m, CASE WHEN count(a) {_W} = count(*) {_W} THEN sum(a) {_W} END AS cs, max(a) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS w".replace("OVER q", "OVER (PARTITION BY territory_code ORDER BY year ROWS 2 PRECEDING)"))
+_formula("frm10_regions", lambda g: formula.divide(g["a"] - g.mean(g["a"]), g.deviation(g["a"])) + formula.divide(g["a"], g.total(g["a"])) - formula.divide(g.district(g["a"]), g.total(g["a"])), {"a": _A}, "(a - mean) / nullif(sd, 0) + a / nullif(t, 0) - dm / nullif(t, 0)", "avg(a) FILTER (is_region) OVER (PARTITION BY year) AS mean, stddev_samp(a) FILTER (is_region) OVER (PARTITION BY year) AS sd, sum(a) FILTER (is_region) OVER (PARTITION BY year) AS t, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS dm")
+_formula("frm10_in_year", lambda g: g.in_year(g["a"], 1998), {"a": _A}, "CASE WHEN year = 1998 THEN a END")
+_formula("frm10_weighted_district", lambda g: g.weighted_district(g["a"], g["b"]), {"a": "avg_price:1-URGENT/BUILDING", "b": _B}, "wd", "sum(a * b) FILTER (is_region AND a IS NOT NULL AND b IS NOT NULL) OVER d / nullif(sum(b) FILTER (is_region AND a IS NOT NULL AND b IS NOT NULL) OVER d, 0) AS wd", " WINDOW d AS (PARTITION BY year, district_code)")
+on_cube("frm11_undefined", lambda c: (lambda g: g.undefined(g["a"], g["b"] - 3))(formula.Grid(c.observation, c.territory, {"a": "revenue:1-URGENT/BUILDING", "b": "orders:1-URGENT/BUILDING"})), "SELECT a.year, count(*) AS n FROM observation a JOIN observation b USING (territory_code, year) WHERE a.series_key = 'revenue:1-URGENT/BUILDING' AND b.series_key = 'orders:1-URGENT/BUILDING' AND a.value IS NOT NULL AND b.value = 3 GROUP BY a.year")
+_KIND_OF = lambda x: F.when(F.col(x).startswith("avg"), "average").otherwise("total")
+
+
+def _uses(c) -> DataFrame:
+    last = c.observation.filter("value is not null").groupBy(F.split("series_key", "/")[0].alias("k")).agg(F.max("year").alias("last")).select("k", (F.col("last") - F.length("k") % 2).alias("last"))
+    two = last.select(F.col("k").alias("a"), F.col("last").alias("last_a")).join(last.select(F.col("k").alias("b"), F.col("last").alias("last_b")), F.col("a") < F.col("b"))
+    ops = F.explode(F.array(*[F.lit(o) for o in ("sum", "structure", "per_group", "growth")]))
+    return two.withColumn("operation", ops).withColumn("kind_a", _KIND_OF("a")).withColumn("kind_b", _KIND_OF("b"))
+
+
+on_cube("frm29_warnings", lambda c: formula.warnings(_uses(c)).select("operation", "a", "b", "warning"), """, k AS (SELECT split_part(series_key, '/', 1) AS k, max(year) - length(split_part(series_key, '/', 1)) % 2 AS last FROM observation WHERE value IS NOT NULL GROUP BY 1), u AS (SELECT o AS operation, x.k AS a, y.k AS b, x.last AS la, y.last AS lb FROM k x JOIN k y ON x.k < y.k, (VALUES ('sum'), ('structure'), ('per_group'), ('growth')) v(o))
+  SELECT operation, a, b, 'adds what is no total' AS warning FROM u WHERE operation IN ('sum', 'structure') AND a LIKE 'avg%' UNION ALL SELECT operation, a, b, 'divides series of different years' FROM u WHERE operation IN ('structure', 'per_group') AND la <> lb""")
 _OPERATION_SQL = {
     "frm14_per_group": ("per_group", "ab", "a / nullif(b, 0) * 1000"),
     "frm15_price_level": ("price_level", "ab", "a / nullif(b / nullif(bw, 0), 0)"),
+    "frm16_in_minima": ("in_minima", "ab", "a / nullif(b, 0)"),
+    "frm28_percent_between": ("percent_between", "a", "(y00 / nullif(y96, 0) - 1) * 100"),
+    "frm28_difference": ("difference", "ab", "a - b"),
+    "frm28_growth": ("growth", "a", "(a / nullif(a0, 0) - 1) * 100"),
+    "frm28_share_of_regions": ("share_of_regions", "a", "a / nullif(tot, 0) * 100"),
+    "frm28_standard_score": ("standard_score", "a", "(a - mea) / nullif(dev, 0)"),
+    "frm28_place": ("place", "a", "CASE WHEN is_region AND a IS NOT NULL THEN pla END"),
+    "frm28_moving_average": ("moving_average", "a", "mov"),
     "frm17_structure": ("structure", "ab", "a / nullif(b, 0) * 100"),
     "frm18_concentration": ("concentration", "abc", "(power(a / nullif(c, 0), 2) + power(b / nullif(c, 0), 2)) * 10000"),
     "frm19_base_year": ("base_year", "a", "a / nullif(y96, 0) * 100"),
@@ -173,11 +201,12 @@ _OPERATION_SQL = {
 }
 for _name, (_op, _letters, _value) in _OPERATION_SQL.items():
     _keys = dict(zip(_letters, (_C, _D, _A), strict=False))
-    _need = [f"lag({x}) {_W} AS {x}0, max({x}) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS {x}w" for x in _letters] + [f"max(a) FILTER (year = 1996) OVER (PARTITION BY territory_code) AS y96, max(a) FILTER (year = 2000) OVER (PARTITION BY territory_code) AS y00, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS ad"]
+    _need = [f"lag({x}) {_W} AS {x}0, max({x}) FILTER (territory_code = 'W') OVER (PARTITION BY year) AS {x}w" for x in _letters] + [f"max(a) FILTER (year = 1996) OVER (PARTITION BY territory_code) AS y96, max(a) FILTER (year = 2000) OVER (PARTITION BY territory_code) AS y00, avg(a) FILTER (is_region) OVER (PARTITION BY year, district_code) AS ad, sum(a) FILTER (is_region) OVER (PARTITION BY year) AS tot, avg(a) FILTER (is_region) OVER (PARTITION BY year) AS mea, stddev_samp(a) FILTER (is_region) OVER (PARTITION BY year) AS dev, rank() OVER (PARTITION BY year, is_region AND a IS NOT NULL ORDER BY a DESC) AS pla, CASE WHEN count(a) OVER (PARTITION BY territory_code ORDER BY year ROWS 2 PRECEDING) = 3 THEN avg(a) OVER (PARTITION BY territory_code ORDER BY year ROWS 2 PRECEDING) END AS mov"]
     _sql = _formula_sql(_keys, _value, ", ".join(_need))
     if "w0" in _value:
         _sql = _sql.replace(" FROM g) SELECT", f" FROM g), s2 AS (SELECT *, {', '.join(f'lag({x}w) {_W} AS {x}w0' for x in _letters)} FROM s) SELECT").replace("FROM s) WHERE", "FROM s2) WHERE")
-    on_cube(_name, lambda c, o=_op, k=_keys: formula.operation(o, k, c.observation, c.territory), _sql)
+    _years = {n: y for n, y in (("first", 1996), ("last", 2000)) if n == "first" and _op in ("base_year", "change_between", "percent_between", "annual_rate") or n == "last" and _op in ("change_between", "percent_between", "annual_rate")}
+    on_cube(_name, lambda c, o=_op, k=_keys, y=_years: formula.operation(o, k, c.observation, c.territory, **y), _sql)
 
 # Statistics
 
