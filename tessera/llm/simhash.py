@@ -315,8 +315,8 @@ def _lightest(edges: np.ndarray) -> np.ndarray:
     return edges[:, forest(*edges)]
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], n_keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of some ``GATHER`` sorted rows at a time, always whole buckets (equal in the last ``n_keys`` columns), and where buckets begin."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], n_keys: int, gather: int = GATHER) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of some ``gather`` sorted rows at a time, always whole buckets (equal in the last ``n_keys`` columns), and where buckets begin."""
     held: list[list[np.ndarray]] = []
     size = 0
 
@@ -337,7 +337,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...],
             continue
         held.append([_array(batch.column(c)) for c in columns])
         size += batch.num_rows
-        if size >= GATHER:
+        if size >= gather:
             yield from cut(False)
     if size:
         yield from cut(True)
@@ -397,8 +397,8 @@ WIDE_RADIUS = 40
 SKETCH, FOLLOWERS, RARE = 4, 4, 16
 #: Documents from which frequent shingles are learned, and how many of those are kept. Both change the work, not the result.
 COMMON_FROM, MAX_COMMON = 5_000, 1 << 17
-#: Rows of a bucket from which it is split into cells.
-CELL = 1 << 13
+#: Rows of a bucket from which it is split into cells, rows with bins that a task gathers, and bins of a set (a power of 2).
+CELL, GATHER_WIDE, BINS = 1 << 13, 1 << 14, 1 << 10
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -496,26 +496,52 @@ def neighbour_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     return pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select("best.a", "b")
 
 
-def meeting_links(nodes: DataFrame, similarity: float, spanning: bool, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share a key, whose fps lie within the radius and whose sizes allow ``similarity``.
+def mixed_keys(nodes: DataFrame) -> DataFrame:
+    """Keys under which ``nodes`` (node, root, keys) of several roots meet, and the parts that their rows are split into. The result is staged."""
+    keyed = nodes.select("root", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
+    return staged(met.select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("parts")), "meeting-keys")
+
+
+def set_bins(ids: np.ndarray) -> bytes:
+    """A byte for each of ``BINS`` runs of hash values: 0 without an element of the set (sorted ids), else one that depends on the least."""
+    out = np.zeros(BINS, np.uint8)
+    at, first = np.unique(ids >> np.uint64(64 - (BINS.bit_length() - 1)), return_index=True)
+    out[at.astype(np.int64)] = ids[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_be_alike(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the share of equal bins leaves room for ``similarity``: within four standard deviations of a sample of that many elements of the union without putting back."""
+    filled = (one > 0) | (two > 0)
+    bins, equal = filled.sum(1), ((one == two) & filled).sum(1)
+    union = np.maximum((n + m) / (1 + similarity), 1)
+    spread = np.sqrt(similarity * (1 - similarity) / np.maximum(bins, 1) * np.clip(1 - bins / union, 0.05, 1))
+    return equal >= (similarity - 4 * spread) * bins - 1
+
+
+def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity: float, spanning: bool, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share one of ``keys``, whose fps lie within the radius, and whose sizes and ``bins`` (node, bins) allow ``similarity``.
 
-    ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys whose
-    rows have one root are left out; those of many rows are split into cells of two parts each.
+    ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys of many
+    rows are split into cells of two parts each.
     """
-    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
-    met = staged(met.select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("parts")), "meeting-keys")
-    split = keyed.join(met, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
+    split = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
 
-    def compare(node: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        for i, j in bucket_links(fp, starts, radius, root):
-            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-            fits &= (cell[i] // 1_000_003 == cell[i] % 1_000_003) | (part[i] != part[j])
-            i, j = i[fits], j[fits]
-            if len(i):
-                yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+    def compare(node: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, fp: np.ndarray, filled: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        for left, right in bucket_links(fp, starts, radius, root):
+            fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
+            fits &= (cell[left] // 1_000_003 == cell[left] % 1_000_003) | (part[left] != part[right])
+            left, right = left[fits], right[fits]
+            for at in range(0, len(left), 1 << 12):
+                i, j = left[at : at + (1 << 12)], right[at : at + (1 << 12)]
+                fits = may_be_alike(filled[i], filled[j], n[i], n[j], similarity)
+                i, j = i[fits], j[fits]
+                if len(i):
+                    yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -528,27 +554,35 @@ def meeting_links(nodes: DataFrame, similarity: float, spanning: bool, radius: i
             out = np.unique(found[3:], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
 
-        for (node, root, n, part, fp, key, cell), starts in _whole_buckets(batches, ("node", "root", "n", "part", "fp", "key", "cell"), 2):
-            for found in compare(node, root, n, part, cell, fp, starts):
+        for (node, root, n, part, fp, filled, key, cell), starts in _whole_buckets(batches, ("node", "root", "n", "part", "fp", "bins", "key", "cell"), 2, GATHER_WIDE):
+            for found in compare(node, root, n, part, cell, fp, filled.view(np.uint8), starts):
                 held.append(found)
-                if sum(x.shape[1] for x in held) > 1 << 19:
+                if sum(x.shape[1] for x in held) > 1 << 18:
                     yield flush()
         if held:
             yield flush()
 
-    rows = split.select("node", "root", "n", "part", "fp", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
+    rows = split.select("node", "root", "n", "part", "fp", "bins", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs of ``found`` whose shingle sets have a Jaccard similarity of ``similarity`` or more. Only texts of these pairs leave the scan."""
-    found = staged(found, "pairs")
-    ends = found.select(F.col("a").alias("node"), "a", "b").union(found.select(F.col("b").alias("node"), "a", "b"))
-    wanted = staged(nodes.join(ends.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.text_hash"), "pair-texts").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, shingles and bins of the ``wanted`` nodes (first). Only their texts leave the scan."""
+    wanted = staged(wanted.select("first.doc_id", "first.text_hash"), "wanted-texts").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(sized(wanted), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = _set_batches(texts, k, "node long, shingles array<long>", lambda made: [pa.array((_set_name(np.ascontiguousarray(f[:, 0])) for f in made), pa.int64()), _longs([f[:, 0] for f in made])])
-    sides = ends.join(sets.dropDuplicates(["node"]), "node").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
+
+    def columns(made: list[np.ndarray]) -> list[pa.Array]:
+        ids = [np.ascontiguousarray(f[:, 0]) for f in made]
+        return [pa.array(map(_set_name, ids), pa.int64()), _longs(ids), pa.array(map(set_bins, ids), pa.binary())]
+
+    return _set_batches(texts, k, "node long, shingles array<long>, bins binary", columns).dropDuplicates(["node"])
+
+
+def _alike(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``found`` whose ``sets`` (node, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    ends = found.select(F.col("a").alias("node"), "a", "b").union(found.select(F.col("b").alias("node"), "a", "b"))
+    sides = ends.join(sets.select("node", "shingles"), "node").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
     common = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1]))
     enough = common >= similarity * (F.size(F.col("sets")[0]) + F.size(F.col("sets")[1]) - common)
     return staged(sides.filter(enough).select("a", "b"), "alike")
@@ -560,19 +594,27 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     Texts with the same shingles are one node. Nodes meet under shared shingles, are compared by SimHash (bit
     planes, as above, of 128 bits) and, if within ``WIDE_RADIUS``, checked on the shingle sets, so that no
     false link counts. Three passes join ever more: rows that follow each other; forests of what meets; every
-    pair that meets and is not joined yet.
+    pair that meets and is not joined yet. Before the last two a sketch of the sets, compared in the bucket, says
+    whether they can be alike, so that of a large family of half-alike texts few pairs leave it.
     Texts without words, null texts too, are one group; rows repeated with the same id and text are one
     document, of which the row with the smallest hash of all its columns stays; null ids come last.
     """
     prints = staged(_prints(docs, k, similarity), "wide-prints")
     ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     nodes = staged(prints.groupBy("node").agg(F.min(ranked).alias("first"), *[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "keys")]), "wide-nodes")
-    alike = _alike(docs, nodes, neighbour_links(nodes), k, similarity)
+    found = staged(neighbour_links(nodes), "neighbour-pairs")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    alike = _alike(found, _sets(docs, nodes.join(ends, "node", "left_semi"), k), similarity)
+    sets = None
     for spanning in (True, False):
         roots = components(alike)
-        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "fp", "keys")
-        more = _alike(docs, nodes, meeting_links(staged(rooted, "rooted"), similarity, spanning), k, similarity)
-        alike = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+        rooted = staged(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "fp", "keys"), "rooted")
+        keys = mixed_keys(rooted)
+        if sets is None:  # roots only grow together, so the second round's nodes are among the first's
+            met = rooted.select("node", F.explode("keys").alias("key")).join(keys, "key", "left_semi").select("node").distinct()
+            sets = staged(_sets(docs, nodes.join(met, "node", "left_semi"), k), "meeting-sets")
+        pairs = staged(meeting_links(rooted, keys, sets.select("node", "bins"), similarity, spanning), "meeting-pairs")
+        alike = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(pairs, sets, similarity))
     roots = components(alike)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))

@@ -155,3 +155,33 @@ def test_alike_texts_in_a_crowded_bucket(spark):
     got, want = kept_and_wanted(spark, texts)
     assert got == want
     assert 1 < len(want) < 80
+
+
+def test_bins_do_not_hide_alike_sets():
+    rng = np.random.default_rng(6)
+    passed = 0
+    for n in rng.integers(5, 3000, 400).tolist():
+        ids = np.unique(rng.integers(0, 2**64, n + n // 4 + 1, dtype=np.uint64))
+        one = np.sort(rng.permutation(ids)[: max(1, int(0.9 * len(ids)))])
+        both = np.intersect1d(one, ids)
+        two = np.sort(rng.permutation(np.concatenate([both, np.setdiff1d(ids, one)[: max(0, int(len(one) / 0.8) - len(one))]])))
+        jaccard = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+        bins = [np.frombuffer(simhash.set_bins(x), np.uint8)[None] for x in (one, two)]
+        may = simhash.may_be_alike(*bins, np.array([len(one)]), np.array([len(two)]), 0.8)[0]
+        assert may or jaccard < 0.8
+        far = np.sort(rng.permutation(np.concatenate([one[: len(one) // 2], rng.integers(0, 2**64, len(one) - len(one) // 2, dtype=np.uint64)])))
+        passed += simhash.may_be_alike(bins[0], np.frombuffer(simhash.set_bins(far), np.uint8)[None], np.array([len(one)]), np.array([len(far)]), 0.8)[0] and n > 100
+    assert passed == 0
+
+
+def test_a_family_of_half_alike_texts_gives_few_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 10)):
+            copy[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append(" ".join(copy))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and 1 < len(want) < 150
