@@ -31,20 +31,25 @@ BLOCK_TOKENS = 1 << 20
 TEXT_PIECE, SLOTS, POOL = 1 << 19, 1 << 20, 1 << 23
 #: Bytes of a unit that the table can hold.
 UNIT = 24
+MARKS = b".,;:!?"
 
 _CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 _AFTER = np.zeros(256, bool)  # bytes that begin a character that is surely no white space
 _AFTER[0x21:0x7F] = _AFTER[0xC3:0xE0] = _AFTER[0xE4:0xEF] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK[list(MARKS)] = True
 _MASKS_OF = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class UnitEncoder:
     """Encodes texts with a byte-level tokenizer by way of their units.
 
-    A unit begins with a text, or with a single blank between two characters that are no white space. The
-    tokenizer splits a text there whatever stands around, so a unit's ids depend on the unit alone. Units of up
-    to ``UNIT`` bytes are kept in a table of fixed size, with all their bytes as the key; the others, and those
-    that the table does not have, go to the tokenizer.
+    A unit begins with a text; with a single blank, and with and after a single line feed, between two characters
+    that are no white space; and with a mark of ``MARKS`` after an ASCII letter. The tokenizer splits a text
+    there whatever stands around, so a unit's ids depend on the unit alone. Units of up to ``UNIT`` bytes are
+    kept in a table of fixed size, with all their bytes as the key; the others, and those that the table does
+    not have, go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -56,24 +61,34 @@ class UnitEncoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose first byte is a blank
         self.blank[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        self.feed = vocabulary.get("\u010a", -1)  # the id of a line feed, which parts units that have none
         self.keys, self.lengths = np.zeros((3, SLOTS), np.uint64), np.zeros(SLOTS, np.uint8)
         self.places, self.counts = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint8)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _encode(self, units: list[bytes], clean: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of some units in one array, and where each begins and how many it has. ``clean`` units hold one blank, their first byte, and can be encoded in one go."""
+    def _encode(self, units: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some units in one array, and where each begins and how many it has.
+
+        Units of kind 1 hold one blank, their first byte, those of kind 2 no white space: many are encoded in one go.
+        """
         sizes = np.zeros(len(units), np.int64)
         parts: list[np.ndarray] = []
         order: list[np.ndarray] = []
-        joint = np.flatnonzero(clean)
-        for at in range(0, len(joint), 4096):
-            here = joint[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(b"".join([units[i] for i in here]).decode(), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.blank[ids])
-            sizes[here] = np.diff(np.append(cuts, len(ids)))
-            parts.append(ids)
-            order.append(here)
-        single = np.flatnonzero(~np.array(clean, bool))
+        for kind in (1, 2) if self.feed >= 0 else (1,):
+            joint = np.flatnonzero(kinds == kind)
+            for at in range(0, len(joint), 4096):
+                here = joint[at : at + 4096]
+                text = (b"" if kind == 1 else b"\n").join([units[i] for i in here])
+                ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
+                if kind == 1:
+                    sizes[here] = np.diff(np.append(np.flatnonzero(self.blank[ids]), len(ids)))
+                else:
+                    feeds = np.flatnonzero(ids == self.feed)
+                    sizes[here] = np.diff(np.concatenate([[-1], feeds, [len(ids)]])) - 1
+                    ids = np.delete(ids, feeds)
+                parts.append(ids)
+                order.append(here)
+        single = np.flatnonzero(kinds == 0 if self.feed >= 0 else kinds != 1)
         for at in range(0, len(single), 256):
             here = single[at : at + 256]
             coded = [e.ids for e in self.tokenizer.encode_batch([units[i].decode() for i in here], add_special_tokens=False)]
@@ -96,10 +111,12 @@ class UnitEncoder:
         plain = (data[:n] > 32) & (data[:n] < 0x7F)
         before = plain.copy()  # a character ends here that is surely no white space
         before[1:] |= (data[1:n] >= 0x80) & (data[1:n] < 0xC0) & (data[: n - 1] >= 0xC3) & (data[: n - 1] < 0xE0)
-        begins = blank.copy()
-        begins[1:] &= before[:-1]
-        begins[:-1] &= _AFTER[data[1:n]]
-        begins[-1] = False
+        alone = np.zeros(n, bool)  # between two characters that are surely no white space
+        alone[1:-1] = before[:-2] & _AFTER[data[2:n]]
+        alone[firsts] = alone[firsts[1:] - 1] = False  # neighbours in another text do not count
+        feed = alone & (data[:n] == 10)
+        begins = (alone & blank) | feed
+        begins[1:] |= feed[:-1] | (_MARK[data[1:n]] & _LETTER[data[: n - 1]])
         begins[firsts] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
@@ -115,12 +132,15 @@ class UnitEncoder:
         missing = np.flatnonzero(~hit)
         if len(missing):
             blanks = np.concatenate([[0], np.cumsum(blank)])
-            clean = blank[starts] & (blanks[ends] - blanks[starts] == 1) & before[ends - 1] & (sizes > 1)
+            spaces = np.concatenate([[0], np.cumsum(~(plain | (data[:n] >= 0x80)))])  # white space and other controls
+            first, last, inside = data[starts], before[ends - 1], spaces[ends] - spaces[starts]
+            joint = np.where(blank[starts] & (blanks[ends] - blanks[starts] == 1) & last & (sizes > 1), 1, 0)
+            joint[_AFTER[first] & last & (inside == 0)] = 2
             names: dict[bytes, int] = {}
             inverse = np.fromiter((names.setdefault(joined[a:b], len(names)) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)), np.int64, len(missing))
             at = np.zeros(len(names), np.int64)
             at[inverse[::-1]] = missing[::-1]
-            fresh, begin, many = self._encode(list(names), clean[at].tolist())
+            fresh, begin, many = self._encode(list(names), joint[at])
             if self.used + len(fresh) > POOL:
                 self.lengths[:] = self.used = 0
                 self.pool = np.zeros(1 << 16, self.kind)
