@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 OBSERVED, NO_DATA, HIDDEN = 0, 1, 2
 #: Cells of fewer orders are hidden.
 DISCLOSURE = 3
-EDITIONS = 7
 MEASURES = ("revenue", "quantity", "orders", "avg_price")
 
 
@@ -94,7 +93,7 @@ def build_cube(spark: SparkSession, sf_dir: str) -> Cube:
     counts = sliced(by_order).agg(F.sum("n_orders").alias("n_orders"))
 
     grid = counts.select("slice").distinct().crossJoin(territory.select("territory_code")).crossJoin(counts.select("year").distinct())
-    editions = spark.range(1, EDITIONS + 1).withColumnRenamed("id", "edition")
+    editions = F.broadcast(by_line.select("edition").distinct())  # as many as an order has lines
     upto = Window.partitionBy("slice", "territory_code", "year").orderBy("edition").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = (
         cells.select("slice", "territory_code", "year").distinct().crossJoin(editions).join(cells, ["slice", "territory_code", "year", "edition"], "left").select("slice", "territory_code", "year", "edition", *[F.sum(c).over(upto).alias(c) for c in ("money", "gross", "pieces")])

@@ -18,7 +18,7 @@ li AS (SELECT l_orderkey, l_linenumber AS edition, round(l_extendedprice * 100):
 cell AS (SELECT slice, territory_code, year, edition, sum(money) AS money, sum(gross) AS gross, sum(pieces) AS pieces FROM sliced JOIN li ON l_orderkey = o_orderkey GROUP BY ALL),
 running AS (
   SELECT k.slice, k.territory_code, k.year, e.edition, sum(c.money) OVER w AS money, sum(c.gross) OVER w AS gross, sum(c.pieces) OVER w AS pieces
-  FROM (SELECT DISTINCT slice, territory_code, year FROM cell) k CROSS JOIN range(1, 8) e(edition)
+  FROM (SELECT DISTINCT slice, territory_code, year FROM cell) k CROSS JOIN (SELECT DISTINCT edition FROM cell) e
   LEFT JOIN cell c ON c.slice = k.slice AND c.territory_code = k.territory_code AND c.year = k.year AND c.edition = e.edition
   WINDOW w AS (PARTITION BY k.slice, k.territory_code, k.year ORDER BY e.edition ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 val AS (SELECT r.*, coalesce(n_orders, 0) < 3 AS hid FROM running r LEFT JOIN cnt USING (slice, territory_code, year) WHERE money IS NOT NULL),

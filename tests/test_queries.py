@@ -78,3 +78,21 @@ def test_ols_solves_the_normal_equations(spark):
     want = np.linalg.lstsq(x, wide["revenue:00"], rcond=None)[0]
     got = [r.coefficient for r in REGISTRY["sta20_ols"][0](spark, SF).collect()]
     assert sorted(got) == pytest.approx(sorted(want), rel=1e-3)
+
+
+def test_editions_are_those_of_the_data(spark, tmp_path):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from tests.compare import TABLES
+
+    for name in TABLES:
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_linenumber", F.when(F.col("l_linenumber") == 7, 11).otherwise(F.col("l_linenumber")))
+    (tmp_path / "lineitem.parquet").unlink()
+    lines.toPandas().to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    run, sql = REGISTRY["fct01_vintages"]
+    frame = run(spark, str(tmp_path))
+    assert frame.agg(F.max("edition")).first()[0] == 11
+    assert_same(frame, connect(str(tmp_path)), sql)
