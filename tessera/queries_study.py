@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import recognise, search, statistics, study
+from tessera.operators import quality, recognise, search, statistics, study
 from tessera.plans.marts import mart
 from tessera.registry import on_cube, on_tables
 
@@ -62,8 +64,6 @@ on_cube("sta33_adjusted", lambda c: statistics.benjamini_hochberg(_long(c).filte
 
 
 def _by_value():
-    from pyspark.sql import Window
-
     return Window.orderBy("value")
 
 
@@ -223,3 +223,6 @@ def _period_cells(orders: DataFrame) -> DataFrame:
 # Rules that find nothing in the tables as they are, on values with planted faults
 
 on_cube("mrt16_planted_outliers", lambda c: statistics.outliers(_rows(c).select("year", "code", F.when(F.col("code") == "N7", F.col("value") * 20).otherwise(F.col("value")).alias("value"))), f"{_sel()}, p AS (SELECT year, code, CASE WHEN code = 'N7' THEN value * 20 ELSE value END AS value FROM x), q AS (SELECT year, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM p GROUP BY year HAVING count(*) >= 10) SELECT year, code, value FROM p JOIN q USING (year) WHERE b > a AND (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))")
+_JUMPED = lambda c: replace(c, observation=c.observation.withColumn("value", F.when(F.col("year") >= 1999, F.col("value") * 1000).otherwise(F.col("value"))))
+on_cube("mrt13_planted_jumps", lambda c: quality.scale_jumps(_JUMPED(c)), """, m AS (SELECT series_key, year, median(abs(CASE WHEN year >= 1999 THEN value * 1000 ELSE value END)) AS m FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 10), j AS (SELECT series_key, year, greatest(m / b, b / m) AS jump FROM (SELECT *, lag(m) OVER (PARTITION BY series_key ORDER BY year) AS b FROM m) WHERE b > 0 AND m > 0)
+  SELECT series_key, year, round(jump, 2) AS jump FROM j WHERE jump BETWEEN 500 AND 2000 OR jump BETWEEN 500000 AND 2000000""")

@@ -58,7 +58,7 @@ def detect_delimiter(text: str) -> str:
 
 
 def inspect_files(spark: SparkSession, path: str, head: int = 4096) -> DataFrame:
-    """path, length, kind, encoding and sha256 of each file; contents stay on the executors."""
+    """path, length, kind, encoding and sha256 of each file; contents stay on the executors. Spark does not list files without a byte."""
 
     @F.pandas_udf("kind string, encoding string, delimiter string")
     def look(heads: pd.Series) -> pd.DataFrame:

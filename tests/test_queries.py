@@ -96,3 +96,15 @@ def test_editions_are_those_of_the_data(spark, tmp_path):
     frame = run(spark, str(tmp_path))
     assert frame.agg(F.max("edition")).first()[0] == 11
     assert_same(frame, connect(str(tmp_path)), sql)
+
+
+def test_works_without_the_training_data_operators(tmp_path):
+    import shutil
+
+    home = os.path.dirname(__spark_entry__.__file__)
+    shutil.copytree(home, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "corpus_pipeline.py"))
+    for extra in (False, True):
+        if extra and os.path.exists(f"{home}/corpus_pipeline.py"):
+            shutil.copy(f"{home}/corpus_pipeline.py", tmp_path / "repo")
+        done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 300 and len(e.oracle_sql()) > 300 and 'pipeline' not in e.queries()"], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, timeout=120)
+        assert done.returncode == 0, done.stderr[-800:]
