@@ -141,8 +141,8 @@ def nearest(embeddings: DataFrame, k: int = 5, query_every: int = QUERY_EVERY, m
     """query_id, rank, vec_id and score: for each row whose vec_id is divisible by ``query_every`` its nearest other rows.
 
     Vectors that are null, zero, of another dimension than most, or that hold null or non-finite components
-    take no part, nor do rows without an id. Rows that share a query's id are not its candidates; other
-    repeated rows are candidates each. Ties go to the smaller vec_id. A query that finds fewer than ``k``
+    take no part, nor do rows without an id. Rows that share a query's id are not its candidates, and the least
+    of their vectors is the query; other repeated rows are candidates each. Ties go to the smaller vec_id. A query that finds fewer than ``k``
     within the radius is searched again without one, so a row is missing only if there are too few vectors.
     """
     spark = embeddings.sparkSession
@@ -152,8 +152,8 @@ def nearest(embeddings: DataFrame, k: int = 5, query_every: int = QUERY_EVERY, m
     if sizes is None:
         return spark.createDataFrame([], schema)
     vectors = staged(rows.filter(usable(F.col("embedding"), sizes.n)), "vectors")
-    asked = vectors.filter(F.col("vec_id") % query_every == 0)
-    counted = vectors.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("queries")).first()
+    asked = vectors.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    counted = vectors.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.when(F.col("vec_id") % query_every == 0, F.col("vec_id"))).alias("queries")).first()
     if not counted.rows:
         return spark.createDataFrame([], schema)
     share = min(1.0, max_sample / counted.rows)

@@ -54,6 +54,27 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.nearest(few).collect()] == [(50, 51)]
 
 
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 90)]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    again = once.unionByName(once.filter("vec_id = 50")).unionByName(once.filter("vec_id = 50"))
+    assert found(neighbours.nearest(again)) == found(neighbours.nearest(once))
+
+
+def test_near_vectors_are_found_by_few_probes():
+    """Where neighbours are near (cosine 0.9 and more) the learned radius is small and few rows are probed."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 64))
+    vectors = np.repeat(centres, 10, axis=0) + 0.3 * rng.normal(size=(4000, 64))
+    codes = neighbours.Codes(vectors, 5)
+    coded = codes(vectors)
+    index = neighbours.MultiIndex(coded, codes.bits)
+    near = codes.radius // len(index.parts)
+    probed = np.mean([np.mean(np.any([np.bitwise_count((coded ^ q) >> s & m) <= near for s, m in index.parts], axis=0)) for q in coded[:100]])
+    assert codes.radius <= 16 and probed < 0.2
+
+
 def test_multi_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 2**63, 500, dtype=np.uint64)
