@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, staged
+from tessera.llm.common import give_back, packed, staged
 
 WINDOW = 8
 #: Least number of tokens of a window that are no placeholders.
@@ -56,8 +56,8 @@ TYPED, OPEN, LITERAL, WHOLE = range(4)
 #: What a token is by itself.
 IS_END, IS_SIGN, IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_UPPER = (1 << i for i in range(6))
 _SPECIAL = {**dict.fromkeys(_ENDS, IS_END), **dict.fromkeys(_SIGNS, IS_SIGN), **dict.fromkeys(NUMBER_WORDS, IS_NUMBER), **dict.fromkeys(UNITS, IS_UNIT)}
-#: Different tokens that a worker keeps (some 20 MB), and tokens that are worked on at once.
-MAX_KNOWN, AT_ONCE = 1 << 17, 1 << 18
+#: Different tokens that a task keeps (some 20 MB), and tokens that are worked on at once.
+MAX_KNOWN, AT_ONCE = 1 << 17, 1 << 17
 
 
 class Tokens:
@@ -266,6 +266,8 @@ def _windows(rows: DataFrame, window: int, lengths: list[int], wanted: Filter |
                         out = []
             if out:
                 yield _batch(out)
+        _KNOWN.clear()
+        give_back()
 
     return rows.mapInArrow(run, _DDL)
 

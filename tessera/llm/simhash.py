@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, partitions, sized, staged
+from tessera.llm.common import give_back, packed, partitions, sized, staged
 
 SEED = 42
 #: Texts are cut into words in pieces of so many bytes.
 PIECE = 4 << 20
 #: Rows gathered before complete buckets are compared, and the bucket size from which a bucket is compared by tiles.
-GATHER, TILED = 1 << 19, 48
+GATHER, TILED = 1 << 18, 48
 #: Words of planes that are compared at once in a large bucket.
 TILE_WORDS = 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -341,6 +341,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...],
             yield from cut(False)
     if size:
         yield from cut(True)
+    held = []
+    give_back()
 
 
 def _array(column: pa.Array) -> np.ndarray:
@@ -416,6 +418,7 @@ def _set_batches(docs: DataFrame, k: int, schema: str, columns: Callable[[list[n
                 part = batch.slice(at, 256)
                 made = columns([_distinct_shingles(_lower(t.as_py()), k) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, partitions, staged
+from tessera.llm.common import give_back, new_path, partitions, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once; slots of a worker's table of units (31 MB); ids that it keeps (at most 32 MB).
-TEXT_PIECE, SLOTS, POOL = 1 << 19, 1 << 20, 1 << 23
+TEXT_PIECE, SLOTS, POOL = 1 << 18, 1 << 20, 1 << 23
 #: Bytes of a unit that the table can hold.
 UNIT = 24
 MARKS = b".,;:!?"
@@ -240,6 +240,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 ids = encode_texts(part.column("text").to_pylist(), path, end_id)
                 total = _add_counts(total, _ids(b"".join(ids), width))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
 
     names = ["doc_id", "text_hash", "ids", "width", "counts"]
@@ -358,6 +359,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                     first, tokens = first + tokens, 0
         if ids:
             yield flush()
+        ids, counts, controls, datas = [], [], [], []
+        give_back()
 
     rows = coded.filter("counts is null").mapInArrow(code, "doc_id long, text_hash long, n long, control binary, data binary")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
