@@ -32,6 +32,7 @@ MAX_TRAINING = 20_000
 #: Entries of the learned lexicon (the model's size); texts that must hold an entry; least log-odds of an entry.
 MAX_ENTRIES, MIN_TEXTS, MIN_LOG_ODDS = 400, 3, 2.5
 PREFIXES = (4, 5, 6)
+FIT_TASKS = 4
 NEAR = 40
 
 #: Insults, and second-person words of four languages.
@@ -202,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
         return Toxicity({}, None, None)
     first, second, everything = learn_lexicon(rows)
     described = F.when(F.col("half") == 0, _describe(second)(F.col("text"))).otherwise(_describe(first)(F.col("text")))
-    rows = staged(rows.select("toxic", "weight", "calibrates", described.alias("features")), "toxic-features").coalesce(4)  # few rows; every pass of the fit has that many tasks
+    rows = staged(rows.select("toxic", "weight", "calibrates", F.xxhash64("text").alias("place"), described.alias("features")), "toxic-features")
+    rows = rows.repartition(FIT_TASKS, "place").sortWithinPartitions("place")  # few rows, summed in the same order in every run
     whole = all(classes.get((t, c)) for t in (0, 1) for c in (False, True))
     fitted = rows.filter(~F.col("calibrates")) if whole else rows
     trees = GBTClassifier(featuresCol="tox_features", labelCol="toxic", predictionCol="tox_prediction", maxIter=20, maxDepth=4, stepSize=0.2, seed=7)

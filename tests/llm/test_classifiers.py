@@ -108,7 +108,8 @@ def test_toxicity_does_not_depend_on_row_order_or_foreign_labels(spark):
     one = toxicity.fit(docs, labels)
     two = toxicity.fit(docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")), more)
     assert one.lexicon == two.lexicon and one.lexicon
-    assert one.trees.toDebugString.split("\n", 1)[1] == two.trees.toDebugString.split("\n", 1)[1]
+    rounded = lambda m: re.sub(r"\d+\.\d+(E-?\d+)?", lambda x: f"{float(x[0]):.9g}", m.trees.toDebugString.split("\n", 1)[1])  # noqa: E731  sums of parts come in any order
+    assert rounded(one) == rounded(two)
 
 
 def test_rare_class_is_thinned_last():
