@@ -47,6 +47,14 @@ def load_cube(spark: SparkSession, sf_dir: str) -> Cube:
     return _CUBES[key]
 
 
+def forget_cubes() -> None:
+    """Release all cubes; the next call builds from the files as they are then."""
+    for cube in _CUBES.values():
+        for frame in (cube.territory, cube.vintage, cube.observation, cube.month, cube.population):
+            frame.unpersist()
+    _CUBES.clear()
+
+
 def territories(nation: DataFrame, region: DataFrame) -> DataFrame:
     """Country W, districts R<key>, regions N<key>, and the aggregate A0 of the first two nations."""
     spark = nation.sparkSession

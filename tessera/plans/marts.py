@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.cube import HIDDEN, NO_DATA, OBSERVED, Cube
+from tessera.plans.cube import HIDDEN, NO_DATA, OBSERVED, Cube, forget_cubes
 
 FULL_YEAR, READY_REGIONS, READY_YEARS = 0.8, 0.8, 5
 
@@ -87,3 +87,11 @@ def mart(cube: Cube, name: str) -> DataFrame:
     if key not in _MARTS:
         _MARTS[key] = {"stats": stats, "rank": ranks, "coverage": coverage, "revision": revisions}[name](cube).persist()
     return _MARTS[key]
+
+
+def forget() -> None:
+    """Release all marts and cubes; the next call builds from the files as they are then."""
+    for frame in _MARTS.values():
+        frame.unpersist()
+    _MARTS.clear()
+    forget_cubes()

@@ -108,3 +108,16 @@ def test_works_without_the_training_data_operators(tmp_path):
             shutil.copy(f"{home}/corpus_pipeline.py", tmp_path / "repo")
         done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 300 and len(e.oracle_sql()) > 300 and 'pipeline' not in e.queries()"], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, timeout=120)
         assert done.returncode == 0, done.stderr[-800:]
+
+
+def test_cubes_can_be_released(spark, tmp_path):
+    import shutil
+
+    from tessera.plans import cube, marts
+
+    for name in ("nation", "region", "orders", "customer", "lineitem"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = cube.load_cube(spark, str(tmp_path))
+    assert cube.load_cube(spark, str(tmp_path)) is first
+    marts.forget()
+    assert cube.load_cube(spark, str(tmp_path)) is not first
