@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table; nothing that reads it may run after."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Folders that tables are staged in, the current one last.
 _SCRATCH: list[str] = []
 
@@ -66,8 +72,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield outside
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, _SCRATCH.pop())
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
