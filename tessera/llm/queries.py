@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import balls, decontaminate, language, mixing, neighbours, sharding, simhash, substrings, tokens, toxicity, url_filter, warc
+from tessera.llm import balls, conversations, decontaminate, language, mixing, neighbours, sharding, simhash, substrings, tokens, toxicity, url_filter, warc
 from tessera.llm.common import read_table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": lambda spark, sf_dir: simhash.simhash_digest(read_table(spark, sf_dir, "documents")),
     "op9_neighbours": lambda spark, sf_dir: neighbours.nearest(read_table(spark, sf_dir, "embeddings")),
     "op10_warc": lambda spark, sf_dir: warc.round_trip(read_table(spark, sf_dir, "pages")),
+    "op11_conversations": lambda spark, sf_dir: conversations.repair_digest(read_table(spark, sf_dir, "conversations")),
     "op12_ball_clusters": lambda spark, sf_dir: balls.clusters_digest(read_table(spark, sf_dir, "embeddings")),
     "op13_substrings": lambda spark, sf_dir: substrings.repeats_digest(read_table(spark, sf_dir, "documents")),
 }
