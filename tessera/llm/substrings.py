@@ -153,8 +153,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 SEEDS = "slot long, anchor long, content long, doc_id long, twin int, settled boolean"
 
 
-def _seed_rows(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, content: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``SEEDS``. Of equal contents only those of the least document go to the slot of their anchor; the others are settled."""
+def _seed_rows(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, content: np.ndarray, ranks: np.ndarray, by_content: bool) -> pa.RecordBatch:
+    """Rows of ``SEEDS``. Of equal contents only those of the least document go to the slot of their anchor, or of anchor and content; the others are settled."""
     twin = batch.column("twin").to_numpy()[row]
     order = np.lexsort((twin, ranks[row], content, anchor))
     row, anchor, content, twin = row[order], anchor[order], content[order], twin[order]
@@ -162,7 +162,7 @@ def _seed_rows(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, conte
     least = ranks[row][np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
     again = ~new & np.append(False, (ranks[row][1:] == ranks[row][:-1]) & (twin[1:] == twin[:-1]))  # the same content in the same text
     settled = ranks[row] > least
-    slot = np.where(settled, mixed(content + ranks[row].astype(np.uint64)), anchor)
+    slot = np.where(settled, mixed(content + ranks[row].astype(np.uint64)), mixed(anchor ^ content) if by_content else anchor)
     keep = np.flatnonzero(~again)
     return pa.RecordBatch.from_arrays(
         [_signed(slot[keep]), _signed(anchor[keep]), _signed(content[keep]), batch.column("doc_id").take(pa.array(row[keep])), pa.array(twin[keep], pa.int32()), pa.array(settled[keep])],
@@ -240,7 +240,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             ranks = _ranks(batch.column("doc_id"))
             for row, _, runs in segments(batch.column("text"), window):
-                yield _seed_rows(batch, row[runs.piece], runs.anchor, runs.run, ranks)
+                yield _seed_rows(batch, row[runs.piece], runs.anchor, runs.run, ranks, False)
         give_back()
 
     found = _judged(texts.select("doc_id", "twin", "text").mapInArrow(anchors, SEEDS), True)
@@ -254,7 +254,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 chosen = np.flatnonzero(_in_lists(row[runs.piece], runs.run, batch.column("unsure")))
                 if len(chosen):
                     owner = np.repeat(chosen, runs.windows[chosen])
-                    yield _seed_rows(batch, row[runs.piece[owner]], runs.anchor[owner], runs.window_hashes(runs.window_starts(chosen)), ranks)
+                    yield _seed_rows(batch, row[runs.piece[owner]], runs.anchor[owner], runs.window_hashes(runs.window_starts(chosen)), ranks, True)
         give_back()
 
     unsure = _on_text(texts, lists.filter("size(unsure) > 0").select("doc_id", "twin", "unsure"), "inner")
