@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,7 +228,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _field(structs: pa.Array, name: str) -> pa.Array:
-    return pa.compute.struct_field(structs, name)
+    return pc.struct_field(structs, name)
 
 
 def _rows(x: np.ndarray) -> pa.Array:

@@ -38,11 +38,21 @@ def usable(vector: Column, dimensions: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dimensions) & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def in_range(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components to between 1/2 and 1: angles are the same to the last bit, squares neither vanish nor overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0.0))[1][:, None])
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    vectors = in_range(vectors)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 class Codes:
     """A learned map from vectors to codes of 64 bits at most, and the radius learned with it."""
 
     def __init__(self, sample: np.ndarray, k: int, seed: int = 5):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = units(sample)
         self.mean = unit.mean(0)
         centred = unit - self.mean
         self.bits = min(64, unit.shape[1])
@@ -69,7 +79,7 @@ class Codes:
         return int(np.quantile(distances, SAMPLE_RECALL, method="higher"))
 
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = units(vectors)
         bits = np.zeros((len(vectors), 64), np.uint8)
         bits[:, : self.bits] = (unit - self.mean) @ self.turn > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -104,17 +114,17 @@ def _cell(table: pa.Table, codes: Codes, radius: int, k: int) -> pa.Table:
     is_query = table.column("is_query").to_numpy().astype(bool)
     ids = table.column("vec_id").to_numpy()
     flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = flat.reshape(len(ids), -1)
+    vectors = in_range(flat.reshape(len(ids), -1)) if len(ids) else flat.reshape(0, 1)
     rows, queries = np.flatnonzero(~is_query), np.flatnonzero(is_query)
     out: list[tuple[np.ndarray, ...]] = []
     if len(rows) and len(queries):
-        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        row_units, row_ids = units[rows], ids[rows]
+        directions = units(vectors)
+        row_units, row_ids = directions[rows], ids[rows]
         index = MultiIndex(codes(vectors[rows]), codes.bits)
         for q, code in zip(queries, codes(vectors[queries]), strict=True):
             found = index.within(code, radius)
             found = found[row_ids[found] != ids[q]]
-            scores = row_units[found] @ units[q]
+            scores = row_units[found] @ directions[q]
             if len(found) > 4 * k:  # a cut that keeps ties of the k-th
                 keep = scores >= np.partition(scores, -k)[-k] - 1e-12
                 found, scores = found[keep], scores[keep]

@@ -25,6 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def _judged(seeds: DataFrame, name_unsure: bool) -> DataFrame:
             done = whole.filter(settled)
             if done.num_rows:
                 yield answer(done, np.arange(done.num_rows), False)
-            batch = whole.filter(pa.compute.invert(settled))
+            batch = whole.filter(pc.invert(settled))
             if not batch.num_rows:
                 continue
             if least is not None:
@@ -264,12 +265,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, gone, more = (batch.column(c) for c in ("text", "runs", "windows"))
-            any_gone = np.flatnonzero(np.maximum(*(pa.compute.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False) for x in (gone, more))) > 0)
+            any_gone = np.flatnonzero(np.maximum(*(pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False) for x in (gone, more))) > 0)
             starts: dict[int, list[np.ndarray]] = {}
             for row, offset, runs in segments(text, window, any_gone):
                 owner = row[runs.piece]
                 whole = _in_lists(owner, runs.run, gone)
-                open_ = np.flatnonzero(~whole & np.isin(owner, np.flatnonzero(pa.compute.list_value_length(more).fill_null(0).to_numpy(zero_copy_only=False))))
+                open_ = np.flatnonzero(~whole & np.isin(owner, np.flatnonzero(pc.list_value_length(more).fill_null(0).to_numpy(zero_copy_only=False))))
                 at = runs.window_starts(open_)
                 of = np.repeat(runs.piece[open_], runs.windows[open_])
                 hit = _in_lists(row[of], runs.window_hashes(at), more)

@@ -181,7 +181,7 @@ def parse_record(content: bytes) -> tuple:
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
     told = re.fullmatch(r"\d+", fields.get("content-length", ""))
     block = rest[: int(told[0])] if told else rest.removesuffix(b"\r\n\r\n")
-    own = lambda name: (m := re.fullmatch(r"<urn:page:(-?\d{1,18})>", fields.get(name, ""))) and int(m[1])
+    own = lambda name: (m := re.fullmatch(r"<urn:page:(-?\d{1,19})>", fields.get(name, ""))) and (n if -(1 << 63) <= (n := int(m[1])) < 1 << 63 else None)
     kind, refers = fields.get("warc-type", "unknown").lower(), None
     length, digest, payload = len(block), None, block
     if kind == "response" and fields.get("content-type", "").lower().startswith("application/http"):

@@ -83,3 +83,17 @@ def test_multi_index_finds_every_code_within_the_radius():
     for radius in (0, 1, 5, 23, 30):
         for q in codes[:20]:
             assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+
+
+def test_extreme_components(spark):
+    """Finite components of any size: angles do not depend on lengths."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8)) for i in range(1, 200)]
+    lengths = rng.choice([1.0, 2.0**-664, 2.0**664, 2.0**-1000, 2.0**1000], len(rows))
+    frame = spark.createDataFrame([(i, (v * n).tolist()) for (i, v), n in zip(rows, lengths, strict=True)] + [(250, (rows[49][1] * 1e200).tolist()), (251, (rows[49][1] * 1e-200).tolist())], "vec_id long, embedding array<double>")
+    plain = [*rows, (250, rows[49][1] * 1e200 / 1e200), (251, rows[49][1] * 1e-200 / 1e-200)]
+    got, want = found(neighbours.nearest(frame)), brute(plain)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [round(s, 12) for _, s in got[q]] == [round(s, 12) for _, s in want[q]]
+    assert {i for i, _ in got[50][:2]} == {250, 251}

@@ -70,3 +70,10 @@ def test_records_of_other_writers(spark, tmp_path):
         assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "revisit", "metadata", "response"]
         assert [r.payload_bytes for r in rows] == [15, 18, 9, None, 4, 8] and rows[2].payload == b"<p>hi</p>" and rows[3].payload_digest is None
         assert rows[2].record_id == "<urn:uuid:2>" == rows[3].refers_to_record and all(r.page_id is None for r in rows)
+
+
+def test_all_long_ids(spark):
+    ends = [-(1 << 63), -(10**18), 10**18, 1234567890123456789, 1234567890123456790, (1 << 63) - 1]
+    check(spark.createDataFrame([(i, f"http://a/{i}", "same" if n % 2 else "<p>") for n, i in enumerate(ends)], "page_id long, url string, html string"))
+    foreign = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:9223372036854775808>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert warc.parse_record(foreign)[0] is None
