@@ -55,24 +55,41 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Folders that tables are staged in, the current one last.
-_SCRATCH: list[str] = []
+#: The folder, by application, that tables are staged in when it is not the application's own.
+_FOLDER: dict[str, str] = {}
+#: Folders whose users have returned; their tables are read until the result is written.
+_LEFT: dict[str, str] = {}
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    home = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
-    return f"{home}/{label}-{uuid.uuid4().hex}"
+    return f"{_FOLDER.get(spark.sparkContext.applicationId) or _home(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """What is staged inside goes at the end; no frame that reads it may be used after. Gives the folder outside."""
-    outside = new_path(spark, "kept")
-    _SCRATCH.append(new_path(spark, "scratch"))
+def own_folder(spark: SparkSession, *read: DataFrame) -> Iterator[None]:
+    """What is staged inside stands in a new folder. That of the use before is deleted first, unless one of the frames ``read`` reads from it."""
+    app = spark.sparkContext.applicationId
+    before = _LEFT.pop(app, None)
+    if before and not any(before in file for df in read for file in df.inputFiles()):
+        discard(spark, before)
+    outside, _FOLDER[app] = _FOLDER.get(app), f"{_home(spark)}/stage-{uuid.uuid4().hex}"
     try:
-        yield outside
+        yield
     finally:
-        discard(spark, _SCRATCH.pop())
+        _LEFT[app] = _FOLDER.pop(app)
+        if outside:
+            _FOLDER[app] = outside
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the application's folder, outside any stage's, and read back."""
+    path = f"{_home(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:

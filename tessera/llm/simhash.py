@@ -527,14 +527,14 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
     """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share one of ``keys``, whose fps lie within the radius, and whose sizes and ``bins`` (node, bins) allow ``similarity``.
 
     ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys of many
-    rows are split into cells of two parts each.
+    rows are split into cells of two parts each. A pair that shares several keys leaves under the least of them only.
     """
-    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
+    keyed = nodes.select("node", "root", "n", "fp", F.sort_array("keys").alias("held_keys"), F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
     split = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
 
-    def compare(node: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, fp: np.ndarray, filled: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    def compare(node: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, fp: np.ndarray, filled: np.ndarray, held_keys: np.ndarray, key: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         for left, right in bucket_links(fp, starts, radius, root):
             fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
             fits &= (cell[left] // 1_000_003 == cell[left] % 1_000_003) | (part[left] != part[right])
@@ -543,6 +543,8 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
                 i, j = left[at : at + (1 << 12)], right[at : at + (1 << 12)]
                 fits = may_be_alike(filled[i], filled[j], n[i], n[j], similarity)
                 i, j = i[fits], j[fits]
+                first = np.array([np.intersect1d(held_keys[x], held_keys[y], assume_unique=True)[0] == key[x] for x, y in zip(i, j, strict=True)], bool)
+                i, j = i[first], j[first]
                 if len(i):
                     yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
 
@@ -557,15 +559,15 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
             out = np.unique(found[3:], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
 
-        for (node, root, n, part, fp, filled, key, cell), starts in _whole_buckets(batches, ("node", "root", "n", "part", "fp", "bins", "key", "cell"), 2, GATHER_WIDE):
-            for found in compare(node, root, n, part, cell, fp, filled.view(np.uint8), starts):
+        for (node, root, n, part, fp, filled, held_keys, key, cell), starts in _whole_buckets(batches, ("node", "root", "n", "part", "fp", "bins", "held_keys", "key", "cell"), 2, GATHER_WIDE):
+            for found in compare(node, root, n, part, cell, fp, filled.view(np.uint8), held_keys, key, starts):
                 held.append(found)
                 if sum(x.shape[1] for x in held) > 1 << 18:
                     yield flush()
         if held:
             yield flush()
 
-    rows = split.select("node", "root", "n", "part", "fp", "bins", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
+    rows = split.select("node", "root", "n", "part", "fp", "bins", "held_keys", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
