@@ -1,18 +1,21 @@
 """Statistics of long rows: (year, code, value) with weights, districts or edges beside them.
 
 Measures are aggregates and windows by year, so that any number of years and series is one job. Kernels that
-iterate (Jenks, least squares, permutations, principal components) run per group, in pandas, on a year's
+iterate (Jenks, permutations, rank counts) run per group, in pandas or on Arrow tables, on a year's
 regions, whose number the territory table bounds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -94,13 +97,39 @@ def correlations(long: DataFrame, least: int = 8) -> DataFrame:
     return out.filter(F.col("n") >= least)
 
 
+def discordant(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs that x and y order in opposite ways: inversions of y along x, counted while equal halves are merged."""
+    y = y[np.lexsort((y, x))]
+    found, width = 0, 1
+    while width < len(y):
+        merged = y.copy()
+        for at in range(0, len(y) - width, 2 * width):
+            left, right = y[at : at + width], y[at + width : at + 2 * width]
+            found += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            merged[at : at + 2 * width] = np.sort(y[at : at + 2 * width], kind="stable")
+        y, width = merged, 2 * width
+    return found
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b; null if one of the two never changes."""
+    pairs = lambda *columns: sum(int(n) * (int(n) - 1) // 2 for n in np.unique(np.stack(columns), axis=1, return_counts=True)[1])
+    every = len(x) * (len(x) - 1) // 2
+    moving_x, moving_y = every - pairs(x), every - pairs(y)
+    agreeing = every - pairs(x) - pairs(y) + pairs(x, y) - 2 * discordant(x, y)
+    return agreeing / math.sqrt(moving_x * moving_y) if moving_x and moving_y else None
+
+
 def kendall(long: DataFrame, least: int = 8) -> DataFrame:
-    """Tau-b of all pairs of columns; compares the codes of one pair with each other, as many as there are territories."""
-    p = pairs_of(long)
-    one, two = p.select("a", "b", F.col("code").alias("c1"), F.col("x").alias("x1"), F.col("y").alias("y1")), p.select("a", "b", F.col("code").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    s = one.join(two, ["a", "b"]).filter("c1 < c2").select("a", "b", F.sign(F.col("x1") - F.col("x2")).alias("sx"), F.sign(F.col("y1") - F.col("y2")).alias("sy"))
-    t = s.groupBy("a", "b").agg(F.sum(F.col("sx") * F.col("sy")).alias("s"), F.sum(F.abs("sx")).alias("nx"), F.sum(F.abs("sy")).alias("ny"))
-    return t.filter(F.col("nx") >= least * (least - 1) / 2 - least).select("a", "b", F.round(F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))), 6).alias("tau"))
+    """Tau-b of all pairs of columns with enough common codes. The codes of a pair are one group, as many as there are territories, and are counted in n log n."""
+
+    def count(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        tau = tau_b(x, y)
+        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "n": pa.array([len(x)], pa.int64()), "tau": pa.array([None if tau is None else round(tau, 6)], pa.float64())})
+
+    pairs = pairs_of(long).select("a", "b", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return pairs.groupBy("a", "b").applyInArrow(count, "a string, b string, n long, tau double").filter(F.col("n") >= least).drop("n")
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -133,9 +162,9 @@ def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([1.0 if abs(x) != abs(x) else 0.0 if abs(x) >= 1 else t_tail(x * math.sqrt((k - 2) / (1 - x * x)), k - 2) for x, k in zip(r, n, strict=True)])
 
 
-def benjamini_hochberg(rows: DataFrame, p: str = "p", key: str = "key") -> DataFrame:
-    """``rows`` with ``p_adjusted``: the least p * m / rank of this and all larger p-values, 1 at most."""
-    every = Window.partitionBy()
+def benjamini_hochberg(rows: DataFrame, p: str = "p", key: str = "key", *by: str) -> DataFrame:
+    """``rows`` with ``p_adjusted``: the least p * m / rank of this and all larger p-values, 1 at most; tests of one group of ``by`` are adjusted together."""
+    every = Window.partitionBy(*by)
     ranked = rows.withColumn("_i", F.row_number().over(every.orderBy(p, key))).withColumn("_m", F.count(F.lit(1)).over(every))
     later = every.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("_m") / F.col("_i")).over(later), F.lit(1.0))).drop("_i", "_m")
@@ -176,6 +205,61 @@ def local_moran(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return lag.select("year", "code", F.round(F.col("z") * F.col("lag"), 6).alias("local"), quadrant.alias("quadrant"))
 
 
+@lru_cache(8)
+def draw_table(others: int, permutations: int, most: int, seed: int) -> np.ndarray:
+    """For each permutation the first ``most`` of ``others`` places, in order of the MD5 of ``seed:permutation:place``: the same in every run, and in SQL."""
+    rows = [sorted(range(others), key=lambda j: hashlib.md5(f"{seed}:{d}:{j}".encode()).digest())[:most] for d in range(permutations)]
+    return np.array(rows, np.int64).reshape(permutations, -1)
+
+
+def conditional_tests(z: np.ndarray, near: list[np.ndarray], permutations: int, seed: int) -> list[float]:
+    """p of each place's local Moran: its own value stays, its neighbours are drawn from the others. All places share one table of draws, made without the own place."""
+    draws = draw_table(len(z) - 1, permutations, max(map(len, near)), seed)
+    out = []
+    for place, at in enumerate(near):
+        k = len(at)
+        if not k:
+            out.append(math.nan)
+            continue
+        drawn = draws[:, :k]
+        sample = z[place] * z[drawn + (drawn >= place)].mean(1)
+        extreme = np.count_nonzero(np.round(np.abs(sample), 9) >= round(abs(float(z[place] * z[at].mean())), 9))
+        out.append((extreme + 1) / (permutations + 1))
+    return out
+
+
+def local_moran_tests(rows: DataFrame, edges: DataFrame, permutations: int = 9_999, seed: int = 20260321, least: int = 20) -> DataFrame:
+    """year, code, local, quadrant, neighbours and p of each code with neighbours; a year with fewer than ``least`` codes or without spread has none.
+
+    Conditional permutations, two-sided on the absolute value. A year's codes are one group, bounded by the
+    territories; edges are counted among the codes that have a value.
+    """
+    known = rows.filter("value is not null").select("year", "code", F.col("value").cast("double").alias("value"))
+    ends = edges.filter("code <> neighbour").select("code", "neighbour").distinct()
+    there = known.select("year", F.col("code").alias("neighbour"))
+    lists = known.join(ends, "code").join(there, ["year", "neighbour"]).groupBy("year", "code").agg(F.collect_list("neighbour").alias("near"))
+    joined = known.join(lists, ["year", "code"], "left").select(F.col("year").cast("long"), "code", "value", "near")
+
+    def test(table: pa.Table) -> pa.Table:
+        table = table.sort_by("code")
+        codes, values = table.column("code").to_pylist(), table.column("value").to_numpy()
+        spread = values.std()
+        out = []
+        if len(values) >= least and spread > 0:
+            z = (values - values.mean()) / spread
+            place = {c: i for i, c in enumerate(codes)}
+            near = [np.array(sorted(place[c] for c in n or ()), np.int64) for n in table.column("near").to_pylist()]
+            for i, p in enumerate(conditional_tests(z, near, permutations, seed) if max(map(len, near)) else ()):
+                if len(near[i]):
+                    lag = z[near[i]].mean()
+                    out.append((table.column("year")[0].as_py(), codes[i], round(float(z[i] * lag), 6), ("H" if z[i] >= 0 else "L") + ("H" if lag >= 0 else "L"), len(near[i]), p))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = {"year": pa.int64(), "code": pa.string(), "local": pa.float64(), "quadrant": pa.string(), "neighbours": pa.int64(), "p": pa.float64()}
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
+
+    return joined.groupBy("year").applyInArrow(test, "year long, code string, local double, quadrant string, neighbours long, p double")
+
+
 def moran_permutations(rows: DataFrame, edges: DataFrame, permutations: int = 999, seed: int = 20260321) -> DataFrame:
     """year, moran, p: two-sided permutation test; a year's regions are one group, bounded by the territories."""
     joined = rows.filter("value is not null").join(edges.groupBy("code").agg(F.collect_set("neighbour").alias("near")), "code")
@@ -236,17 +320,18 @@ def critic_weights(scores: DataFrame) -> DataFrame:
 
 
 def pca_weights(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Squared loadings times variance share over components with eigenvalues of 1 or more; one group of columns x territories."""
-
-    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="code", columns="column", values="score").reindex(columns=list(columns)).dropna()
-        values, vectors = np.linalg.eigh(np.corrcoef(wide.to_numpy().T))
-        kept = values >= 1
-        share = values[kept] / values.sum()
-        weights = (vectors[:, kept] ** 2 * share).sum(1)
-        return pd.DataFrame({"column": list(columns), "weight": np.round(weights / weights.sum(), 6)})
-
-    return scores.groupBy(F.lit(1).alias("one")).applyInPandas(weigh, "column string, weight double")
+    """Squared loadings times variance share over components with eigenvalues of 1 or more. The correlations, over codes that have all columns, are one aggregate; only they are gathered."""
+    names = [f"c{i}" for i in range(len(columns))]
+    wide = scores.groupBy("code").agg(*[F.max(F.when(F.col("column") == c, F.col("score"))).alias(n) for c, n in zip(columns, names, strict=True)]).dropna()
+    cells = list(combinations(range(len(columns)), 2))
+    found = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(names[i], names[j]).alias(f"r{i}_{j}") for i, j in cells]).first()
+    matrix = np.eye(len(columns))
+    for i, j in cells:
+        matrix[i, j] = matrix[j, i] = found[f"r{i}_{j}"] or 0.0
+    values, vectors = np.linalg.eigh(matrix)
+    kept = values >= 1 - 1e-12
+    weights = (vectors[:, kept] ** 2 * (values[kept] / values.sum())).sum(1)
+    return scores.sparkSession.createDataFrame([(c, round(float(w), 6)) for c, w in zip(columns, weights / weights.sum(), strict=True)], "column string, weight double")
 
 
 def composite(scores: DataFrame, weights: DataFrame, columns: int, method: str, least: float = 0.6) -> DataFrame:

@@ -248,6 +248,13 @@ on_cube("sta27_lag_profile", lambda c: statistics.lag_profile(_st(c), _st(c, _Q)
 on_cube("sta26_partial", lambda c: statistics.partial_of_three(_long(c), "revenue:00", "orders:00", "quantity:00"), _L + ", w AS (SELECT max(value) FILTER (col = 'revenue:00') AS a, max(value) FILTER (col = 'orders:00') AS b, max(value) FILTER (col = 'quantity:00') AS c FROM lg GROUP BY code), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL) SELECT round((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)), 6) AS partial FROM r")
 on_cube("sta31_moran", lambda c: statistics.moran(_st(c), _edges(c)), _X + _E + ", z AS (SELECT year, code, value - avg(value) OVER (PARTITION BY year) AS z, count(*) OVER (PARTITION BY year) AS n FROM x), lag AS (SELECT a.year, a.code, a.z, avg(b.z) AS lag FROM z a JOIN edge USING (code) JOIN z b ON b.code = edge.neighbour AND b.year = a.year GROUP BY ALL), t AS (SELECT year, sum(z * lag) AS top, count(*) AS s0 FROM lag GROUP BY year), l AS (SELECT year, sum(z * z) AS low, max(n) AS n FROM z GROUP BY year) SELECT year, n, round(n / s0 * top / low, 6) AS moran, round(-1 / (n - 1), 6) AS expected FROM t JOIN l USING (year)")
 on_cube("sta32_local_moran", lambda c: statistics.local_moran(_st(c), _edges(c)), _X + _E + ", z AS (SELECT year, code, (value - avg(value) OVER (PARTITION BY year)) / nullif(stddev_pop(value) OVER (PARTITION BY year), 0) AS z FROM x), lag AS (SELECT a.year, a.code, a.z, avg(b.z) AS lag FROM z a JOIN edge USING (code) JOIN z b ON b.code = edge.neighbour AND b.year = a.year GROUP BY ALL) SELECT year, code, round(z * lag, 6) AS local, (CASE WHEN z >= 0 THEN 'H' ELSE 'L' END) || (CASE WHEN lag >= 0 THEN 'H' ELSE 'L' END) AS quadrant FROM lag".replace("AS local,", 'AS "local",'))
+_LISA = _X + _E + """, z AS (SELECT year, code, (value - avg(value) OVER y) / stddev_pop(value) OVER y AS z, row_number() OVER (PARTITION BY year ORDER BY code) - 1 AS pos, count(*) OVER y AS n FROM x WINDOW y AS (PARTITION BY year)),
+  lg AS (SELECT a.year, a.code, a.z, a.pos, a.n, avg(b.z) AS lag, count(*) AS k FROM z a JOIN edge USING (code) JOIN z b ON b.code = edge.neighbour AND b.year = a.year WHERE a.n >= 20 GROUP BY ALL),
+  dr AS (SELECT n, d, j, row_number() OVER (PARTITION BY n, d ORDER BY md5('20260321:' || d || ':' || j)) AS place FROM (SELECT n, d, unnest(range(n - 1)) AS j FROM (SELECT DISTINCT n FROM z), range(999) r(d))),
+  sm AS (SELECT l.year, l.code, d, l.z * avg(o.z) AS s FROM lg l JOIN dr ON dr.n = l.n AND place <= k JOIN z o ON o.year = l.year AND o.pos = j + (j >= l.pos)::INT GROUP BY l.year, l.code, l.z, d),
+  tested AS (SELECT year, code, round(z * lag, 6) AS "local", (CASE WHEN z >= 0 THEN 'H' ELSE 'L' END) || (CASE WHEN lag >= 0 THEN 'H' ELSE 'L' END) AS quadrant, k AS neighbours, (count(*) FILTER (round(abs(s), 9) >= round(abs(z * lag), 9)) + 1) / 1000 AS p FROM lg JOIN sm USING (year, code) GROUP BY ALL)"""
+on_cube("sta32_local_moran_tests", lambda c: statistics.local_moran_tests(_st(c), _edges(c), 999), _LISA + " SELECT * FROM tested")
+on_cube("sta33_adjusted", lambda c: statistics.benjamini_hochberg(statistics.local_moran_tests(_st(c), _edges(c), 999), "p", "code", "year").select("year", "code", "p", F.round("p_adjusted", 8).alias("p_adjusted")), _LISA + ", i AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY p, code) AS i, count(*) OVER (PARTITION BY year) AS m FROM tested) SELECT year, code, p, round(least(min(p * m / i) OVER (PARTITION BY year ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1.0), 8) AS p_adjusted FROM i")
 on_cube("sta31_moran_permutations", lambda c: statistics.moran_permutations(_st(c), _edges(c)), None)
 _SCORES = {
     "minmax": "(value - min(value) OVER c) / nullif(max(value) OVER c - min(value) OVER c, 0) * 100",

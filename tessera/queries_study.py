@@ -60,7 +60,6 @@ on_cube("sta30_nearest_places", lambda c: study.nearest_places(c.territory.filte
   SELECT code, neighbour, place, round(degrees(g), 5) AS degrees FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(g, 9), neighbour) AS place FROM d) WHERE place <= 5""")
 _LOCAL = """, z AS (SELECT year, code, (value - avg(value) OVER y) / nullif(stddev_pop(value) OVER y, 0) AS z FROM x WINDOW y AS (PARTITION BY year)), g AS (SELECT z.year, z.code, z.z, avg(n.z) AS lag FROM z JOIN territory t ON t.territory_code = z.code JOIN territory u ON u.district_code = t.district_code AND u.level = 'region' AND u.territory_code <> t.territory_code JOIN z n ON n.year = z.year AND n.code = u.territory_code GROUP BY ALL)"""
 on_cube("sta34_quadrants", lambda c: study.quadrants(statistics.local_moran(_rows(c).select("year", "code", "value"), _edges(c))), f"{_sel()}{_LOCAL} SELECT year, CASE WHEN z >= 0 THEN 'H' ELSE 'L' END || CASE WHEN lag >= 0 THEN 'H' ELSE 'L' END AS quadrant, count(*) AS n, string_agg(code, ',' ORDER BY code) AS codes FROM g GROUP BY 1, 2")
-on_cube("sta33_adjusted", lambda c: statistics.benjamini_hochberg(_long(c).filter(F.col("column") == _S).select("code", (F.rank().over(_by_value()) / 200.0).alias("p")), "p", "code").select("code", F.round("p_adjusted", 8).alias("p_adjusted")), f"{_LONG}, p AS (SELECT code, rank() OVER (ORDER BY value) / 200.0::DOUBLE AS p FROM l WHERE \"column\" = 'revenue:00'), i AS (SELECT *, row_number() OVER (ORDER BY p, code) AS i, count(*) OVER () AS m FROM p) SELECT code, round(least(min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1.0), 8) AS p_adjusted FROM i")
 
 
 def _by_value():
