@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera import queries_build, queries_study
+from tessera import queries_build, queries_sheets, queries_study
 from tessera.functions import text
 from tessera.operators import analysis, answers, derive, formula, quality, search, series, statistics
 from tessera.plans.marts import mart
@@ -16,7 +16,7 @@ from tessera.registry import REGISTRY, add, on_cube
 from tessera.sources import tables
 from tessera.streaming import events
 
-__all__ = ["REGISTRY", "queries_build", "queries_study"]
+__all__ = ["REGISTRY", "queries_build", "queries_sheets", "queries_study"]
 
 on_cube("fct01_vintages", lambda c: c.vintage, "SELECT * FROM vintage")
 on_cube("fct06_observations", lambda c: c.observation, "SELECT * FROM observation")
