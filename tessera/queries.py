@@ -14,7 +14,7 @@ from tessera.plans.marts import mart
 from tessera.plans.prelude import sql
 from tessera.registry import REGISTRY, add, on_cube
 from tessera.sources import tables
-from tessera.streaming import events
+from tessera.streaming import events, totals
 
 __all__ = ["REGISTRY", "queries_build", "queries_sheets", "queries_study"]
 
@@ -354,10 +354,6 @@ _questions = lambda spark: spark.createDataFrame(list(_QUESTIONS), "question str
 add("txt12_find_places", lambda spark, sf_dir: search.find_places(_questions(spark), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))), f"SELECT question, 'N' || n_nationkey AS code FROM (VALUES {_QVALUES}) q(question, text), nation WHERE regexp_matches(lower(text), '(^|[^a-z])' || lower(n_name) || '($|[^a-z])')")
 add("txt13_question_kind", lambda spark, sf_dir: _questions(spark).select("question", search.question_kind(F.col("text")).alias("kind")), "SELECT * FROM (VALUES ('q1', 'rank'), ('q2', 'compare'), ('q3', 'trend'), ('q4', 'value'), ('q5', 'relation')) v(question, kind)")
 add("txt24_match_labels", lambda spark, sf_dir: search.match_labels(_read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("  "), F.initcap("n_name"), F.lit(" 1)")).alias("label")).distinct(), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))).select("code", "how"), "SELECT DISTINCT 'N' || n_nationkey AS code, 'exact' AS how FROM customer JOIN nation ON n_nationkey = c_nationkey")
-_CELLS = ("12,5 1)", "…", "–", "1 234,5", "0,0", "1.234,5", "", "abc", "45 %", "1,234.5")
-add("txt34_parse_cells", lambda spark, sf_dir: tables.parse_cells(spark.createDataFrame([(c,) for c in _CELLS], "cell string"), "cell"), "SELECT * FROM (VALUES ('12,5 1)', 'value', 12.5::DOUBLE, false), ('…', 'hidden', NULL, false), ('–', 'missing', NULL, false), ('1 234,5', 'value', 1234.5, false), ('0,0', 'value', 0.0, true), ('1.234,5', 'value', 1234.5, false), ('', 'empty', NULL, false), ('abc', 'text', NULL, false), ('45 %', 'value', 45.0, false), ('1,234.5', 'value', 1234.5, false)) v(cell, kind, value, below_unit)")
-_PERIODS = ("2001", "2001-05", "05.2001", "Q2 2001", "2001 H1", "x")
-add("dim27_periods", lambda spark, sf_dir: spark.createDataFrame([(p,) for p in _PERIODS], "text string").withColumn("p", text.period(F.col("text"))).select("text", "p.year", "p.kind", "p.number"), "SELECT * FROM (VALUES ('2001', 2001, 'year', 0), ('2001-05', 2001, 'month', 5), ('05.2001', 2001, 'month', 5), ('Q2 2001', 2001, 'quarter', 2), ('2001 H1', 2001, 'half', 1), ('x', NULL, NULL, NULL)) v(text, year, kind, number)")
 add("dim10_unit_kind", lambda spark, sf_dir: _read(spark, sf_dir, "part").select(F.concat(F.lit("million dollars per "), "p_type").alias("unit")).distinct().select("unit", text.unit_kind(F.col("unit")).alias("kind"), text.unit_multiplier(F.col("unit")).alias("multiplier"), text.polarity(F.col("unit")).alias("polarity")), "SELECT DISTINCT 'million dollars per ' || p_type AS unit, 'rate' AS kind, 1e6::DOUBLE AS multiplier, 'unknown' AS polarity FROM part")
 add("dim18_series_code", lambda spark, sf_dir: _read(spark, sf_dir, "orders").select("o_orderpriority").distinct().select("o_orderpriority", text.series_code(F.lit("revenue"), F.col("o_orderpriority")).alias("code")), "SELECT DISTINCT o_orderpriority, 'revenue:' || substr(sha1(o_orderpriority), 1, 8) AS code FROM orders")
 add("src02_profile", lambda spark, sf_dir: tables.summarise(_read(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey"), exact=True), "SELECT 'c_mktsegment' AS \"column\", count(c_mktsegment) AS filled, count(DISTINCT c_mktsegment) AS \"distinct\" FROM customer UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(DISTINCT c_nationkey) FROM customer")
@@ -372,4 +368,5 @@ add("str06_sliding", lambda spark, sf_dir: events.sliding(_read(spark, sf_dir, "
 add("str08_sessions", lambda spark, sf_dir: events.sessions(_read(spark, sf_dir, "events")), 'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL \'30 minutes\' AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL \'30 minutes\' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s')
 add("str05_open_period", lambda spark, sf_dir: events.open_period(_read(spark, sf_dir, "events")), "SELECT *, start = max(start) OVER () AS preliminary FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, round(sum(value), 4) AS total FROM events GROUP BY 1)")
 add("str04_year_to_date", lambda spark, sf_dir: events.year_to_date(_read(spark, sf_dir, "events")), "SELECT month, day, total FROM (SELECT month, day, round(sum(v) OVER w, 4) AS total, count(*) OVER w AS k, min(day) OVER (PARTITION BY month) AS f FROM (SELECT date_trunc('month', ts)::TIMESTAMP AS month, day(ts) AS day, sum(value) AS v FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY month ORDER BY day ROWS UNBOUNDED PRECEDING)) WHERE k = day - f + 1")
+add("str04_running_totals", lambda spark, sf_dir: totals.running_totals_of(totals.daily_totals(_read(spark, sf_dir, "events"), "1 day")), "SELECT event_type, month, day, total FROM (SELECT *, round(sum(v) OVER w, 4) AS total, count(*) OVER w AS k, min(day) OVER (PARTITION BY event_type, month) AS f FROM (SELECT event_type, date_trunc('month', ts)::TIMESTAMP AS month, day(ts) AS day, sum(value) AS v FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY event_type, month ORDER BY day ROWS UNBOUNDED PRECEDING)) WHERE k = day - f + 1")
 add("str02_once_each", lambda spark, sf_dir: events.once_each(_read(spark, sf_dir, "events").unionByName(_read(spark, sf_dir, "events"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -45,7 +45,8 @@ def once_each(events: DataFrame, key: str = "event_id", watermark: str | None =
 def open_period(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Totals per window; the last one is preliminary."""
     days = events.groupBy(F.window("ts", width).alias("w")).agg(F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "total")
-    return days.withColumn("preliminary", F.col("start") == F.max("start").over(Window.partitionBy()))
+    last = days.agg(F.max("start").alias("last"))
+    return days.join(F.broadcast(last)).select("start", "total", (F.col("start") == F.col("last")).alias("preliminary"))
 
 
 def year_to_date(events: DataFrame) -> DataFrame:
@@ -60,15 +61,3 @@ def write_available(stream: DataFrame, path: str, checkpoint: str, partition: st
     """Append what is there now to Parquet, exactly once, and stop."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (writer.partitionBy(partition) if partition else writer).start()
-
-
-def upsert_vintages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep all vintages and, after each batch, the winner of each cell (the latest edition with a value)."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/vintage/batch={batch_id}")
-        everything = batch.sparkSession.read.parquet(f"{path}/vintage")
-        best = everything.groupBy("series_key", "territory_code", "year").agg(F.max(F.struct(F.col("value").isNotNull().alias("known"), "edition", "value")).alias("b"))
-        best.select("series_key", "territory_code", "year", "b.edition", "b.value").write.mode("overwrite").parquet(f"{path}/observation")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
