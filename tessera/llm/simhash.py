@@ -527,9 +527,9 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
     """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share one of ``keys``, whose fps lie within the radius, and whose sizes and ``bins`` (node, bins) allow ``similarity``.
 
     ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys of many
-    rows are split into cells of two parts each. A pair that shares several keys leaves under the least of them only.
+    rows are split into cells of two parts each. A pair of short lists of keys (``RARE`` at most) leaves under the least key they share only.
     """
-    keyed = nodes.select("node", "root", "n", "fp", F.sort_array("keys").alias("held_keys"), F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
+    keyed = nodes.select("node", "root", "n", "fp", F.when(F.size("keys") <= RARE, F.sort_array("keys")).alias("held_keys"), F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
     split = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
@@ -543,7 +543,7 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
                 i, j = left[at : at + (1 << 12)], right[at : at + (1 << 12)]
                 fits = may_be_alike(filled[i], filled[j], n[i], n[j], similarity)
                 i, j = i[fits], j[fits]
-                first = np.array([np.intersect1d(held_keys[x], held_keys[y], assume_unique=True)[0] == key[x] for x, y in zip(i, j, strict=True)], bool)
+                first = np.array([held_keys[x] is None or held_keys[y] is None or np.intersect1d(held_keys[x], held_keys[y], assume_unique=True)[0] == key[x] for x, y in zip(i, j, strict=True)], bool)
                 i, j = i[first], j[first]
                 if len(i):
                     yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
