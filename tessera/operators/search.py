@@ -55,18 +55,34 @@ def bm25(texts: DataFrame, key: str, fields: Mapping[str, float], queries: DataF
     return ranked.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def deletions(word: Column) -> Column:
+    """A word and what is left of it without one of its letters."""
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.array_distinct(F.concat(F.array(word), without))
+
+
+def one_typo_pairs(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """``terms`` (term) beside those of ``words`` (word and other columns) that are one typo away: a letter changed, added or left out, or two neighbours swapped.
+
+    Two such words have a form in common once each may lose a letter, so that an equi-join on these forms misses none; as
+    many rows as a word has letters, and one more, meet there.
+    """
+    left = terms.select("term", F.explode(deletions(F.col("term"))).alias("form"))
+    right = words.withColumn("form", F.explode(deletions(F.col("word"))))
+    return left.join(right, "form").drop("form").distinct().filter(T.one_typo(F.col("term"), F.col("word")))
+
+
 def expand(vocabulary: DataFrame, terms: DataFrame, candidates: int = 2) -> DataFrame:
     """Matches of each term in a vocabulary (term, df): itself 1.0, longer words that begin with it 0.8, else the most frequent one-typo words 0.6.
 
-    Typos are looked for among words that share the first letter or, one letter off, the rest.
+    Typos are looked for in the deletion neighbourhood, which is complete.
     """
     v = vocabulary.select(F.col("term").alias("word"), "df")
     exact = terms.join(v, F.col("term") == F.col("word")).select("term", "word", F.lit(1.0).alias("factor"))
     head = F.substring("term", 1, 4)
     prefix = terms.filter(F.length("term") >= 4).withColumn("h", head).join(v.withColumn("h", F.substring("word", 1, 4)), "h").filter(F.startswith("word", "term") & (F.col("word") != F.col("term"))).select("term", "word", F.lit(0.8).alias("factor"))
     rest = terms.join(exact.select("term").unionByName(prefix.select("term")).distinct(), "term", "left_anti")
-    keys = lambda df, w: df.withColumn("k", F.explode(F.array_distinct(F.array(F.substring(w, 1, 2), F.concat(F.lit("*"), F.expr(f"right({w}, 3)"))))))
-    near = keys(rest, "term").join(keys(v, "word"), "k").filter(T.one_typo(F.col("term"), F.col("word"))).select("term", "word", "df").distinct()
+    near = one_typo_pairs(rest.select("term").distinct(), v)
     typo = near.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("df"), "word"))).filter(F.col("place") <= candidates).select("term", "word", F.lit(0.6).alias("factor"))
     return exact.unionByName(prefix).unionByName(typo)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -17,6 +17,16 @@ _MANY = ("revenue:00", "orders:00", "avg_price:00", "quantity:00")
 _IN = "('revenue:00', 'orders:00', 'avg_price:00', 'quantity:00')"
 
 
+def _misspelt(word: Column) -> dict[str, Column]:
+    """Changes of a word by name."""
+    a, b, c = (F.substr(word, F.lit(i), F.lit(1)) for i in (1, 2, 3))
+    rest = lambda n: F.substr(word, F.lit(n))
+    return {
+        "changed": F.concat(a, F.lit("#"), rest(3)), "added": F.concat(a, b, F.lit("#"), rest(3)), "left out": F.concat(a, rest(3)), "swapped": F.concat(b, a, rest(3)),
+        "same": word, "two letters": F.concat(F.lit("##"), rest(3)), "apart": F.concat(c, b, a, rest(4)),
+    }
+
+
 def _rows(c, key: str = _S) -> DataFrame:
     return c.regions.filter((F.col("series_key") == key) & F.col("value").isNotNull()).select("year", F.col("territory_code").alias("code"), F.col("district_code").alias("group"), "value")
 
@@ -125,6 +135,14 @@ on_cube("ans42_timeline_finding", lambda c: study.timeline_finding(_rows(c, "rev
 _WORDS = "regexp_extract_all(replace(lower(trim({0})), 'ё', 'е'), '([0-9a-zà-ÿа-я²³%]+)')"
 _STEM = "CASE WHEN length({0}) > 4 THEN regexp_replace({0}, '^(.{{3,}}?)(ings|ing|ed|es|s|ly)$', '\\1') ELSE {0} END"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_VOCABULARY = lambda b: b.select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+on_tables("txt05_typo_pairs", lambda b: search.one_typo_pairs(_VOCABULARY(b).withColumnRenamed("word", "term"), _VOCABULARY(b)), "benchmark", f"WITH v AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS w FROM benchmark), u AS (SELECT w, translate(w, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$&(') AS c FROM v) SELECT a.w AS term, b.w AS word FROM u a JOIN u b ON a.w <> b.w AND abs(length(a.c) - length(b.c)) <= 1 WHERE damerau_levenshtein(a.c, b.c) = 1")
+on_tables("txt05_one_typo_or_not", lambda n: n.select("n_name", F.explode(F.array(*[F.struct(F.lit(k).alias("case"), e.alias("other")) for k, e in _misspelt(F.col("n_name")).items()])).alias("o")).select("n_name", "o.*", T.one_typo(F.col("n_name"), F.col("o.other")).alias("typo")).filter("not (case = 'apart' and other = n_name)"), "nation", """
+  SELECT n_name, "case", other, "case" IN ('changed', 'added', 'left out', 'swapped') AND other <> n_name AS typo FROM (SELECT n_name, unnest(['changed', 'added', 'left out', 'swapped', 'same', 'two letters', 'apart']) AS "case",
+    unnest([left(n_name, 1) || '#' || substr(n_name, 3), left(n_name, 2) || '#' || substr(n_name, 3), left(n_name, 1) || substr(n_name, 3), substr(n_name, 2, 1) || left(n_name, 1) || substr(n_name, 3), n_name, '##' || substr(n_name, 3), substr(n_name, 3, 1) || substr(n_name, 2, 1) || left(n_name, 1) || substr(n_name, 4)]) AS other FROM nation)
+  WHERE NOT ("case" = 'apart' AND substr(n_name, 3, 1) = left(n_name, 1))""")
+
+
 on_tables("txt03_stem", lambda d: d.select(F.explode(T.words(F.col("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem")), "conversations", f"SELECT word, {_STEM.format('word')} AS stem FROM (SELECT DISTINCT unnest({_WORDS.format('text')}) AS word FROM conversations)")
 on_tables("txt04_stems", lambda d: d.select("conv_id", "turn", F.array_join(T.stems(F.col("text")), " ").alias("stems")), "conversations", f"SELECT conv_id, turn, array_to_string([{_STEM.format('w')} for w in {_WORDS.format('text')} if w NOT IN ({_STOP})], ' ') AS stems FROM conversations")
 on_tables("txt06_same_stem", lambda n: _crossed(n).select("a", "b", T.same_stem(F.col("a"), F.col("b")).alias("same")).filter("same"), "nation", "SELECT a, b, true AS same FROM (SELECT x.n_name AS a, substr(y.n_name, 1, length(y.n_name) - k) AS b FROM nation x, nation y, range(5) r(k)) WHERE least(length(a), length(b)) >= 5 AND abs(length(a) - length(b)) <= 3 AND (starts_with(a, b) OR starts_with(b, a))")

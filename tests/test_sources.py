@@ -59,3 +59,56 @@ def test_releases_are_kept_with_their_description(spark, tmp_path):
 def test_type_families():
     assert profile.types_compatible("int", "bigint") and profile.types_compatible("float", "double")
     assert not profile.types_compatible("int", "double") and not profile.types_compatible("array<int>", "array<long>")
+
+
+def messy_csv(rows: int, seed: int) -> str:
+    """Quoted delimiters, quotes and line feeds in cells, empty cells of both kinds, blank lines, short and long records."""
+    import random
+
+    draw = random.Random(seed)
+    cells = ("a", "12,5", "", '""', '"x;y"', '"say ""hi"""', '"two\nlines"', '"\n\n"', "é…", '"long ' + "word " * 30 + '"', '""""', '";"')
+    lines = ["place;year;a value;note"]
+    for i in range(rows):
+        n = draw.choice((4, 4, 4, 2, 5))
+        lines.append(";".join([str(i), *(draw.choice(cells) for _ in range(n - 1))]))
+        if draw.random() < 0.1:
+            lines.append("")
+    return "\n".join(lines) + draw.choice(("", "\n"))
+
+
+def test_quoted_csv_in_ranges_equals_the_plain_reader(spark, tmp_path):
+    from tessera.sources import quoted
+
+    for name, seed in (("a.csv", 1), ("b.csv", 2), ("c.csv", 3)):
+        (tmp_path / name).write_text(messy_csv(150, seed))
+    (tmp_path / "d.csv").write_bytes(b"\xef\xbb\xbf" + b"place;year;a value;note\r\n7;\"x\r\ny\";z;\r\n")
+    key = lambda r: tuple("" if v is None else "=" + v for v in r)
+    plain = sorted(map(key, spark.read.csv([f"{tmp_path}/{n}.csv" for n in "abc"], header=True, sep=";", multiLine=True, escape='"', mode="PERMISSIVE").collect()))
+    for size in (1 << 20, 1000, 137, 16):
+        frame = quoted.read_quoted_csv(spark, f"{tmp_path}/[abc].csv", range_bytes=size)
+        assert frame.columns == ["place", "year", "a value", "note"]
+        assert sorted(map(key, frame.collect())) == plain
+        if size == 137:
+            assert quoted.byte_ranges(spark, f"{tmp_path}/a.csv", size).count() > 20  # a file is many tasks
+    last = quoted.read_quoted_csv(spark, f"{tmp_path}/d.csv", range_bytes=9).collect()
+    assert [tuple(r) for r in last] == [("7", "x\r\ny", "z", None)]
+    assert quoted.read_quoted_csv(spark, f"{tmp_path}/[abc].csv", limit=5).count() == 15
+
+
+def test_records_of_any_range():
+    from tessera.sources import quoted
+
+    data = messy_csv(60, 5).encode()
+    for size in (1, 7, 50, len(data)):
+        got = b"".join(quoted.whole_records(io_file(data), len(data), a, min(len(data), a + size), data[:a].count(b'"') % 2 == 1) for a in range(0, len(data), size))
+        assert got == data
+
+
+class io_file:
+    """Bytes that are read by place."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
