@@ -105,18 +105,60 @@ def note_years(note: Column) -> Column:
     return F.regexp_extract_all(note, F.lit(r"((?:19|20)\d\d)"), F.lit(1))
 
 
-def note_breaks(note: Column) -> Column:
-    """Years from which values are not comparable with those before: since Y gives Y, until Y gives Y + 1, a span Y-Z gives Y and Z + 1, a census of Y gives Y."""
-    low = F.lower(note)
-    found = lambda pattern, k=1: F.regexp_extract(low, pattern, k).try_cast("long")
-    span = r"in ((?:19|20)\d\d)\s*[-–]\s*((?:19|20)\d\d)"
-    out = F.array(found(r"(?:since|from) ((?:19|20)\d\d)"), found(r"(?:until|up to) ((?:19|20)\d\d)") + 1, found(span), found(span, 2) + 1, found(r"census of ((?:19|20)\d\d)"))
-    return F.array_sort(F.array_distinct(F.array_compact(out)))
+#: Kinds of a break, the one that prevails first, and what in a clause tells of them.
+BREAK_KINDS = (("methodology", "method|classifier|procedure"), ("coverage", "sample|without|includ|census|firms"), ("territory", "district|territor|composition|boundar"))
+_YEAR = r"((?:19|20)\d\d)"
+
+
+def break_kind(low: Column) -> Column:
+    """The prevailing kind that a text in lower case tells of; null if none."""
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(BREAK_KINDS):
+        out = F.when(F.rlike(low, F.lit(pattern)), kind).otherwise(out)
+    return out
+
+
+def clause_years(low: Column) -> Column:
+    """Years in which what a clause (in lower case) describes begins or is over.
+
+    since, from or starting with Y: Y. until, up to or before Y: Y, as Y is the first that differs; with ``inclusive``, and after
+    through: Y + 1. from Y to Z: Z + 1. Y-Z: Z + 1, unless the words after it, up to the next year, speak of the basis of a census, which makes years
+    comparable (no break), or of a new classifier (Y).
+    """
+    every = lambda pattern, group=1: F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(group)), lambda y: y.try_cast("long"))
+    after = lambda years: F.transform(years, lambda y: y + 1)
+    since = every(rf"\b(?:since|from|starting (?:with|from|in)) {_YEAR}\b(?!\s*(?:to\b|[-–—]))")
+    until = every(rf"\b(?:until|up to|before) {_YEAR}\b(?!,? inclusive)")
+    through = every(rf"\b(?:(?:until|up to|before) (?={_YEAR},? inclusive)|through ){_YEAR}", 2)
+    ended = every(rf"\bfrom (?:19|20)\d\d to {_YEAR}")
+    span = rf"{_YEAR}\s*[-–—]\s*{_YEAR}(\D*)"
+    spans = F.arrays_zip(every(span).alias("first"), every(span, 2).alias("last"), F.regexp_extract_all(low, F.lit(span), F.lit(3)).alias("tail"))
+    told = F.transform(spans, lambda s: F.when(F.rlike(s["tail"], F.lit("basis of the census|census taken into account")), F.lit(None)).when(F.rlike(s["tail"], F.lit("new classifier")), s["first"]).otherwise(s["last"] + 1))
+    return F.array_distinct(F.array_compact(F.concat(since, until, after(through), after(ended), told)))
+
+
+def note_breaks(notes: DataFrame) -> DataFrame:
+    """note, break_year and kind: where values stop to be comparable, clause by clause (parted by semicolons and full stops).
+
+    A clause that says values are recalculated has no break. A clause without words of a kind has the note's, but for a change of territories, which
+    needs its own words. A note whose clauses tell no year, and do not speak of recalculation, breaks at the only year it names.
+    """
+    said = notes.select("note").distinct().withColumn("low", F.lower("note"))
+    own = break_kind(F.col("low"))
+    clauses = said.select("note", "low", own.alias("own"), F.explode(F.split("low", r";\s*|(?<=[a-z0-9)])\.\s+(?=\S)")).alias("clause"))
+    again = F.contains("clause", F.lit("recalculat"))
+    unmarked = F.coalesce(F.when(F.col("own") != "territory", F.col("own")), F.lit("methodology"))
+    told = clauses.select("note", "low", "own", again.alias("again"), F.coalesce(break_kind(F.col("clause")), unmarked).alias("kind"), F.when(again, F.array().cast("array<bigint>")).otherwise(clause_years(F.col("clause"))).alias("years"))
+    found = told.select("note", F.explode("years").alias("break_year"), "kind")
+    silent = told.groupBy("note", "low", "own").agg(F.sum(F.size("years")).alias("n"), F.bool_or("again").alias("again")).filter("n = 0 and not again")
+    alone = silent.withColumn("named", F.array_distinct(note_years(F.col("low")))).filter("size(named) = 1").select("note", F.col("named")[0].try_cast("long").alias("break_year"), F.coalesce("own", F.lit("methodology")).alias("kind"))
+    rank = F.array_position(F.array(*[F.lit(k) for k, _ in BREAK_KINDS]), F.col("kind"))
+    return found.unionByName(alone).groupBy("note", "break_year").agg(F.min_by("kind", rank).alias("kind"))
 
 
 def methodology(notes: DataFrame, spans: DataFrame) -> DataFrame:
     """Breaks of each series inside its span, and how many notes tell of them. Notes: series_key, note; spans: series_key, first_year, last_year."""
-    rows = notes.distinct().select("series_key", F.explode(note_breaks(F.col("note"))).alias("break_year"))
+    rows = notes.select("series_key", "note").distinct().join(note_breaks(notes), "note")
     return rows.join(spans, "series_key").filter("break_year > first_year and break_year <= last_year").groupBy("series_key", "break_year").agg(F.count(F.lit(1)).alias("notes"))
 
 

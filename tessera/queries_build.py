@@ -80,23 +80,45 @@ on_tables("dim05_series", lambda p: dimensions.build_series(p.select(F.col("p_br
   SELECT series_key, unit, min(title) AS title, count(*) AS n FROM k JOIN u USING (series_key, unit) GROUP BY ALL""")
 on_cube("dim08_counters", lambda c: dimensions.counters(c.territory, c.observation, "territory_code"), f"SELECT territory_code, coalesce(n, 0) AS observations, coalesce(s, 0) AS series FROM territory LEFT JOIN (SELECT territory_code, count(*) AS n, count(DISTINCT series_key) AS s FROM observation WHERE {_KNOWN} GROUP BY ALL) USING (territory_code)")
 
-_NOTE = "CASE o_orderkey % 5 WHEN 0 THEN 'Since ' || year(o_orderdate) || ' data are recalculated.' WHEN 1 THEN 'Until ' || year(o_orderdate) || ' without small firms.' WHEN 2 THEN 'In ' || year(o_orderdate) || '-' || (year(o_orderdate) + 2) || ' by sample.' WHEN 3 THEN 'Revised by the census of ' || year(o_orderdate) || '.' ELSE 'Preliminary data.' END"
-_NOTES = f"(SELECT o_orderpriority AS series_key, {_NOTE} AS note, o_orderkey % 5 AS k, year(o_orderdate)::BIGINT AS y FROM orders)"
-_KIND = "CASE k WHEN 0 THEN 'recalculated' WHEN 1 THEN 'coverage' WHEN 2 THEN 'coverage' WHEN 3 THEN 'census' ELSE 'preliminary' END"
-_BREAKS = "CASE k WHEN 0 THEN [y] WHEN 1 THEN [y + 1] WHEN 2 THEN [y, y + 3] WHEN 3 THEN [y] ELSE []::BIGINT[] END"
+#: Notes of every form, by the rest of the order's key and its year (y), and what they say: kind, years named, breaks.
+_FORMS = (
+    ("Since {0} data are recalculated.", "recalculated", (0,), ()),
+    ("Until {0} without small firms.", "coverage", (0,), ((0, "coverage"),)),
+    ("Until {0} inclusive by the old method; from {1} by the new method.", "other", (0, 1), ((1, "methodology"),)),
+    ("In {0}-{2} by sample.", "coverage", (0, 2), ((3, "coverage"),)),
+    ("In {0}-{2} by the new classifier.", "other", (0, 2), ((0, "methodology"),)),
+    ("In {0}-{2} on the basis of the census.", "census", (0, 2), ()),
+    ("In {0}-{2} data are recalculated; since {4} the district is counted with its neighbour.", "recalculated", (0, 2, 4), ((4, "territory"),)),
+    ("Census of {0}.", "census", (0,), ((0, "coverage"),)),
+    ("Preliminary data.", "preliminary", (), ()),
+    ("From {0} to {3} in the former composition. Starting with {1} the method is the same in all districts.", "other", (0, 3, 1), ((4, "territory"), (1, "methodology"))),
+)
+
+
+def _said(form: str) -> str:
+    """A form as SQL over y."""
+    import re
+
+    parts = re.split(r"\{(\d)\}", form)
+    return " || ".join(f"(y + {p})" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if p)
+
+
+_CASES = lambda of: "CASE k " + " ".join(f"WHEN {i} THEN {of(f)}" for i, f in enumerate(_FORMS)) + " END"
+_NOTES = f"(SELECT series_key, k, y, {_CASES(lambda f: _said(f[0]))} AS note FROM (SELECT o_orderpriority AS series_key, o_orderkey % {len(_FORMS)} AS k, year(o_orderdate)::BIGINT AS y FROM orders))"
+_KIND = _CASES(lambda f: f"'{f[1]}'")
+_BREAKS = _CASES(lambda f: "[" + ", ".join(f"{{'break_year': y + {n}, 'kind': '{k}'}}" for n, k in f[3]) + "]" if f[3] else "[]")
 
 
 def _notes(orders: DataFrame) -> DataFrame:
-    y, k = F.year("o_orderdate"), F.col("o_orderkey") % 5
-    note = F.when(k == 0, F.concat(F.lit("Since "), y, F.lit(" data are recalculated."))).when(k == 1, F.concat(F.lit("Until "), y, F.lit(" without small firms."))).when(k == 2, F.concat(F.lit("In "), y, F.lit("-"), y + 2, F.lit(" by sample.")))
-    return orders.select(F.col("o_orderpriority").alias("series_key"), note.when(k == 3, F.concat(F.lit("Revised by the census of "), y, F.lit("."))).otherwise("Preliminary data.").alias("note"))
+    rows = orders.select(F.col("o_orderpriority").alias("series_key"), (F.col("o_orderkey") % len(_FORMS)).alias("k"), F.year("o_orderdate").cast("long").alias("y"))
+    return rows.select("series_key", F.expr(_CASES(lambda f: _said(f[0]))).alias("note"))
 
 
-on_tables("dim15_notes", lambda o: _notes(o).select("note").distinct().select("note", dimensions.note_kind(F.col("note")).alias("kind"), F.array_join(dimensions.note_years(F.col("note")), ",").alias("years")), "orders", f"SELECT DISTINCT note, {_KIND} AS kind, CASE k WHEN 4 THEN '' WHEN 2 THEN y || ',' || (y + 2) ELSE y::VARCHAR END AS years FROM {_NOTES}")
-on_tables("dim16_breaks", lambda o: _notes(o).select("note").distinct().select("note", F.explode(dimensions.note_breaks(F.col("note"))).alias("break_year")), "orders", f"SELECT DISTINCT note, unnest({_BREAKS}) AS break_year FROM {_NOTES}")
+on_tables("dim15_notes", lambda o: _notes(o).select("note").distinct().select("note", dimensions.note_kind(F.col("note")).alias("kind"), F.array_join(dimensions.note_years(F.col("note")), ",").alias("years")), "orders", f"SELECT DISTINCT note, {_KIND} AS kind, {_CASES(lambda f: ' || \',\' || '.join(f'(y + {n})::VARCHAR' for n in f[2]) or repr(''))} AS years FROM {_NOTES}")
+on_tables("dim16_breaks", lambda o: dimensions.note_breaks(_notes(o)), "orders", f"SELECT DISTINCT note, b.break_year, b.kind FROM (SELECT note, unnest({_BREAKS}) AS b FROM {_NOTES})")
 on_tables("dim21_methodology", lambda o: dimensions.methodology(_notes(o), o.groupBy(F.col("o_orderpriority").alias("series_key")).agg((F.min(F.year("o_orderdate")) + 2).cast("long").alias("first_year"), F.max(F.year("o_orderdate")).cast("long").alias("last_year"))), "orders", f"""
   WITH s AS (SELECT o_orderpriority AS series_key, min(year(o_orderdate)) + 2 AS f, max(year(o_orderdate)) AS l FROM orders GROUP BY 1)
-  SELECT series_key, break_year, count(*) AS notes FROM (SELECT DISTINCT series_key, note, unnest({_BREAKS}) AS break_year FROM {_NOTES}) JOIN s USING (series_key) WHERE break_year > f AND break_year <= l GROUP BY ALL""")
+  SELECT series_key, break_year, count(*) AS notes FROM (SELECT DISTINCT series_key, note, b.break_year FROM (SELECT series_key, note, unnest({_BREAKS}) AS b FROM {_NOTES})) JOIN s USING (series_key) WHERE break_year > f AND break_year <= l GROUP BY ALL""")
 on_tables("dim20_typography", lambda p: p.select("p_type", dimensions.fix_typography(F.col("p_type"), {"BURNISHED": "POLISHED", "  ": " ", "PLATED ": "COATED "}).alias("fixed")).distinct(), "part", "SELECT DISTINCT p_type, replace(replace(replace(p_type, 'BURNISHED', 'POLISHED'), '  ', ' '), 'PLATED ', 'COATED ') AS fixed FROM part")
 on_cube("dim22_source_breaks", lambda c: dimensions.source_breaks(facts.stitch(*_two(c), 0.2)), """, """ + (_TWO := f"""src AS (SELECT series_key, territory_code, year, value FROM vintage WHERE edition = 6 AND {_KNOWN}), last AS (SELECT max(year) - 2 AS y FROM observation), ds AS (SELECT series_key, territory_code, year, value FROM vintage, last WHERE edition = 5 AND {_KNOWN} AND year <= y),
   dl AS (SELECT series_key, max(year) AS ly FROM ds GROUP BY ALL), bt AS (SELECT s.series_key, s.territory_code, s.year, CASE WHEN d.value = 0 THEN CASE WHEN s.value = 0 THEN 0.0 ELSE 'inf'::DOUBLE END ELSE abs(s.value - d.value) / abs(d.value) END AS off FROM src s JOIN ds d USING (series_key, territory_code, year) JOIN dl USING (series_key) WHERE s.year < ly),
@@ -199,7 +221,7 @@ on_cube("fct34_changed_series", lambda c: facts.changed_series(*_old_and_new(c))
 _unit = lambda keys, flip: keys.select("series_key", F.when(F.col("series_key").startswith("orders"), None).when(F.col("series_key").startswith("revenue") & F.lit(flip), "mln").otherwise(F.col("series_key")).alias("unit"))
 on_cube("fct35_changed_units", lambda c: facts.changed_units(_unit(_titles(c), False), _unit(_titles(c), True).withColumn("unit", F.when(F.col("series_key") == "orders:00", "pieces").otherwise(F.col("unit")))), "SELECT series_key, CASE WHEN series_key LIKE 'orders%' THEN NULL ELSE series_key END AS old_unit, CASE WHEN series_key LIKE 'orders%' THEN 'pieces' ELSE 'mln' END AS new_unit FROM (SELECT DISTINCT series_key FROM vintage) WHERE series_key LIKE 'revenue%' OR series_key = 'orders:00'")
 on_tables("fct36_changed_notes", lambda o: facts.changed_notes(_notes(o.filter("o_orderkey % 5 < 3")).select("note").distinct(), _notes(o.filter("o_orderkey % 5 > 0")).select("note").distinct()), "orders", f"""
-  WITH a AS (SELECT DISTINCT {_NOTE} AS note FROM orders WHERE o_orderkey % 5 < 3), b AS (SELECT DISTINCT {_NOTE} AS note FROM orders WHERE o_orderkey % 5 > 0)
+  WITH a AS (SELECT DISTINCT note FROM {_NOTES} WHERE k % 5 < 3), b AS (SELECT DISTINCT note FROM {_NOTES} WHERE k % 5 > 0)
   SELECT note, 'new' AS what FROM b WHERE note NOT IN (SELECT note FROM a) UNION ALL SELECT note, 'gone' FROM a WHERE note NOT IN (SELECT note FROM b)""")
 
 # Copies of years and the country's scale, on vintages with planted faults
