@@ -5,12 +5,13 @@ All take frames of (series_key, territory_code, year, value) rows, such as the c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.cube import Cube
+from tessera.plans.staging import stored
 
 PER = (1, 1_000, 10_000, 100_000)
 
@@ -137,6 +138,41 @@ def ratio_months(top: DataFrame, bottom: DataFrame, factor: float = 1.0) -> Data
     return both.filter("below <> 0").select("territory_code", "year", "month", F.round(F.col("value") / F.col("below") * factor, 7).alias("value"))
 
 
+def dependency_levels(definitions: Sequence[tuple[str, str, str, float]], known: Iterable[str]) -> list[list[tuple[str, str, str, float]]]:
+    """Definitions (key, numerator, denominator, factor) in rounds: what a round needs is known or made in rounds before. Raises ValueError for those that never can be made."""
+    there, left, rounds = set(known), list(definitions), []
+    while left:
+        now = [d for d in left if d[1] in there and d[2] in there]
+        if not now:
+            raise ValueError(f"ratios of unknown series: {', '.join(sorted(d[0] for d in left))}")
+        rounds.append(now)
+        there |= {d[0] for d in now}
+        left = [d for d in left if d not in now]
+    return rounds
+
+
+def resolve_ratios(months: DataFrame, definitions: Sequence[tuple[str, str, str, float]], known: Iterable[str]) -> DataFrame:
+    """``months`` (series_key, territory_code, year, month, value, hidden, frozen) of the ``known`` series and of all ratios, of ratios too.
+
+    A round is one join for all its definitions, however many; its result is written, so that the plan does not grow with the depth.
+    A ratio stands where both operands have a row. It is hidden or frozen if one of them is; its value is null if one is hidden or null,
+    or if the denominator is 0.
+    """
+    key = ["territory_code", "year", "month"]
+    columns = ["series_key", *key, "value", "hidden", "frozen"]
+    everything = months.select(*columns)
+    for round_ in dependency_levels(definitions, known):
+        asked = F.broadcast(months.sparkSession.createDataFrame(round_, "made string, numerator string, denominator string, factor double"))  # a row for each definition
+        top = everything.join(asked, F.col("series_key") == F.col("numerator")).select("made", "denominator", "factor", *key, F.col("value").alias("top"), F.col("hidden").alias("top_hidden"), F.col("frozen").alias("top_frozen"))
+        below = everything.select(F.col("series_key").alias("denominator"), *key, F.col("value").alias("below"), F.col("hidden").alias("below_hidden"), F.col("frozen").alias("below_frozen"))
+        both = top.join(below, ["denominator", *key])
+        hidden = F.col("top_hidden") | F.col("below_hidden")
+        value = F.when(~hidden & (F.col("below") != 0), F.round(F.col("top") / F.col("below") * F.col("factor"), 7))
+        made = both.select(F.col("made").alias("series_key"), *key, value.alias("value"), hidden.alias("hidden"), (F.col("top_frozen") | F.col("below_frozen")).alias("frozen"))
+        everything = everything.unionByName(stored(made, "ratios"))
+    return everything
+
+
 def measure_change(value: Column, before: Column, kind: str) -> Column:
     """Change in points for shares, in percent for positive bases, else as a difference."""
     difference = F.round(value - before, 4)

@@ -130,6 +130,13 @@ on_cube("drv01_composite_alone", lambda c: derive.composite_alone(derive.rows_of
 on_cube("fct22_country_as_sum", lambda c: derive.country_as_sum(derive.regions_of(c, _S), 25), _rows(_S, regions=True) + " SELECT year, round(sum(value), 4) AS value FROM obs1 GROUP BY year HAVING count(*) = 25")
 _LEVEL = lambda c, k: c.month.filter((F.col("series_key") == k) & (F.col("kind") == "level")).select("territory_code", "year", "month", "value")
 on_cube("fct24_ratio_months", lambda c: derive.ratio_months(_LEVEL(c, _S), _LEVEL(c, _Q)), "SELECT a.territory_code, a.year, a.month, round(a.value / b.value, 7) AS value FROM month_fact a JOIN month_fact b USING (territory_code, year, month) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.kind = 'level' AND b.kind = 'level' AND b.value <> 0")
+_RATIOS = (("deep:00", "odd:00", "mean:00", 100.0), ("odd:00", "mean:00", "inverse:00", 1.0), ("mean:00", "revenue:00", "orders:00", 1.0), ("inverse:00", "orders:00", "revenue:00", 1e6))  # in no order
+_FLAGGED = lambda c: c.month.filter("kind = 'level'").select("series_key", "territory_code", "year", "month", "value", ((F.col("series_key") == "orders:00") & (F.col("value") < 3)).alias("hidden"), ((F.col("series_key") == "revenue:00") & (F.col("month") == 12)).alias("frozen"))
+on_cube("fct20_ratios_of_ratios", lambda c: derive.resolve_ratios(_FLAGGED(c), _RATIOS, ("revenue:00", "orders:00")), """, b AS (SELECT r.territory_code, r.year, r.month, r.value AS r, o.value AS o, o.value < 3 AS hidden, r.month = 12 AS frozen FROM month_fact r JOIN month_fact o USING (territory_code, year, month) WHERE r.series_key = 'revenue:00' AND o.series_key = 'orders:00' AND r.kind = 'level' AND o.kind = 'level'),
+  one AS (SELECT *, CASE WHEN NOT hidden AND o <> 0 THEN round(r / o, 7) END AS mean, CASE WHEN NOT hidden AND r <> 0 THEN round(o / r * 1e6, 7) END AS inverse FROM b), two AS (SELECT *, CASE WHEN NOT hidden AND inverse <> 0 THEN round(mean / inverse, 7) END AS odd FROM one)
+  SELECT series_key, territory_code, year, month, value, series_key = 'orders:00' AND value < 3 AS hidden, series_key = 'revenue:00' AND month = 12 AS frozen FROM month_fact WHERE kind = 'level'
+  UNION ALL SELECT 'mean:00', territory_code, year, month, mean, hidden, frozen FROM two UNION ALL SELECT 'inverse:00', territory_code, year, month, inverse, hidden, frozen FROM two UNION ALL SELECT 'odd:00', territory_code, year, month, odd, hidden, frozen FROM two
+  UNION ALL SELECT 'deep:00', territory_code, year, month, CASE WHEN NOT hidden AND mean <> 0 THEN round(odd / mean * 100, 7) END, hidden, frozen FROM two""")
 on_cube("fct28_weighted_year_mean", lambda c: derive.weighted_year_mean(_LEVEL(c, _S), _LEVEL(c, _Q)), "SELECT territory_code, year, round(sum(a.value * b.value) / nullif(sum(b.value), 0), 4) AS value FROM month_fact a JOIN month_fact b USING (territory_code, year, month) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.kind = 'level' AND b.kind = 'level' GROUP BY territory_code, year HAVING count(*) = 12")
 
 # Formulas: the SQL is the formula written out by hand on the dense grid.
@@ -352,7 +359,8 @@ _QUESTIONS = (("q1", "Which nation has the highest revenue?"), ("q2", "Compare F
 _QVALUES = ", ".join(f"('{a}', '{b}')" for a, b in _QUESTIONS)
 _questions = lambda spark: spark.createDataFrame(list(_QUESTIONS), "question string, text string")
 add("txt12_find_places", lambda spark, sf_dir: search.find_places(_questions(spark), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))), f"SELECT question, 'N' || n_nationkey AS code FROM (VALUES {_QVALUES}) q(question, text), nation WHERE regexp_matches(lower(text), '(^|[^a-z])' || lower(n_name) || '($|[^a-z])')")
-add("txt13_question_kind", lambda spark, sf_dir: _questions(spark).select("question", search.question_kind(F.col("text")).alias("kind")), "SELECT * FROM (VALUES ('q1', 'rank'), ('q2', 'compare'), ('q3', 'trend'), ('q4', 'value'), ('q5', 'relation')) v(question, kind)")
+_ASKED = (("Which place near {0} has the highest revenue?", "rank"), ("How did orders of {0} change over time?", "trend"), ("Compare {0} with its neighbours", "compare"), ("Give the definition of orders in {0}", "define"), ("Do orders in {0} depend on prices?", "relation"), ("Orders in {0} in 1999", "value"))
+add("txt13_question_kind", lambda spark, sf_dir: _read(spark, sf_dir, "nation").select(F.explode(F.array(*[F.replace(F.lit(q), F.lit("{0}"), F.col("n_name")) for q, _ in _ASKED])).alias("question")).select("question", search.question_kind(F.col("question")).alias("kind")), f"SELECT replace(q, '{{0}}', n_name) AS question, kind FROM nation, (VALUES {', '.join(str(x) for x in _ASKED)}) v(q, kind)")
 add("txt24_match_labels", lambda spark, sf_dir: search.match_labels(_read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("  "), F.initcap("n_name"), F.lit(" 1)")).alias("label")).distinct(), _read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))).select("code", "how"), "SELECT DISTINCT 'N' || n_nationkey AS code, 'exact' AS how FROM customer JOIN nation ON n_nationkey = c_nationkey")
 add("dim10_unit_kind", lambda spark, sf_dir: _read(spark, sf_dir, "part").select(F.concat(F.lit("million dollars per "), "p_type").alias("unit")).distinct().select("unit", text.unit_kind(F.col("unit")).alias("kind"), text.unit_multiplier(F.col("unit")).alias("multiplier"), text.polarity(F.col("unit")).alias("polarity")), "SELECT DISTINCT 'million dollars per ' || p_type AS unit, 'rate' AS kind, 1e6::DOUBLE AS multiplier, 'unknown' AS polarity FROM part")
 add("dim18_series_code", lambda spark, sf_dir: _read(spark, sf_dir, "orders").select("o_orderpriority").distinct().select("o_orderpriority", text.series_code(F.lit("revenue"), F.col("o_orderpriority")).alias("code")), "SELECT DISTINCT o_orderpriority, 'revenue:' || substr(sha1(o_orderpriority), 1, 8) AS code FROM orders")

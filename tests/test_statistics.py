@@ -73,3 +73,12 @@ def test_pca_weights_equal_numpy(spark):
     values, vectors = np.linalg.eigh(np.corrcoef(np.delete(x, 7, 0).T))
     weights = (vectors[:, values >= 1] ** 2 * values[values >= 1]).sum(1)
     assert [got[n] for n in names] == pytest.approx((weights / weights.sum()).tolist(), abs=2e-6)
+
+
+def test_ratios_are_ordered_by_what_they_need():
+    from tessera.operators.derive import dependency_levels
+
+    a, b, c = ("a", "x", "y", 1.0), ("b", "a", "x", 1.0), ("c", "b", "a", 1.0)
+    assert dependency_levels([c, b, a], ("x", "y")) == [[a], [b], [c]]
+    with pytest.raises(ValueError, match="b, c"):
+        dependency_levels([c, b], ("x", "y"))
