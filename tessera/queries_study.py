@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import quality, recognise, search, statistics, study
+from tessera.operators import labels, quality, recognise, search, statistics, study
 from tessera.plans.marts import mart
 from tessera.registry import on_cube, on_tables
 
@@ -193,6 +193,52 @@ on_cube("txt22_relation_answer", lambda c: study.related(_long(c, 2000), _A), _L
 
 # Tables of text
 
+#: Labels of every rule as SQL over n_name, n_nationkey (k) and n_regionkey (r), and what they are: step, kind, code, candidates.
+_LABELS = (
+    ("(900 + k)::VARCHAR", "code", "exact", "c", "''"),
+    ("(900 + k)::VARCHAR || ' some place'", "coded", "exact", "c", "''"),
+    ("CASE WHEN k % 2 = 0 THEN 'Total' ELSE 'of which:' END", "quiet", "none", "NULL", "''"),
+    ("'my place ' || k", "remembered", "remembered", "c", "''"),
+    ("'  ' || n_name || ' 1)'", "exact", "exact", "c", "''"),
+    ("'former ' || n_name", "outside", "outside", "NULL", "''"),
+    ("'twin ' || r", "ambiguous", "ask", "NULL", "(SELECT string_agg('N' || n_nationkey, ',' ORDER BY 'N' || n_nationkey) FROM nation WHERE n_regionkey = r)"),
+    ("'The Republic of ' || n_name", "short", "exact", "c", "''"),
+    ("n_name || ' (in its borders of 1999)'", "qualified", "exact", "c", "''"),
+    ("(SELECT string_agg(n_name, ' and ' ORDER BY n_name) FROM nation WHERE n_regionkey = r)", "composite", "exact", "'R' || r", "''"),
+    ("'NATION_0 and ' || CASE k WHEN 0 THEN 'NATION_1' ELSE n_name END", "composite", "outside", "NULL", "''"),
+    ("'Orders of the world without ' || n_name", "country phrase", "ask", "NULL", "'W'"),
+    ("n_name || ' Trading Company'", "organisation", "outside", "NULL", "''"),
+    ("'City near ' || n_name", "municipal", "municipal", "NULL", "''"),
+    ("'LAN OF ' || n_name", "fuzzy", "fuzzy", "c", "''"),
+    ("left(n_name, 4) || substr(n_name, 6)", "fuzzy", "ask", "NULL", "c"),
+    ("'qzx' || k", None, "none", "NULL", "''"),
+)
+
+
+def _directory(nation: DataFrame) -> labels.Directory:
+    code = F.concat(F.lit("N"), "n_nationkey").alias("code")
+    named = lambda text: nation.select(F.expr(text).alias("name"), code)
+    world = nation.limit(1).select(F.lit("World").alias("name"), F.lit("W").alias("code"))
+    return labels.Directory(
+        names=named("n_name").unionByName(named("concat('LAND OF ', n_name)")).unionByName(world), codes=nation.select((900 + F.col("n_nationkey")).alias("number"), code), aliases=named("concat('twin ', n_regionkey)"), outside=named("concat('former ', n_name)").select("name"),
+        remembered=named("concat('My place ', n_nationkey)").select(F.col("name").alias("label"), "code"), parts=nation.select(F.concat(F.lit("R"), "n_regionkey").alias("whole"), F.col("n_name").alias("name")), country="W",
+    )
+
+
+def _all_labels(nation: DataFrame) -> DataFrame:
+    n, k, r = F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey")
+    put = lambda *x: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in x])
+    region = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), " and ").alias("together"))
+    texts = (
+        put((900 + k).cast("string")), put((900 + k).cast("string"), " some place"), F.when(k % 2 == 0, "Total").otherwise("of which:"), put("my place ", k), put("  ", n, " 1)"), put("former ", n), put("twin ", r), put("The Republic of ", n), put(n, " (in its borders of 1999)"), F.col("together"),
+        put("NATION_0 and ", F.when(k == 0, "NATION_1").otherwise(n)), put("Orders of the world without ", n), put(n, " Trading Company"), put("City near ", n), put("LAN OF ", n), put(F.left(n, F.lit(4)), F.substr(n, F.lit(6))), put("qzx", k),
+    )
+    return nation.join(region, "n_regionkey").select(F.explode(F.array(*texts)).alias("label"))
+
+
+on_tables("txt24_cascade", lambda n: labels.match_cascade(_all_labels(n), _directory(n)), "nation", " UNION ".join(
+    f"SELECT {text} AS label, {repr(step) if step else 'NULL'} AS step, '{kind}' AS kind, {code} AS code, {candidates} AS candidates FROM (SELECT n_name, n_nationkey AS k, n_regionkey AS r, 'N' || n_nationkey AS c FROM nation)" for text, step, kind, code, candidates in _LABELS
+))
 on_tables("txt26_composites", lambda n: recognise.composites(n.select(F.concat(F.lit("x and "), "n_name").alias("label")).unionByName(_region_labels(n)), n.select(F.concat(F.lit("R"), "n_regionkey").alias("whole"), F.col("n_name").alias("name"))), "nation", "SELECT string_agg(n_name, ' and ' ORDER BY n_nationkey) AS label, 'R' || n_regionkey AS whole FROM nation GROUP BY n_regionkey")
 
 
