@@ -486,3 +486,31 @@ def _digest(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in DIGEST.split(", ")]
     kinds = [pa.int64()] * 7 + [pa.string()] * 2
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names)
+
+
+#: The contract as SQL. The best way to a state after a row is the least (cost, audit), so that one row for each state goes on.
+ORACLE = r"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM marked WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM damaged),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+step(q, role, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(q, q2, letters, cost, said) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (2, 3, 'I', 3, ['assistant:']), (3, 2, 'I', 3, ['user:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:'])),
+passes AS (
+  SELECT conv_id, i, q, q AS q2, 'D' AS letter, 4 AS cost, []::VARCHAR[] AS said FROM faulty, range(4) r(q)
+  UNION ALL SELECT conv_id, i, step.q, step.q2, 'K', CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, [faulty.role || ':' || text] FROM faulty JOIN step ON step.role = initial WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, step.q, step.q2, 'R', CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, [CASE step.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM faulty JOIN step ON step.role IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')),
+walk(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} FROM faulty
+  UNION ALL SELECT w.conv_id, w.i + 1, p.q2, min({'cost': w.best.cost + n.cost + p.cost, 'audit': w.best.audit || n.letters || p.letter, 'said': list_concat(list_concat(w.best.said, n.said), p.said)})
+    FROM walk w JOIN inserts n ON n.q = w.q JOIN passes p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1 AND p.q = n.q2 GROUP BY w.conv_id, w.i, p.q2),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ends AS (SELECT w.conv_id, w.i, min({'cost': w.best.cost + n.cost, 'audit': w.best.audit || n.letters, 'said': list_concat(w.best.said, n.said)}) AS best FROM walk w JOIN inserts n ON n.q = w.q WHERE n.q2 IN (0, 3) GROUP BY w.conv_id, w.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id AND e.i = c.n
+"""

@@ -21,4 +21,4 @@ QUERIES = {
     "op13_substrings": lambda spark, sf_dir: substrings.repeats_digest(read_table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op12_ball_clusters": balls.ORACLE, "op13_substrings": substrings.ORACLE}
+ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op11_conversations": conversations.ORACLE, "op12_ball_clusters": balls.ORACLE, "op13_substrings": substrings.ORACLE}

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -99,6 +100,14 @@ def test_given_table(spark):
     assert found(frame) == plain([tuple(r) for r in table(spark, "conversations").select("conv_id", "turn", "role", "text").collect()])
 
 
+def test_sql_equals_plain_search():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    rows = [r for r in made_up(2) if "ä" not in (r[2] or "")]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.execute(conversations.ORACLE).fetchall()} == plain(rows)
+
+
 def test_costs_of_chunks_are_those_of_the_whole():
     draw = np.random.default_rng(3)
     codes = draw.integers(0, 16, (40, 30))
