@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import stored
+
 #: Bits of a value's flags.
 CORRECTED, EXTERNAL, CONDITIONAL, PRELIMINARY, REVISED = 32, 64, 128, 256, 512
 CELL = ("series_key", "territory_code", "year")
@@ -256,6 +258,44 @@ def without_year_copies(vintage: DataFrame, copies: DataFrame) -> DataFrame:
     return vintage.join(bad, ["series_key", "year"], "left_anti")
 
 
+def copied_years(vintage: DataFrame, regions: DataFrame, least: int = 10, share: float = 0.9, gap: int = 5) -> DataFrame:
+    """series_key, year and edition (null: all of them) that are mislabelled copies of another year. ``vintage``: cell, edition, value; ``regions``: territory_code.
+
+    Regions' values other than 0 are compared, edition with edition: two years ``gap`` or more apart whose values are equal in ``share`` of
+    ``least`` or more common regions. A pair is excused if one of its years agrees so with the year before or after it (a steady series is no
+    copy). If the earlier year is outside the unbroken run of years of the later one, it goes from all editions; within one run nobody knows
+    which of them is right, and each goes from its own edition.
+    """
+    known = vintage.join(F.broadcast(regions.select("territory_code")), "territory_code").filter("value is not null and value <> 0")
+    known = stored(known.select("series_key", "territory_code", "year", "edition", "value").distinct(), "known-values")
+    side = lambda n: known.select("series_key", "territory_code", "value", F.col("year").alias(f"year_{n}"), F.col("edition").alias(f"edition_{n}"))
+    pair = ["series_key", "year_a", "edition_a", "year_b", "edition_b"]
+    equal = side("a").join(side("b"), ["series_key", "territory_code", "value"]).filter("year_b > year_a").groupBy(*pair).agg(F.count(F.lit(1)).alias("equal")).filter(F.col("equal") >= share * least)
+    places = known.groupBy("series_key", "year", "edition").agg(F.collect_set("territory_code").alias("places"))
+    of = lambda n: places.select("series_key", F.col("year").alias(f"year_{n}"), F.col("edition").alias(f"edition_{n}"), F.col("places").alias(f"places_{n}"))
+    both = equal.join(of("a"), ["series_key", "year_a", "edition_a"]).join(of("b"), ["series_key", "year_b", "edition_b"])
+    alike = both.withColumn("common", F.size(F.array_intersect("places_a", "places_b"))).filter((F.col("common") >= least) & (F.col("equal") >= share * F.col("common"))).select(*pair)
+    alike = stored(alike, "years-alike")
+    steady = alike.filter("year_b - year_a = 1").select("series_key", F.explode(F.array("year_a", "year_b")).alias("year")).distinct()
+    found = alike.filter(F.col("year_b") - F.col("year_a") >= gap)
+    for n in ("a", "b"):
+        found = found.join(steady.withColumnRenamed("year", f"year_{n}"), ["series_key", f"year_{n}"], "left_anti")
+    run = F.col("year") - F.row_number().over(Window.partitionBy("series_key").orderBy("year"))
+    runs = known.select("series_key", "year").distinct().select("series_key", "year", run.alias("run"))
+    for n in ("a", "b"):
+        found = found.join(runs.withColumnsRenamed({"year": f"year_{n}", "run": f"run_{n}"}), ["series_key", f"year_{n}"])
+    every = F.lit(None).cast("long")
+    apart = F.array(F.struct(F.col("year_a").alias("year"), every.alias("edition")))
+    inside = F.array(*[F.struct(F.col(f"year_{n}").alias("year"), F.col(f"edition_{n}").cast("long").alias("edition")) for n in ("a", "b")])
+    return found.select("series_key", F.explode(F.when(F.col("run_a") != F.col("run_b"), apart).otherwise(inside)).alias("c")).select("series_key", "c.year", "c.edition").distinct()
+
+
+def without_copied_years(vintage: DataFrame, copies: DataFrame) -> DataFrame:
+    """``vintage`` without what ``copied_years`` has found, rows of the country and of zeros too."""
+    everywhere, own = copies.filter("edition is null").select("series_key", "year"), copies.filter("edition is not null")
+    return vintage.join(everywhere, ["series_key", "year"], "left_anti").join(own, ["series_key", "year", "edition"], "left_anti")
+
+
 def reconcile_country_scale(facts: DataFrame, country: str, regions: Sequence[str] | DataFrame, least: int = 60, tolerance: float = 0.05, factors: Sequence[float] = (1e3, 1e6, 1e-3)) -> DataFrame:
     """``facts`` (cell, value) whose country value, where it does not fit the sum of ``least`` regions or more, is multiplied by the factor after which it does. ``regions``: frame of territory_code."""
     own = ["series_key", "year"]

@@ -239,6 +239,26 @@ _COPIES = f"""{_PLANTED}, vs AS (SELECT DISTINCT * FROM pl WHERE {_KNOWN}), pr A
   ln AS (SELECT series_key, year FROM ys y WHERE NOT EXISTS (SELECT 1 FROM ys z WHERE z.series_key = y.series_key AND abs(z.year - y.year) = 1)), dt AS (SELECT cp.*, (SELECT min(year) FROM ln WHERE ln.series_key = cp.series_key AND ln.year IN (year_a, year_b)) AS detached FROM cp)"""
 on_cube("fct02_copies_found", lambda c: facts.year_copies(_with_copy(c)), f", {_COPIES} SELECT * FROM dt")
 on_cube("fct02_without_copies", lambda c: facts.without_year_copies(_with_copy(c), facts.year_copies(_with_copy(c))).groupBy("series_key", "year").agg(F.count(F.lit(1)).alias("n")), f", {_COPIES} SELECT series_key, year, count(*) AS n FROM pl WHERE NOT EXISTS (SELECT 1 FROM dt WHERE dt.series_key = pl.series_key AND CASE WHEN detached IS NULL THEN pl.year IN (year_a, year_b) ELSE pl.year = detached END) GROUP BY ALL")
+
+
+def _with_copies(c) -> DataFrame:
+    """Vintages whose revenue has 1990 like 1999 (apart from the other years) and whose counts of orders have 2000 like 1995 in another edition (inside the run of years)."""
+    rows = c.vintage.select(*facts.CELL, "edition", "value").filter("not (series_key like 'orders%' and year = 2000)")
+    copy = rows.filter("year = 1999 and series_key like 'revenue%'").withColumn("year", F.lit(1990).cast("long"))
+    within = rows.filter("year = 1995 and series_key like 'orders%'").withColumns({"year": F.lit(2000).cast("long"), "edition": F.lit(2).cast("long")})
+    return rows.unionByName(copy).unionByName(within)
+
+
+_COPIED = f"""wc AS (SELECT series_key, territory_code, year, edition, value FROM vintage WHERE NOT (series_key LIKE 'orders%' AND year = 2000) UNION ALL SELECT series_key, territory_code, 1990, edition, value FROM vintage WHERE year = 1999 AND series_key LIKE 'revenue%'
+    UNION ALL SELECT series_key, territory_code, 2000, 2, value FROM vintage WHERE year = 1995 AND series_key LIKE 'orders%'),
+  kn AS (SELECT DISTINCT w.* FROM wc w JOIN territory USING (territory_code) WHERE level = 'region' AND NOT is_aggregate AND value IS NOT NULL AND value <> 0),
+  al AS (SELECT a.series_key, a.year AS ya, a.edition AS ea, b.year AS yb, b.edition AS eb FROM kn a JOIN kn b ON b.series_key = a.series_key AND b.territory_code = a.territory_code AND b.year > a.year GROUP BY ALL HAVING count(*) >= 10 AND count(*) FILTER (a.value = b.value) >= 0.9 * count(*)),
+  st AS (SELECT series_key, ya AS year FROM al WHERE yb - ya = 1 UNION SELECT series_key, yb FROM al WHERE yb - ya = 1), rn AS (SELECT series_key, year, year - row_number() OVER (PARTITION BY series_key ORDER BY year) AS run FROM (SELECT DISTINCT series_key, year FROM kn)),
+  fd AS (SELECT al.*, x.run AS ra, y.run AS rb FROM al JOIN rn x ON x.series_key = al.series_key AND x.year = ya JOIN rn y ON y.series_key = al.series_key AND y.year = yb WHERE yb - ya >= 5 AND NOT EXISTS (SELECT 1 FROM st WHERE st.series_key = al.series_key AND st.year IN (ya, yb))),
+  gone AS (SELECT series_key, ya AS year, NULL::BIGINT AS edition FROM fd WHERE ra <> rb UNION SELECT series_key, ya, ea FROM fd WHERE ra = rb UNION SELECT series_key, yb, eb FROM fd WHERE ra = rb)"""
+_REGION_CODES = lambda c: c.territory.filter("level = 'region' and not is_aggregate").select("territory_code")
+on_cube("fct02_copied_years", lambda c: facts.copied_years(_with_copies(c), _REGION_CODES(c)), f", {_COPIED} SELECT * FROM gone")
+on_cube("fct02_without_copied_years", lambda c: facts.without_copied_years(_with_copies(c), facts.copied_years(_with_copies(c), _REGION_CODES(c))).groupBy("series_key", "year", "edition").agg(F.count(F.lit(1)).alias("n")), f", {_COPIED} SELECT series_key, year, edition, count(*) AS n FROM wc WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.series_key = wc.series_key AND g.year = wc.year AND (g.edition IS NULL OR g.edition = wc.edition)) GROUP BY ALL")
 _coarse = lambda c: c.observation.filter("not is_aggregate").select(*facts.CELL, F.when((F.col("territory_code") == "W") & (F.col("year") % 2 == 0), F.col("value") / 1000).otherwise(F.col("value")).alias("value"))
 _COARSE = "co AS (SELECT series_key, territory_code, year, CASE WHEN territory_code = 'W' AND year % 2 = 0 THEN value / 1000 ELSE value END AS value FROM observation WHERE NOT is_aggregate)"
 _REGS = "SELECT territory_code FROM territory WHERE level = 'region' AND NOT is_aggregate"
