@@ -122,9 +122,11 @@ def composite_alone(rows: DataFrame, total: str, parts: Sequence[str]) -> DataFr
     return whole.join(part, "year").withColumn("rest", F.round(F.col("value") - F.col("parts_sum"), 4)).filter("rest >= 0").select("year", F.col("rest").alias("value"))
 
 
-def country_as_sum(rows: DataFrame, universe: int) -> DataFrame:
-    """The regions' sum of the years in which all regions have a value."""
-    return rows.groupBy("year").agg(F.round(F.sum("value"), 4).alias("value"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == universe).drop("n")
+def country_as_sum(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """series_key, year and the sum of all ``regions`` (territory_code), of the years in which every one has a value. Rows: series_key, territory_code, year, value."""
+    universe = regions.select("territory_code").distinct()
+    sums = rows.filter("value is not null").join(F.broadcast(universe), "territory_code").groupBy("series_key", "year").agg(F.round(F.sum("value"), 4).alias("value"), F.count(F.lit(1)).alias("n"))
+    return sums.join(F.broadcast(universe.agg(F.count(F.lit(1)).alias("all"))), F.col("n") == F.col("all")).select("series_key", "year", "value")
 
 
 def weighted_year_mean(levels: DataFrame, weights: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +40,12 @@ def scale_jumps(cube: Cube, slack: float = 2.0, least: int = 10) -> DataFrame:
     return j.filter(near[0] | near[1]).select("series_key", "year", F.round("jump", 2).alias("jump"))
 
 
-def parts_over_total(cube: Cube, total: str, parts: Sequence[str], tolerance: float = 0.01) -> DataFrame:
-    """Cells whose parts add up to more than the total."""
-    whole = cube.observation.filter((F.col("series_key") == total) & F.col("value").isNotNull()).select("territory_code", "year", "value")
-    summed = cube.observation.filter(F.col("series_key").isin(*parts) & F.col("value").isNotNull()).groupBy("territory_code", "year").agg(F.sum("value").alias("parts"))
-    return whole.join(summed, ["territory_code", "year"]).filter(F.col("parts") > F.col("value") * (1 + tolerance)).select("territory_code", "year", "value", F.round("parts", 4).alias("parts"))
+def parts_over_total(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Cells of any series (measure:slice) whose parts (measure:slice/part) add up to more than it says. Rows: series_key, territory_code, year, value."""
+    known = rows.filter("value is not null")
+    cell = ["series_key", "territory_code", "year"]
+    parts = known.filter("series_key like '%/%'").withColumn("series_key", F.regexp_extract("series_key", r"^(.*)/[^/]*$", 1)).groupBy(*cell).agg(F.sum("value").alias("parts"), F.count(F.lit(1)).alias("n"))
+    return known.select(*cell, "value").join(parts, cell).filter(F.col("parts") > F.col("value") * (1 + tolerance)).select(*cell, "value", F.round("parts", 4).alias("parts"), "n")
 
 
 def presence(cube: Cube, series_key: str) -> DataFrame:

@@ -127,7 +127,7 @@ on_cube("drv16_summary", derive.summary, "SELECT series_key, count(*) AS n, coun
 on_cube("drv18_version_changes", lambda c: derive.version_changes(c, 5, 7), """, a AS (SELECT * FROM vintage WHERE edition = 5 AND value IS NOT NULL), b AS (SELECT * FROM vintage WHERE edition = 7 AND value IS NOT NULL), j AS (SELECT coalesce(a.series_key, b.series_key) AS series_key, a.value AS o, b.value AS n, a.value IS NOT NULL AND b.value IS NOT NULL AND abs(b.value - a.value) > 1e-9 * greatest(1.0, abs(a.value)) AS c FROM a FULL JOIN b ON a.series_key = b.series_key AND a.territory_code = b.territory_code AND a.year = b.year)
   SELECT series_key, count(*) FILTER (c) AS changed, count(*) FILTER (o IS NULL) AS appeared, count(*) FILTER (n IS NULL) AS lost, round(median(CASE WHEN c AND o <> 0 THEN abs(n / nullif(o, 0) - 1) END), 6) AS median_rel, count(*) FILTER (c AND o <> 0 AND abs(n / nullif(o, 0) - 1) >= 0.05) AS over_5_percent FROM j GROUP BY series_key""")
 on_cube("drv01_composite_alone", lambda c: derive.composite_alone(derive.rows_of(c, _S), "R0", ("N0",)), _rows(_S) + " SELECT a.year, round(a.value - b.value, 4) AS value FROM obs1 a JOIN obs1 b USING (year) WHERE a.territory_code = 'R0' AND b.territory_code = 'N0' AND round(a.value - b.value, 4) >= 0")
-on_cube("fct22_country_as_sum", lambda c: derive.country_as_sum(derive.regions_of(c, _S), 25), _rows(_S, regions=True) + " SELECT year, round(sum(value), 4) AS value FROM obs1 GROUP BY year HAVING count(*) = 25")
+on_cube("fct22_country_as_sum", lambda c: derive.country_as_sum(c.regions, c.territory.filter("level = 'region' and not is_aggregate")), "SELECT series_key, year, round(sum(value), 4) AS value FROM reg WHERE value IS NOT NULL GROUP BY series_key, year HAVING count(*) = (SELECT count(*) FROM territory WHERE level = 'region' AND NOT is_aggregate)")
 _LEVEL = lambda c, k: c.month.filter((F.col("series_key") == k) & (F.col("kind") == "level")).select("territory_code", "year", "month", "value")
 on_cube("fct24_ratio_months", lambda c: derive.ratio_months(_LEVEL(c, _S), _LEVEL(c, _Q)), "SELECT a.territory_code, a.year, a.month, round(a.value / b.value, 7) AS value FROM month_fact a JOIN month_fact b USING (territory_code, year, month) WHERE a.series_key = 'revenue:00' AND b.series_key = 'orders:00' AND a.kind = 'level' AND b.kind = 'level' AND b.value <> 0")
 _RATIOS = (("deep:00", "odd:00", "mean:00", 100.0), ("odd:00", "mean:00", "inverse:00", 1.0), ("mean:00", "revenue:00", "orders:00", 1.0), ("inverse:00", "orders:00", "revenue:00", 1e6))  # in no order
@@ -325,7 +325,8 @@ on_cube("mrt08_scale_anomalies", quality.scale_anomalies, "SELECT * FROM (SELECT
 on_cube("mrt09_series_gaps", quality.series_gaps, "SELECT series_key, territory_code, max(year) - min(year) + 1 - count(*) AS missing FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING max(year) - min(year) + 1 > count(*)")
 on_cube("mrt10_discontinued", lambda c: quality.discontinued(c, c.territory.sparkSession.createDataFrame([(_S, 1999), (_P, 2000)], "series_key string, stop_year long")), "SELECT series_key, count(*) AS n FROM reg JOIN (VALUES ('revenue:00', 1999), ('revenue:1-URGENT', 2000)) s(series_key, stop_year) USING (series_key) WHERE value IS NOT NULL AND year > stop_year GROUP BY series_key")
 on_cube("mrt13_scale_jumps", lambda c: quality.scale_jumps(c), ", m AS (SELECT series_key, year, median(abs(value)) AS m FROM reg WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 10), j AS (SELECT series_key, year, greatest(m / b, b / m) AS jump FROM (SELECT *, lag(m) OVER (PARTITION BY series_key ORDER BY year) AS b FROM m) WHERE b > 0 AND m > 0) SELECT series_key, year, round(jump, 2) AS jump FROM j WHERE jump BETWEEN 500 AND 2000 OR jump BETWEEN 5e5 AND 2e6")
-on_cube("mrt14_parts_over_total", lambda c: quality.parts_over_total(c, _P, _PARTS[:2]), "SELECT w.territory_code, w.year, w.value, round(p.s, 4) AS parts FROM observation w JOIN (SELECT territory_code, year, sum(value) AS s FROM observation WHERE series_key IN ('revenue:1-URGENT', 'revenue:2-HIGH') AND value IS NOT NULL GROUP BY ALL) p USING (territory_code, year) WHERE series_key = 'revenue:1-URGENT' AND value IS NOT NULL AND p.s > value * 1.01")
+on_cube("mrt14_parts_over_total", lambda c: quality.parts_over_total(c.observation.withColumn("value", F.when(F.col("series_key").endswith("/BUILDING") & (F.col("year") == 1998), F.col("value") * 5).otherwise(F.col("value")))), """, f AS (SELECT series_key, territory_code, year, CASE WHEN series_key LIKE '%/BUILDING' AND year = 1998 THEN value * 5 ELSE value END AS value FROM observation WHERE value IS NOT NULL),
+  pt AS (SELECT regexp_extract(series_key, '^(.*)/[^/]*$', 1) AS series_key, territory_code, year, sum(value) AS parts, count(*) AS n FROM f WHERE series_key LIKE '%/%' GROUP BY ALL) SELECT series_key, territory_code, year, value, round(parts, 4) AS parts, n FROM f JOIN pt USING (series_key, territory_code, year) WHERE parts > value * 1.01""")
 on_cube("mrt17_presence", lambda c: quality.presence(c, "revenue:1-URGENT/BUILDING"), "SELECT territory_code, year, CASE WHEN value IS NOT NULL THEN 'present' WHEN quality = 2 THEN 'hidden' ELSE 'absent' END AS state FROM reg WHERE series_key = 'revenue:1-URGENT/BUILDING'")
 on_cube("mrt20_data_kind", quality.data_kind, "SELECT series_key, year, CASE WHEN abs(t / nullif(c, 0) - 1) <= 0.01 THEN 'sum' WHEN c BETWEEN lo AND hi AND t / nullif(c, 0) BETWEEN n / 4 AND n * 4 THEN 'relative' ELSE 'unknown' END AS kind FROM (SELECT series_key, year, sum(value) AS t, min(value) AS lo, max(value) AS hi, count(*) AS n, max(country_value) AS c FROM reg JOIN country USING (series_key, year) WHERE value IS NOT NULL AND country_value IS NOT NULL GROUP BY series_key, year)")
 

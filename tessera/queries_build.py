@@ -289,7 +289,7 @@ on_cube("mrt12_country_sums", lambda c: facts.country_sums(c.regions, _off(c), _
 _KINDS = "CASE WHEN abs(total / c - 1) <= 0.01 THEN 'sum' WHEN n >= 20 AND low >= 0 AND abs(total / (c * 1e3) - 1) <= 0.01 OR n >= 20 AND low >= 0 AND abs(total / (c * 1e6) - 1) <= 0.01 THEN 'coarser unit' WHEN c BETWEEN low AND high THEN 'average' ELSE 'contradiction' END"
 on_cube("mrt18_glance_at_country", lambda c: facts.glance_at_country(c.regions, _off(c), _universe(c)).select("series_key", "year", "kind"), f", {_CS} SELECT series_key, year, {_KINDS} AS kind FROM cs")
 on_cube("mrt19_coarser_country", lambda c: facts.glance_at_country(c.regions, _off(c), _universe(c)).filter("factor is not null").select("series_key", "year", "factor"), f", {_CS} SELECT series_key, year, CASE WHEN abs(total / (c * 1e3) - 1) <= 0.01 THEN 1e3 ELSE 1e6 END::DOUBLE AS factor FROM cs WHERE {_KINDS} = 'coarser unit'")
-on_cube("mrt21_composition", lambda c: facts.composition_changes(c.regions.filter("series_key like 'revenue:1-URGENT/%'")), f""", rv AS (SELECT * FROM reg WHERE {_KNOWN} AND series_key LIKE 'revenue:1-URGENT/%'), yy AS (SELECT series_key, year, lag(year) OVER (PARTITION BY series_key ORDER BY year) AS before FROM (SELECT DISTINCT series_key, year FROM rv))
+on_cube("mrt21_composition", lambda c: facts.composition_changes(c.regions), f""", rv AS (SELECT * FROM reg WHERE {_KNOWN}), yy AS (SELECT series_key, year, lag(year) OVER (PARTITION BY series_key ORDER BY year) AS before FROM (SELECT DISTINCT series_key, year FROM rv))
   SELECT * FROM (SELECT series_key, year, coalesce((SELECT string_agg(r.territory_code, ',' ORDER BY r.territory_code) FROM rv r WHERE r.series_key = yy.series_key AND r.year = yy.year AND r.territory_code NOT IN (SELECT territory_code FROM rv x WHERE x.series_key = yy.series_key AND x.year = yy.before)), '') AS came,
     coalesce((SELECT string_agg(r.territory_code, ',' ORDER BY r.territory_code) FROM rv r WHERE r.series_key = yy.series_key AND r.year = yy.before AND r.territory_code NOT IN (SELECT territory_code FROM rv x WHERE x.series_key = yy.series_key AND x.year = yy.year)), '') AS went FROM yy WHERE before IS NOT NULL) WHERE came <> '' OR went <> ''""")
 
