@@ -529,7 +529,8 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
     ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys of many
     rows are split into cells of two parts each. A pair of short lists of keys (``RARE`` at most) leaves under the least key they share only.
     """
-    keyed = nodes.select("node", "root", "n", "fp", F.when(F.size("keys") <= RARE, F.sort_array("keys")).alias("held_keys"), F.explode("keys").alias("key")).join(keys, "key").join(bins, "node")
+    beside = nodes.select("node", F.when(F.size("keys") <= RARE, F.sort_array("keys")).alias("held_keys")).join(bins, "node")
+    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key")).join(keys, "key").join(beside, "node")
     split = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
