@@ -70,8 +70,8 @@ def test_near_vectors_are_found_by_few_probes():
     codes = neighbours.Codes(vectors, 5)
     coded = codes(vectors)
     index = neighbours.MultiIndex(coded, codes.bits)
-    near = codes.radius // len(index.parts)
-    probed = np.mean([np.mean(np.any([np.bitwise_count((coded ^ q) >> s & m) <= near for s, m in index.parts], axis=0)) for q in coded[:100]])
+    parts = neighbours.parts_of(codes.bits, index.substrings, codes.radius)
+    probed = np.mean([np.mean(np.any([np.bitwise_count((coded ^ q) >> np.uint64(p.shift) & np.uint64((1 << p.bits) - 1)) <= p.near for p in parts], axis=0)) for q in coded[:100]])
     assert codes.radius <= 16 and probed < 0.2
 
 
@@ -97,3 +97,32 @@ def test_extreme_components(spark):
     for q in want:
         assert [round(s, 12) for _, s in got[q]] == [round(s, 12) for _, s in want[q]]
     assert {i for i, _ in got[50][:2]} == {250, 251}
+
+
+def test_substrings_are_chosen_by_what_they_cost():
+    """Clustered codes are joined by probes, the more so the more rows there are; codes without structure are not."""
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    near = np.repeat(centres, 4) ^ (np.uint64(1) << rng.integers(0, 64, 8000, dtype=np.uint64))
+    for rows in (10**6, 10**9):
+        found = neighbours.least_probing(near, 64, 6, rows)
+        assert found.probes + found.share * rows <= neighbours.MAX_PROBED * rows and found.share < 0.01
+        assert sum(neighbours.ball_size(p.bits, p.near) for p in found.parts) == found.probes <= neighbours.MAX_PROBES
+    loose = neighbours.least_probing(rng.integers(0, 2**64, 8000, dtype=np.uint64), 64, 30, 10**6)
+    assert loose is None or loose.probes + loose.share * 10**6 > neighbours.MAX_PROBED * 10**6
+
+
+def test_joined_indexes_find_what_blocks_find(spark):
+    """Both ways find every code within the radius, with equal vectors and repeated rows; most true neighbours are among them."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(150, 32))
+    vectors = np.repeat(centres, 12, axis=0) + 0.15 * rng.normal(size=(1800, 32))
+    vectors[600:900] = vectors[600]  # a hot vector
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(2000)[:1800] - 100, vectors, strict=True)]
+    rows += [rows[i] for i in (600, 601, 3, 3)] + [(next(i for i, _ in rows if i % 50 == 0), [1.0] * 32)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    joined, blocks = (found(neighbours.nearest(frame, join_indexes=way)) for way in (True, False))
+    assert joined == blocks
+    want = brute(rows[:1800])
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in joined[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
