@@ -12,6 +12,7 @@ packed and written. Offsets come from per-file totals, one row a file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -49,7 +50,8 @@ class UnitEncoder:
     that are no white space; and with a mark of ``MARKS`` after an ASCII letter. The tokenizer splits a text
     there whatever stands around, so a unit's ids depend on the unit alone. Units of up to ``UNIT`` bytes are
     kept in a table of fixed size, with all their bytes as the key; the others, and those that the table does
-    not have, go to the tokenizer.
+    not have, go to the tokenizer. All this is so with tokenizers that ``parts_alike`` admits; others get every
+    text whole.
     """
 
     def __init__(self, path: str):
@@ -57,6 +59,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.in_units = parts_alike(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose first byte is a blank
@@ -102,6 +107,8 @@ class UnitEncoder:
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of some UTF-8 texts, none of which is empty."""
+        if not self.in_units:
+            return [np.array(e.ids, self.kind) for t in texts for e in [self.tokenizer.encode(t.decode(), add_special_tokens=False)]]
         joined = b"".join(texts)
         n = len(joined)
         data = np.frombuffer(joined + bytes(UNIT), np.uint8)
@@ -167,6 +174,18 @@ class UnitEncoder:
         return np.split(out, cuts)
 
 
+def parts_alike(settings: dict) -> bool:
+    """Whether a tokenizer parts texts as ``UnitEncoder`` takes for granted: bytes as they stand, split by the byte-level rule, merged within a split.
+
+    Added tokens may take in no white space around them, and hold no place where a unit begins.
+    """
+    split, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    bytewise = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    merged = model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s|[A-Za-z][.,;:!?]", t["content"]) for t in settings.get("added_tokens") or [])
+    return settings.get("normalizer") is None and bytewise and merged and added
+
+
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
@@ -210,7 +229,7 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
         held, size = [], 0
 
     for row, text in enumerate(texts):
-        for part in text_parts(text.encode()) if text else ():
+        for part in (text_parts(text.encode()) if coder.in_units else [text.encode()]) if text else ():
             held.append((row, part))
             size += len(part)
             if size >= TEXT_PIECE:

@@ -67,6 +67,34 @@ def test_special_tokens_and_texts_with_equal_polynomial_hashes():
     assert [np.frombuffer(b, "<u2").tolist() for b in tokens.encode_texts(texts, tokens.default_tokenizer())] == reference_ids(texts)
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """Files that part texts in another way give the library's ids, long texts included."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = json.loads(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    assert tokens.parts_alike(plain)
+    paths = [public_tokenizers.path("word_bpe_49k.json")]
+    for name, change in (
+        ("prefix", {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}),
+        ("unsplit", {"pre_tokenizer": plain["pre_tokenizer"] | {"use_regex": False}}),
+        ("lower", {"normalizer": {"type": "Lowercase"}}),
+        ("marked", {"added_tokens": [*plain["added_tokens"], {"id": 50257, "content": "the end.", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}]}),
+        ("stripped", {"added_tokens": [t | {"lstrip": True} for t in plain["added_tokens"]]}),
+    ):
+        paths.append(str(tmp_path / f"{name}.json"))
+        with open(paths[-1], "w", encoding="utf-8") as file:
+            json.dump(plain | change, file)
+    texts = ["A word, the end. And Another\nline", "x <|endoftext|> y", " ", "na\u00efve  caf\u00e9", "Word again. " * (tokens.TEXT_PIECE // 8)]
+    for path in paths:
+        library = Tokenizer.from_file(path)
+        assert not tokens.encoder(path).in_units
+        got = [np.frombuffer(b, tokens.encoder(path).kind).tolist() for b in tokens.encode_texts(texts, path)]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_a_full_table_is_emptied(monkeypatch):
     monkeypatch.setattr(tokens, "POOL", 64)
     monkeypatch.setattr(tokens, "TEXT_PIECE", 50)
