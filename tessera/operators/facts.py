@@ -86,6 +86,48 @@ def stitch(source: DataFrame, dataset: DataFrame, tolerance: float, full_share:
     return kept.unionByName(out)
 
 
+def stitch_releases(releases: DataFrame, dataset: DataFrame, links: DataFrame, tolerance: float, full_share: float = 0.95) -> DataFrame:
+    """What the releases of a source add to the dataset, release by release.
+
+    ``releases``: cell, value, hidden, preliminary, release (later ones are larger); ``dataset``: cell, value;
+    ``links``: series_key, mode, same_statistic. A link that continues takes the years after the dataset's last,
+    hidden values too, and in the last year itself what the source revises, if the link is full (the latest release
+    agrees with the dataset in ``full_share`` of the cells compared) and publishes the same statistic; a link
+    that agrees less, or shares no cell, is conditional. A link that supersedes takes every value of a release,
+    those within tolerance as well, so that a series does not mix publications. A value is preliminary by itself or
+    in its release's newest year, and revises where the dataset has a value off by more than ``tolerance``, or none.
+    """
+    by_link = releases.join(links, "series_key").join(dataset.groupBy("series_key").agg(F.max("year").alias("last_year")), "series_key")
+    newest = releases.groupBy("series_key", "release").agg(F.max(F.when(F.col("value").isNotNull(), F.col("year"))).alias("newest_year"))
+    latest = newest.groupBy("series_key").agg(F.max("release").alias("latest"))
+    recent = releases.join(latest, "series_key").filter("release = latest")
+    verdict = reconcile(recent, dataset, tolerance).select("series_key", "share")
+    rows = by_link.join(newest, ["series_key", "release"]).join(latest, "series_key").join(verdict, "series_key", "left")
+    rows = rows.join(dataset.select(*CELL, F.col("value").alias("old")), list(CELL), "left")
+    agrees = F.coalesce(F.col("share") >= full_share, F.lit(False))
+    rows = rows.withColumn("kind", F.when(F.col("mode") == "supersede", "revision").when(agrees, "full").otherwise("conditional"))
+    rows = rows.withColumn("revises", F.when(F.col("old").isNull(), True).when(F.col("value").isNull(), False).otherwise(~within(F.col("value"), F.col("old"), tolerance)))
+    last = (F.col("year") == F.col("last_year")) & (F.col("kind") == "full") & F.col("same_statistic") & F.col("revises")
+    taken = rows.filter(F.when(F.col("mode") == "supersede", F.col("value").isNotNull()).otherwise((F.col("year") > F.col("last_year")) | last))
+    corrects = F.col("revises") & F.col("old").isNotNull() & (F.col("year") <= F.col("last_year"))
+    bits = flags(external=F.lit(True), conditional=F.col("kind") == "conditional", preliminary=F.col("preliminary") | F.coalesce(F.col("year") == F.col("newest_year"), F.lit(False)), revised=corrects)
+    return taken.select(*CELL, "release", F.when(~F.col("hidden"), F.col("value")).alias("value"), "hidden", bits.alias("flags"), "mode", "kind", "last_year", (F.col("release") == F.col("latest")).alias("is_latest"))
+
+
+def link_outcomes(added: DataFrame) -> DataFrame:
+    """Per link of ``stitch_releases``: mode, kind, values added, those that the latest release revises, first and last year beyond the dataset."""
+    beyond = F.when(F.col("year") > F.col("last_year"), F.col("year"))
+    revised = F.col("is_latest") & (F.col("flags").bitwiseAND(F.lit(REVISED)) > 0)
+    return added.groupBy("series_key", "mode", "kind").agg(F.count(F.lit(1)).alias("vintages"), F.count_if(revised).alias("revised"), F.when(F.max(beyond).isNotNull(), F.max("last_year") + 1).alias("junction_year"), F.max(beyond).alias("last_year"))
+
+
+def resolve_releases(added: DataFrame, dataset: DataFrame) -> DataFrame:
+    """One value for each cell: that of the latest release that has one, else the dataset's, else none. One aggregate, without a sort."""
+    both = dataset.select(*CELL, F.lit(None).cast("long").alias("release"), "value", F.lit(0).cast("long").alias("flags")).unionByName(added.select(*CELL, F.col("release").cast("long").alias("release"), "value", "flags"))
+    best = F.max(F.struct(F.col("value").isNotNull().alias("known"), "release", "value", "flags")).alias("b")
+    return both.groupBy(*CELL).agg(best).select(*CELL, "b.release", "b.value", "b.flags")
+
+
 def latest_release(releases: DataFrame) -> DataFrame:
     """The last release of each source by reference year, day of publication and day of fetching."""
     order = Window.partitionBy("source").orderBy(F.desc("reference_year"), F.desc("published_on"), F.desc("fetched_at"))

@@ -43,6 +43,45 @@ def hidden_bounds(rows: DataFrame, hidden: DataFrame) -> DataFrame:
     return g.select("year", F.col("k").cast("long").alias("hidden"), F.round(known, 6).alias("known"), F.round(least, 6).alias("least"), F.round(F.array_max(edges), 6).alias("most"))
 
 
+def bounds_of_measures(rows: DataFrame, keys: tuple[str, ...] = ("series_key", "year"), least_known: int = 5) -> DataFrame:
+    """Bounds of Gini, Theil and CV (population, equal weights) for each group with hidden values, if those lie between the least and the most that are known.
+
+    Rows: keys, value, hidden. Groups have at least ``least_known`` known values; Theil asks for positive ones, the
+    others for non-negative ones with a positive sum. The measures are quasi-convex: largest with j of the hidden
+    values on the lower edge and the rest on the upper, of which all j are tried, and least with all of them in one
+    place x. For Theil, x is where its derivative vanishes: ln x = sum(v ln v) / sum(v). Gini is a quotient of linear
+    functions of x between two known values, so that its least value is found at a known one.
+    """
+    k, n, s = F.col("k"), F.col("n"), F.col("s")
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r, x = F.col("r"), F.col("value")
+    w = rows.withColumn("k", F.count_if("hidden").over(whole)).filter("value is not null and k > 0")
+    w = w.withColumn("r", F.count(F.lit(1)).over(upto)).withColumn("p", F.sum("value").over(upto)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("s", F.sum("value").over(whole))
+    w = w.withColumn("half", F.sum((2 * r - n - 1) * x).over(whole))
+    g = w.filter(n >= least_known).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("k", "n", "s", "half")], F.sum(x * x).alias("q"), F.sum(F.when(x > 0, x * F.ln(x))).alias("e"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.min(F.try_divide(F.col("half") + k * (x * (2 * r - n) + s - 2 * F.col("p")), (n + k) * (s + k * x))).alias("least_gini"),
+    ).filter("low >= 0 and s > 0")
+    q, e, half, low, high = (F.col(c) for c in ("q", "e", "half", "low", "high"))
+
+    def corners(measure) -> Column:
+        """The most of a measure over j hidden values on the lower edge."""
+        return F.array_max(F.transform(F.sequence(F.lit(0).cast("long"), k), lambda j: measure(j, k - j)))
+
+    cv = lambda s, q, n: F.sqrt(F.greatest(q / n - F.pow(s / n, 2), F.lit(0.0))) / (s / n)
+    theil = lambda s, e, n: F.greatest(e / s - F.ln(s / n), F.lit(0.0))
+    inside = lambda x: F.least(F.greatest(x, low), high)
+    for_cv, for_theil = inside(q / s), inside(F.exp(e / s))
+    found = (
+        ("gini", F.lit(True), half / (n * s), F.col("least_gini"), corners(lambda j, i: (half + j * (s - n * low) + i * (n * high - s) + j * i * (high - low)) / ((n + k) * (s + j * low + i * high)))),
+        ("theil", low > 0, theil(s, e, n), theil(s + k * for_theil, e + k * for_theil * F.ln(for_theil), n + k), corners(lambda j, i: theil(s + j * low + i * high, e + j * low * F.ln(low) + i * high * F.ln(high), n + k))),
+        ("cv", F.lit(True), cv(s, q, n), cv(s + k * for_cv, q + k * for_cv * for_cv, n + k), corners(lambda j, i: cv(s + j * low + i * high, q + j * low * low + i * high * high, n + k))),
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), fits.alias("fits"), *[F.round(c, 6).alias(a) for c, a in ((known, "known"), (least, "least"), (most, "most"))]) for name, fits, known, least, most in found]))
+    return g.select(*keys, k.alias("hidden"), n.alias("observed"), each.alias("m")).filter("m.fits").select(*keys, "hidden", "observed", "m.measure", "m.known", "m.least", "m.most")
+
+
 def restrict(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of the members of a constant composition."""
     return rows.join(members.select("code"), "code", "left_semi")

@@ -164,6 +164,27 @@ on_cube("fct05_rank_editions", lambda c: facts.rank_editions(_editions(c)), f",
 on_cube("fct08_quality_summary", lambda c: facts.quality_summary(c.observation), "SELECT quality, count(*) AS n, count(*) FILTER (value < 0) AS negative FROM observation GROUP BY quality")
 on_cube("fct10_latest_release", lambda c: facts.latest_release(_editions(c).select((F.col("edition_year") % 2).alias("source"), F.col("edition_year").alias("reference_year"), F.col("released_on").alias("published_on"), F.col("edition_code").alias("fetched_at"))), f", {_EDS} SELECT source, reference_year, published_on, fetched_at FROM (SELECT edition_year % 2 AS source, edition_year AS reference_year, released_on AS published_on, edition_code AS fetched_at, row_number() OVER (PARTITION BY edition_year % 2 ORDER BY edition_year DESC, released_on DESC NULLS LAST, edition_code DESC) AS i FROM ed) WHERE i = 1")
 on_cube("fct11_stitch", lambda c: facts.stitch(*_two(c), 0.2), f", {_TWO} SELECT * FROM st")
+_links = lambda c: c.vintage.select("series_key").distinct().select("series_key", F.when(F.col("series_key").startswith("avg_price"), "supersede").otherwise("continue").alias("mode"), (~F.col("series_key").startswith("quantity")).alias("same_statistic"))
+
+
+def _added(c) -> DataFrame:
+    """Editions 6 and 7 as two releases of a source over a dataset that ends two years before."""
+    releases = c.vintage.filter("edition >= 6").select(*facts.CELL, "value", (F.col("quality") == 2).alias("hidden"), F.lit(False).alias("preliminary"), F.col("edition").alias("release"))
+    return facts.stitch_releases(releases, _two(c)[1], _links(c), 0.25, 0.8)
+
+
+_OFF = "CASE WHEN d.value = 0 THEN CASE WHEN s.value = 0 THEN 0.0 ELSE 'inf'::DOUBLE END ELSE abs(s.value - d.value) / abs(d.value) END"
+_ADDED = f""", last AS (SELECT max(year) - 2 AS y FROM observation), ds AS (SELECT series_key, territory_code, year, value FROM vintage, last WHERE edition = 5 AND {_KNOWN} AND year <= y), dl AS (SELECT series_key, max(year) AS ly FROM ds GROUP BY ALL),
+  rl AS (SELECT series_key, territory_code, year, edition AS release, value, quality = 2 AS hidden FROM vintage WHERE edition >= 6), nw AS (SELECT series_key, release, max(year) FILTER (value IS NOT NULL) AS ny FROM rl GROUP BY ALL), lt AS (SELECT series_key, max(release) AS latest FROM rl GROUP BY ALL),
+  rc AS (SELECT series_key, avg((off <= 0.25)::INT) AS share FROM (SELECT s.series_key, {_OFF} AS off, dense_rank() OVER (PARTITION BY s.series_key ORDER BY s.year DESC) AS age FROM rl s JOIN lt ON lt.series_key = s.series_key AND latest = release JOIN ds d ON d.series_key = s.series_key AND d.territory_code = s.territory_code AND d.year = s.year JOIN dl ON dl.series_key = s.series_key WHERE s.year < ly AND s.value IS NOT NULL) WHERE age <= 3 GROUP BY ALL),
+  ml AS (SELECT s.*, ly, ny, latest, d.value AS old, CASE WHEN s.series_key LIKE 'avg_price%' THEN 'supersede' ELSE 'continue' END AS mode, CASE WHEN s.series_key LIKE 'avg_price%' THEN 'revision' WHEN share >= 0.8 THEN 'full' ELSE 'conditional' END AS kind, CASE WHEN d.value IS NULL THEN true WHEN s.value IS NULL THEN false ELSE NOT ({_OFF} <= 0.25) END AS revises
+    FROM rl s JOIN dl USING (series_key) JOIN nw USING (series_key, release) JOIN lt USING (series_key) LEFT JOIN rc USING (series_key) LEFT JOIN ds d ON d.series_key = s.series_key AND d.territory_code = s.territory_code AND d.year = s.year),
+  ad AS (SELECT series_key, territory_code, year, release, CASE WHEN NOT hidden THEN value END AS value, hidden, (64 + CASE WHEN kind = 'conditional' THEN 128 ELSE 0 END + CASE WHEN year = ny THEN 256 ELSE 0 END + CASE WHEN revises AND old IS NOT NULL AND year <= ly THEN 512 ELSE 0 END)::BIGINT AS flags, mode, kind, ly AS last_year, release = latest AS is_latest
+    FROM ml WHERE CASE WHEN mode = 'supersede' THEN value IS NOT NULL ELSE year > ly OR (year = ly AND kind = 'full' AND series_key NOT LIKE 'quantity%' AND revises) END)"""
+on_cube("fct11_releases_in_order", lambda c: _added(c).drop("last_year"), f"{_ADDED} SELECT * EXCLUDE (last_year) FROM ad")
+on_cube("fct11_link_outcomes", lambda c: facts.link_outcomes(_added(c)), f"{_ADDED} SELECT series_key, mode, kind, count(*) AS vintages, count(*) FILTER (is_latest AND flags & 512 > 0) AS revised, CASE WHEN max(year) > max(last_year) THEN max(last_year) + 1 END AS junction_year, max(year) FILTER (year > last_year) AS last_year FROM ad GROUP BY ALL")
+on_cube("fct11_resolved", lambda c: facts.resolve_releases(_added(c), _two(c)[1]), f"""{_ADDED} SELECT series_key, territory_code, year, release, value, flags FROM (SELECT *, row_number() OVER (PARTITION BY series_key, territory_code, year ORDER BY value IS NULL, release DESC NULLS LAST) AS i FROM (
+    SELECT series_key, territory_code, year, release, value, flags FROM ad UNION ALL SELECT series_key, territory_code, year, NULL, value, 0 FROM ds)) WHERE i = 1""")
 on_cube("fct12_reconcile", lambda c: facts.reconcile(*_two(c), 0.2), f", {_TWO} SELECT series_key, cells, share, median_off, largest_off, w[2] AS worst_territory, w[3] AS worst_year FROM rc")
 on_cube("fct13_edition_counters", lambda c: facts.edition_counters(c.vintage), f"SELECT edition, count(*) AS observations, count(DISTINCT series_key) AS series, min(year) AS first_year, max(year) AS last_year FROM vintage WHERE {_KNOWN} GROUP BY edition")
 _periods = lambda c: c.month.filter("kind = 'level' and value is not null").select(*facts.CELL, F.col("month").alias("period"), "value")

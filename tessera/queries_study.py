@@ -49,6 +49,13 @@ on_cube("sta01_prepare", lambda c: study.prepare(_weighted(c, _A).select("year",
 _BOUNDS = """, k AS (SELECT year, count(*) AS n, sum(value) AS s, sum(value * value) AS q, min(value) AS lo, max(value) AS hi, 2 AS k FROM x GROUP BY year), e AS (SELECT k.*, j, s + j * lo + (k - j) * hi AS s1, q + j * lo ** 2 + (k - j) * hi ** 2 AS q1, least(greatest(q / s, lo), hi) AS m FROM k, range(3) r(j) WHERE lo > 0)
   SELECT year, 2::BIGINT AS hidden, round(any_value(sqrt(greatest(q / n - (s / n) ** 2, 0)) / (s / n)), 6) AS known, round(any_value(sqrt(greatest((q + k * m * m) / (n + k) - ((s + k * m) / (n + k)) ** 2, 0)) / ((s + k * m) / (n + k))), 6) AS least, round(max(sqrt(greatest(q1 / (n + k) - (s1 / (n + k)) ** 2, 0)) / (s1 / (n + k))), 6) AS most FROM e GROUP BY year"""
 on_cube("sta11_hidden_bounds", lambda c: study.hidden_bounds(_rows(c, _A), _rows(c, _A).select("year").distinct().withColumn("k", F.lit(2))), _sel(_A) + _BOUNDS)
+on_cube("sta11_bounds_of_measures", lambda c: study.bounds_of_measures(c.observation.filter("territory_level = 'region' and not is_aggregate").select("series_key", "year", "value", (F.col("quality") == 2).alias("hidden"))), """, h AS (SELECT series_key, year, count(*) FILTER (quality = 2) AS k, count(value) AS n, sum(value) AS s, sum(value * value) AS q, sum(CASE WHEN value > 0 THEN value * ln(value) END) AS e, min(value) AS lo, max(value) AS hi FROM reg GROUP BY ALL HAVING count(*) FILTER (quality = 2) > 0 AND count(value) >= 5 AND min(value) >= 0 AND sum(value) > 0),
+  gp AS (SELECT a.series_key, a.year, a.value AS x, sum(abs(a.value - b.value)) AS away FROM reg a JOIN reg b USING (series_key, year) WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.series_key, a.year, a.territory_code, a.value),
+  gh AS (SELECT series_key, year, sum(away) / 2 AS half FROM gp GROUP BY ALL), gl AS (SELECT series_key, year, min((half + k * away) / ((n + k) * (s + k * x))) AS least FROM gp JOIN gh USING (series_key, year) JOIN h USING (series_key, year) GROUP BY ALL),
+  v AS (SELECT h.*, half, j, k - j AS i, s + j * lo + (k - j) * hi AS s1, q + j * lo * lo + (k - j) * hi * hi AS q1, CASE WHEN lo > 0 THEN e + j * lo * ln(lo) + (k - j) * hi * ln(hi) END AS e1, least(greatest(q / s, lo), hi) AS c, CASE WHEN lo > 0 THEN least(greatest(exp(e / s), lo), hi) END AS t FROM h JOIN gh USING (series_key, year), generate_series(0::BIGINT, k) r(j))
+  SELECT series_key, year, k AS hidden, n AS observed, 'gini' AS measure, round(half / (n * s), 6) AS known, round(min(least), 6) AS least, round(max((half + j * (s - n * lo) + i * (n * hi - s) + j * i * (hi - lo)) / ((n + k) * s1)), 6) AS most FROM v JOIN gl USING (series_key, year) GROUP BY series_key, year, k, n, half, s
+  UNION ALL SELECT series_key, year, k, n, 'theil', round(greatest(e / s - ln(s / n), 0), 6), round(greatest((e + k * t * ln(t)) / (s + k * t) - ln((s + k * t) / (n + k)), 0), 6), round(max(greatest(e1 / s1 - ln(s1 / (n + k)), 0)), 6) FROM v WHERE lo > 0 GROUP BY series_key, year, k, n, e, s, t
+  UNION ALL SELECT series_key, year, k, n, 'cv', round(sqrt(greatest(q / n - (s / n) ** 2, 0)) / (s / n), 6), round(sqrt(greatest((q + k * c * c) / (n + k) - ((s + k * c) / (n + k)) ** 2, 0)) / ((s + k * c) / (n + k)), 6), round(max(sqrt(greatest(q1 / (n + k) - (s1 / (n + k)) ** 2, 0)) / (s1 / (n + k))), 6) FROM v GROUP BY series_key, year, k, n, q, s, c""")
 on_cube("sta14_restrict", lambda c: study.restrict(_rows(c, "revenue:1-URGENT/BUILDING"), statistics.constant_composition(_rows(c, "revenue:1-URGENT/BUILDING"))).select("year", "code", "value"), _sel("revenue:1-URGENT/BUILDING") + ", n AS (SELECT year, count(*) AS n, max(count(*)) OVER () AS p FROM x GROUP BY year), f AS (SELECT year FROM n WHERE n >= 0.8 * p) SELECT year, code, value FROM x WHERE code IN (SELECT code FROM x WHERE year IN (SELECT year FROM f) GROUP BY code HAVING count(DISTINCT year) = (SELECT count(*) FROM f))")
 _EACH = ", ex AS (SELECT DISTINCT \"group\" AS excluded FROM x UNION ALL SELECT '-'), wx AS (SELECT * FROM x, ex WHERE \"group\" <> excluded)"
 on_cube("sta19_sigma_robustness", lambda c: study.sigma_robustness(_rows(c)), f"{_sel()}{_EACH}, sg AS (SELECT excluded, year, stddev_samp(ln(value)) AS sigma FROM wx WHERE value > 0 GROUP BY ALL HAVING count(*) >= 15), tr AS (SELECT excluded, regr_slope(sigma, year) AS slope, count(*) AS years FROM sg GROUP BY ALL) SELECT excluded, round(slope, 6) AS slope, years, sign(slope) = (SELECT sign(slope) FROM tr WHERE excluded = '-') AS stable FROM tr")

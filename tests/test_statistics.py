@@ -82,3 +82,30 @@ def test_ratios_are_ordered_by_what_they_need():
     assert dependency_levels([c, b, a], ("x", "y")) == [[a], [b], [c]]
     with pytest.raises(ValueError, match="b, c"):
         dependency_levels([c, b], ("x", "y"))
+
+
+def test_bounds_of_measures_hold_all_that_hidden_values_may_be(spark):
+    """Least and most against a dense grid and all corners; no filling of the hidden values lies outside."""
+    from tessera.operators import study
+
+    draw = np.random.default_rng(11)
+    measures = {
+        "gini": lambda v: np.abs(v[:, None] - v).sum() / (2 * len(v) ** 2 * v.mean()),
+        "theil": lambda v: float((v / v.mean() * np.log(v / v.mean())).mean()),
+        "cv": lambda v: v.std() / v.mean(),
+    }
+    groups = {("a", 1): (draw.lognormal(size=9), 1), ("a", 2): (draw.lognormal(size=14), 4), ("b", 1): (np.append(draw.random(7), 0.0), 2), ("b", 2): (np.full(6, 3.0), 3), ("c", 1): (draw.random(4), 2), ("c", 2): (draw.random(9), 0)}
+    rows = [(s, y, float(v), False) for (s, y), (values, _) in groups.items() for v in values] + [(s, y, None, True) for (s, y), (_, k) in groups.items() for _ in range(k)] + [("a", 1, None, False)]
+    got = {(r.series_key, r.year, r.measure): r for r in study.bounds_of_measures(spark.createDataFrame(rows, "series_key string, year long, value double, hidden boolean")).collect()}
+    want = {(s, y, m) for s, y in (("a", 1), ("a", 2), ("b", 1), ("b", 2)) for m in measures if (s, y, m) != ("b", 1, "theil")}
+    assert got.keys() == want
+    for (s, y, m), r in got.items():
+        values, k = groups[s, y]
+        low, high = values.min(), values.max()
+        filled = lambda *x: measures[m](np.append(values, x))  # noqa: B023, E731
+        assert (r.hidden, r.observed) == (k, len(values))
+        assert r.known == pytest.approx(measures[m](values), abs=1e-6)
+        assert r.least == pytest.approx(min(filled(*[x] * k) for x in [*np.linspace(low, high, 2000), *values]), abs=2e-6)
+        assert r.most == pytest.approx(max(filled(*[low] * j, *[high] * (k - j)) for j in range(k + 1)), abs=1e-6)
+        for _ in range(300):
+            assert r.least - 2e-6 <= filled(*draw.uniform(low, high, k)) <= r.most + 2e-6
