@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -13,23 +15,51 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 #: First bytes of file kinds.
-MAGIC = ((b"PAR1", "parquet"), (b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"\xd0\xcf\x11\xe0", "xls"), (b"\x1f\x8b", "gzip"))
+MAGIC = ((b"PAR1", "parquet"), (b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"\xd0\xcf\x11\xe0", "xls"), (b"\x1f\x8b", "gzip"), (b"PK\x05\x06", "zip"), (b"\x89PNG", "image"), (b"\xff\xd8\xff", "image"), (b"GIF8", "image"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "rar"), (b"{\\rtf", "word"))
+#: Kinds that are not read, by the reason given for it.
+REFUSED = {"gzip": "gzip", "image": "image", "rar": "rar", "word": "word", "slides": "binary", "binary": "binary"}
+#: Bytes of an archive's end in which its list of members is looked for.
+ARCHIVE_END = 1 << 20
 DELIMITERS = (";", "\t", ",", "|")
 
 RELEASE_KEY = ("measure", "territory_code", "period_kind", "year", "period")
 
 
 def sniff(head: bytes | None) -> str:
-    """parquet, pdf, zip, xls, gzip, html, csv or empty, by the first bytes."""
+    """parquet, pdf, zip, xls, gzip, image, rar, word, html, csv, binary or empty, by the first bytes."""
     if not head:
         return "empty"
     for magic, kind in MAGIC:
         if head.startswith(magic):
             return kind
+    if 0 in head and not looks_wide(head):
+        return "binary"
     start = head[:512].lstrip(b"\xef\xbb\xbf \t\r\n").lower()
     return "html" if re.match(rb"<(!doctype html|html|table)", start) else "csv"
 
 
+def looks_wide(head: bytes) -> bool:
+    """UTF-16: a mark, or zeros in most bytes of one parity and hardly any of the other."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return True
+    few, many = sorted(part.count(0) / max(1, len(part)) for part in (head[:2000:2], head[1:2000:2]))
+    return many > 0.4 and few < 0.1
+
+
+def look_into_zip(head: bytes, end: bytes) -> tuple[str, str | None]:
+    """Kind of a zip (xlsx, ods, docx, slides, word or zip) by the names of its members, and why it is refused, if it is. Its list of members stands in ``end``."""
+    try:
+        members = zipfile.ZipFile(io.BytesIO(end)).infolist()
+    except (zipfile.BadZipFile, ValueError, OSError):
+        return "zip", "damaged"
+    names = {m.filename for m in members}
+    kinds = {"xl/workbook.xml": "xlsx", "word/document.xml": "docx", "ppt/presentation.xml": "slides"}
+    kind = next((k for name, k in kinds.items() if name in names), "zip")
+    if kind == "zip" and "mimetype" in names:
+        kind = "ods" if b"opendocument.spreadsheet" in head[:200] else "word"
+    return kind, "password" if any(m.flag_bits & 1 for m in members) else REFUSED.get(kind)
+
+
 def detect_encoding(head: bytes) -> str:
     """By mark, by zeros of UTF-16, by strict UTF-8 (a cut last letter is allowed), else Windows Cyrillic."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
@@ -58,17 +88,30 @@ def detect_delimiter(text: str) -> str:
 
 
 def inspect_files(spark: SparkSession, path: str, head: int = 4096) -> DataFrame:
-    """path, length, kind, encoding and sha256 of each file; contents stay on the executors. Spark does not list files without a byte."""
-
-    @F.pandas_udf("kind string, encoding string, delimiter string")
-    def look(heads: pd.Series) -> pd.DataFrame:
-        rows = [(sniff(h), detect_encoding(h)) if h else ("empty", "utf-8") for h in heads]
-        marks = [detect_delimiter(h.decode(e, "replace")) if h and k == "csv" else None for h, (k, e) in zip(heads, rows, strict=True)]
-        return pd.DataFrame({"kind": [k for k, _ in rows], "encoding": [e for _, e in rows], "delimiter": marks})
-
+    """path, length, kind, encoding, delimiter and sha256 of each file, and why it is refused (password, word, image, rar, gzip, binary, damaged) or null.
+
+    Contents stay on the executors; Python gets their first bytes, and the end of archives. Old workbooks and
+    documents are told apart by the names of their streams, anywhere in the file. Spark does not list files without a byte.
+    """
+
+    @F.pandas_udf("kind string, encoding string, delimiter string, refused string")
+    def look(heads: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h, end in zip(heads, ends, strict=True):
+            kind = sniff(h)
+            kind, refused = look_into_zip(h, end) if kind == "zip" else (kind, REFUSED.get(kind))
+            encoding = detect_encoding(h) if h else "utf-8"
+            rows.append((kind, encoding, detect_delimiter(h.decode(encoding, "replace")) if kind == "csv" else None, refused))
+        return pd.DataFrame(rows, columns=["kind", "encoding", "delimiter", "refused"])
+
+    content = F.col("content")
+    stream = lambda name: F.contains(content, F.lit(name.encode("utf-16-le")))
+    end = F.when(F.startswith(content, F.lit(b"PK")), F.substring(content, -ARCHIVE_END, ARCHIVE_END))
+    document = stream("WordDocument") & ~stream("Workbook\0") & ~stream("Book\0")
+    old = F.when(stream("EncryptedPackage"), "password").when(document, "word")
     files = spark.read.format("binaryFile").load(path)
-    looked = files.select("path", "length", F.sha2("content", 256).alias("sha256"), look(F.substring("content", 1, head)).alias("l"))
-    return looked.select("path", "length", "sha256", "l.kind", "l.encoding", "l.delimiter")
+    looked = files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(F.startswith(content, F.lit(b"\xd0\xcf\x11\xe0")), old).alias("old"), look(F.substring("content", 1, head), end).alias("l"))
+    return looked.select("path", "length", "sha256", F.when(F.col("old") == "word", "word").otherwise(F.col("l.kind")).alias("kind"), "l.encoding", "l.delimiter", F.coalesce("old", "l.refused").alias("refused"))
 
 
 def store_new(files: DataFrame, known: DataFrame) -> DataFrame:

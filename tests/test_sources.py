@@ -23,6 +23,51 @@ def test_files_are_told_apart(spark, tmp_path):
         assert row.sha256 == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
 
 
+def test_refused_files_and_kinds_of_archives(spark, tmp_path):
+    """Each kind by its content, whatever the name, and the reason where a file is not read."""
+    import io
+    import zipfile
+
+    def archive(*names, mimetype=b"", locked=False):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as bundle:
+            if mimetype:
+                bundle.writestr("mimetype", mimetype)
+            for name in names:
+                bundle.writestr(name, b"x" * 3000)
+        data = bytearray(out.getvalue())
+        if locked:  # the flag of encryption in the list of members
+            data[data.index(b"PK\x01\x02") + 8] |= 1
+        return bytes(data)
+
+    ole, wide = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", lambda name: b"\1" * 9000 + name.encode("utf-16-le")
+    cases = {
+        "book": (archive("xl/workbook.xml", "a"), "xlsx", None),
+        "sheet": (archive("content.xml", mimetype=b"application/vnd.oasis.opendocument.spreadsheet"), "ods", None),
+        "letter": (archive("content.xml", mimetype=b"application/vnd.oasis.opendocument.text"), "word", "word"),
+        "document": (archive("word/document.xml"), "docx", None),
+        "slides": (archive("ppt/presentation.xml"), "slides", "binary"),
+        "files": (archive("a.csv", "b.csv"), "zip", None),
+        "locked": (archive("a.csv", locked=True), "zip", "password"),
+        "long": (archive(*[f"{i}.csv" for i in range(500)]), "zip", None),
+        "torn": (archive("a.csv")[:-30], "zip", "damaged"),
+        "old": (ole + wide("Workbook\0"), "xls", None),
+        "old-with-letter": (ole + wide("WordDocument") + wide("Book\0"), "xls", None),
+        "old-letter": (ole + wide("WordDocument"), "word", "word"),
+        "old-locked": (ole + wide("EncryptedPackage"), "xls", "password"),
+        "picture": (b"\x89PNG\r\n", "image", "image"),
+        "packed": (b"Rar!\x1a", "rar", "rar"),
+        "rich": (b"{\\rtf1", "word", "word"),
+        "gz": (b"\x1f\x8b\x08", "gzip", "gzip"),
+        "bytes": (b"a,b\n\0\0\0,\1", "binary", "binary"),
+        "wide": ("a;b\n1;2\n".encode("utf-16-le"), "csv", None),
+    }
+    for name, (data, *_) in cases.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    rows = tables.inspect_files(spark, str(tmp_path)).collect()
+    assert {r.path.rpartition("/")[2].removesuffix(".csv"): (r.kind, r.refused) for r in rows} == {n: (k, why) for n, (_, k, why) in cases.items()}
+
+
 @pytest.mark.parametrize(("head", "name"), [(b"\xff\xfea\0", "utf-16"), (b"a\0b\0c\0", "utf-16-le"), (b"\0a\0b\0c", "utf-16-be"), ("aé".encode()[:-1], "utf-8"), ("Яблоко".encode("cp1251"), "cp1251")])
 def test_encodings(head, name):
     assert tables.detect_encoding(head) == name
