@@ -126,3 +126,17 @@ def test_joined_indexes_find_what_blocks_find(spark):
     want = brute(rows[:1800])
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in joined[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_joined_indexes_of_few_and_odd_vectors(spark):
+    """One vector, none that asks, short vectors, and all equal ones."""
+    def both(rows):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        joined, blocks = (found(neighbours.nearest(frame, join_indexes=way)) for way in (True, False))
+        assert joined == blocks
+        return joined
+
+    assert both([(50, [1.0, 2.0])]) == {}
+    assert both([(i, [1.0, float(i)]) for i in range(1, 40)]) == {}
+    assert [i for i, _ in both([(i, [1.0, 1.0]) for i in range(100, 40, -1)])[50]] == [41, 42, 43, 44, 45]
+    assert [i for i, _ in both([(50, [1.0]), (51, [2.0]), (52, [-1.0]), (53, None), (54, [0.0])])[50]] == [51, 52]
