@@ -527,10 +527,17 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
     """(a, b) of ``nodes`` (node, root, n, fp, keys) of different roots that share one of ``keys``, whose fps lie within the radius, and whose sizes and ``bins`` (node, bins) allow ``similarity``.
 
     ``spanning``: of those that meet in a task only a lightest forest that joins the same roots. Keys of many
-    rows are split into cells of two parts each. A pair of short lists of keys (``RARE`` at most) leaves under the least key they share only.
+    rows are split into cells of two parts each. A pair leaves under the least key that it shares only.
     """
-    beside = nodes.select("node", F.when(F.size("keys") <= RARE, F.sort_array("keys")).alias("held_keys")).join(bins, "node")
-    keyed = nodes.select("node", "root", "n", "fp", F.explode("keys").alias("key")).join(keys, "key").join(beside, "node")
+    return _meetings(nodes, keys, bins, similarity, spanning, radius).distinct()
+
+
+def _meetings(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity: float, spanning: bool, radius: int) -> DataFrame:
+    """``meeting_links`` as they leave the buckets. Rows carry the least ``RARE`` of their keys that others hold too: the least key that two such lists share is the least of all that the nodes share. Pairs of longer lists that share none there leave under every key."""
+    met = nodes.select("node", F.explode("keys").alias("key")).join(keys, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "parts"))).alias("met"))
+    held = F.transform(F.slice("met", 1, RARE), lambda x: x["key"])
+    beside = nodes.select("node", "root", "n", "fp").join(met, "node").join(bins, "node")
+    keyed = beside.select("node", "root", "n", "fp", "bins", held.alias("held_keys"), F.explode("met").alias("m")).select("node", "root", "n", "fp", "bins", "held_keys", "m.key", "m.parts")
     split = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.withColumn("cell", F.least("part", "other").cast("long") * 1_000_003 + F.greatest("part", "other"))
@@ -544,7 +551,8 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
                 i, j = left[at : at + (1 << 12)], right[at : at + (1 << 12)]
                 fits = may_be_alike(filled[i], filled[j], n[i], n[j], similarity)
                 i, j = i[fits], j[fits]
-                first = np.array([held_keys[x] is None or held_keys[y] is None or np.intersect1d(held_keys[x], held_keys[y], assume_unique=True)[0] == key[x] for x, y in zip(i, j, strict=True)], bool)
+                shared = (np.intersect1d(held_keys[x], held_keys[y], assume_unique=True) for x, y in zip(i, j, strict=True))
+                first = np.array([not len(s) or s[0] == key[x] for s, x in zip(shared, i, strict=True)], bool)
                 i, j = i[first], j[first]
                 if len(i):
                     yield np.stack([root[i], root[j], np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
@@ -569,7 +577,7 @@ def meeting_links(nodes: DataFrame, keys: DataFrame, bins: DataFrame, similarity
             yield flush()
 
     rows = split.select("node", "root", "n", "part", "fp", "bins", "held_keys", "key", "cell").repartition(partitions(nodes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

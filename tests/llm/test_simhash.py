@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,3 +186,27 @@ def test_a_family_of_half_alike_texts_gives_few_pairs(spark):
         texts.append(" ".join(copy))
     got, want = kept_and_wanted(spark, texts)
     assert got == want and 1 < len(want) < 150
+
+
+@pytest.mark.parametrize("keys_of_each, shared", [(30, 24), (40, 40), (12, 12)])
+def test_a_pair_leaves_its_buckets_once(spark, keys_of_each, shared):
+    rng = np.random.default_rng(9)
+    common, nodes, bins = rng.integers(-(2**62), 2**62, shared).tolist(), [], []
+    for i in range(60):
+        keys = common + rng.integers(-(2**62), 2**62, keys_of_each - shared).tolist()
+        nodes.append((i, i, 100, bytes(16), keys))
+        bins.append((i, bytes([1]) * simhash.BINS))
+    nodes = spark.createDataFrame(nodes, "node long, root long, n long, fp binary, keys array<long>")
+    bins = spark.createDataFrame(bins, "node long, bins binary")
+    keys = simhash.mixed_keys(nodes)
+    found = [(r.a, r.b) for r in simhash._meetings(nodes, keys, bins, 0.8, False, simhash.WIDE_RADIUS).collect()]
+    assert sorted(found) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_pairs_that_share_late_keys_only_are_not_lost(spark):
+    own = [list(range(100 * i, 100 * i + 20)) + [10_000] for i in range(3)]
+    other = [[*x[:20]] for x in own]
+    nodes = spark.createDataFrame([(i, i, 100, bytes(16), k) for i, k in enumerate(own + other)], "node long, root long, n long, fp binary, keys array<long>")
+    bins = nodes.selectExpr("node", f"cast(repeat('a', {simhash.BINS}) as binary) as bins")
+    found = {(r.a, r.b) for r in simhash.meeting_links(nodes, simhash.mixed_keys(nodes), bins, 0.8, False).collect()}
+    assert found == {(0, 1), (0, 2), (1, 2), (0, 3), (1, 4), (2, 5)}
