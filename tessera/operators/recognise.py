@@ -28,10 +28,16 @@ def guess_style(rows: DataFrame, column: str) -> DataFrame:
 
 
 def column_roles(long: DataFrame, territories: DataFrame) -> DataFrame:
-    """The role of each column of (column, cell): territory (three known names or more), period, value, slice or text."""
-    known = long.join(F.broadcast(territories.select(T.label(F.col("name")).alias("_name")).distinct()), T.label(F.col("cell")) == F.col("_name"), "left")
-    filled = F.count(F.when(T.cell_kind(F.col("cell")) != "empty", 1))
-    g = known.groupBy("column").agg(F.count_distinct("_name").alias("regions"), F.try_divide(F.count(F.when(T.period(F.col("cell")).isNotNull(), 1)), filled).alias("periods"), numeric_share(F.col("cell")).alias("numbers"), F.count_distinct("cell").alias("distinct"))
+    """The role of each column of (column, cell): territory (three known names or more), period, value, slice or text.
+
+    Cells are told apart first, so that each different text is read once, and in as many tasks as there are texts for, however few files they come from.
+    """
+    cells = long.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+    known = cells.join(F.broadcast(territories.select(T.label(F.col("name")).alias("_name")).distinct()), T.label(F.col("cell")) == F.col("_name"), "left")
+    times = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    said = known.withColumns({"kind": T.cell_kind(F.col("cell")), "dated": T.period(F.col("cell")).isNotNull()})
+    filled = times(F.col("kind") != "empty")
+    g = said.groupBy("column").agg(F.count_distinct("_name").alias("regions"), F.try_divide(times(F.col("dated")), filled).alias("periods"), F.try_divide(times(F.col("kind") == "value"), filled).alias("numbers"), F.count("cell").alias("distinct"))
     role = F.when(F.col("regions") >= 3, "territory").when(F.col("periods") >= PERIODS, "period").when(F.col("numbers") >= NUMBERS, "value").when(F.col("distinct") <= SLICES, "slice").otherwise("text")
     return g.select("column", "regions", F.round("numbers", 6).alias("numbers"), "distinct", role.alias("role"))
 

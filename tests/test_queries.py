@@ -121,3 +121,14 @@ def test_cubes_can_be_released(spark, tmp_path):
     assert cube.load_cube(spark, str(tmp_path)) is first
     marts.forget()
     assert cube.load_cube(spark, str(tmp_path)) is not first
+
+
+def test_roles_of_columns_read_each_text_once(spark):
+    from tessera.operators import recognise
+
+    cells = [("place", x) for x in ("France", "FRANCE", "Peru", "china 1)", None, "")] * 3 + [("number", "1,5")] * 4 + [("number", x) for x in ("2,5", "…", None)] + [("empty", None), ("empty", " ")] + [("year", "1999")] * 9 + [("year", "x")]
+    names = spark.createDataFrame([("FRANCE",), ("PERU",), ("CHINA",)], "name string")
+    frame = recognise.column_roles(spark.createDataFrame(cells, "column string, cell string"), names)
+    assert {tuple(r) for r in frame.collect()} == {("place", 3, 0.0, 5, "territory"), ("number", 0, 0.833333, 3, "value"), ("empty", 0, None, 1, "slice"), ("year", 0, 0.9, 2, "period")}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.index("count(1)") > plan.index("Join")  # counted below the join with the names
