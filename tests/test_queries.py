@@ -132,3 +132,18 @@ def test_roles_of_columns_read_each_text_once(spark):
     assert {tuple(r) for r in frame.collect()} == {("place", 3, 0.0, 5, "territory"), ("number", 0, 0.833333, 3, "value"), ("empty", 0, None, 1, "slice"), ("year", 0, 0.9, 2, "period")}
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and plan.index("count(1)") > plan.index("Join")  # counted below the join with the names
+
+
+def test_cubes_are_kept_in_few_partitions(spark):
+    from tessera.plans import cube
+
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        made = cube.build_cube(spark, SF)
+        assert [frame.rdd.getNumPartitions() for frame in (made.vintage, made.observation, made.month)] == [cube.KEPT_PARTITIONS] * 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
