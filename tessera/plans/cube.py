@@ -17,7 +17,7 @@ OBSERVED, NO_DATA, HIDDEN = 0, 1, 2
 #: Cells of fewer orders are hidden.
 DISCLOSURE = 3
 MEASURES = ("revenue", "quantity", "orders", "avg_price")
-#: Partitions of the cube's kept frames. Their rows are bounded by nations, years, months, slices and editions, not by orders, so a count that follows the shuffles' only makes tasks.
+#: Partitions of the kept frames of cubes and marts. Their rows are bounded by nations, years, months, slices and editions, not by orders, so a count that follows the shuffles' only makes tasks.
 KEPT_PARTITIONS = 8
 
 
@@ -94,13 +94,13 @@ def build_cube(spark: SparkSession, sf_dir: str) -> Cube:
     slices = ("nation", "year", "o_orderpriority", "c_mktsegment")
     by_line = lines.join(orders, "o_orderkey").groupBy(*slices, "month", "edition").agg(F.sum("money").alias("money"), F.sum("gross").alias("gross"), F.sum("pieces").alias("pieces"))
     by_order = orders.groupBy(*slices, "month").agg(F.count(F.lit(1)).alias("n_orders"))
-    by_line, by_order = _small(by_line), _small(by_order)
+    by_line, by_order = small(by_line), small(by_order)
 
     member = F.broadcast(membership(nation))  # at most four rows a nation
     sliced = lambda df, *more: _slices(df.join(member, df["nation"] == F.col("n_nationkey")), *more)
     sums = [F.sum(c).alias(c) for c in ("money", "gross", "pieces")]
-    cells = _small(sliced(by_line, "edition").agg(*sums))
-    counts = _small(sliced(by_order).agg(F.sum("n_orders").alias("n_orders")))
+    cells = small(sliced(by_line, "edition").agg(*sums))
+    counts = small(sliced(by_order).agg(F.sum("n_orders").alias("n_orders")))
 
     grid = counts.select("slice").distinct().crossJoin(F.broadcast(territory.select("territory_code"))).crossJoin(F.broadcast(counts.select("year").distinct()))
     editions = F.broadcast(by_line.select("edition").distinct())  # as many as an order has lines
@@ -120,17 +120,17 @@ def build_cube(spark: SparkSession, sf_dir: str) -> Cube:
     vintage = (
         seen.select(_series(), "territory_code", "year", "edition", F.when(~F.col("hidden"), F.col("value")).alias("value"), F.when(F.col("hidden"), HIDDEN).otherwise(OBSERVED).cast("long").alias("quality"))
         .unionByName(absent.select(_series(), "territory_code", "year", F.lit(1).cast("long").alias("edition"), F.lit(None).cast("double").alias("value"), F.lit(NO_DATA).cast("long").alias("quality")))
-        .transform(_small)
+        .transform(small)
     )
     monthly_money = _group(by_line.join(member, by_line["nation"] == F.col("n_nationkey")), "month").agg(F.sum("money").alias("money"))
     monthly_orders = _group(by_order.join(member, by_order["nation"] == F.col("n_nationkey")), "month").agg(F.sum("n_orders").alias("n_orders"))
     month = months(monthly_money.select(F.lit("revenue").alias("measure"), "territory_code", "year", "month", (F.col("money") / 10000.0).alias("value")).unionByName(monthly_orders.select(F.lit("orders").alias("measure"), "territory_code", "year", "month", F.col("n_orders").cast("double").alias("value"))))
     people = read("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
     population = people.join(member, "n_nationkey").groupBy("territory_code").agg(F.sum("n").cast("double").alias("population"))
-    return Cube(territory, vintage, _small(observations(vintage, territory)), _small(month), population.persist(), sf_dir)
+    return Cube(territory, vintage, small(observations(vintage, territory)), small(month), population.persist(), sf_dir)
 
 
-def _small(frame: DataFrame) -> DataFrame:
+def small(frame: DataFrame) -> DataFrame:
     """A frame whose rows the dimensions bound, kept in few partitions."""
     return frame.repartition(KEPT_PARTITIONS).persist()
 

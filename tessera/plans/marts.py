@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.cube import HIDDEN, NO_DATA, OBSERVED, Cube, forget_cubes
+from tessera.plans.cube import HIDDEN, NO_DATA, OBSERVED, Cube, forget_cubes, small
 
 FULL_YEAR, READY_REGIONS, READY_YEARS = 0.8, 0.8, 5
 
@@ -82,10 +82,10 @@ _MARTS: dict[tuple[str, str], DataFrame] = {}
 
 
 def mart(cube: Cube, name: str) -> DataFrame:
-    """A mart of the cube by name, built once and kept."""
+    """A mart of the cube by name, built once and kept; its rows are bounded as the cube's."""
     key = (cube.version + cube.territory.sparkSession.sparkContext.applicationId, name)
     if key not in _MARTS:
-        _MARTS[key] = {"stats": stats, "rank": ranks, "coverage": coverage, "revision": revisions}[name](cube).persist()
+        _MARTS[key] = {"stats": stats, "rank": ranks, "coverage": coverage, "revision": revisions}[name](cube).transform(small)
     return _MARTS[key]
 
 

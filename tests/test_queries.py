@@ -147,3 +147,19 @@ def test_cubes_are_kept_in_few_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_marts_are_kept_in_few_partitions(spark, tmp_path):
+    from tessera.plans import cube, marts
+
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    (tmp_path / "sf").symlink_to(SF)  # a path that no other test keeps
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        made = cube.load_cube(spark, str(tmp_path / "sf"))
+        assert [marts.mart(made, name).rdd.getNumPartitions() for name in ("stats", "rank", "coverage", "revision")] == [cube.KEPT_PARTITIONS] * 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
