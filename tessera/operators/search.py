@@ -26,30 +26,40 @@ def postings(texts: DataFrame, key: str, fields: Mapping[str, float]) -> DataFra
 
 #: Query terms that are broadcast at most.
 MAX_TERMS = 1 << 20
+#: Pairs of a query and a row whose scores one task sums, at most on average.
+TASK_PAIRS = 1 << 20
 
 
 def bm25(texts: DataFrame, key: str, fields: Mapping[str, float], queries: DataFrame, limit: int = 3, stop_share: float = STOP_SHARE) -> DataFrame:
     """query, key, score and place of the best rows of each query. Texts: one row for each ``key``; queries: (query, term).
 
     Texts are split once, beside the data. A row leaves the scan with the query's terms that it holds and once
-    without a term, for its length; that much is kept on disk, as it is read for the terms' frequencies too.
+    without a term, for its length; that much is kept on disk, as it is read for the terms' frequencies too. Scores
+    are summed in as many tasks as there are pairs, so that what a task holds does not grow with the texts.
     """
     asked = queries.distinct().persist(StorageLevel.DISK_ONLY)
     terms = asked.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= MAX_TERMS else terms
     split = F.array(*[F.struct(F.lit(float(w)).alias("w"), T.words(F.col(f)).alias("words")) for f, w in fields.items()])
     length = F.aggregate("split", F.lit(0.0), lambda acc, x: acc + x["w"] * F.greatest(F.size(x["words"]), F.lit(0)))
-    rows = texts.select(F.col(key).alias("key"), split.alias("split")).withColumn("length", length).filter("length > 0")
+    rows = texts.select(F.col(key).alias("key"), split.alias("split")).withColumn("length", length)
     each = F.transform("split", lambda x: F.transform(x["words"], lambda w: F.struct(w.alias("term"), x["w"].alias("w"))))
     every = F.concat(F.flatten(F.array_compact(each)), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))))
     known = terms.withColumn("asked", F.lit(True))
     found = rows.select("key", "length", F.explode(every).alias("p")).select("key", "length", "p.term", "p.w").join(known, "term", "left").filter("term is null or asked")
     found = found.groupBy("key", "length", "term").agg(F.sum("w").alias("tf")).persist(StorageLevel.DISK_ONLY)
-    corpus = found.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    corpus = found.filter("term is null and length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     hit = found.filter("term is not null")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = asked.join(df, "term").crossJoin(F.broadcast(corpus)).filter(F.col("df") <= stop_share * F.col("n")).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = terms.join(hit, "term").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(corpus)).filter(F.col("df") <= stop_share * F.col("n")).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).persist(StorageLevel.DISK_ONLY)
+    size = terms.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("meetings"), (F.max("n") * F.count_distinct("query")).alias("pairs")).first()
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = max(least, -(-min(size["meetings"] or 0, size["pairs"] or 0) // TASK_PAIRS))
+    if size["rows"] <= MAX_TERMS:  # sums are made where a row's terms are
+        met = hit.repartition(deal, "key").join(F.broadcast(terms), "term")
+    else:
+        met = hit.join(terms, "term").repartition(deal, "key")
+    scored = met.withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
     ranked = scored.groupBy("query", "key").agg(F.round(F.sum("part"), 5).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key")).cast("long")
     return ranked.withColumn("place", place).filter(F.col("place") <= limit)

@@ -1,6 +1,7 @@
 """Every registered query outside ``llm`` against its SQL on DuckDB; those without SQL against what must hold."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -163,3 +164,18 @@ def test_marts_are_kept_in_few_partitions(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_scores_are_summed_in_tasks_of_bounded_size(spark, con, monkeypatch, broadcast):
+    from tessera.operators import search
+
+    monkeypatch.setattr(search, "TASK_PAIRS", 1000, raising=False)
+    if not broadcast:
+        monkeypatch.setattr(search, "MAX_TERMS", 10)
+    run, sql = REGISTRY["txt10_bm25"]
+    frame = run(spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    dealt = max([int(n) for n in re.findall(r"hashpartitioning\(key#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)], default=0)
+    assert dealt > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert_same(frame, con, sql)
