@@ -33,21 +33,22 @@ TASK_PAIRS = 1 << 20
 def bm25(texts: DataFrame, key: str, fields: Mapping[str, float], queries: DataFrame, limit: int = 3, stop_share: float = STOP_SHARE) -> DataFrame:
     """query, key, score and place of the best rows of each query. Texts: one row for each ``key``; queries: (query, term).
 
-    Texts are split once, beside the data. A row leaves the scan with the query's terms that it holds and once
+    Texts are split and their words counted once, row by row. A row leaves the scan with the query's terms that it holds and once
     without a term, for its length; that much is kept on disk, as it is read for the terms' frequencies too. Scores
     are summed in as many tasks as there are pairs, so that what a task holds does not grow with the texts.
     """
     asked = queries.distinct().persist(StorageLevel.DISK_ONLY)
     terms = asked.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= MAX_TERMS else terms
-    split = F.array(*[F.struct(F.lit(float(w)).alias("w"), T.words(F.col(f)).alias("words")) for f, w in fields.items()])
-    length = F.aggregate("split", F.lit(0.0), lambda acc, x: acc + x["w"] * F.greatest(F.size(x["words"]), F.lit(0)))
-    rows = texts.select(F.col(key).alias("key"), split.alias("split")).withColumn("length", length)
-    each = F.transform("split", lambda x: F.transform(x["words"], lambda w: F.struct(w.alias("term"), x["w"].alias("w"))))
-    every = F.concat(F.flatten(F.array_compact(each)), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))))
+    sorted_words = texts.select(F.col(key).alias("key"), F.array(*[F.sort_array(T.words(F.col(f))) for f in fields]).alias("split"))
+    length = sum((F.lit(float(w)) * F.greatest(F.size(F.col("split")[i]), F.lit(0)) for i, w in enumerate(fields.values())), F.lit(0.0))
+    runs = sorted_words.withColumns({"length": length, "starts": F.transform("split", _run_starts)})
+    every = F.concat(*[F.coalesce(_runs(F.col("split")[i], F.col("starts")[i], float(w)), F.array()) for i, w in enumerate(fields.values())], F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf"))))
     known = terms.withColumn("asked", F.lit(True))
-    found = rows.select("key", "length", F.explode(every).alias("p")).select("key", "length", "p.term", "p.w").join(known, "term", "left").filter("term is null or asked")
-    found = found.groupBy("key", "length", "term").agg(F.sum("w").alias("tf")).persist(StorageLevel.DISK_ONLY)
+    found = runs.select("key", "length", F.explode(every).alias("p")).select("key", "length", "p.term", "p.tf").join(known, "term", "left").filter("term is null or asked").select("key", "length", "term", "tf")
+    if len(fields) > 1:  # a term of two fields
+        found = found.groupBy("key", "length", "term").agg(F.sum("tf").alias("tf"))
+    found = found.persist(StorageLevel.DISK_ONLY)
     corpus = found.filter("term is null and length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     hit = found.filter("term is not null")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -65,6 +66,18 @@ def bm25(texts: DataFrame, key: str, fields: Mapping[str, float], queries: DataF
     return ranked.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def _run_starts(words: Column) -> Column:
+    """Where runs of equal words begin in sorted ``words``, from 1."""
+    each = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words)))
+    return F.filter(each, lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+
+
+def _runs(words: Column, starts: Column, weight: float) -> Column:
+    """(term, tf) of each run of equal words."""
+    after = lambda at: F.coalesce(F.get(starts, at + 1), F.size(words) + 1)
+    return F.transform(starts, lambda i, at: F.struct(F.get(words, i - 1).alias("term"), (F.lit(weight) * (after(at) - i)).alias("tf")))
+
+
 def deletions(word: Column) -> Column:
     """A word and what is left of it without one of its letters."""
     without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))

@@ -170,7 +170,7 @@ def test_marts_are_kept_in_few_partitions(spark, tmp_path):
 def test_scores_are_summed_in_tasks_of_bounded_size(spark, con, monkeypatch, broadcast):
     from tessera.operators import search
 
-    monkeypatch.setattr(search, "TASK_PAIRS", 1000, raising=False)
+    monkeypatch.setattr(search, "TASK_PAIRS", 10, raising=False)
     if not broadcast:
         monkeypatch.setattr(search, "MAX_TERMS", 10)
     run, sql = REGISTRY["txt10_bm25"]
@@ -178,4 +178,16 @@ def test_scores_are_summed_in_tasks_of_bounded_size(spark, con, monkeypatch, bro
     plan = frame._jdf.queryExecution().executedPlan().toString()
     dealt = max([int(n) for n in re.findall(r"hashpartitioning\(key#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)], default=0)
     assert dealt > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert not re.search(r"keys=\[key#", plan)  # words are counted within their row
     assert_same(frame, con, sql)
+
+
+def test_a_term_of_two_fields_counts_in_both(spark):
+    from tessera.operators import search
+
+    rows = [(1, "red red blue", "red"), (2, "blue", None), (3, "", "green green red"), (4, None, None), (5, "", ""), (6, "one two three", "four"), (7, "red", "five six")]
+    texts = spark.createDataFrame(rows, "id long, a string, b string")
+    asked = spark.createDataFrame([("q", "red"), ("q", "green"), ("r", "blue")], "query string, term string")
+    both = texts.selectExpr("id", "concat_ws(' ', a, b) AS t")
+    found = lambda frame, fields: sorted(map(tuple, search.bm25(frame, "id", fields, asked, stop_share=1.0).collect()))
+    assert found(texts, {"a": 1.0, "b": 1.0}) == found(both, {"t": 1.0}) != []
