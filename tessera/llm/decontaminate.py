@@ -42,10 +42,7 @@ FILTER_BITS = (16, 27)
 UNITS = frozenset("km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons cup cups h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph".split())
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?:\n]|[$€£%]")
-_ENDS = frozenset(".!?:\n")
-_SIGNS = frozenset("$€£%")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 NUMBER, NAME, UNIT, START, FOLDED = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0number", "\0name", "\0unit", "\0start", "\0folded"))
 _PLACEHOLDERS = np.array([0, NUMBER, NAME, UNIT, START], np.uint64)
 #: Kinds of template tokens, and the letters that stand for them in slots.
@@ -55,61 +52,147 @@ _LETTERS = "wnpus"
 TYPED, OPEN, LITERAL, WHOLE = range(4)
 #: What a token is by itself.
 IS_END, IS_SIGN, IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_UPPER = (1 << i for i in range(6))
-_SPECIAL = {**dict.fromkeys(_ENDS, IS_END), **dict.fromkeys(_SIGNS, IS_SIGN), **dict.fromkeys(NUMBER_WORDS, IS_NUMBER), **dict.fromkeys(UNITS, IS_UNIT)}
-#: Different tokens that a task keeps (some 20 MB), and tokens that are worked on at once.
-MAX_KNOWN, AT_ONCE = 1 << 17, 1 << 17
+#: What a character is in a token; those from ``APOSTROPHE`` on stand for themselves. ``JOINT`` and ``STOP`` join numbers, ``STOP`` is an end where it does not.
+OTHER, LETTER, DIGIT, APOSTROPHE, JOINT, STOP, END, SIGN = range(8)
+_ROLES = {**dict.fromkeys("'’", APOSTROPHE), **dict.fromkeys(",/", JOINT), **dict.fromkeys(".:", STOP), **dict.fromkeys("!?\n", END), **dict.fromkeys("$€£%", SIGN)}
+#: Bits beside it: lower or title case, upper case, a digit by ``str.isdigit``, case-folded to several characters, not met so far.
+ROLE, LOWER, UPPER, DIGITAL, UNFOLDS, UNMET = 7, 8, 16, 32, 64, 128
+_BEGINS_TOKEN = np.isin(np.arange(8), (LETTER, DIGIT, STOP, END, SIGN))
+#: No token goes on after these, whatever stands before.
+_PARTING = re.compile(r"[^\w.,:/'’]")
+#: Characters that are looked at together (and those up to the next that parts), and tokens.
+BLOCK, AT_ONCE = 1 << 17, 1 << 17
 
 
 class Tokens:
-    """Splits texts into tokens and tells what each token is by itself; keeps the tokens it has met."""
+    """Splits texts into tokens and tells what each token is by itself; keeps the characters it has met, and the tokens of the last texts.
+
+    A token is a number (``12``, ``1,000.5``, ``10:30``), a word of letters with one apostrophe inside at most, an
+    end (``. ! ? :`` or a line's) or a sign. Its code is a polynomial hash of its case-folded characters.
+    """
 
     def __init__(self):
-        self.codes, self.traits = np.zeros(MAX_KNOWN, np.uint64), np.zeros(MAX_KNOWN, np.uint8)
+        self.marks, self.values = np.full(0x110000, UNMET, np.uint8), np.zeros(0x110000, np.uint64)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.special, self.special_traits, self.maybe_special = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(1 << 12, bool)
+        words = {**dict.fromkeys(NUMBER_WORDS, IS_NUMBER), **dict.fromkeys(UNITS, IS_UNIT)}
+        codes = self._block(" ".join(words))[2]
+        order = np.argsort(codes)
+        self.special, self.special_traits = codes[order], np.array(list(words.values()), np.uint8)[order]
+        self.maybe_special[codes & np.uint64(0xFFF)] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"\n": 0}
-        self.lower = ["\n"]
-        self.traits[0] = IS_END
-
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        lowers = "\n".join(new).casefold().split("\n")
-        traits = []
-        for token, lower in zip(new, lowers, strict=True):
-            first = token[0]
-            known = _SPECIAL.get(lower, 0)
-            if first.isupper():
-                known |= IS_UPPER if token.isupper() else IS_UPPER | IS_CAPITAL
-            elif first.isdigit():
-                known |= IS_NUMBER
-            traits.append(known)
-        at = len(self.lower)
-        if at + len(new) > len(self.codes):
-            grown = max(2 * len(self.codes), at + len(new))
-            self.codes, self.traits = np.resize(self.codes, grown), np.resize(self.traits, grown)
-        self.codes[at : at + len(new)] = [xxhash.xxh64_intdigest(lower) for lower in lowers]
-        self.traits[at : at + len(new)] = traits
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        self.lower += lowers
+        self.text, self.firsts, self.pasts = "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.traits = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.powers, self.inverses = self.powers[: 2 * BLOCK + 1].copy(), self.inverses[: 2 * BLOCK + 1].copy()
+
+    def lower(self, i: int) -> str:
+        """The case-folded text of a token."""
+        return self.text[self.firsts[i] : self.pasts[i]].casefold()
+
+    def _marks(self, points: np.ndarray) -> np.ndarray:
+        marks = self.marks[points]
+        if marks.max(initial=0) < UNMET:
+            return marks
+        for point in np.unique(points[marks == UNMET]).tolist():
+            c = chr(point)
+            role = _ROLES.get(c, DIGIT if c.isdecimal() else LETTER if c.isalnum() else OTHER)
+            case = UPPER if c.isupper() else LOWER if c.islower() or c.istitle() else 0
+            folded = c.casefold()
+            self.marks[point] = role | case | DIGITAL * c.isdigit() | UNFOLDS * (len(folded) > 1)
+            self.values[point] = xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
+        return self.marks[points]
+
+    def _weighted(self, points: np.ndarray) -> np.ndarray:
+        """Each character's part of its word's hash."""
+        if len(self.powers) <= len(points):
+            n = max(2 * BLOCK, len(points)) + 1
+            self.powers, self.inverses = (np.multiply.accumulate(np.where(np.arange(n) > 0, np.uint64(x), np.uint64(1))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.values[points] * self.powers[: len(points)]
+
+    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First characters, ends, codes and traits of the tokens."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        marks = self._marks(points)
+        roles = marks & np.uint8(ROLE)
+        parted = np.ones(len(roles), bool)
+        parted[1:] = (roles[1:] != roles[:-1]) | (roles[1:] >= APOSTROPHE)
+        edges = np.append(np.flatnonzero(parted), len(roles))
+        runs = roles[edges[:-1]]
+        before, between, after = runs[:-2], runs[1:-1], runs[2:]
+        joined = np.flatnonzero((before == DIGIT) & (after == DIGIT) & ((between == JOINT) | (between == STOP))) + 2
+        words = np.flatnonzero((between == APOSTROPHE) & (before == LETTER) & (after == LETTER)) + 2
+        if len(words):  # of apostrophes in a row every other joins
+            i = np.arange(len(words))
+            words = words[(i - np.maximum.accumulate(np.where(np.diff(words, prepend=-9) != 2, i, 0))) % 2 == 0]
+            joined = np.sort(np.concatenate([joined, words]))
+        begins = _BEGINS_TOKEN[runs]
+        begins[joined] = begins[joined - 1] = False
+        tokens = np.flatnonzero(begins)
+        firsts, pasts = edges[tokens], edges[tokens + 1]
+        pasts[np.searchsorted(tokens, joined) - 1] = edges[joined + 1]  # the last one holds
+
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(self._weighted(points), out=sums[1:])
+        codes = _mixed((sums[pasts] - sums[firsts]) * self.inverses[firsts])
+        heads = marks[firsts]
+        kinds = heads & np.uint8(ROLE)
+        traits = np.where((kinds == STOP) | (kinds == END), IS_END, np.where(kinds == SIGN, IS_SIGN, np.where(heads & np.uint8(DIGITAL), IS_NUMBER, 0))).astype(np.uint8)
+        upper = np.flatnonzero(heads & np.uint8(UPPER))
+        lows = np.zeros(len(points) + 1, np.int32)
+        np.cumsum((marks & np.uint8(LOWER)) > 0, out=lows[1:])
+        traits[upper] |= np.where(lows[pasts[upper]] > lows[firsts[upper]], IS_UPPER | IS_CAPITAL, IS_UPPER).astype(np.uint8)
+        for i in np.unique(np.searchsorted(firsts, np.flatnonzero(marks & np.uint8(UNFOLDS)), "right") - 1).tolist():
+            folded = np.frombuffer(text[firsts[i] : pasts[i]].casefold().encode("utf-32-le"), np.uint32) if i >= 0 else ()
+            if len(folded):
+                self._marks(folded)
+                codes[i] = _mixed(self._weighted(folded).sum(dtype=np.uint64, keepdims=True))[0]
+        some = np.flatnonzero(self.maybe_special[codes & np.uint64(0xFFF)])
+        place = np.searchsorted(self.special, codes[some])
+        hit = place < len(self.special)
+        some, place = some[hit], place[hit]
+        hit = self.special[place] == codes[some]
+        traits[some[hit]] |= self.special_traits[place[hit]]
+        return firsts, pasts, codes, traits
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens of all texts, each after an end, and the text of each."""
-        known = self.number
-        found = [_TOKEN.findall(t) for t in texts]
-        new = set().union(*found).difference(known)
-        if len(known) + len(new) > MAX_KNOWN:
+        """First characters of the tokens of all texts, each text after an end, and the text of each token."""
+        texts = [t.replace("ß", "ss") for t in texts]  # the same words, and characters that fold one to one
+        self.text = whole = "".join(f"\n{t}" for t in texts)
+        found, a = [], 0
+        while a < len(whole):
+            parting = _PARTING.search(whole, a + BLOCK)
+            b = parting.end() if parting else len(whole)
+            firsts, pasts, codes, traits = self._block(whole[a:b])
+            found.append((firsts + a, pasts + a, codes, traits))
+            a = b
+        if not found:
             self.clear()
-            known = self.number
-            new = set().union(*found).difference(known)
-        self._learn(sorted(new))
-        sizes = np.fromiter((len(f) + 1 for f in found), np.int64, len(found))
-        flat: list[int] = []
-        for f in found:
-            flat.append(0)
-            flat.extend(map(known.__getitem__, f))
-        return np.array(flat, np.int32), np.repeat(np.arange(len(texts)), sizes)
+            return self.firsts, self.firsts
+        self.firsts, self.pasts, self.codes, self.traits = map(np.concatenate, zip(*found, strict=True))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return self.firsts, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.firsts, ends), prepend=0))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def _rolled(codes: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each ``window`` codes in a row, put together from those of 1, 2, 4 ... codes."""
+    n = max(0, len(codes) - window + 1)
+    out, done, part, size = np.zeros(n, np.uint64), 0, codes, 1
+    while n:
+        if window & size:
+            out = out * np.uint64(pow(_BASE, size, 1 << 64)) + part[done : done + n] if done else part[:n]
+            done += size
+        if done == window:
+            break
+        part = part[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + part[size:]
+        size *= 2
+    return out
 
 
 class Template:
@@ -122,23 +205,21 @@ class Template:
 
     def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the windows that lie in one text, their hashes, and how many words each has."""
-        n = max(0, len(self.codes) - window + 1)
-        out = np.zeros(n, np.uint64)
-        for j in range(window):
-            out = out * _BASE + self.codes[j : j + n]
+        out = _rolled(self.codes, window)
+        n = len(out)
         words = np.cumsum(np.concatenate([[0], self.kinds == WORD]))
         at = np.flatnonzero(self.text[:n] == self.text[window - 1 : window - 1 + n])
         return at, (out ^ (out >> np.uint64(29)))[at], (words[window:] - words[:-window])[:n][at]
 
 
-def readings(numbers: np.ndarray, text: np.ndarray, known: Tokens) -> tuple[Template, Template, np.ndarray, np.ndarray]:
+def readings(firsts: np.ndarray, text: np.ndarray, known: Tokens) -> tuple[Template, Template, np.ndarray, np.ndarray]:
     """The template with names, the one without, which words of the first may be names that open a sentence, and where sentences begin in the second.
 
     A number followed by a unit, or a sign, gives a unit. A capitalised word is a name unless a sentence or a
     line begins with it or it is all capitals (shouted passages are read as words); names in a row are one
     name. Without names each of their words is a word.
     """
-    traits, codes = known.traits[numbers], known.codes[numbers]
+    traits, codes = known.traits, known.codes
     has = lambda bit: (traits & bit) > 0
     shifted = lambda x: np.concatenate([[False], x[:-1]])
     end = has(IS_END)
@@ -155,7 +236,7 @@ def readings(numbers: np.ndarray, text: np.ndarray, known: Tokens) -> tuple[Temp
 _KNOWN = Tokens()
 
 
-def _values(template: Template, at: int, window: int, numbers: np.ndarray, known: Tokens) -> list[str]:
+def _values(template: Template, at: int, window: int, firsts: np.ndarray, known: Tokens) -> list[str]:
     """The window's placeholders in order, each with its kind's letter in front; a name has all its words."""
     out = []
     for i in range(at, at + window):
@@ -163,11 +244,11 @@ def _values(template: Template, at: int, window: int, numbers: np.ndarray, known
         if kind == WORD:
             continue
         first = int(template.tokens[i])
-        words = [known.lower[numbers[first]]]
+        words = [known.lower(first)]
         if kind == PROPER:  # the words of a name stand side by side
             last = first + 1
-            while last < len(numbers) and known.traits[numbers[last]] & IS_CAPITAL and not known.traits[numbers[last]] & (IS_END | IS_SIGN | IS_NUMBER):
-                words.append(known.lower[numbers[last]])
+            while last < len(firsts) and known.traits[last] & IS_CAPITAL and not known.traits[last] & (IS_END | IS_SIGN | IS_NUMBER):
+                words.append(known.lower(last))
                 last += 1
         out.append(_LETTERS[kind] + " ".join(words))
     return out
@@ -184,11 +265,13 @@ class Filter:
         self.words, self.bits = words, (64 * len(words)).bit_length() - 1
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that pass; a bit is looked up only where those before it are set."""
         mask = np.uint64((1 << self.bits) - 1)
-        out = np.ones(len(hashes), bool)
-        for p in (hashes & mask, hashes >> np.uint64(64 - self.bits), hashes >> np.uint64(19) & mask):
-            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
+        passed = np.arange(len(hashes))
+        for place in (lambda h: h & mask, lambda h: h >> np.uint64(64 - self.bits), lambda h: h >> np.uint64(19) & mask):
+            p = place(hashes[passed])
+            passed = passed[(self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return passed
 
 
 def _forms(texts: list[str], window: int, lengths: list[int], wanted: Filter | None, min_coverage: float) -> Iterator[tuple[int, int, int, int, list[str], int, int]]:
@@ -197,8 +280,8 @@ def _forms(texts: list[str], window: int, lengths: list[int], wanted: Filter | N
     Without a filter the texts are items. ``lengths``: those of short items, which documents are searched for
     sentence by sentence.
     """
-    numbers, text = _KNOWN(texts)
-    typed, literal, opens, begins = readings(numbers, text, _KNOWN)
+    firsts, text = _KNOWN(texts)
+    typed, literal, opens, begins = readings(firsts, text, _KNOWN)
 
     def rows(template: Template, form: int, at: np.ndarray, hashes: np.ndarray, length: int) -> Iterator[tuple]:
         if wanted is not None and len(at):
@@ -206,7 +289,7 @@ def _forms(texts: list[str], window: int, lengths: list[int], wanted: Filter | N
             at, hashes = at[passed], hashes[passed]
         for place, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
             t = int(template.text[place])
-            yield t, h, form, place - int(template.firsts[t]), _values(template, place, length, numbers, _KNOWN), int(template.firsts[t + 1] - template.firsts[t]), length
+            yield t, h, form, place - int(template.firsts[t]), _values(template, place, length, firsts, _KNOWN), int(template.firsts[t + 1] - template.firsts[t]), length
 
     least = min(MIN_LITERALS, window)
     at, hashes, words = typed.windows(window)
